@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenequarry.llm.decontamination import find_contamination
+from scenequarry.llm.html_text import extract_text
+from scenequarry.llm.language_id import identify_languages
 from scenequarry.llm.mixing import mix_sources
 from scenequarry.llm.near_duplicates import near_duplicates
+from scenequarry.llm.quality_classifier import classify_quality
 from scenequarry.llm.quality_rules import apply_quality_rules
 from scenequarry.llm.secrets import find_secrets
+from scenequarry.llm.toxicity import score_toxicity
 from scenequarry.llm.url_filters import filter_urls
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -30,10 +34,22 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(_table(spark, sf_dir, "pages"), rules)
@@ -43,14 +59,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f for f in (op1_quality_rules, op2_near_duplicates, op5_mix_sources, op7_url_filters, op8_decontaminate, op10_secrets)
-    }
+    chosen = (
+        op1_quality_rules, op2_near_duplicates, op3_html_text, op4_quality_classifier, op5_mix_sources,
+        op6_language_id, op7_url_filters, op8_decontaminate, op9_toxicity, op10_secrets,
+    )
+    return {f.__name__: f for f in chosen}
 
 
 OP7_SQL = """

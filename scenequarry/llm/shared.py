@@ -63,6 +63,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Breaks of plain word tokens: whatever is ASCII but not a letter or digit.
+PLAIN_BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS = np.ones(1, np.uint64)
@@ -140,7 +142,7 @@ class Slice:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
-def slices(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Slice]]:
+def slices(texts: pa.Array, lower: bool, breaks: np.ndarray = _IS_SPACE) -> Iterator[tuple[int, int, Slice]]:
     """Cut a string column into slices of whole texts: (first row, end row, slice). A null is an empty text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if texts.offset:
@@ -153,7 +155,7 @@ def slices(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Slice]]:
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
         part = raw[off[i] : off[j]]
         bounds = off[i : j + 1] - off[i]
-        space = _IS_SPACE[part]
+        space = breaks[part]
         begins = ~space
         begins[1:] &= space[:-1]
         cuts = bounds[:-1][(bounds[:-1] < bounds[1:])]
@@ -167,13 +169,13 @@ def slices(texts: pa.Array, lower: bool) -> Iterator[tuple[int, int, Slice]]:
         i = j
 
 
-def map_slices(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.RecordBatch, Slice], dict], schema: str, lower: bool = False) -> DataFrame:
+def map_slices(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.RecordBatch, Slice], dict], schema: str, lower: bool = False, breaks: np.ndarray = _IS_SPACE) -> DataFrame:
     """Run ``work`` over slices of the texts; ``columns`` are handed on, followed by what ``work`` returns by text."""
     source = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, s in slices(batch.column(len(columns)), lower):
+            for i, j, s in slices(batch.column(len(columns)), lower, breaks):
                 keep = batch.slice(i, j - i)
                 made = work(keep, s)
                 yield pa.RecordBatch.from_arrays([*keep.columns[: len(columns)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]], [*columns, *made])
