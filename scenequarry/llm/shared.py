@@ -51,9 +51,8 @@ def learnable(doc_id: Column) -> Column:
 
 def native_word_count(text: Column) -> Column:
     """Words of a text, on the JVM; null counts as none."""
-    pieces = F.split(text, SPACES + "+")
-    edge = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) + F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(pieces) - edge).cast("long")
+    # One split: edges of white space leave empty strings, which are no words.
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.array_remove(F.split(text, SPACES + "+"), ""))).cast("long")
 
 
 # ---------------------------------------------------------------- tokeniser
