@@ -1,5 +1,10 @@
 """SQL twins of the registered queries."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from scenequarry.plans import registry
+
+
+def oracle_sql() -> dict[str, str]:
+    registry.queries()
+    return dict(registry.REGISTRY.sql)
