@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine.
 
 A bounded sample of labelled texts is indexed: for each term, postings in order of the example, cut into
-blocks of ``BLOCK`` examples, and the largest weight of each block. A query's blocks are visited from the highest
-upper bound (query weights times block maxima) down, until the bound falls below the k-th
-cosine found: the k nearest are exact, and most postings are never read. The neighbours vote with their
+blocks of ``BLOCK`` examples, and the largest weight of each block. Bounds on a query's blocks (query weights times
+block maxima) tell which to read first, and which can't hold any of the k nearest: those are never
+read, and the k nearest are exact. The neighbours vote with their
 cosines as weights, against a prior of fixed weight, which gives a score and the examples as evidence.
 
-Terms are words and four-byte word beginnings; the vocabulary is those that set toxic examples apart.
+Terms are words and their beginnings of 4 to 7 bytes (stems under many endings); the vocabulary is those that set toxic examples apart.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pyspark.sql.window import Window
 from scenequarry.llm.shared import PLAIN_BREAKS, Slice, learnable, map_slices, mix, slices
 
 #: Bounds of the fit: examples of each class, and terms.
-EXAMPLES, VOCABULARY = 2_048, 4_096
-#: A term is used if it marks at least this many toxic examples, with this chi-square.
-LEAST_EXAMPLES, LEAST_CHI2 = 3, 8.0
+EXAMPLES, VOCABULARY = 1_024, 4_096
+BEGINNINGS = (4, 5, 6, 7)
+#: A term is used if it marks at least this many toxic examples, with this chi-square, and if at least this
+#: part of the texts that have it (half a text more without) is toxic.
+LEAST_EXAMPLES, LEAST_CHI2, LEAST_SHARE = 3, 24.0, 0.3
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of the prior among the votes.
 PRIOR_WEIGHT = 0.5
@@ -33,14 +35,20 @@ THRESHOLD = 0.3
 
 
 def terms(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms and the text of each: every word, and the first four bytes of words of five or more."""
-    words = s.word_hashes()
-    long = np.flatnonzero(s.ends - s.starts >= 5)
-    at = s.starts[long]
-    head = np.zeros(len(at), np.uint64)
-    for j in range(4):
-        head = (head << np.uint64(8)) | s.data[at + j].astype(np.uint64)
-    return np.concatenate([words, mix(head + np.uint64(0x51ED270B4D2B3C1D))]), np.concatenate([s.doc, s.doc[long]])
+    """Hashes of all terms and the text of each: every word, and the beginnings of ``BEGINNINGS`` bytes of longer words."""
+    hashes, docs = [s.word_hashes()], [s.doc]
+    length = s.ends - s.starts
+    long = np.flatnonzero(length > BEGINNINGS[0])
+    head = np.zeros(len(long), np.uint64)
+    for j in range(BEGINNINGS[-1]):
+        there = length[long] > j
+        long, head = long[there], head[there]
+        head = (head << np.uint64(8)) | s.data[s.starts[long] + j].astype(np.uint64)
+        if j + 1 in BEGINNINGS:
+            longer = length[long] > j + 1
+            hashes.append(mix(head[longer] * np.uint64(0x51ED270B4D2B3C1D) + np.uint64(j)))
+            docs.append(s.doc[long[longer]])
+    return np.concatenate(hashes), np.concatenate(docs)
 
 
 def _term_lists(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -65,51 +73,48 @@ class BlockMaxIndex:
 
     vocabulary: np.ndarray  # sorted term hashes
     idf: np.ndarray
-    ids: np.ndarray  # example ids, ascending within the index
+    ids: np.ndarray  # example ids in order of the index
     toxic: np.ndarray
-    cuts: np.ndarray  # postings of term t in block b: cuts[t, b] to cuts[t, b + 1]
-    docs: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  # term, block, place in the block: its postings with gaps, a tile of BLOCK weights
     most: np.ndarray  # largest weight by term and block
     prior: float
 
     @staticmethod
     def build(vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float) -> BlockMaxIndex:
-        examples = sorted(examples, key=lambda e: e[0])
-        n, blocks = len(examples), max(1, -(-len(examples) // BLOCK))
-        term, doc, weight = [], [], []
-        for d, (_, _, hashes, times) in enumerate(examples):
-            t, w = _vector(vocabulary, idf, hashes, times)
-            term.append(t)
-            doc.append(np.full(len(t), d))
-            weight.append(w)
-        term, doc, weight = (np.concatenate(x) if x else np.empty(0) for x in (term, doc, weight))
-        order = np.lexsort((doc, term))
-        term, doc, weight = term[order].astype(np.int64), doc[order].astype(np.int64), weight[order]
-        cell = term * blocks + doc // BLOCK
-        cuts = np.searchsorted(cell, np.arange(len(vocabulary) * blocks + 1))
-        most = np.zeros(len(vocabulary) * blocks)
-        np.maximum.at(most, cell, weight)
-        grid = np.stack([cuts[:-1].reshape(-1, blocks), cuts[1:].reshape(-1, blocks)], axis=2)
-        return BlockMaxIndex(vocabulary, idf, np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float), grid, doc, weight, most.reshape(-1, blocks), prior if n else 0.0)
+        vectors = [(e[0], e[1], *_vector(vocabulary, idf, e[2], e[3])) for e in examples]
+        # Examples of one leading term stand together, so that blocks differ and their bounds are tight.
+        vectors.sort(key=lambda v: (v[1], int(v[2][v[3].argmax()]) if len(v[2]) else -1, v[0]))
+        blocks = max(1, -(-len(vectors) // BLOCK))
+        tiles = np.zeros((len(vocabulary), blocks, BLOCK), np.float32)
+        for d, (_, _, t, w) in enumerate(vectors):
+            tiles[t, d // BLOCK, d % BLOCK] = w
+        most = tiles.max(axis=2) if len(vocabulary) else np.zeros((0, blocks), np.float32)
+        return BlockMaxIndex(vocabulary, idf, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), tiles, most, prior if vectors else 0.0)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine with a unit vector, by cosine down, then id; and the cosines."""
+        """The k examples of largest positive cosine with a unit vector, by cosine down, then id; and the cosines.
+
+        The two blocks of highest bound give a k-th cosine; the only other blocks read are those whose bound reaches it.
+        """
         bound = w @ self.most[t]
-        best_doc, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            # Strictly below: a tie at the k-th place goes to the smaller id, so equal bounds are read.
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for x, y in zip(t, w, strict=True):
-                i, j = self.cuts[x, b]
-                score[self.docs[i:j] - b * BLOCK] += y * self.weights[i:j]
-            found = np.flatnonzero(score > 0)
-            docs, cos = np.concatenate([best_doc, found + b * BLOCK]), np.round(np.concatenate([best, score[found]]), 12)
-            order = np.lexsort((docs, -cos))[:k]
-            best_doc, best = docs[order], cos[order]
-        return best_doc, best
+        order = np.argsort(-bound, kind="stable")
+        docs, cos = self._read(t, w, order[:2], k)
+        floor = cos[-1] - 1e-6 if len(cos) == k else 0.0
+        rest = order[2:]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= floor)]
+        if len(rest):
+            more, other = self._read(t, w, rest, k)
+            docs, cos = np.concatenate([docs, more]), np.concatenate([cos, other])
+            best = np.lexsort((self.ids[docs], -cos))[:k]
+            docs, cos = docs[best], cos[best]
+        return docs, cos
+
+    def _read(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        score = np.tensordot(w, self.weights[t[:, None], blocks[None, :]], axes=1).round(9)
+        block, place = np.nonzero(score > 0)
+        docs, cos = blocks[block] * BLOCK + place, score[block, place]
+        best = np.lexsort((self.ids[docs], -cos))[:k]
+        return docs[best], cos[best]
 
     def judge(self, hashes: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
         """Score and evidence (ids of neighbours) of a text's terms, repeats counted."""
@@ -138,8 +143,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = marked.withColumn("__i", nth).where(F.col("__i") <= EXAMPLES).select("doc_id", F.col("toxic").alias("__toxic"))
     texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    rows = _term_lists(texts, ["__toxic"]).collect()
-    examples = [(r["doc_id"], r["__toxic"], np.array(r["terms"], np.int64).view(np.uint64), np.array(r["times"], float)) for r in rows]
+    rows = _term_lists(texts, ["__toxic"]).toArrow()
+    columns = [rows.column(c).combine_chunks() if rows.num_rows else [] for c in ("terms", "times")]
+    lists = [(h.values.to_numpy().view(np.uint64), t.values.to_numpy().astype(float)) for h, t in zip(*columns, strict=True)]
+    examples = [(d, x, h, t) for d, x, (h, t) in zip(rows.column("doc_id").to_pylist(), rows.column("__toxic").to_pylist(), lists, strict=True)]
     if not examples:
         return BlockMaxIndex.build(np.empty(0, np.uint64), np.empty(0), [], prior)
     n = np.array([max(1, sum(e[1] == k for e in examples)) for k in (0, 1)], float)
@@ -149,7 +156,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> BlockMaxIndex:
     share = df / n[:, None]
     overall = df.sum(axis=0) / n.sum()
     chi2 = (share[1] - share[0]) ** 2 / np.maximum(overall * (1 - overall) * (1 / n[0] + 1 / n[1]), 1e-12)
-    useful = np.flatnonzero((share[1] > share[0]) & (df[1] >= min(LEAST_EXAMPLES, n[1])) & (chi2 >= LEAST_CHI2))
+    toxic_share = prior * share[1] / np.maximum(prior * share[1] + (1 - prior) * (df[0] + 0.5) / n[0], 1e-12)
+    useful = np.flatnonzero((toxic_share >= LEAST_SHARE) & (df[1] >= min(LEAST_EXAMPLES, n[1])) & (chi2 >= LEAST_CHI2))
     useful = np.sort(useful[np.argsort(-chi2[useful], kind="stable")[:VOCABULARY]])
     # The classes are sampled apart: document frequencies are weighted back to their shares.
     rate = np.maximum((1 - prior) * share[0] + prior * share[1], 1e-6)
