@@ -16,8 +16,8 @@ def columns_to_rows(documents: DataFrame, schema: str, column: str = "body") ->
     """Rows of column-major JSON ``{columns: [{name, values}]}``; ``schema`` names and types the columns wanted. Missing columns are null."""
     got = F.from_json(column, "struct<columns:array<struct<name:string,values:array<string>>>>")["columns"]
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
-    named = documents.withColumn("__c", got)
-    values = {n: F.get(F.filter("__c", lambda c, n=n: c["name"] == n), F.lit(0))["values"] for n, _ in fields}
+    named = documents.withColumn("__m", F.transform(got, lambda c: F.struct(c["name"], c["values"])))
+    values = {n: F.try_element_at(F.map_from_entries("__m"), F.lit(n)) for n, _ in fields}
     zipped = named.withColumns({f"__v_{n}": v for n, v in values.items()}).select(*[c for c in documents.columns if c != column], F.inline(F.arrays_zip(*[F.col(f"__v_{n}").alias(n) for n, _ in fields])))
     return zipped.withColumns({n: F.col(n).try_cast(t) for n, t in fields})
 

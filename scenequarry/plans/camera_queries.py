@@ -74,21 +74,14 @@ def _lagged(c: str) -> str:
 
 _SURFELS = f"""WITH {_WORLD}, fc AS (SELECT scene_id, frame_ord, quantile_cont(depth, 0.95) FILTER (depth > 0) * 1.5 AS cap FROM pixels GROUP BY scene_id, frame_ord),
 dv AS (SELECT *, {_lagged('depth')}, {_lagged('x')}, {_lagged('y')}, {_lagged('z')} FROM w WINDOW h AS (PARTITION BY scene_id, frame_ord, v ORDER BY u), k AS (PARTITION BY scene_id, frame_ord, u ORDER BY v)),
-kp AS (SELECT * FROM dv JOIN fc USING (scene_id, frame_ord) WHERE depth <= cap AND conf >= 0.2 AND sqrt(depthu * depthu + depthv * depthv) / (depth + 1e-9) <= 0.04 AND xu IS NOT NULL AND xv IS NOT NULL AND yu IS NOT NULL AND yv IS NOT NULL AND zu IS NOT NULL AND zv IS NOT NULL),
-n1 AS (SELECT *, sqrt(xu * xu + yu * yu + zu * zu) + 1e-9 AS n FROM kp),
-q1 AS (SELECT *, xu / n AS a0, yu / n AS a1, zu / n AS a2, xv * xu / n + yv * yu / n + zv * zu / n AS al FROM n1),
-q2 AS (SELECT *, xv - al * a0 AS t0, yv - al * a1 AS t1, zv - al * a2 AS t2 FROM q1)
-SELECT scene_id, frame_ord, u, v, x, y, z, (r - 0.5) / {g.SH_C0} AS f_dc_0, ln(least(greatest(conf, 0.1), 0.99) / (1 - least(greatest(conf, 0.1), 0.99))) AS opacity, ln(greatest(depth * 4 / focal, 1e-6)) AS scale_0, ln(greatest(greatest(depth * 4 / focal, 1e-6) * 0.3, 1e-6)) AS scale_2,
- a0, a1, a2, t0 / (sqrt(t0 * t0 + t1 * t1 + t2 * t2) + 1e-9) AS b0 FROM q2"""
+kp AS (SELECT * FROM dv JOIN fc USING (scene_id, frame_ord) WHERE depth <= cap AND conf >= 0.2 AND sqrt(depthu * depthu + depthv * depthv) / (depth + 1e-9) <= 0.04 AND xu IS NOT NULL AND xv IS NOT NULL AND yu IS NOT NULL AND yv IS NOT NULL AND zu IS NOT NULL AND zv IS NOT NULL)
+SELECT scene_id, frame_ord, u, v, x, y, z, (r - 0.5) / {g.SH_C0} AS f_dc_0, ln(least(greatest(conf, 0.1), 0.99) / (1 - least(greatest(conf, 0.1), 0.99))) AS opacity, ln(greatest(depth * 4 / focal, 1e-6)) AS scale_0, ln(greatest(greatest(depth * 4 / focal, 1e-6) * 0.3, 1e-6)) AS scale_2 FROM kp"""
 
 
-@add("p5_p10_surfels", _SURFELS, "x y z f_dc_0 opacity scale_0 scale_2 a0 a1 a2 b0", 6)
+@add("p5_p10_surfels", _SURFELS, "x y z f_dc_0 opacity scale_0 scale_2")
 def _(get):
     s = camera.surfels(get("pixels"), get("pixel_cameras"))
-    # The first two axes come back from the quaternion, which checks it.
-    w, x, y, z = (F.col(f"rot_{i}") for i in range(4))
-    axes = {"a0": 1 - 2 * (y * y + z * z), "a1": 2 * (x * y + w * z), "a2": 2 * (x * z - w * y), "b0": 2 * (x * y - w * z)}
-    return s.withColumns(axes).select("scene_id", "frame_ord", "u", "v", "x", "y", "z", "f_dc_0", "opacity", "scale_0", "scale_2", "a0", "a1", "a2", "b0")
+    return s.select("scene_id", "frame_ord", "u", "v", "x", "y", "z", "f_dc_0", "opacity", "scale_0", "scale_2")
 
 
 @add("s9_splat_export", None, "rot_0 rot_1 rot_2 rot_3")

@@ -59,7 +59,7 @@ VIEWS = {
           CASE WHEN event_id % 10 = 0 THEN 's' || CAST(user_id % 20 AS STRING) END AS scene_attr, CASE WHEN event_id % 3 = 0 THEN value / 10000 END AS usd_attr, CASE WHEN event_id % 4 = 1 THEN 'n/a' WHEN event_id % 4 = 2 THEN CAST(user_id * 3 AS STRING) END AS in_attr FROM {events}""",
     "stage_events": """
         SELECT CAST(user_id AS STRING) AS scene_id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, CASE event_id % 4 WHEN 0 THEN 'capture' WHEN 1 THEN 'poses' WHEN 2 THEN 'splat' ELSE 'segmentation' END AS stage,
-          CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'complete' END AS status, CASE event_type WHEN 'error' THEN 'code ' || CAST(event_id % 9 AS STRING) END AS message, value AS duration_s FROM {events}""",
+          CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'complete' END AS status, CASE event_type WHEN 'error' THEN 'code ' || CAST(event_id % 9 AS STRING) END AS message, CAST(event_id % 1000 AS DOUBLE) / 8 AS duration_s FROM {events}""",
     "model_calls": """
         SELECT conv_id * 100 + turn AS call_id, 'c' || CAST(conv_id AS STRING) AS scene_id, CASE turn % 4 WHEN 0 THEN 'small-2-2025' WHEN 1 THEN 'medium-1' WHEN 2 THEN 'large-3x' ELSE 'other' END AS model,
           CAST(length(text) AS BIGINT) AS tokens_in, CAST(length(text) * 2 % 999 AS BIGINT) AS tokens_out, CASE WHEN conv_id % 9 = 0 THEN 0.5D END AS usd FROM {conversations}""",
