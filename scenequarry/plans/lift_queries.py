@@ -1 +1,212 @@
-"""Queries."""
+"""Queries of the mask lift and its parts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scenequarry.operators import camera, cloud, lift, merge
+from scenequarry.operators.stored import stored
+from scenequarry.plans.camera_queries import _PROJ
+from scenequarry.plans.registry import REGISTRY
+
+add = REGISTRY.add
+
+_SPREAD = """sa AS (SELECT scene_id, frame_ord, u + d AS u, v, min(zmin) AS zmin FROM zb, (SELECT unnest(range(-3, 4)) AS d) WHERE u + d >= 0 AND u + d < 100 GROUP BY ALL),
+sb AS (SELECT scene_id, frame_ord, u, v + d AS v, min(zmin) AS zmin FROM sa, (SELECT unnest(range(-3, 4)) AS d) WHERE v + d >= 0 AND v + d < 100 GROUP BY scene_id, frame_ord, u, v + d)"""
+_EPS = "ep AS (SELECT scene_id, greatest(0.1, 0.02 * sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2))) AS eps FROM points GROUP BY scene_id)"
+_MEMBERS = f"""{_PROJ}, {_SPREAD}, {_EPS}, se AS (SELECT pj.* FROM pj JOIN sb USING (scene_id, frame_ord, u, v) JOIN ep USING (scene_id) WHERE depth <= zmin + eps),
+mb AS (SELECT se.scene_id, mask_ord, point_idx FROM se JOIN masks m ON se.scene_id = m.scene_id AND se.frame_ord = m.frame_ord WHERE u >= m."left" AND u < m."left" + wide AND v >= m."top" AND v < m."top" + high)"""
+_KEPT = f"""{_MEMBERS}, mn AS (SELECT scene_id, mask_ord, count(*) AS n_points FROM mb GROUP BY ALL), tn AS (SELECT scene_id, count(*) AS n FROM points GROUP BY scene_id), mk AS (SELECT mn.* FROM mn JOIN tn USING (scene_id) WHERE n_points >= 1 AND n_points < floor(n * 0.45)), mm AS (SELECT mb.* FROM mb JOIN mk USING (scene_id, mask_ord))"""
+
+
+def _seen(get):
+    points, cams = get("points"), get("cameras")
+    tolerance = cloud.depth_tolerance(cloud.scene_bounds(points))
+    projected = stored(camera.project(points, cams))
+    return points, lift.visible(projected, camera.spread_foreground(camera.zbuffer(projected), cams), tolerance)
+
+
+def _members(get):
+    points, seen = _seen(get)
+    return points, lift.rectangle_membership(seen, get("masks"))
+
+
+@add("j3_rectangle_membership", f"WITH {_MEMBERS} SELECT scene_id, mask_ord, count(*) AS n, CAST(sum(point_idx % 1000003) AS BIGINT) AS id_sum FROM mb GROUP BY ALL")
+def _(get):
+    return _members(get)[1].groupBy("scene_id", "mask_ord").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
+
+
+@add("j2_pixel_membership", f"WITH {_PROJ}, {_SPREAD}, {_EPS}, se AS (SELECT pj.* FROM pj JOIN sb USING (scene_id, frame_ord, u, v) JOIN ep USING (scene_id) WHERE depth <= zmin + eps), px AS (SELECT scene_id, mask_ord, frame_ord, \"left\" + a AS u, \"top\" + b AS v FROM masks, (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(0, 12)) AS b) WHERE (a + b) % 3 <> 0) SELECT scene_id, mask_ord, count(DISTINCT point_idx) AS n FROM se JOIN px USING (scene_id, frame_ord, u, v) GROUP BY ALL")
+def _(get):
+    return lift.pixel_membership(_seen(get)[1], _mask_pixels(get)).groupBy("scene_id", "mask_ord").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mask_pixels(get):
+    wide = get("masks").select("scene_id", "mask_ord", "frame_ord", "left", "top").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return wide.where("(a + b) % 3 != 0").select("scene_id", "mask_ord", "frame_ord", (F.col("left") + F.col("a")).alias("u"), (F.col("top") + F.col("b")).alias("v"))
+
+
+@add("a37_mask_areas", "SELECT scene_id, mask_ord, count(*) AS area FROM masks, (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(0, 12)) AS b) WHERE (a + b) % 3 <> 0 GROUP BY ALL")
+def _(get):
+    return lift.mask_areas(_mask_pixels(get))
+
+
+@add("a8_background_masks", f"WITH {_KEPT} SELECT scene_id, mask_ord, n_points FROM mk")
+def _(get):
+    points, members = _members(get)
+    return lift.drop_background(members, points).select("scene_id", "mask_ord", "n_points").distinct()
+
+
+@add("j5_shared_points", f"WITH {_KEPT} SELECT p.scene_id, p.mask_ord AS a, q.mask_ord AS b, count(*) AS shared FROM mm p JOIN mm q ON p.scene_id = q.scene_id AND p.point_idx = q.point_idx AND p.mask_ord < q.mask_ord GROUP BY ALL")
+def _(get):
+    points, members = _members(get)
+    return lift.shared_points(lift.drop_background(members, points))
+
+
+@add("a9_mask_overlaps", f"WITH {_KEPT}, sh AS (SELECT p.scene_id, p.mask_ord AS a, q.mask_ord AS b, count(*) AS shared FROM mm p JOIN mm q ON p.scene_id = q.scene_id AND p.point_idx = q.point_idx AND p.mask_ord < q.mask_ord GROUP BY ALL), jc AS (SELECT sh.scene_id, a, b, shared / (x.n_points + y.n_points - shared) AS jaccard FROM sh JOIN mk x ON sh.scene_id = x.scene_id AND a = x.mask_ord JOIN mk y ON sh.scene_id = y.scene_id AND b = y.mask_ord) SELECT * FROM jc WHERE jaccard >= 0.30", "jaccard")
+def _(get):
+    points, members = _members(get)
+    return lift.overlapping_masks(stored(lift.drop_background(members, points).select("scene_id", "mask_ord", "point_idx")))
+
+
+def _tracks(get):
+    """Tracks without geometry: masks of one scene and phrase digit stand together."""
+    masks = get("masks")
+    groups = masks.select("scene_id", F.col("mask_ord").alias("node"), (F.col("mask_ord") % 33).alias("component"))
+    return masks, lift.rank_tracks(masks, groups, 30)
+
+
+_TRACKS = "bg AS (SELECT scene_id, mask_ord % 33 AS component, max(area) AS a FROM masks GROUP BY ALL), rk AS (SELECT scene_id, component, row_number() OVER (PARTITION BY scene_id ORDER BY a DESC, component) AS track FROM bg), tr AS (SELECT m.*, track FROM masks m JOIN rk ON m.scene_id = rk.scene_id AND m.mask_ord % 33 = component WHERE track <= 30)"
+
+
+@add("w12_rank_tracks", f"WITH {_TRACKS} SELECT scene_id, mask_ord, CAST(track AS INT) AS track FROM tr")
+def _(get):
+    return _tracks(get)[1]
+
+
+@add("w11_track_anchors", f"WITH {_TRACKS}, k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, track ORDER BY CASE WHEN source = 'sam' THEN 0 ELSE 1 END, area DESC, mask_ord) AS k FROM tr) SELECT scene_id, CAST(track AS INT) AS track, mask_ord, frame_name, area FROM k WHERE k = 1")
+def _(get):
+    return lift.track_anchors(*_tracks(get)).select("scene_id", "track", "anchor.mask_ord", "anchor.frame_name", "anchor.area")
+
+
+@add("a16_track_provenance", f"WITH {_TRACKS}, f AS (SELECT scene_id, track, list_slice(list_sort(list(DISTINCT frame_name) FILTER (area >= 64)), 1, 6) AS f FROM tr GROUP BY ALL), p AS (SELECT scene_id, track, coalesce(arg_max(phrase, confidence) FILTER (source = 'vlm'), '') AS phrase, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM tr GROUP BY ALL) SELECT p.scene_id, CAST(p.track AS INT) AS track, sources, array_to_string(f, ',') AS frame_ids, phrase FROM p JOIN f ON p.scene_id = f.scene_id AND p.track = f.track")
+def _(get):
+    found = lift.track_provenance(*_tracks(get))
+    return found.select("scene_id", "track", F.array_join("sources", ",").alias("sources"), F.array_join("frame_ids", ",").alias("frame_ids"), "phrase")
+
+
+@add("w13_best_mask_per_frame", f"WITH {_TRACKS}, k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, track, frame_name ORDER BY area DESC, mask_ord) AS k FROM tr WHERE area >= 64) SELECT scene_id, CAST(track AS INT) AS track, frame_name, mask_ord, area FROM k WHERE k = 1")
+def _(get):
+    return lift.best_mask_per_frame(*_tracks(get))
+
+
+@add("a17_source_funnel", f"WITH {_TRACKS}, s AS (SELECT scene_id, track, bool_or(source = 'sam') AS sam, bool_or(source = 'vlm') AS vlm FROM tr GROUP BY ALL) SELECT scene_id, count(*) FILTER (sam AND NOT vlm) AS sam_only, count(*) FILTER (vlm AND NOT sam) AS vlm_only, count(*) FILTER (sam AND vlm) AS \"both\" FROM s GROUP BY scene_id")
+def _(get):
+    return lift.source_funnel(lift.track_provenance(*_tracks(get)))
+
+
+def _tracked(get):
+    """Points dealt to five tracks a scene, for the robust statistics."""
+    return get("points").withColumn("track", (F.col("point_idx") % 5).cast("int"))
+
+
+_PT = "pt AS (SELECT *, CAST(point_idx % 5 AS INT) AS track FROM points)"
+
+
+@add("a12_percentile_boxes", f"WITH {_PT} SELECT scene_id, track, " + ", ".join(f"quantile_cont({c}, {p}) AS {n}_{c}" for n, p in (("lo", 0.05), ("hi", 0.95)) for c in "xyz") + " FROM pt GROUP BY scene_id, track", "lo_x lo_y lo_z hi_x hi_y hi_z")
+def _(get):
+    return lift.percentile_box(_tracked(get), ["scene_id", "track"])
+
+
+_MAD = ", md{i} AS (SELECT scene_id, track, median(x) AS mx, median(y) AS my, median(z) AS mz FROM {src} GROUP BY ALL), ds{i} AS (SELECT s.*, sqrt(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2)) AS r FROM {src} s JOIN md{i} USING (scene_id, track)), ma{i} AS (SELECT scene_id, track, median(r) AS mad FROM ds{i} GROUP BY ALL), kp{i} AS (SELECT scene_id, track, point_idx, x, y, z FROM ds{i} JOIN ma{i} USING (scene_id, track) WHERE r < 2 * 1.4826 * mad)"
+
+
+@add("a14_trim_outliers", f"WITH {_PT}" + _MAD.format(i=1, src="pt") + _MAD.format(i=2, src="kp1") + " SELECT scene_id, track, count(*) AS n, CAST(sum(point_idx % 1000003) AS BIGINT) AS id_sum FROM kp2 GROUP BY ALL")
+def _(get):
+    kept = lift.trim_outliers(_tracked(get).select("scene_id", "track", "point_idx", "x", "y", "z"))
+    return kept.groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
+
+
+@add("a15_sprawling_tracks", f"WITH {_PT}, s AS (SELECT scene_id, track, count(*) AS n, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) AS d FROM pt WHERE x < 1.5 + track * 0.3 AND z < 2 GROUP BY ALL) SELECT scene_id, track, n FROM s WHERE n < 16 OR d <= 3.4")
+def _(get):
+    small = _tracked(get).where("x < 1.5 + track * 0.3 AND z < 2")
+    return lift.drop_sprawling(small, 3.4).groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weiszfeld(steps: int) -> str:
+    ctes = ["w0 AS (SELECT scene_id, track, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * z) / sum(w) AS mz FROM pw GROUP BY ALL)"]
+    for i in range(steps):
+        ctes.append(f"p{i} AS (SELECT pw.scene_id, pw.track, x, y, z, w / greatest(sqrt(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2)), 1e-7) AS q FROM pw JOIN w{i} USING (scene_id, track)), w{i + 1} AS (SELECT scene_id, track, sum(q * x) / sum(q) AS mx, sum(q * y) / sum(q) AS my, sum(q * z) / sum(q) AS mz FROM p{i} GROUP BY ALL)")
+    return ", ".join(ctes)
+
+
+@add("a11_geometric_medians", f"WITH {_PT}, pw AS (SELECT *, 1 / (1 + exp(-opacity)) AS w FROM pt), {_weiszfeld(3)} SELECT scene_id, track, mx AS x, my AS y, mz AS z FROM w3", "x y z")
+def _(get):
+    from scenequarry.functions.geometry import sigmoid
+
+    return lift.geometric_median(_tracked(get).withColumn("w", sigmoid(F.col("opacity"))), ["scene_id", "track"], iterations=3)
+
+
+@add("a13_depth_mode_filter")
+def _(get):
+    masks, cams, points = get("masks"), get("cameras"), get("points")
+    tracks = masks.select("scene_id", "mask_ord", (F.col("mask_ord") % 5).cast("int").alias("track"))
+    anchors = lift.track_anchors(masks, tracks)
+    kept = lift.depth_mode_filter(_tracked(get).select("scene_id", "track", "point_idx", "x", "y", "z"), anchors, cams, cloud.depth_tolerance(cloud.scene_bounds(points)))
+    return kept.groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("a10_track_points", f"WITH {_KEPT}, {_TRACKS.replace('rk AS', 'rkk AS').replace('JOIN rk ON m.scene_id = rk.scene_id', 'JOIN rkk ON m.scene_id = rkk.scene_id')}, u AS (SELECT DISTINCT mm.scene_id, track, point_idx FROM mm JOIN tr ON mm.scene_id = tr.scene_id AND mm.mask_ord = tr.mask_ord) SELECT scene_id, CAST(track AS INT) AS track, count(*) AS n FROM u GROUP BY ALL HAVING count(*) >= 40")
+def _(get):
+    points, members = _members(get)
+    kept = lift.drop_background(members, points).select("scene_id", "mask_ord", "point_idx")
+    return lift.track_points(kept, _tracks(get)[1]).groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("j4_containing_masks")
+def _(get):
+    centroids = get("points").where("point_idx % 97 = 0").select("scene_id", F.col("point_idx").alias("cluster_id"), "x", "y", "z")
+    return lift.containing_mask(centroids, get("cameras"), get("masks"))
+
+
+@add("g11_lift_masks", None, "x y z lo_x lo_y lo_z hi_x hi_y hi_z")
+def _(get):
+    found = lift.lift_masks(get("points"), get("cameras"), get("masks"))
+    return found.select("scene_id", "id", "n_points", "anchor_area", "anchor_frame", "x", "y", "z", "lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z", F.array_join("sources", ",").alias("sources"), F.array_join("frame_ids", ",").alias("frame_ids"), "phrase")
+
+
+@add("a18_merge_clusters", None, "x y z")
+def _(get):
+    a = get("annotations")
+    clusters = a.select("scene_id", "ordinal", "id", "x", "y", "z", "lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z", F.col("size").alias("anchor_area"), F.col("label").alias("phrase"), F.array(F.when(F.col("ordinal") % 2 == 0, "sam").otherwise("vlm")).alias("sources"), F.array("brand").alias("frame_ids"))
+    near = get("points_k").withColumn("scene_id", F.substring("scene_id", 2, 20)).withColumnRenamed("id", "point_idx")
+    members = near.select("scene_id", (F.col("point_idx") % 200).alias("ordinal"), "point_idx")
+    merged = merge.merge_clusters(clusters, members, near)
+    return merged.select("scene_id", "ordinal", "id", "n_merged", "phrase", F.array_join("sources", ",").alias("sources"), "x", "y", "z")
+
+
+@add("w15_suppress_masks")
+def _(get):
+    return lift.suppress_masks(get("masks"), 0.3).select("scene_id", "mask_ord")
+
+
+@add("a36_mask_funnel", "WITH b AS (SELECT scene_id, frame_ord, CASE mask_ord % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM masks) SELECT scene_id, frame_ord, count(*) AS boxes, count(*) FILTER (outcome = 'kept') AS kept, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'duplicate') AS duplicate FROM b GROUP BY GROUPING SETS ((scene_id, frame_ord), (scene_id))")
+def _(get):
+    outcome = F.when(F.col("mask_ord") % 4 == 0, "rejected").when(F.col("mask_ord") % 4 == 1, "duplicate").otherwise("kept")
+    return lift.mask_funnel(get("masks").select("scene_id", "frame_ord", outcome.alias("outcome")))
+
+
+@add("t7_lift_fingerprints")
+def _(get):
+    clouds = get("points").groupBy("scene_id").agg(F.sum(F.xxhash64("point_idx", "x", "y", "z").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    return merge.lift_fingerprints(clouds, get("masks"), "0.05|1|0.3|0.45|40|30")
+
+
+@add("s15_evidence_manifest", "SELECT scene_id, frame_name, min(mask_ord) AS first_mask, CAST(count(*) AS BIGINT) AS n FROM masks WHERE area >= 64 GROUP BY scene_id, frame_name")
+def _(get):
+    from scenequarry.sources.documents import evidence_manifest
+
+    masks = get("masks").where("area >= 64")
+    wanted = masks.select("scene_id", F.array("frame_name").alias("frame_ids"))
+    listed = evidence_manifest(wanted, masks.select("scene_id", "frame_name"), get("cameras").select("scene_id", "frame_name"))
+    return listed.join(masks.groupBy("scene_id", "frame_name").agg(F.min("mask_ord").alias("first_mask"), F.count(F.lit(1)).alias("n")), ["scene_id", "frame_name"])
