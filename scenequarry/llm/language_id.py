@@ -51,7 +51,7 @@ def sample_texts(documents: DataFrame) -> dict[str, list[str]]:
 
 @dataclass(frozen=True)
 class Parser:
-    """Transitions of all automata: ``table[state + class]`` is (next state << 1 | a phrase ends before this character)."""
+    """Transitions of all automata: ``table[state + class]`` is (next state << 2 | phrases that end before or with this character)."""
 
     languages: list[str]
     roots: np.ndarray
@@ -89,8 +89,10 @@ class Parser:
         for step in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -step, "left"))
             got = self.table[state[:, :live] + joined[begin[:live] + step]]
-            state[:, :live] = got >> 1
-            count[:, :live] += got & 1
+            state[:, :live] = got >> 2
+            count[:, :live] += got & 3
+        # At a root the last phrase is empty: the character before it was a phrase of its own.
+        count -= state == self.roots[:, None]
         phrases = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
             phrases[:, k] = np.bincount(owner, count[k], len(texts))
@@ -151,16 +153,17 @@ def fit(samples: dict[str, list[str]]) -> Parser | None:
         root = np.full(n_classes, base, np.int64)
         for c, to in nxt[0].items():
             root[c] = base + to * n_classes
-        # A character without a transition ends the phrase and starts the next one at the root.
-        table = np.tile(root << 1 | 1, (len(nxt), 1))
+        # A character without a transition ends the phrase and begins the next; one that the language hasn't is a phrase of its own.
+        table = np.tile(root << 2 | np.where(root == base, 2, 1), (len(nxt), 1))
+        table[0] = base << 2 | 1
         for state, edges in enumerate(nxt):
             for c, to in edges.items():
-                table[state, c] = (base + to * n_classes) << 1
+                table[state, c] = (base + to * n_classes) << 2
         tables.append(table.reshape(-1))
         roots.append(base)
         logs.append(np.log2(len(codes) + 2))
         base += len(nxt) * n_classes
-    kind = np.int32 if base < 2**30 else np.int64
+    kind = np.int32 if base < 2**29 else np.int64
     return Parser(sorted(samples), np.array(roots, np.int64), np.array(logs), np.concatenate(tables).astype(kind), classes, n_classes)
 
 
