@@ -19,6 +19,8 @@ SAMPLE_DOCUMENTS = 2_000
 #: A span if the ratio, in nats, is at least this in sum and for each character on average.
 LEAST_SUM, LEAST_MEAN = 12.0, 0.5
 SMOOTHING = 0.5
+#: Weight, in observations, of the letters' own frequencies in the frequencies after a letter.
+BACKOFF = 8.0
 ALPHABET = 66  # 64 characters of tokens, the dot and the start
 
 VALUE = r"[A-Za-z0-9+/_.=-]+"
@@ -68,20 +70,24 @@ def _steps(values: DataFrame, *keys: str) -> DataFrame:
 def markov_model(random: DataFrame, ordinary: DataFrame) -> DataFrame:
     """``(a, b, llr)``: log ratio of the transition a -> b in random strings against identifiers, both ``(value)``.
 
-    Counts have ``SMOOTHING`` added; every transition over the characters of either sample and of tokens has a row, at most
+    Frequencies after a letter lean on the letters' own (``BACKOFF``), and these on equal ones (``SMOOTHING``); every transition over the characters of either sample and of tokens has a row, at most
     ``ALPHABET`` squared. Without samples all ratios are 0.
     """
     counts = _steps(random.select("value")).select("a", "b", F.lit(1).alias("r"), F.lit(0).alias("o")).union(_steps(ordinary.select("value")).select("a", "b", F.lit(0), F.lit(1)))
     counted = counts.groupBy("a", "b").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
-    letters = documents_alphabet(random.sparkSession)
+    letters = token_alphabet(random.sparkSession)
     grid = letters.withColumnRenamed("c", "a").union(random.sparkSession.createDataFrame([("",)], "a string")).join(F.broadcast(letters.withColumnRenamed("c", "b")))
     full = grid.join(F.broadcast(counted), ["a", "b"], "left").na.fill(0, ["r", "o"])
-    of_a = Window.partitionBy("a")
-    log = lambda n: F.log((F.col(n) + SMOOTHING) / (F.sum(n).over(of_a) + SMOOTHING * ALPHABET))
+    of_a, of_b, whole = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy()
+
+    def log(n: str) -> Column:
+        own = (F.sum(n).over(of_b) + SMOOTHING) / (F.sum(n).over(whole) + SMOOTHING * ALPHABET)
+        return F.log((F.col(n) + BACKOFF * own) / (F.sum(n).over(of_a) + BACKOFF))
+
     return full.select("a", "b", (log("r") - log("o")).alias("llr"))
 
 
-def documents_alphabet(spark) -> DataFrame:
+def token_alphabet(spark) -> DataFrame:
     """The characters of tokens and values, one a row."""
     signs = "".join(chr(c) for a, b in (("A", "Z"), ("a", "z"), ("0", "9")) for c in range(ord(a), ord(b) + 1)) + "+/_.=-"
     return spark.range(1).select(F.explode(F.split(F.lit(signs), "")).alias("c")).where("c != ''")
