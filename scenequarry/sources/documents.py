@@ -42,10 +42,15 @@ def manifest_stages(manifests: DataFrame) -> DataFrame:
     return manifests.select("scene_id", F.inline(each))
 
 
+def _annotations() -> Column:
+    """Annotations of a file's text, a bare array or wrapped. An object read as an array would be one empty entry, so the text decides."""
+    bare, wrapped = F.from_json("value", f"array<{ANNOTATION}>"), F.from_json("value", f"struct<annotations:array<{ANNOTATION}>>")["annotations"]
+    return F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
+
+
 def read_annotations(spark: SparkSession, glob: str) -> DataFrame:
     """Annotations of each scene in order; a bare array or an object with ``annotations``."""
-    bare, wrapped = F.from_json("value", f"array<{ANNOTATION}>"), F.from_json("value", f"struct<annotations:array<{ANNOTATION}>>")["annotations"]
-    rows = _texts(spark, glob).select("scene_id", F.posexplode(F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)).alias("ordinal", "a"))
+    rows = _texts(spark, glob).select("scene_id", F.posexplode(_annotations()).alias("ordinal", "a"))
     box = [F.get(F.get("a.bbox", F.lit(i)), F.lit(j)).alias(f"{n}_{c}") for i, n in enumerate(("lo", "hi")) for j, c in enumerate("xyz")]
     return rows.select("scene_id", "ordinal", "a.id", "a.label", *[F.get("a.centroid", F.lit(j)).alias(c) for j, c in enumerate("xyz")], *box, "a.color", "a.confidence", *[F.coalesce(f"a.{c}", F.array().cast(t)).alias(c) for c, t in (("alternatives", "array<string>"), ("cluster_gaussian_indices", "array<bigint>"), ("provenance", "array<string>"), ("frame_ids", "array<string>"))])
 
@@ -85,7 +90,7 @@ def validate_corpus(spark: SparkSession, root: str) -> DataFrame:
     bad_stage = F.array(*[F.coalesce(~F.col(f"stages.{s}.status").isin(*STAGE_STATUSES), F.lit(True)) for s in STAGES])
     why = F.when(F.col("_corrupt_record").isNotNull() | F.col("status").isNull(), "not a manifest").when(~F.col("status").isin(*STATUSES), "status").when(~valid_scene_id(F.col("scene_id")), "scene_id").when(F.array_contains(bad_stage, True), "stage status")
     manifests = m.select("scene_id", F.lit("manifest").alias("artifact"), why.alias("reason"))
-    raw = _texts(spark, f"{root}/*/annotations.json").withColumn("a", F.coalesce(F.from_json("value", f"array<{ANNOTATION}>"), F.from_json("value", f"struct<annotations:array<{ANNOTATION}>>")["annotations"]))
+    raw = _texts(spark, f"{root}/*/annotations.json").withColumn("a", _annotations())
     odd = F.exists("a", lambda x: x["id"].isNull() | x["label"].isNull() | (F.size(x["centroid"]) != 3) | (F.size(x["bbox"]) != 2) | ~F.coalesce(x["confidence"].between(0, 1), F.lit(False)))
     annotations = raw.select("scene_id", F.lit("annotations").alias("artifact"), F.when(F.col("a").isNull(), "not annotations").when(odd, "annotation fields").alias("reason"))
     c = read_captures(spark, f"{root}/*/capture.yaml")
