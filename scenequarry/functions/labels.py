@@ -90,7 +90,7 @@ def span_duration(seconds: Column, milliseconds: Column) -> Column:
 
 
 def span_family(name: Column) -> Column:
-    """What kind of work a span's name stands for."""
+    """What kind of work a span's name stands for; the name parts are fixed values, the first that fits counts."""
     has = lambda s: F.contains(name, F.lit(s))
     begins = lambda s: F.startswith(name, F.lit(s))
     return (

@@ -14,6 +14,7 @@ STAGE = "struct<status:string,duration_s:double>"
 MANIFEST = f"scene_id string, created_at timestamp, status string, stages struct<capture:{STAGE},poses:{STAGE},splat:{STAGE},segmentation:{STAGE}>, artifacts map<string,string>, stats struct<frame_count:int,object_count:int,splat_size_mb:double>, errors array<string>, _corrupt_record string"
 ANNOTATION = "struct<id:string,label:string,centroid:array<double>,bbox:array<array<double>>,color:string,confidence:double,alternatives:array<string>,cluster_gaussian_indices:array<bigint>,provenance:array<string>,frame_ids:array<string>>"
 CAMERA = "array<struct<frame:string,extrinsic:array<array<double>>,intrinsic:array<array<double>>>>"
+#: Fixed values of the documents.
 STATUSES, STAGE_STATUSES = ("queued", "processing", "ready", "failed"), ("pending", "running", "complete", "failed")
 CAMERA_MODELS = ("pinhole", "meta_rayban_gen2", "fisheye", "generic")
 STAGES = ("capture", "poses", "splat", "segmentation")
