@@ -9,9 +9,11 @@ key: to keep all chunks apart costs x + 2y errors. ``radius`` is set so that a p
 threshold lies outside with a probability under ``MISS``.
 
 Links are then confirmed on the full sets. Texts with one set are one vertex first. Within a key's
-bucket, members are first compared with the bucket's least id only; what is then still in different
-components is compared in full, in blocks of bounded size, so that no bucket is expanded into all pairs
-nor held by one task.
+bucket, members are first compared with the bucket's least id only. What is then still in different
+components is compared in full, in blocks of bounded size, and only links leave a block: no bucket is expanded
+into all pairs nor held by one task. Before that, an exact bound thins the buckets out: a shingle that no other document
+of an open bucket has can't be shared, so with p such shingles of n a document has no similarity above (n - p) / n
+to any of them, and two documents none above m / (n1 + n2 - m), m being the lesser count of the other shingles.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ _XOR = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 _ODD = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Symbols of a key. Sets of similarity J share a key of this width with probability J ** WIDTH.
 WIDTH = 4
-#: Members of a bucket that are compared with each other at once.
-BLOCK = 256
+#: Documents of a family that are compared with as many others at once.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -156,32 +158,57 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(100 * both >= percent * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, vertices: DataFrame, radius: int) -> DataFrame:
-    """Pairs within ``radius`` of one bucket in different components, from blocks of ``BLOCK`` members against blocks."""
-    counted = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
-    blocks = F.ceil(F.col("__n") / BLOCK).cast("int")
-    placed = members.join(counted, "key").withColumn("__nb", blocks).withColumn("__mine", F.pmod(F.xxhash64("id"), F.col("__nb")).cast("int"))
+def _sharable(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(id, n, common)`` for ``ids(id)``: the set's size, and how many of its shingles another of the ids has too."""
+    each = sets.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode_outer("shingles").alias("s"))
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("__c"), F.min("id").alias("id")).where("__c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("__p"))
+    size = sets.select(F.col("doc_id").alias("id"), F.size("shingles").cast("long").alias("n"))
+    return ids.join(size, "id").join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("__p", F.lit(0))).alias("common"))
+
+
+def _cross_links(families: DataFrame, vertices: DataFrame, sets: DataFrame, radius: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between different components within a family, from blocks of ``BLOCK`` documents against blocks.
+
+    ``families(family, id, component, n, common)``. A task holds the signatures and sets of two blocks; pairs
+    that could be linked by the bound and by their signatures are confirmed on the whole sets there, so that only links leave it.
+    """
+    counted = families.groupBy("family").agg(F.count(F.lit(1)).alias("__n"))
+    placed = families.join(counted, "family").withColumn("__nb", F.ceil(F.col("__n") / BLOCK).cast("int")).withColumn("__mine", F.pmod(F.xxhash64("id"), F.col("__nb")).cast("int"))
     spread = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))).select(
-        "key", F.least("__mine", "__other").alias("lo"), F.greatest("__mine", "__other").alias("hi"), "__mine", "id", "component"
+        "family", F.least("__mine", "__other").alias("lo"), F.greatest("__mine", "__other").alias("hi"), "__mine", "id", "component", "n", "common"
     )
-    spread = spread.join(vertices.select("id", "signature"), "id")
+    spread = spread.join(vertices.select("id", "signature"), "id").join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
+        frame = frame.sort_values("id", ignore_index=True)
         lo, hi = frame.lo.iloc[0], frame.hi.iloc[0]
-        left = frame[frame["__mine"] == lo]
-        right = frame[frame["__mine"] == hi]
-        x, y = (np.frombuffer(b"".join(f.signature), np.uint16).reshape(-1, POSITIONS) for f in (left, right))
-        ids, comps = right.id.to_numpy(), right.component.to_numpy()
+        left, right = np.flatnonzero(frame["__mine"] == lo), np.flatnonzero(frame["__mine"] == hi)
+        marks = np.frombuffer(b"".join(frame.signature), np.uint16).reshape(-1, POSITIONS)
+        ids, comps, sizes, commons = (frame[c].to_numpy() for c in ("id", "component", "n", "common"))
+        place = np.unique(np.concatenate(frame.shingles.to_list()), return_inverse=True)[1]
+        start = np.concatenate([[0], np.cumsum(sizes)])
+        held = np.zeros(int(place.max()) + 1, bool)
         out = []
-        for row, i, c in zip(x, left.id, left.component, strict=True):
-            near = (comps != c) & ((y != row).sum(axis=1) <= radius)
-            if lo == hi:
-                near &= ids > i
-            out += [(min(i, j), max(i, j)) for j in ids[near].tolist()]
+        for i in left.tolist():
+            most = np.minimum(commons[right], commons[i])
+            able = right[(comps[right] != comps[i]) & (100 * most >= percent * (sizes[right] + sizes[i] - most)) & ((ids[right] > ids[i]) | (lo != hi))]
+            near = able[(marks[able] != marks[i]).sum(axis=1) <= radius]
+            if len(near):
+                mine = place[start[i] : start[i + 1]]
+                held[mine] = True
+                both = np.array([np.count_nonzero(held[place[start[j] : start[j + 1]]]) for j in near.tolist()])
+                held[mine] = False
+                near = near[100 * both >= percent * (sizes[near] + sizes[i] - both)]
+                out += [(min(ids[i], j), max(ids[i], j)) for j in ids[near].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return spread.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return spread.groupBy("family", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+
+def _still_open(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    mixed = members.groupBy("key").agg(F.min("component").alias("__a"), F.max("component").alias("__b")).where("__a != __b").select("key")
+    return members.join(mixed, "key", "left_semi")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -211,10 +238,16 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     links = store(_confirm(first, sets, percent), "neardup-links")
     label = components(links)
 
-    open_keys = members.where("n > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).drop("leader", "n")
-    mixed = open_keys.groupBy("key").agg(F.min("component").alias("__a"), F.max("component").alias("__b")).where("__a != __b").select("key")
-    second = _cross_pairs(open_keys.join(mixed, "key", "left_semi"), vertices, plan.radius).join(first, ["a", "b"], "left_anti")
-    links = links.union(store(_confirm(second, sets, percent), "neardup-links"))
+    open_keys = _still_open(members.where("n > 2").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    open_keys = store(open_keys, "neardup-open")
+    sharable = store(_sharable(open_keys.select("id").distinct(), sets), "neardup-sharable")
+    able = _still_open(open_keys.join(sharable.where(100 * F.col("common") >= percent * F.col("n")), "id"))
+    able = store(able, "neardup-able")
+    # Documents that share a bucket, over any number of steps, are a family: each belongs to one.
+    least = able.groupBy("key").agg(F.min("id").alias("a"))
+    family = components(able.select("key", F.col("id").alias("b")).join(least, "key").select("a", "b"))
+    grouped = able.drop("key").distinct().join(family.withColumnRenamed("component", "family"), "id")
+    links = links.union(store(_cross_links(grouped, vertices, sets, plan.radius, percent), "neardup-links"))
 
     copies = filled.join(vertices.drop("signature"), sets_of).where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     label = components(links.union(copies))
