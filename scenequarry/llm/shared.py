@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to Python at once: texts may be long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = "256"
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,6 +46,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand few rows at once to Python: memory follows the longest texts, not the default of 10,000 rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def learnable(doc_id: Column) -> Column:
     """Rows whose labels may be learnt from: crc32 of the id as text, modulo 4, is not 2."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2
@@ -180,4 +188,4 @@ def map_slices(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.
                 yield pa.RecordBatch.from_arrays([*keep.columns[: len(columns)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]], [*columns, *made])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{head}, {schema}")
+    return small_batches(source).mapInArrow(run, f"{head}, {schema}")
