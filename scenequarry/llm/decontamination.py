@@ -22,7 +22,14 @@ BROADCAST_ROWS = 200_000
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased, nothing else; texts of ASCII only take the fast way."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def count_words(text: Column) -> Column:
+    """Words of a text in either case; null counts as none."""
+    pieces = F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.array_remove(pieces, ""))).cast("long")
 
 
 def normalised_words(text: Column) -> Column:
@@ -44,10 +51,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def window_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, begin (first word, from 0), width, items: every occurrence of a benchmark window."""
+    """doc_id, begin (its first piece, from 0), width, items: every occurrence of a benchmark window."""
     grams = store(benchmark_windows(benchmark, window), "decontamination-windows")
     table = F.broadcast(grams) if grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else grams
-    scanned = documents.select("doc_id", normalised_words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
+    # Pieces may have an empty string at either end, which no window holds. The outer form keeps the optimizer
+    # from filtering on the size of the array, which would split every text twice.
+    pieces = F.split(ascii_lower(F.col("text")), NOT_WORD)
+    scanned = documents.select("doc_id", pieces.alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
     begin = F.col("pos") - F.col("at")
     same = (F.col("word") == F.col("anchor")) & (begin >= 0) & (F.array_join(F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("width")), " ") == F.col("gram"))
     return scanned.join(table, same).select("doc_id", begin.alias("begin"), "width", "items")
@@ -70,7 +80,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     found = covered.join(named, "doc_id")
     listed = F.coalesce("__items", F.array().cast("array<string>"))
     return (
-        documents.select("doc_id", F.size(normalised_words(F.col("text"))).cast("long").alias("n_words"))
+        documents.select("doc_id", count_words(F.col("text")).alias("n_words"))
         .join(found, "doc_id", "left")
         .select(
             "doc_id", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
