@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys looked at per range, to place the bounds of ranges; any bounds give the same rows.
-SAMPLE_PER_RANGE = 50
+#: Keys looked at for each range, to place the bounds of ranges, and in all, about; any bounds give the same rows.
+SAMPLE_PER_RANGE, SAMPLE_MOST = 50, 200_000
 _HIGH = "\U0010ffff"
 
 
@@ -81,9 +81,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", rang
     parsed = pages.select(F.col("page_id").cast("long"), url_host(url).alias("host"), url_path(url).alias("path")).withColumn("hkey", host_key(F.col("host")))
     order = F.concat("hkey", F.lit("\x01"), "path", F.lit("\x01"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     keyed = parsed.select("page_id", "host", "path", F.col("hkey").alias("key"), order.alias("__order"))
-    # A bounded look at the keys: hashes of the ids pick rows, a limit bounds what the driver gets.
-    looked = keyed.orderBy(F.xxhash64("page_id", "host")).limit(n * SAMPLE_PER_RANGE).select("__order").collect()
-    sample = sorted(r[0] for r in looked)
+    # A bounded look at the keys: one of so many hashes picks rows, so each task sends its share only.
+    one_of = max(1, pages.count() // min(n * SAMPLE_PER_RANGE, SAMPLE_MOST))
+    looked = keyed.where(F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(one_of)) == 0).select("__order")
+    sample = sorted(r[0] for r in looked.limit(2 * SAMPLE_MOST).collect())
     bounds = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
     place = F.pandas_udf(lambda s: pd.Series([bisect_right(bounds, x) for x in s]), "int")
     urls = keyed.withColumn("part", place("__order")).select("part", "key", F.lit(1).alias("kind"), "path", "page_id", "host", F.lit(None).cast("string").alias("verdict"))
