@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style title head template noscript iframe noembed noframes object audio video canvas svg math datalist meta link base param select".split())
+HIDDEN = frozenset("script style title head template noscript iframe noembed noframes object audio video canvas datalist meta link base param".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr xmp menu dir".split())
 #: An opening tag closes an open element on the left, looked for up to the elements on the right.
@@ -32,23 +32,45 @@ CLOSES = {
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 P_SCOPE = frozenset("table td th caption button html object".split())
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
+#: Elements of SVG and MathML that show nothing themselves, and those with HTML inside.
+FOREIGN_HIDDEN = {"svg": frozenset("clippath defs desc filter lineargradient marker mask metadata pattern radialgradient script style symbol title".split()), "math": frozenset("annotation annotation-xml script style".split())}
+HTML_INSIDE = {"svg": frozenset("desc foreignobject title".split()), "math": frozenset("mi mn mo ms mtext".split())}
+#: Opening one of these ends an open SVG or MathML element.
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Elements nested deeper are put on this level; their text stays.
 MAX_DEPTH = 200
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+# As the tokenizer of the HTML standard has it: a quote opens a value only right after "=", elsewhere it is a character like others.
+_VALUE = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+)?+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|--!>|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:{_VALUE})?+)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+))?+)?+""")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+    """``visible``: whether its own text shows; ``space``: svg, math or none; ``attributes`` are kept for lists of options only."""
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start = tag, hidden, start
+    __slots__ = ("tag", "children", "hidden", "start", "visible", "space", "attributes")
+
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, visible: bool = True, space: str = "", attributes: dict[str, str] | None = None):
+        self.tag, self.hidden, self.start, self.visible, self.space, self.attributes = tag, hidden, start, visible, space, attributes or {}
         self.children: list[Node | str] = []
 
 
+def _style(style: str) -> dict[str, str]:
+    """display and visibility as a style attribute sets them: the last declaration holds, an important one before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub("", style).lower().split(";"):
+        name, _, value = part.partition(":")
+        if (name := name.strip()) in ("display", "visibility"):
+            body, bang, word = value.partition("!")
+            important = bool(bang) and word.strip() == "important"
+            if (important or not bang) and body.strip() and important >= found.get(name, (False, ""))[0]:
+                found[name] = important, body.strip()
+    return {k: v for k, (_, v) in found.items()}
+
+
 def build_tree(html: str) -> tuple[Node, str]:
     """The page's element tree, and its title."""
     root = Node("html")
@@ -68,7 +90,17 @@ def build_tree(html: str) -> tuple[Node, str]:
         # Text after a head that was never closed begins the body.
         if stack[-1].tag == "head" and value.strip():
             close({"head"}, set())
-        stack[-1].children.append(unescape(value))
+        put(unescape(value))
+
+    def put(value: str) -> None:
+        # In SVG only what stands in a text element is drawn.
+        at_end = stack[-1]
+        if at_end.visible and (at_end.space != "svg" or at_end.tag in HTML_INSIDE["svg"] or any(x.tag == "text" and x.space == "svg" for x in stack)):
+            at_end.children.append(value)
+
+    def foreign() -> str:
+        """svg or math where a tag is read by their rules."""
+        return "" if stack[-1].tag in HTML_INSIDE.get(stack[-1].space, ()) else stack[-1].space
 
     while at < n:
         found = _TOKEN.search(html, at)
@@ -79,7 +111,14 @@ def build_tree(html: str) -> tuple[Node, str]:
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
+            if foreign() and found[0].startswith("<![CDATA["):
+                end = html.find("]]>", found.start())
+                put(html[found.start() + 9 : end if end >= 0 else n])
+                at = end + 3 if end >= 0 else n
             continue
+        if foreign() and tag in (("br", "p") if found[1] else ENDS_FOREIGN):
+            while foreign():
+                stack.pop()
         if found[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -90,28 +129,44 @@ def build_tree(html: str) -> tuple[Node, str]:
             continue
         if tag in ("html", "head", "body") and tag != "head" and tag == "html":
             continue
+        space = foreign()
         if stack[-1].tag == "head" and tag not in HEAD_ONLY and tag != "head":
             close({"head"}, set())
-        if tag in ENDS_P:
+        if tag in ("input", "select", "textarea") and not space and any(x.tag == "select" for x in stack):
+            close({"select"}, set())
+            if tag == "select":
+                continue
+        if tag in ENDS_P and not space:
             close({"p"}, P_SCOPE)
-        if tag in CLOSES:
+        if tag in CLOSES and not space:
             close(*CLOSES[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+        if not space and tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
             stack.append(row)
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(found[3])} if found[3] else {}
-        hidden = tag in HIDDEN or "hidden" in attributes or bool(_INVISIBLE.search(unescape(attributes.get("style", ""))))
+        # Of repeated attributes the first holds.
+        named = _ATTRIBUTE.findall(found[3]) if found[3] else []
+        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in reversed(named)}
+        style = _style(unescape(attributes["style"])) if "style" in attributes else {}
+        shown = style.get("visibility")
+        space = tag if tag in ("svg", "math") else space
+        hidden = tag in (FOREIGN_HIDDEN[space] if space else HIDDEN) or "hidden" in attributes or style.get("display") == "none" or (shown == "collapse" and tag in ("tr", "thead", "tbody", "tfoot"))
+        visible = shown in ("visible", "initial") or (stack[-1].visible and shown not in ("hidden", "collapse"))
         first = attributes.get("start", "1")
-        node = Node(tag, hidden, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1)
+        node = Node(tag, hidden, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1, visible, space, attributes if tag in ("select", "option", "optgroup") else None)
         stack[-1].children.append(node)
-        if tag in RAW:
+        if space:
+            # A slash at the end of a bare value belongs to the value.
+            single = found[3].endswith("/") and not (named and named[-1][3] and found[3].endswith(named[-1][3]))
+            if not single and len(stack) < MAX_DEPTH:
+                stack.append(node)
+        elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             inner = html[at : end.start() if end else n]
             at = end.end() if end else n
             if tag == "title" and not title:
                 title = _BLANK.sub(" ", unescape(inner)).strip()
-            if not hidden:
+            if not hidden and visible:
                 node.children.append(unescape(inner) if tag == "textarea" else inner)
         elif tag not in VOID and len(stack) < MAX_DEPTH:
             stack.append(node)
@@ -202,6 +257,40 @@ def _table(node: Node, depth: int) -> list[str]:
     return out
 
 
+def _words(node: Node) -> str:
+    """All text below a node, on one line."""
+    parts, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x is node or not x.hidden:
+            todo += reversed(x.children)
+    return _BLANK.sub(" ", "".join(parts)).strip(" ")
+
+
+def _options(select: Node) -> list[str]:
+    """What a select element shows: all options and group names of a list, of a menu the chosen option (the last one marked, or the first that can be chosen)."""
+    options, todo = [], [(c, False) for c in reversed(select.children)]
+    while todo:
+        x, off = todo.pop()
+        if isinstance(x, str):
+            continue
+        if x.tag in ("option", "optgroup"):
+            options.append((x, off or "disabled" in x.attributes))
+        if x.tag != "option":
+            todo += [(c, off or (x.tag == "optgroup" and "disabled" in x.attributes)) for c in reversed(x.children)]
+    rows = select.attributes.get("size", "").strip()
+    if not ("multiple" in select.attributes or (re.fullmatch(r"\d{1,9}", rows) and int(rows) > 1)):
+        options = [(x, off) for x, off in options if x.tag == "option"]
+        options = [(x, off) for x, off in options if "selected" in x.attributes][-1:] or [(x, off) for x, off in options if not off][:1]
+        options = [(x, off) for x, off in options if select.visible]
+    else:
+        options = [(x, off) for x, off in options if not x.hidden and x.visible]
+    label = lambda x: _BLANK.sub(" ", unescape(x.attributes.get("label", ""))).strip(" ")
+    return [s for x, _ in options for s in [label(x) or (_words(x) if x.tag == "option" else "")] if s]
+
+
 def _wrap(children: list) -> Node:
     node = Node("div")
     node.children = children
@@ -228,7 +317,15 @@ def render_lines(node: Node, depth: int = 0) -> list[str]:
             _add(_table(x, depth) if x.tag == "table" else _items(x))
             out.space()
             return
-        block = x.tag in BLOCK
+        if x.tag == "select":
+            shown = _options(x)
+            if len(shown) == 1:
+                out.word(shown[0])
+            elif shown:
+                out.end()
+                _add(shown)
+            return
+        block = x.tag in BLOCK if not x.space else x.tag == "text" and x.space == "svg"
         if block:
             (out.space if x.tag in SPACED else out.end)()
         for child in x.children:

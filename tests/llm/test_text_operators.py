@@ -182,6 +182,20 @@ def test_html(html, text):
     assert html_text.render(html)[1] == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p title=Bob's>Hello <b>it's</b> fine</p>", "Hello it's fine"), ('<a href="foo"">x</a> y', "x y"), ('<p title="a>b">q</p>', "q"), ("<p a=\"b\"c='d'e=f/>z", "z"), ("a<p b='c", "a"), ("<p style='display:none' style=''>no", ""),
+        ("let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> be", "let x=2 be"), ("<svg><title>no</title>no<path/><text>Axis <tspan>one</tspan></text><text>two</text></svg>", "Axis one\ntwo"),
+        ("<svg><path d=m/><p>out", "out"), ("<svg><foreignObject><p>in</p></foreignObject></svg>after", "in\n\nafter"), ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"), ("<svg><defs><text>no</text></defs></svg>x", "x"),
+        ("<select><option>A<option selected>B<option>C</select>!", "B!"), ("<select><option disabled>no<option>first</select>", "first"), ("<select multiple><optgroup label=G><option>A<option label=L>B</select>", "G\nA\nL"), ("<select><option>A<input>x", "Ax"),
+        ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p><i style='display:none'><b style='visibility:visible'>no</b></i></div>", "yes"), ("<ol><li>a<li style='visibility:hidden'>no<li>b</ol>", "1. a\n3. b"), ("<p style='display:none;display:block'>x", "x"),
+    ],
+)
+def test_html_shows_all_visible_text(html, text):
+    assert html_text.render(html)[1] == text
+
+
 def test_html_never_fails(spark, empty):
     rng = random.Random(3)
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<!--", "-->", "<b", ">", "text ", "&amp", "<script>", "</script>", "<div>" * 300, '<a href="', "\x00"]
