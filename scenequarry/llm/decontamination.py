@@ -9,11 +9,13 @@ the same join shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenequarry.llm.shared import store
+from scenequarry.llm.shared import TEXT_HASH, store, with_text_hash
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,28 +41,28 @@ def normalised_words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """anchor, at (its place in the window, from 0), width, gram, items (who has the window, distinct)."""
-    words = benchmark.where(F.col("item_id").isNotNull()).select("item_id", normalised_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    """anchor, at (its place in the window, from 0), width, gram, items (who has the window, distinct), unnamed (whether an item without an id has it)."""
+    words = benchmark.select("item_id", normalised_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     width = F.least(F.size("w"), F.lit(window))
     begun = words.select("item_id", "w", width.alias("width"), F.explode(F.sequence(F.lit(1), F.size("w") - width + 1)).alias("i"))
     grams = begun.select("item_id", "width", F.slice("w", F.col("i"), F.col("width")).alias("g"))
     # max() over (length, word) gives the longest word and settles ties.
     anchor = F.array_max(F.transform("g", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     filed = grams.select("item_id", "width", F.array_join("g", " ").alias("gram"), anchor.alias("anchor"), (F.array_position("g", anchor) - 1).cast("int").alias("at"))
-    return filed.groupBy("anchor", "at", "width", "gram").agg(F.collect_set("item_id").alias("items"))
+    return filed.groupBy("anchor", "at", "width", "gram").agg(F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed"))
 
 
-def window_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, begin (its first piece, from 0), width, items: every occurrence of a benchmark window."""
+def window_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keys``, begin (its first piece, from 0), width, items, unnamed: every occurrence of a benchmark window."""
     grams = store(benchmark_windows(benchmark, window), "decontamination-windows")
     table = F.broadcast(grams) if grams.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else grams
     # Pieces may have an empty string at either end, which no window holds. The outer form keeps the optimizer
     # from filtering on the size of the array, which would split every text twice.
     pieces = F.split(ascii_lower(F.col("text")), NOT_WORD)
-    scanned = documents.select("doc_id", pieces.alias("w")).select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
+    scanned = documents.select(*keys, pieces.alias("w")).select(*keys, "w", F.posexplode_outer("w").alias("pos", "word"))
     begin = F.col("pos") - F.col("at")
     same = (F.col("word") == F.col("anchor")) & (begin >= 0) & (F.array_join(F.slice("w", F.greatest(begin, F.lit(0)) + 1, F.col("width")), " ") == F.col("gram"))
-    return scanned.join(table, same).select("doc_id", begin.alias("begin"), "width", "items")
+    return scanned.join(table, same).select(*keys, begin.alias("begin"), "width", "items", "unnamed")
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -68,7 +70,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
     n_hit counts words inside any occurrence of a window; an item of fewer words is one window. Null
     or wordless texts have no words and no hits, and such items no windows. Rows that repeat a doc_id share the hits of
-    all its rows; a null doc_id has none. Empty tables give no rows, or no hits; other columns are ignored.
+    all its rows; a null doc_id has none. All items without an id are one, which has no name in the hash. Empty tables give no rows, or no hits; other columns are ignored.
     """
     hits = store(window_hits(documents.where(F.col("doc_id").isNotNull()), benchmark, window).distinct(), "decontamination-hits")
     # Words covered: each window adds what lies beyond all windows that begin before it.
@@ -76,20 +78,26 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     reach = F.coalesce(F.max(F.col("begin") + F.col("width")).over(before), F.lit(0))
     end = F.col("begin") + F.col("width")
     covered = hits.withColumn("__new", F.greatest(F.lit(0), end - F.greatest(reach, F.col("begin")))).groupBy("doc_id").agg(F.sum("__new").alias("n_hit"))
-    named = hits.select("doc_id", F.explode("items").alias("item")).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("__items"))
+    items = F.sort_array(F.collect_set(F.col("item").cast("string")))
+    named = hits.select("doc_id", "unnamed", F.explode_outer("items").alias("item")).groupBy("doc_id").agg(items.alias("__items"), F.max("unnamed").cast("int").alias("__unnamed"))
     found = covered.join(named, "doc_id")
     listed = F.coalesce("__items", F.array().cast("array<string>"))
     return (
         documents.select("doc_id", count_words(F.col("text")).alias("n_words"))
         .join(found, "doc_id", "left")
         .select(
-            "doc_id", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+            "doc_id", "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"), (F.size(listed) + F.coalesce("__unnamed", F.lit(0))).cast("long").alias("n_items"),
             F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce(F.col("n_hit"), F.lit(0)) > 0).alias("contaminated"),
         )
     )
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``documents`` without a benchmark window, all columns as they are."""
-    hit = window_hits(documents.where(F.col("doc_id").isNotNull()), benchmark, window).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti").select(documents.columns)
+    """Rows of ``documents`` without a benchmark window, all columns as they are.
+
+    Each row is judged on its own, also where ids repeat or are null; items count whatever their id.
+    """
+    keys = ["doc_id", *TEXT_HASH]
+    marked = with_text_hash(documents)
+    hit = window_hits(marked, benchmark, window, keys).select(*[F.col(c).alias(f"__hit{i}") for i, c in enumerate(keys)]).distinct()
+    return marked.join(hit, [marked[c].eqNullSafe(F.col(f"__hit{i}")) for i, c in enumerate(keys)], "left_anti").drop(*TEXT_HASH)

@@ -18,7 +18,7 @@ to any of them, and two documents none above m / (n1 + n2 - m), m being the less
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from math import comb
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenequarry.llm.components import components
-from scenequarry.llm.shared import Slice, map_slices, mix, store
+from scenequarry.llm.shared import TEXT_HASH, Slice, map_slices, mix, store, with_text_hash
 
 POSITIONS, BITS, MISS = 128, 16, 1e-5
 _RNG = np.random.default_rng(771)
@@ -101,9 +101,9 @@ def _profile(k: int):
     return work
 
 
-def signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles (distinct), a 128-bit sum that identifies the set, and the signature (null for an empty set)."""
-    return map_slices(documents, ["doc_id"], "text", _profile(shingle), "n_shingles long, set_low long, set_high long, signature binary", lower=True)
+def signatures(documents: DataFrame, shingle: int = 5, keep: Iterable[str] = ()) -> DataFrame:
+    """doc_id, ``keep``, n_shingles (distinct), a 128-bit sum that identifies the set, and the signature (null for an empty set)."""
+    return map_slices(documents, ["doc_id", *keep], "text", _profile(shingle), "n_shingles long, set_low long, set_high long, signature binary", lower=True)
 
 
 def shingle_sets(documents: DataFrame, shingle: int = 5) -> DataFrame:
@@ -221,11 +221,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     ignored; an empty table gives no rows.
     """
     plan = chunk_plan(percent)
-    whole = documents.where(F.col("doc_id").isNotNull())
-    profile = store(signatures(whole, shingle), "neardup-profile")
+    whole = with_text_hash(documents.where(F.col("doc_id").isNotNull()))
+    profile = store(signatures(whole, shingle, TEXT_HASH), "neardup-profile")
     sets_of = ["set_low", "set_high", "n_shingles"]
     filled = profile.where("n_shingles > 0")
-    vertices = store(filled.groupBy(*sets_of).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "neardup-vertices")
+    # A vertex is a set, named by its hash: an id may have several. One row of it stands for its text.
+    row = ["doc_id", *TEXT_HASH]
+    vertices = filled.groupBy(*sets_of).agg(F.min(F.struct(*row)).alias("row"), F.first("signature").alias("signature"))
+    vertices = store(vertices.select(F.xxhash64(*sets_of).alias("id"), *sets_of, "row.*", "signature"), "neardup-vertices")
 
     keys = bucket_keys(vertices, plan)
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("__last"), F.count(F.lit(1)).alias("n")).where("leader != __last").drop("__last")
@@ -233,8 +236,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     first = _near(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), vertices, plan.radius)
     first = store(first, "neardup-pairs")
 
-    busy = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = store(shingle_sets(whole.select("doc_id", "text").join(busy, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "neardup-sets")
+    busy = vertices.join(members.select("id").distinct(), "id", "left_semi").select("id", *row)
+    texts = whole.select(*row, "text").join(busy, row).dropDuplicates(row)
+    sets = store(shingle_sets(texts.select(F.col("id").alias("doc_id"), "text"), shingle), "neardup-sets")
     links = store(_confirm(first, sets, percent), "neardup-links")
     label = components(links)
 
@@ -249,8 +253,11 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     grouped = able.drop("key").distinct().join(family.withColumnRenamed("component", "family"), "id")
     links = links.union(store(_cross_links(grouped, vertices, sets, plan.radius, percent), "neardup-links"))
 
-    copies = filled.join(vertices.drop("signature"), sets_of).where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    label = components(links.union(copies))
+    # From sets to documents: each set stands at its least id.
+    copies = filled.select("doc_id", *sets_of).join(vertices.select(*sets_of, F.col("doc_id").alias("a")), sets_of).where("doc_id != a").select("a", F.col("doc_id").alias("b"))
+    for end in ("a", "b"):
+        links = links.join(vertices.select(F.col("id").alias(end), F.col("doc_id").alias(f"__{end}")), end).drop(end)
+    label = components(links.select(F.col("__a").alias("a"), F.col("__b").alias("b")).union(copies))
     one = profile.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"))
     return (
         one.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")

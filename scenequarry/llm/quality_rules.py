@@ -13,13 +13,13 @@ rule without a certified cutoff rejects nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.shared import learnable, store
+from scenequarry.llm.shared import TEXT_HASH, learnable, store, with_text_hash
 from scenequarry.llm.statistics import document_statistics
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
@@ -110,25 +110,28 @@ def verdict(thresholds: dict[str, dict[str, float | None]], stratum: Column, rul
     return ~rejected
 
 
-def apply_quality_rules(documents: DataFrame, labels: DataFrame, stratum_column: str = "lang", risk: float = 0.03, error: float = 0.05) -> DataFrame:
+def apply_quality_rules(documents: DataFrame, labels: DataFrame, stratum_column: str = "lang", risk: float = 0.03, error: float = 0.05, keep: Iterable[str] = ()) -> DataFrame:
     """Statistics and verdict of every document: doc_id, counts, stratum, base_failed, kept.
 
     Null or empty texts have 0 words and fail the base rules; a null stratum is judged with the rare
     ones; repeated rows are judged each; empty tables give no rows, and without labels only the base
-    rules reject; other columns are ignored. Texts are read once; the counts are stored and reused.
+    rules reject; other columns are ignored unless named in ``keep``. Texts are read once; the counts are stored and reused.
     """
-    stats = store(document_statistics(documents, keep=[stratum_column]).withColumn("stratum", F.col(stratum_column).cast("string")), "quality-stats")
+    stats = store(document_statistics(documents, keep=[stratum_column, *keep]).withColumn("stratum", F.col(stratum_column).cast("string")), "quality-stats")
     thresholds = certify(stats, labels, risk, error)
     failed = base_failed()
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(thresholds, F.col("stratum")))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame, stratum_column: str = "lang", **options) -> DataFrame:
     """Rows of ``documents`` that the rules keep, all columns as they are.
 
-    Ids are joined back: a document goes if any row of its id is rejected. Rows with a null id are judged as an
-    id of their own.
+    Each row is judged on its own, also where ids repeat or are null: verdicts are joined back by id, stratum and
+    128 bits of the text's hash, which settle a verdict.
     """
-    judged = apply_quality_rules(documents, labels, **options)
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(rejected, documents["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    marked = with_text_hash(documents)
+    judged = apply_quality_rules(marked, labels, stratum_column, keep=TEXT_HASH, **options)
+    keys = ["doc_id", stratum_column, *TEXT_HASH]
+    rejected = judged.where(~F.col("kept")).select(*[F.col(f"`{c}`").alias(f"__bad{i}") for i, c in enumerate(keys)]).distinct()
+    same = [marked[f"`{c}`"].eqNullSafe(F.col(f"__bad{i}")) for i, c in enumerate(keys)]
+    return marked.join(rejected, same, "left_anti").drop(*TEXT_HASH)

@@ -57,6 +57,14 @@ def learnable(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != 2
 
 
+TEXT_HASH = ["__text_a", "__text_b"]
+
+
+def with_text_hash(df: DataFrame) -> DataFrame:
+    """``df`` with 128 bits that, beside its id, tell a row's text from others."""
+    return df.withColumns({TEXT_HASH[0]: F.xxhash64("text"), TEXT_HASH[1]: F.xxhash64(F.lit(771), F.col("text"))})
+
+
 def native_word_count(text: Column) -> Column:
     """Words of a text, on the JVM; null counts as none."""
     # One split: edges of white space leave empty strings, which are no words.

@@ -103,6 +103,14 @@ def test_quality_rules_on_odd_rows(odd, empty, no_labels):
     assert quality_rules.apply_quality_rules(empty, no_labels).isEmpty()
 
 
+def test_quality_rules_judge_rows_not_ids(spark, no_labels):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "too short"
+    rows = [(n, i, t, "en", "s", None, 0) for n, (i, t) in enumerate([(None, good), (None, bad), (None, None), (7, good), (7, bad), (8, bad), (9, good)])]
+    docs = spark.createDataFrame(rows, "row int, " + DOCS)
+    kept = quality_rules.keep_good(docs, no_labels)
+    assert kept.columns == docs.columns and sorted(r.row for r in kept.collect()) == [0, 3, 6]
+
+
 def _families(seed=5, families=12, each=40):
     """Groups of edited copies, many of them close to the threshold."""
     rng = random.Random(seed)
@@ -164,6 +172,14 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert near_duplicates.drop_near_duplicates(odd).count() == len(ODD)
 
 
+def test_near_duplicates_link_all_texts_of_an_id(spark):
+    one, two = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    rows = [(5, one), (5, two), (1, [*one[:-1], "x"]), (9, [*two[:-1], "y"]), (6, [f"c{i}" for i in range(80)])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_duplicates.near_duplicates(df, 5, 80).collect()}
+    assert got == {1: (1, True), 5: (1, False), 9: (1, False), 6: (6, True)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(70, 60), (None, 3), (9, 9)], "a long, b long")
     got = {r.id: r.component for r in components.components(edges).collect()}
@@ -360,6 +376,19 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.remove_contaminated(odd, table).columns == odd.columns
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    passage, other = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(12))
+    table = spark.createDataFrame([(1, passage), (None, other)], "item_id long, text string")
+    rows = [(0, None, f"so {passage}"), (1, None, "clean"), (2, None, None), (3, 4, f"so {passage}"), (4, 4, "clean"), (5, 5, f"so {other}"), (6, 6, f"{other} {passage}")]
+    docs = spark.createDataFrame(rows, "row int, doc_id long, text string")
+    left = decontamination.remove_contaminated(docs, table)
+    assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == [1, 2, 4]
+    # As the SQL twin counts: an item without an id is one, with no name in the hash.
+    got = {r.doc_id: r for r in decontamination.find_contamination(docs.where("row > 4"), table).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256) for i in (5, 6)] == [(12, 1, sha("")), (24, 2, sha("1"))]
+
+
 def test_toxicity_is_exact_search(spark):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
