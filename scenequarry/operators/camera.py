@@ -17,15 +17,19 @@ from pyspark.sql.window import Window
 from scenequarry.functions.geometry import conf_to_logit, half_even, matrix_to_quaternion, norm, rgb_to_dc, surfel_basis, surfel_scales
 
 NEAR = 1e-6
-#: Rows of a camera table that may be broadcast (about 200 bytes each).
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (as JSON, which is longer than Spark's rows) of a table that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 FRAME = ["scene_id", "frame_ord"]
 PIXEL = ["scene_id", "frame_ord", "u", "v"]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise Spark chooses the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``BROADCAST_BYTES`` bytes; otherwise Spark chooses the join.
+
+    Costs a job over ``df``: what is dear to compute is stored first.
+    """
+    size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if size[0] <= rows and size[1] <= BROADCAST_BYTES else df
 
 
 def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -47,13 +51,33 @@ def zbuffer(projected: DataFrame) -> DataFrame:
     return projected.groupBy(*PIXEL).agg(F.min("depth").alias("zmin"))
 
 
-def spread_foreground(buffer: DataFrame, cameras: DataFrame, radius: int = 3) -> DataFrame:
-    """Least depth in the (2 radius + 1)-square around each pixel of the frame, one axis after the other."""
-    sizes = small(cameras.select("scene_id", "frame_ord", "width", "height"))
-    for axis, limit in (("u", "width"), ("v", "height")):
-        moved = buffer.withColumn(axis, F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius)))
-        buffer = moved.join(sizes, FRAME).where(f"{axis} >= 0 AND {axis} < {limit}").groupBy(*PIXEL).agg(F.min("zmin").alias("zmin"))
-    return buffer
+def spread_foreground(buffer: DataFrame, cameras: DataFrame, radius: int = 3, hit_only: bool = False) -> DataFrame:
+    """Least depth in the (2 radius + 1)-square around each pixel of the frame; ``hit_only`` gives the buffer's own pixels only.
+
+    One shuffle by frame: a frame is a dense image, bounded by its camera's pixels, and the square's minimum is taken
+    along one axis after the other.
+    """
+    sized = buffer.join(small(cameras.select("scene_id", "frame_ord", "width", "height")), FRAME)
+
+    def spread(frame: pd.DataFrame) -> pd.DataFrame:
+        u, v = frame.u.to_numpy(), frame.v.to_numpy()
+        image = np.full((int(frame.width.iloc[0]), int(frame.height.iloc[0])), np.inf)
+        image[u, v] = frame.zmin
+        for axis in (0, 1):
+            source, image = image, image.copy()
+            for d in range(1, min(radius, source.shape[axis] - 1) + 1):
+                low, high = (slice(None, -d), slice(d, None)) if axis == 0 else ((slice(None), slice(None, -d)), (slice(None), slice(d, None)))
+                np.minimum(image[low], source[high], out=image[low])
+                np.minimum(image[high], source[low], out=image[high])
+        if not hit_only:
+            u, v = np.nonzero(np.isfinite(image))
+        out = pd.DataFrame({"u": u.astype(np.int32), "v": v.astype(np.int32), "zmin": image[u, v]})
+        out.insert(0, "scene_id", frame.scene_id.iloc[0])
+        out.insert(1, "frame_ord", frame.frame_ord.iloc[0])
+        return out
+
+    kinds = ", ".join(f"{c} {buffer.schema[c].dataType.simpleString()}" for c in FRAME)
+    return sized.groupBy(*FRAME).applyInPandas(spread, f"{kinds}, u int, v int, zmin double")
 
 
 def rigid_inverse(cameras: DataFrame) -> DataFrame:

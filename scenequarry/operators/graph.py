@@ -5,45 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.operators.stored import stored
+from scenequarry.operators.stored import remove_stored, stored
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``nodes(scene_id, node)`` and ``edges(scene_id, a, b)`` to ``(scene_id, node, component)``; the component is its least node.
 
-    Minimum labels with pointer jumping: rounds grow with the logarithm of the longest path. Lone nodes are their own.
+    Each round a node, and the node that it is labelled with, take the least label next to it; then each label takes its own
+    label. Rounds grow with the logarithm of the longest path. Lone nodes are their own. A finished round's table is deleted.
     """
-    both = stored(edges.select("scene_id", "a", "b").union(edges.select("scene_id", F.col("b"), F.col("a"))).where("a != b").distinct())
-    label = nodes.select("scene_id", "node", F.col("node").alias("component")).distinct()
+    both = stored(edges.select("scene_id", "a", "b").union(edges.select("scene_id", F.col("b"), F.col("a"))).where("a != b").distinct(), "component-edges")
+    label, last = nodes.select("scene_id", "node", F.col("node").alias("component")).distinct(), None
     for _ in range(max_rounds):
         near = both.join(label.select("scene_id", F.col("node").alias("b"), "component"), ["scene_id", "b"]).groupBy("scene_id", F.col("a").alias("node")).agg(F.min("component").alias("__m"))
-        low = label.join(near, ["scene_id", "node"], "left").select("scene_id", "node", F.least("component", F.coalesce("__m", "component")).alias("component"), F.col("component").alias("__old"))
-        root = label.select("scene_id", F.col("node").alias("component"), F.col("component").alias("__r"))
-        low = stored(low.join(root, ["scene_id", "component"], "left").select("scene_id", "node", F.least("component", F.coalesce("__r", "component")).alias("component"), "__old"))
-        settled = low.where("component != __old").isEmpty()
+        offers = near.join(label, ["scene_id", "node"]).select("scene_id", "__m", F.explode(F.array("node", "component")).alias("node")).groupBy("scene_id", "node").agg(F.min("__m").alias("__m"))
+        low = label.join(offers, ["scene_id", "node"], "left").select("scene_id", "node", F.least("component", F.coalesce("__m", "component")).alias("component"), F.col("component").alias("__old"))
+        root = low.select("scene_id", F.col("node").alias("component"), F.col("component").alias("__r"))
+        low = stored(low.join(root, ["scene_id", "component"], "left").select("scene_id", "node", F.least("component", F.coalesce("__r", "component")).alias("component"), "__old"), "components")
+        if last is not None:
+            remove_stored(low.sparkSession, last)
+        last = low
         label = low.select("scene_id", "node", "component")
-        if settled:
+        if low.where("component != __old").isEmpty():
             return label
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def span_forest(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def span_forest(spans: DataFrame, max_depth: int = 100_000) -> DataFrame:
     """``spans(span_id, parent_span_id, …)`` with root_id, depth and path (ids from the root, joined by ``/``).
 
-    A span whose parent isn't among the rows is a root. Rows on a cycle reach no root and are left out.
+    A span whose parent isn't among the rows is a root. Rows on a cycle reach no root and are left out. Levels are walked until
+    one is empty; a forest deeper than ``max_depth`` is an error.
     """
     known = spans.select(F.col("span_id").alias("parent_span_id")).distinct().withColumn("__known", F.lit(True))
     marked = spans.join(known, "parent_span_id", "left")
     roots = marked.where(F.col("__known").isNull()).select("span_id", F.col("span_id").alias("root_id"), F.lit(0).alias("depth"), F.col("span_id").cast("string").alias("path"))
     links = stored(marked.where("__known").select("span_id", "parent_span_id"))
     level = found = stored(roots)
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         up = level.select(F.col("span_id").alias("parent_span_id"), "root_id", "path")
         level = stored(links.join(up, "parent_span_id").select("span_id", "root_id", F.lit(depth).alias("depth"), F.concat_ws("/", "path", F.col("span_id").cast("string")).alias("path")))
         if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return spans.join(found, "span_id")
+            return spans.join(found, "span_id")
+        # Levels found so far become one table now and then, so that the union stays short.
+        found = stored(found.unionByName(level)) if depth % 16 == 0 else found.unionByName(level)
+    raise RuntimeError(f"spans are nested deeper than {max_depth}")
 
 
 def stage_subtrees(forest: DataFrame, names: DataFrame, prefix: str) -> DataFrame:
@@ -58,6 +64,6 @@ def stage_subtrees(forest: DataFrame, names: DataFrame, prefix: str) -> DataFram
 
 
 def preorder(forest: DataFrame, ordinal: Column | None = None) -> DataFrame:
-    """Rows with a pre-order sort key: each step of the path padded, so that parents come before children and siblings in order of id."""
-    key = F.array_join(F.transform(F.split("path", "/"), lambda s: F.lpad(s, 20, "0")), "/")
+    """Rows with a pre-order sort key: each step of the path padded (never cut), so that parents come before children and siblings in order of id."""
+    key = F.array_join(F.transform(F.split("path", "/"), lambda s: F.when(F.length(s) < 20, F.lpad(s, 20, "0")).otherwise(s)), "/")
     return forest.withColumn("order_key", key if ordinal is None else ordinal)

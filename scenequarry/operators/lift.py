@@ -6,6 +6,8 @@ Masks hold ``scene_id, mask_ord, frame_ord, frame_name, left, top, wide, high, a
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,12 @@ from scenequarry.operators.stored import stored
 
 TRACK = ["scene_id", "track"]
 EVIDENCE_AREA, EVIDENCE_FRAMES = 64, 6
+#: Pixels along a tile's edge, by which points meet rectangles.
+TILE = 32
+#: Memberships of a chunk of points, about; masks of a scene up to which pairs are counted in a dense table.
+CHUNK, DENSE = 1 << 18, 2_048
+#: Points of a group whose geometric median is found in one pass.
+GROUP_POINTS = 4_000_000
 
 
 def mask_areas(mask_pixels: DataFrame) -> DataFrame:
@@ -26,8 +34,8 @@ def mask_areas(mask_pixels: DataFrame) -> DataFrame:
 
 def visible(projected: DataFrame, buffer: DataFrame, tolerance: DataFrame) -> DataFrame:
     """Projected points no further than the tolerance behind the foreground of their pixel."""
-    seen = projected.join(buffer, PIXEL).join(small(tolerance.select("scene_id", "epsilon")), "scene_id")
-    return seen.where("depth <= zmin + epsilon").drop("zmin", "epsilon")
+    limit = buffer.join(small(tolerance.select("scene_id", "epsilon")), "scene_id").select(*PIXEL, (F.col("zmin") + F.col("epsilon")).alias("__limit"))
+    return projected.join(limit.hint("shuffle_hash"), PIXEL).where("depth <= __limit").drop("__limit")
 
 
 def pixel_membership(seen: DataFrame, mask_pixels: DataFrame) -> DataFrame:
@@ -36,9 +44,12 @@ def pixel_membership(seen: DataFrame, mask_pixels: DataFrame) -> DataFrame:
 
 
 def rectangle_membership(seen: DataFrame, masks: DataFrame) -> DataFrame:
-    """The same for masks that are rectangles: equi-join on the frame, then bounds."""
-    boxes = small(masks.select("scene_id", "mask_ord", "frame_ord", "left", "top", "wide", "high"))
-    inside = seen.join(boxes, FRAME).where("u >= left AND u < left + wide AND v >= top AND v < top + high")
+    """The same for masks that are rectangles: equi-join on the frame's tiles that each covers, then bounds."""
+    tiles = lambda start, size: F.sequence(F.floor(F.col(start) / TILE), F.floor((F.col(start) + F.col(size) - 1) / TILE))
+    boxes = masks.where("wide > 0 AND high > 0").select("scene_id", "mask_ord", "frame_ord", "left", "top", "wide", "high", F.explode(tiles("left", "wide")).alias("__tu"))
+    boxes = small(boxes.withColumn("__tv", F.explode(tiles("top", "high"))))
+    placed = seen.withColumns({"__tu": F.floor(F.col("u") / TILE), "__tv": F.floor(F.col("v") / TILE)})
+    inside = placed.join(boxes, [*FRAME, "__tu", "__tv"]).where("u >= left AND u < left + wide AND v >= top AND v < top + high")
     return inside.select("scene_id", "mask_ord", "point_idx")
 
 
@@ -59,10 +70,40 @@ def drop_background(members: DataFrame, points: DataFrame, most: float = 0.45, m
 
 
 def shared_points(members: DataFrame) -> DataFrame:
-    """Points that two masks have in common, by pair a < b. An inverted index: masks meet only over a point of both."""
-    one = members.select("scene_id", "point_idx", F.col("mask_ord").alias("a"))
-    two = members.select("scene_id", "point_idx", F.col("mask_ord").alias("b"))
-    return one.join(two, ["scene_id", "point_idx"]).where("a < b").groupBy("scene_id", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    """Points that two masks have in common, by pair a < b; masks meet only over a point of both.
+
+    Points are dealt to chunks by a hash, as many as a scene's memberships ask for, so that no scene is one task. A chunk
+    counts its pairs in arrays and hands on one row a pair.
+    """
+    total = members.groupBy("scene_id").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("__n"))
+    placed = members.join(small(total), "scene_id").select("scene_id", "mask_ord", "point_idx", F.pmod(F.xxhash64("point_idx"), F.col("__n")).alias("chunk"))
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        masks, m = np.unique(frame.mask_ord.to_numpy(), return_inverse=True)
+        order = np.lexsort((m, frame.point_idx.to_numpy()))
+        m, p, n = m[order], frame.point_idx.to_numpy()[order], len(masks)
+        counts, codes = (np.zeros(n * n, np.int64), None) if n <= DENSE else (None, [])
+        for d in range(1, len(p)):
+            same = np.flatnonzero(p[d:] == p[:-d])
+            if not len(same):
+                break
+            code = m[same] * n + m[same + d]
+            if counts is not None:
+                counts += np.bincount(code, minlength=n * n)
+            else:
+                codes.append(np.stack(np.unique(code, return_counts=True)))
+        if counts is not None:
+            pair = np.flatnonzero(counts)
+            shared = counts[pair]
+        else:
+            every = np.concatenate(codes, axis=1) if codes else np.zeros((2, 0), np.int64)
+            pair, back = np.unique(every[0], return_inverse=True)
+            shared = np.bincount(back, every[1], len(pair)).astype(np.int64)
+        return pd.DataFrame({"scene_id": frame.scene_id.iloc[0], "a": masks[pair // max(n, 1)], "b": masks[pair % max(n, 1)], "shared": shared})
+
+    schema = ", ".join(f"{c} {members.schema[s].dataType.simpleString()}" for c, s in (("scene_id", "scene_id"), ("a", "mask_ord"), ("b", "mask_ord")))
+    part = placed.groupBy("scene_id", "chunk").applyInPandas(count, f"{schema}, shared long")
+    return part.groupBy("scene_id", "a", "b").agg(F.sum("shared").alias("shared"))
 
 
 def overlapping_masks(members: DataFrame, least: float = 0.30) -> DataFrame:
@@ -140,14 +181,40 @@ def drop_sprawling(points: DataFrame, most: float = 2.5) -> DataFrame:
     return points.join(span.where((F.col("__n") < 16) | (F.col("__diag") <= most)).select(*TRACK), TRACK)
 
 
-def geometric_median(points: DataFrame, keys: list[str], iterations: int = 12, eps: float = 1e-7) -> DataFrame:
+def geometric_median(points: DataFrame, keys: list[str], iterations: int = 12, eps: float = 1e-7, most: int = GROUP_POINTS) -> DataFrame:
     """Weighted geometric median of each group of ``points(keys…, x, y, z, w)``, by Weiszfeld steps from the weighted mean.
 
-    A step is one aggregate against the groups' small state; groups that have settled don't move on.
+    Groups of up to ``most`` points take all steps in one pass of a task (32 bytes a point); larger ones take a step as one
+    aggregate against their small state, and those that have settled don't move on.
     """
+    sizes = stored(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    large = sizes.where(F.col("__n") > most)
+    if large.isEmpty():
+        return _settled_groups(points, keys, iterations, eps)
+    large = small(large.select(*keys))
+    return _settled_groups(points.join(large, keys, "left_anti"), keys, iterations, eps).unionByName(_settled_steps(points.join(large, keys, "left_semi"), keys, iterations, eps))
+
+
+def _settled_groups(points: DataFrame, keys: list[str], iterations: int, eps: float) -> DataFrame:
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        at, w = frame[list(XYZ)].to_numpy(float), frame.w.to_numpy(float)
+        mid = (w[:, None] * at).sum(axis=0) / max(w.sum(), 1e-9)
+        for _ in range(iterations if len(at) > 1 else 0):
+            pull = w / np.maximum(np.sqrt(((at - mid) ** 2).sum(axis=1)), eps)
+            if not pull.sum() >= 1e-12:
+                break
+            last, mid = mid, (pull[:, None] * at).sum(axis=0) / pull.sum()
+            if np.sqrt(((mid - last) ** 2).sum()) < eps:
+                break
+        return pd.DataFrame([[*frame[keys].iloc[0], *mid]], columns=[*keys, *XYZ])
+
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    return points.select(*keys, *XYZ, "w").groupBy(*keys).applyInPandas(settle, f"{kinds}, x double, y double, z double")
+
+
+def _settled_steps(points: DataFrame, keys: list[str], iterations: int, eps: float) -> DataFrame:
     weight = F.greatest(F.sum("w"), F.lit(1e-9))
-    state = points.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(c)) / weight).alias(f"m{c}") for c in XYZ], F.count(F.lit(1)).alias("__n")).withColumn("__done", F.col("__n") <= 1)
-    state = stored(state)
+    state = stored(points.groupBy(*keys).agg(*[(F.sum(F.col("w") * F.col(c)) / weight).alias(f"m{c}") for c in XYZ]).withColumn("__done", F.lit(False)))
     for _ in range(iterations):
         moving = state.where(~F.col("__done"))
         if moving.isEmpty():
@@ -158,7 +225,7 @@ def geometric_median(points: DataFrame, keys: list[str], iterations: int = 12, e
         able = ~F.col("__done") & (F.col("__s") >= 1e-12)
         new = {c: F.when(able, F.col(f"__x{c}") / F.col("__s")).otherwise(F.col(f"m{c}")) for c in XYZ}
         settled = F.col("__done") | ~F.coalesce(able, F.lit(False)) | (norm(*[new[c] - F.col(f"m{c}") for c in XYZ]) < eps)
-        state = stored(joined.select(*keys, *[F.coalesce(new[c], F.col(f"m{c}")).alias(f"m{c}") for c in XYZ], "__n", F.coalesce(settled, F.lit(True)).alias("__done")))
+        state = stored(joined.select(*keys, *[F.coalesce(new[c], F.col(f"m{c}")).alias(f"m{c}") for c in XYZ], F.coalesce(settled, F.lit(True)).alias("__done")))
     return state.select(*keys, *[F.col(f"m{c}").alias(c) for c in XYZ])
 
 
@@ -193,14 +260,14 @@ def source_funnel(objects: DataFrame) -> DataFrame:
 def lift_masks(points: DataFrame, cameras: DataFrame, masks: DataFrame, mask_pixels: DataFrame | None = None, opacity_min: float = 0.05, jaccard_min: float = 0.30, background: float = 0.45, least_track: int = 40, most: int = 30, min_votes: int = 1) -> DataFrame:
     """Objects of each scene from its cloud, cameras and masks.
 
-    Only frames with masks are projected. The projection and the membership are stored, as both are read twice.
+    Only frames with masks are projected. The projection is computed twice, which is cheaper than to store it; the membership is stored.
     Ids keep the rank by anchor area, so tracks that are dropped later leave gaps.
     """
     kept = filter_opacity(points, opacity_min)
     tolerance = stored(depth_tolerance(scene_bounds(kept)).select("scene_id", "epsilon"))
     used = cameras.join(masks.select(*FRAME).distinct(), FRAME, "left_semi")
-    projected = stored(project(kept, used))
-    seen = visible(projected, spread_foreground(zbuffer(projected), used), tolerance)
+    projected = project(kept, used)
+    seen = visible(projected, spread_foreground(zbuffer(projected), used, hit_only=True), tolerance)
     raw = pixel_membership(seen, mask_pixels) if mask_pixels is not None else rectangle_membership(seen, masks)
     members = stored(drop_background(raw, kept, background, min_votes).select("scene_id", "mask_ord", "point_idx"))
     groups = connected_components(members.select("scene_id", F.col("mask_ord").alias("node")), overlapping_masks(members, jaccard_min))
@@ -226,8 +293,6 @@ def suppress_masks(masks: DataFrame, least: float = 0.85) -> DataFrame:
     By confidence down, then ordinal. Pairs come from a join on the frame; only the greedy order over them runs in Python, and
     a frame holds tens of masks.
     """
-    import pandas as pd
-
     side = lambda s: masks.select(*FRAME, F.col("mask_ord").alias(s), F.col("confidence").alias(f"c{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("left", "top", "wide", "high")])
     wide = F.least(F.col("lefta") + F.col("widea"), F.col("leftb") + F.col("wideb")) - F.greatest("lefta", "leftb")
     high = F.least(F.col("topa") + F.col("higha"), F.col("topb") + F.col("highb")) - F.greatest("topa", "topb")

@@ -1,22 +1,49 @@
-"""Cutting lineage in iterative operators."""
+"""Tables that cut lineage: written as Parquet to the folder that all executors share, and read back.
+
+A stored table has true statistics, so that Spark broadcasts what is small by its real size; a chain of checkpoints would
+carry products of estimates from round to round.
+"""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one of our own only where none is set and all runs in one process (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _OWN:
+        own = tempfile.mkdtemp(prefix="scenequarry-")
+        atexit.register(shutil.rmtree, own, True)
+        _OWN[context.applicationId] = f"file://{own}"
+    return _OWN[context.applicationId]
+
 
-from pyspark.sql import DataFrame
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once and read it back: lineage ends there and survives a lost executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scenequarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the folder of spark.checkpoint.dir; to a temporary one only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            own = tempfile.mkdtemp(prefix="scenequarry-")
-            atexit.register(shutil.rmtree, own, True)
-            where = f"file://{own}"
-        context.setCheckpointDir(where)
-    return df.checkpoint()
+def remove_stored(spark: SparkSession, df: DataFrame | None = None) -> None:
+    """Delete a stored table that nothing will read again (a finished round's), or all that this application stored."""
+    root = f"{shared_folder(spark)}/scenequarry-{spark.sparkContext.applicationId}"
+    paths = [root] if df is None else sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -21,9 +21,9 @@ _KEPT = f"""{_MEMBERS}, mn AS (SELECT scene_id, mask_ord, count(*) AS n_points F
 
 def _seen(get):
     points, cams = get("points"), get("cameras")
-    tolerance = cloud.depth_tolerance(cloud.scene_bounds(points))
-    projected = stored(camera.project(points, cams))
-    return points, lift.visible(projected, camera.spread_foreground(camera.zbuffer(projected), cams), tolerance)
+    tolerance = stored(cloud.depth_tolerance(cloud.scene_bounds(points)))
+    projected = camera.project(points, cams)
+    return points, lift.visible(projected, camera.spread_foreground(camera.zbuffer(projected), cams, hit_only=True), tolerance)
 
 
 def _members(get):

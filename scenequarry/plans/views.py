@@ -68,10 +68,17 @@ VIEWS = {
 }
 
 
+#: Views whose rows multiply in the operators: points by cameras, neighbours or boxes.
+SPREAD = frozenset({"points", "points_k"})
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame."""
     sql = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name]).replace('"left"', "`left`").replace('"top"', "`top`")
-    return spark.sql(sql)
+    df = spark.sql(sql)
+    cores = spark.sparkContext.defaultParallelism
+    # A table of fewer files than cores may be one row group, which would be one task's work.
+    return df.repartition(cores) if name in SPREAD and len(df.inputFiles()) < cores else df
 
 
 def with_views(sql: str) -> str:

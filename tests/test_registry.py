@@ -8,7 +8,6 @@ from scenequarry.plans import oracles, registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"g3_closed_mask", "a10_track_points"}
 
 
 def _canon(v):
@@ -23,7 +22,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in oracles.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", list(oracles.oracle_sql()))
 def test_same_as_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     columns = sorted(df.columns)
