@@ -1,12 +1,14 @@
 """Toxicity by the nearest labelled examples, under exact TF-IDF cosine.
 
-A bounded sample of labelled texts is indexed: for each term, postings in order of the example, cut into
+A bounded sample of labelled texts is indexed with all its terms: for each term, postings in order of the example, cut into
 blocks of ``BLOCK`` examples, and the largest weight of each block. Bounds on a query's blocks (query weights times
 block maxima) tell which to read first, and which can't hold any of the k nearest: those are never
-read, and the k nearest are exact. The neighbours vote with their
-cosines as weights, against a prior of fixed weight, which gives a score and the examples as evidence.
+read, and the k nearest are exact. The neighbours vote with their cosines as weights, the classes weighted back to their
+shares among the labels; a logistic curve, fitted on the votes that each example gets from the others, turns the vote into a
+probability. The neighbours are the evidence.
 
-Terms are words and their beginnings of 4 to 7 bytes (stems under many endings); the vocabulary is those that set toxic examples apart.
+Terms are words and their beginnings of 4 to 7 bytes (stems under many endings), all of them. Weights are (1 + log tf) * idf * rf, with
+the relevance frequency rf of supervised term weighting (Lan et al., 2009): log2(2 + toxic / clean examples that have the term).
 """
 
 from __future__ import annotations
@@ -22,20 +24,20 @@ from pyspark.sql.window import Window
 
 from scenequarry.llm.shared import PLAIN_BREAKS, Slice, learnable, map_slices, mix, slices
 
-#: Bounds of the fit: examples of each class, and terms.
-EXAMPLES, VOCABULARY = 1_024, 4_096
+#: Bounds of the fit: examples of each class, and characters of all examples of a class.
+EXAMPLES, EXAMPLE_CHARS = 1_024, 8_000_000
 BEGINNINGS = (4, 5, 6, 7)
-#: A term is used if it marks at least this many toxic examples, with this chi-square, and if at least this
-#: part of the texts that have it (half a text more without) is toxic.
-LEAST_EXAMPLES, LEAST_CHI2, LEAST_SHARE = 3, 24.0, 0.3
 NEIGHBOURS, BLOCK = 15, 64
-#: Weight of the prior among the votes.
-PRIOR_WEIGHT = 0.5
+#: Weight of the prior among the votes, as a sum of cosines.
+PRIOR_WEIGHT = 0.02
 THRESHOLD = 0.3
+#: Bits of a term's hash; the text's place in its slice takes the others of a word.
+HASH_BITS = 48
+_HASH = np.uint64((1 << HASH_BITS) - 1)
 
 
-def terms(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all terms and the text of each: every word, and the beginnings of ``BEGINNINGS`` bytes of longer words."""
+def terms(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and count of every distinct term of each text, sorted: all words, and the beginnings of ``BEGINNINGS`` bytes of longer words."""
     hashes, docs = [s.word_hashes()], [s.doc]
     length = s.ends - s.starts
     long = np.flatnonzero(length > BEGINNINGS[0])
@@ -48,128 +50,195 @@ def terms(s: Slice) -> tuple[np.ndarray, np.ndarray]:
             longer = length[long] > j + 1
             hashes.append(mix(head[longer] * np.uint64(0x51ED270B4D2B3C1D) + np.uint64(j)))
             docs.append(s.doc[long[longer]])
-    return np.concatenate(hashes), np.concatenate(docs)
+    keys = np.sort((np.concatenate(docs).astype(np.uint64) << np.uint64(HASH_BITS)) | (np.concatenate(hashes) >> np.uint64(64 - HASH_BITS)))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return (keys[first] >> np.uint64(HASH_BITS)).astype(np.int64), keys[first] & _HASH, np.diff(np.append(first, len(keys))).astype(float)
 
 
 def _term_lists(documents: DataFrame, keep: list[str]) -> DataFrame:
     """doc_id, what is kept, and distinct terms with their counts."""
 
     def work(batch: pa.RecordBatch, s: Slice) -> dict:
-        h, doc = terms(s)
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(h)))
-        cuts = np.searchsorted(doc[first], np.arange(s.n + 1))
-        lists = [h[first][a:b].view(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return {"terms": pa.array(lists, pa.list_(pa.int64())), "times": pa.array([times[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64()))}
+        doc, h, times = terms(s)
+        cuts = np.searchsorted(doc, np.arange(s.n + 1)).astype(np.int32)
+        as_lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.astype(np.int64)))
+        return {"terms": as_lists(h), "times": as_lists(times)}
 
     return map_slices(documents, ["doc_id", *keep], "text", work, "terms array<long>, times array<long>", lower=True, breaks=PLAIN_BREAKS)
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and which range each is of."""
+    n = end - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of], of
+
+
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, inverted."""
+    """Unit TF-IDF vectors of examples, inverted: term -> (block, largest weight) entries -> postings of the entry."""
 
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    ids: np.ndarray  # example ids in order of the index
-    toxic: np.ndarray
-    weights: np.ndarray  # term, block, place in the block: its postings with gaps, a tile of BLOCK weights
-    most: np.ndarray  # largest weight by term and block
+    weight: np.ndarray  # idf * rf by term
+    unknown: float  # the same for a term of no example
+    entries: np.ndarray  # by term, where its entries begin
+    block: np.ndarray  # by entry
+    most: np.ndarray  # by entry, the largest weight of its postings
+    postings: np.ndarray  # by entry, where its postings begin
+    example: np.ndarray  # by posting
+    value: np.ndarray  # by posting
+    ids: np.ndarray  # by example
+    toxic: np.ndarray  # by example
+    vote: np.ndarray  # by example, its class's share among the labels over that among the examples
     prior: float
+    curve: tuple[float, float] = (0.0, 0.0)
 
     @staticmethod
-    def build(vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float) -> BlockMaxIndex:
-        vectors = [(e[0], e[1], *_vector(vocabulary, idf, e[2], e[3])) for e in examples]
+    def build(examples: list[tuple[int, int, np.ndarray, np.ndarray]], prior: float) -> BlockMaxIndex:
+        """From ``(id, toxic, distinct term hashes, counts)`` of each example."""
+        n, toxic = len(examples), np.array([e[1] for e in examples], float)
+        h = np.concatenate([e[2] for e in examples]) if n else np.empty(0, np.uint64)
+        times = np.concatenate([e[3] for e in examples]) if n else np.empty(0)
+        of = np.repeat(np.arange(n), [len(e[2]) for e in examples]) if n else np.empty(0, np.int64)
+        vocabulary, term = np.unique(h, return_inverse=True)
+        of_class = [max(1.0, float((toxic == k).sum())) for k in (0, 1)]
+        vote = np.where(toxic == 1, prior / of_class[1], (1 - prior) / of_class[0]) * n
+        # The classes are sampled apart: a term's frequency is weighted back to their shares.
+        share = np.stack([np.bincount(term, toxic[of] == k, len(vocabulary)) for k in (0, 1)])
+        rate = np.maximum((1 - prior) * share[0] / of_class[0] + prior * share[1] / of_class[1], 1e-9)
+        relevance = np.log2(2 + share[1] / np.maximum(1, share[0] * of_class[1] / of_class[0]))
+        weight = (np.log(np.maximum(1 / rate, 1.0)) + 1) * relevance
+        unknown = float(np.log(max(2, n)) + 1)
+        value = (1 + np.log(times)) * weight[term]
+        norm = np.sqrt(np.bincount(of, value**2, n)) if n else np.empty(0)
+        value = value / norm[of] if n else value
         # Examples of one leading term stand together, so that blocks differ and their bounds are tight.
-        vectors.sort(key=lambda v: (v[1], int(v[2][v[3].argmax()]) if len(v[2]) else -1, v[0]))
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        tiles = np.zeros((len(vocabulary), blocks, BLOCK), np.float32)
-        for d, (_, _, t, w) in enumerate(vectors):
-            tiles[t, d // BLOCK, d % BLOCK] = w
-        most = tiles.max(axis=2) if len(vocabulary) else np.zeros((0, blocks), np.float32)
-        return BlockMaxIndex(vocabulary, idf, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), tiles, most, prior if vectors else 0.0)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine with a unit vector, by cosine down, then id; and the cosines.
-
-        The two blocks of highest bound give a k-th cosine; the only other blocks read are those whose bound reaches it.
+        lead = np.full(n, -1, np.int64)
+        order = np.lexsort((value, of))
+        lead[of[order]] = term[order]
+        rank = np.lexsort(([e[0] for e in examples], lead, toxic)) if n else np.empty(0, np.int64)
+        place = np.empty(n, np.int64)
+        place[rank] = np.arange(n)
+        example = place[of]
+        order = np.lexsort((example, term))
+        term, example, value = term[order], example[order], value[order].astype(np.float32)
+        fresh = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)])) if len(term) else np.empty(0, np.int64)
+        most = np.maximum.reduceat(value, fresh) if len(term) else value
+        return BlockMaxIndex(
+            vocabulary, weight, unknown, np.searchsorted(term[fresh], np.arange(len(vocabulary) + 1)), (example[fresh] // BLOCK).astype(np.int32), most, np.append(fresh, len(term)),
+            example.astype(np.int32), value, np.array([examples[i][0] for i in rank], np.int64), toxic[rank], vote[rank], prior if n else 0.0,
+        )
+
+    def vector(self, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms (places in the vocabulary) and their weights in the unit vector of a text's distinct terms; unknown ones count in its length."""
+        if not len(h) or not len(self.vocabulary):
+            return np.empty(0, np.int64), np.empty(0)
+        place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = self.vocabulary[place] == h
+        w = (1 + np.log(times)) * np.where(known, self.weight[place], self.unknown)
+        return place[known], w[known] / np.sqrt((w**2).sum())
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest positive cosine with a vector, by cosine down, then id (``but`` one); and the cosines.
+
+        The blocks of highest bound give a k-th cosine; the only other blocks read are those whose bound reaches it.
         """
-        bound = w @ self.most[t]
+        if not len(t):
+            return np.empty(0, np.int64), np.empty(0)
+        entry, of = _ranges(self.entries[t], self.entries[t + 1])
+        block, weight = self.block[entry], w[of]
+        bound = np.bincount(block, weight * self.most[entry], int(self.block.max()) + 1)
         order = np.argsort(-bound, kind="stable")
-        docs, cos = self._read(t, w, order[:2], k)
+        first, rest = order[:2], order[2:]
+        docs, cos = self._read(entry, block, weight, first, k, but)
         floor = cos[-1] - 1e-6 if len(cos) == k else 0.0
-        rest = order[2:]
         rest = rest[(bound[rest] > 0) & (bound[rest] >= floor)]
         if len(rest):
-            more, other = self._read(t, w, rest, k)
+            more, other = self._read(entry, block, weight, rest, k, but)
             docs, cos = np.concatenate([docs, more]), np.concatenate([cos, other])
             best = np.lexsort((self.ids[docs], -cos))[:k]
             docs, cos = docs[best], cos[best]
         return docs, cos
 
-    def _read(self, t: np.ndarray, w: np.ndarray, blocks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = np.tensordot(w, self.weights[t[:, None], blocks[None, :]], axes=1).round(9)
-        block, place = np.nonzero(score > 0)
-        docs, cos = blocks[block] * BLOCK + place, score[block, place]
-        best = np.lexsort((self.ids[docs], -cos))[:k]
-        return docs[best], cos[best]
+    def _read(self, entry: np.ndarray, block: np.ndarray, weight: np.ndarray, blocks: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        chosen = np.zeros(int(self.block.max()) + 1, bool)
+        chosen[blocks] = True
+        inside = chosen[block]
+        at, of = _ranges(self.postings[entry[inside]], self.postings[entry[inside] + 1])
+        score = np.bincount(self.example[at], weight[inside][of] * self.value[at], len(self.ids)).round(9)
+        if but >= 0:
+            score[but] = 0
+        docs = np.flatnonzero(score > 0)
+        if len(docs) > k:
+            docs = docs[score[docs] >= np.partition(score[docs], -k)[-k]]
+        best = np.lexsort((self.ids[docs], -score[docs]))[:k]
+        return docs[best], score[docs][best]
 
-    def judge(self, hashes: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
-        """Score and evidence (ids of neighbours) of a text's terms, repeats counted."""
-        t, w = _vector(self.vocabulary, self.idf, hashes, times)
-        if not len(t):
-            return self.prior * PRIOR_WEIGHT, []
-        docs, cos = self.nearest(t, w)
-        return float((cos @ self.toxic[docs] + PRIOR_WEIGHT * self.prior) / (cos.sum() + PRIOR_WEIGHT)), self.ids[docs].tolist()
+    def votes(self, docs: np.ndarray, cos: np.ndarray) -> float:
+        """Share of toxic votes, by cosine and class, with the prior's."""
+        w = cos * self.vote[docs]
+        return float((w @ self.toxic[docs] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
+    def judge(self, h: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
+        """Score and evidence (ids of neighbours) of a text's distinct terms."""
+        docs, cos = self.nearest(*self.vector(h, times))
+        share = self.votes(docs, cos)
+        a, b = self.curve
+        return float(1 / (1 + np.exp(-(a * share + b)))) if len(self.ids) else 0.0, self.ids[docs].tolist()
 
-def _vector(vocabulary: np.ndarray, idf: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the vocabulary and unit weights, (1 + log tf) * idf, of distinct terms."""
-    if not len(vocabulary) or not len(hashes):
-        return np.empty(0, np.int64), np.empty(0)
-    place = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    there = vocabulary[place] == hashes
-    t, w = place[there], (1 + np.log(times[there])) * idf[place[there]]
-    return t, w / np.sqrt((w**2).sum()) if len(w) else w
+    def calibrated(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
+        """With the logistic curve of the toxic share over each example's vote by the others (classes weighted to their shares)."""
+        at = {d: i for i, d in enumerate(self.ids.tolist())}
+        x = np.array([self.votes(*self.nearest(*self.vector(e[2], e[3]), but=at[e[0]])) for e in examples])
+        y, w = np.array([e[1] for e in examples], float), self.vote[[at[e[0]] for e in examples]] if examples else np.empty(0)
+        beta = np.array([0.0, np.log((self.prior + 1e-3) / (1 - self.prior + 1e-3))])
+        design = np.stack([x, np.ones_like(x)], axis=1) if len(x) else np.zeros((0, 2))
+        # Newton steps of a logistic regression, held by a weak ridge on the slope.
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+            slope = design.T @ (w * (y - p)) - np.array([0.01 * beta[0], 0.0])
+            curvature = (design * (w * p * (1 - p))[:, None]).T @ design + np.diag([0.01, 1e-6])
+            step = np.clip(np.linalg.solve(curvature, slope), -4, 4)
+            beta = beta + step
+            if np.abs(step).max() < 1e-9:
+                break
+        return BlockMaxIndex(**{**self.__dict__, "curve": (max(0.0, float(beta[0])), float(beta[1]))})
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> BlockMaxIndex:
-    """Index of a sample: by class, the ``EXAMPLES`` labelled ids that come first by a hash, from the learnable rows."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    shares = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
-    prior = shares.get(1, 0) / max(1, sum(shares.values()))
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = marked.withColumn("__i", nth).where(F.col("__i") <= EXAMPLES).select("doc_id", F.col("toxic").alias("__toxic"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    rows = _term_lists(texts, ["__toxic"]).toArrow()
+def sample_examples(documents: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, int, np.ndarray, np.ndarray]], float]:
+    """Terms of the sampled examples, and the toxic share among the labels.
+
+    Of each class up to ``EXAMPLES`` learnable ids that come first by a hash, as long as their texts have ``EXAMPLE_CHARS`` characters in sum.
+    A threshold on the hash keeps all but about twice as many from the ranking.
+    """
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
+    counts = {r["__toxic"]: r["count"] for r in marked.groupBy("__toxic").count().collect()}
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
+    hashed = F.xxhash64("doc_id")
+    part = lambda n: F.shiftrightunsigned(hashed, 33) < int(2**31 * min(1.0, 2 * EXAMPLES / max(1, n)))
+    near = marked.where(F.when(F.col("__toxic") == 1, part(counts.get(1, 0))).otherwise(part(sum(counts.values()) - counts.get(1, 0))))
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(near), "doc_id").groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("__toxic").orderBy(hashed, "doc_id")
+    ranked = texts.withColumns({"__i": F.row_number().over(order), "__chars": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = _term_lists(ranked.where((F.col("__i") <= EXAMPLES) & ((F.col("__chars") <= EXAMPLE_CHARS) | (F.col("__i") == 1))), ["__toxic"]).toArrow()
     columns = [rows.column(c).combine_chunks() if rows.num_rows else [] for c in ("terms", "times")]
     lists = [(h.values.to_numpy().view(np.uint64), t.values.to_numpy().astype(float)) for h, t in zip(*columns, strict=True)]
-    examples = [(d, x, h, t) for d, x, (h, t) in zip(rows.column("doc_id").to_pylist(), rows.column("__toxic").to_pylist(), lists, strict=True)]
-    if not examples:
-        return BlockMaxIndex.build(np.empty(0, np.uint64), np.empty(0), [], prior)
-    n = np.array([max(1, sum(e[1] == k for e in examples)) for k in (0, 1)], float)
-    every, of = np.concatenate([e[2] for e in examples]), np.concatenate([np.full(len(e[2]), e[1]) for e in examples])
-    vocabulary, back = np.unique(every, return_inverse=True)
-    df = np.stack([np.bincount(back, of == k, len(vocabulary)) for k in (0, 1)])
-    share = df / n[:, None]
-    overall = df.sum(axis=0) / n.sum()
-    chi2 = (share[1] - share[0]) ** 2 / np.maximum(overall * (1 - overall) * (1 / n[0] + 1 / n[1]), 1e-12)
-    toxic_share = prior * share[1] / np.maximum(prior * share[1] + (1 - prior) * (df[0] + 0.5) / n[0], 1e-12)
-    useful = np.flatnonzero((toxic_share >= LEAST_SHARE) & (df[1] >= min(LEAST_EXAMPLES, n[1])) & (chi2 >= LEAST_CHI2))
-    useful = np.sort(useful[np.argsort(-chi2[useful], kind="stable")[:VOCABULARY]])
-    # The classes are sampled apart: document frequencies are weighted back to their shares.
-    rate = np.maximum((1 - prior) * share[0] + prior * share[1], 1e-6)
-    return BlockMaxIndex.build(vocabulary[useful], np.log(1 / rate[useful]) + 1, examples, prior)
+    made = zip(rows.column("doc_id").to_pylist(), rows.column("__toxic").to_pylist(), lists, strict=True)
+    return [(d, int(x == 1), h, t) for d, x, (h, t) in sorted(made, key=lambda e: e[0]) if len(h)], prior
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> BlockMaxIndex:
+    """The calibrated index of a bounded sample of labelled rows."""
+    examples, prior = sample_examples(documents, labels)
+    return BlockMaxIndex.build(examples, prior).calibrated(examples)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the neighbours) for every row of ``documents``.
 
     Learns from labelled rows with crc32(doc_id) mod 4 other than 2 only; the text is the only input. An
-    id labelled both ways counts as toxic. Texts without a known term (null and empty ones too) get half the prior's weight and
-    no evidence. Ties of cosine go to the smaller example id. Repeated rows are scored each; empty tables give
+    id labelled both ways counts as toxic; of an id's texts the least is the example. Texts without a known term (null and empty ones too)
+    get the curve's value at the prior and no evidence. Ties of cosine go to the smaller example id. Repeated rows are scored each; empty tables give
     no rows; without labels all scores are 0; other columns are ignored.
     """
     index = fit(documents, labels)
@@ -181,18 +250,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
         model = shared.value
         for batch in batches:
             for i, j, s in slices(batch.column(2), True, PLAIN_BREAKS):
-                h, doc = terms(s)
-                if len(model.vocabulary):
-                    place = np.minimum(np.searchsorted(model.vocabulary, h), len(model.vocabulary) - 1)
-                    known = model.vocabulary[place] == h
-                    h, doc = h[known], doc[known]
-                else:
-                    h, doc = h[:0], doc[:0]
-                order = np.argsort(doc, kind="stable")
-                cuts = np.searchsorted(doc[order], np.arange(s.n + 1))
+                doc, h, times = terms(s)
+                cuts = np.searchsorted(doc, np.arange(s.n + 1))
                 scores, evidence = [], []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    score, ids = model.judge(*np.unique(h[order[a:b]], return_counts=True))
+                    score, ids = model.judge(h[a:b], times[a:b])
                     scores.append(score)
                     evidence.append(ids)
                 part = batch.slice(i, j - i)
