@@ -1,10 +1,13 @@
 """Secret scans with built-in functions only.
 
-Fixed patterns give the base spans. Beyond them, long tokens are compared under two character Markov
-models, one of random strings and one of ordinary identifiers: a token whose log-likelihood ratio is
-clearly on the side of random strings is one more span. Samples are labelled by the patterns: values of base spans are
-random strings; long words of letters only are ordinary identifiers, from about ``SAMPLE_DOCUMENTS``
-documents picked by a hash of the id (a bound on the fit; counting and scoring cover all texts).
+Fixed patterns give the base spans. Beyond them, long tokens are compared under character Markov models of random strings and one
+of ordinary identifiers: a token whose log-likelihood ratio is clearly on the side of random strings is one more span.
+
+Random strings are modelled for each ``FAMILIES`` alphabet; a token is held against the narrowest that spells it. Their labelled samples
+are the values of base spans and digests, which are random by construction, written in the alphabet. Ordinary
+identifiers are words of a bounded sample of documents, three at a time, spelled as programs and paths spell them. Half of the
+identifiers train the model; the ratio that all but ``FALSE_RATE`` of the other half stay below is the cutoff. A model is a small array
+(``SIDE`` squared numbers a family), so that a token is scored in one pass over its characters.
 """
 
 from __future__ import annotations
@@ -15,21 +18,37 @@ from pyspark.sql.window import Window
 
 from scenequarry.llm.shared import store
 
-SAMPLE_DOCUMENTS = 2_000
-#: A span if the ratio, in nats, is at least this in sum and for each character on average.
-LEAST_SUM, LEAST_MEAN = 12.0, 0.5
+#: Bound of the fit, about: documents that identifiers are taken from. Counting and scoring cover all texts.
+SAMPLE_DOCUMENTS = 500
+#: Part of ordinary identifiers that may lie above the cutoff. A span's ratio, in nats, is at least the cutoff for each character on average, and this in sum.
+FALSE_RATE, LEAST_SUM = 0.001, 10.0
 SMOOTHING = 0.5
 #: Weight, in observations, of the letters' own frequencies in the frequencies after a letter.
 BACKOFF = 8.0
-ALPHABET = 66  # 64 characters of tokens, the dot and the start
+#: Alphabets of random strings, narrow ones first: the pattern of tokens, and the characters that digests are written in.
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FAMILIES = (
+    ("upper_hex", "^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    ("base32", "^[A-Z2-7]+=*$", _UPPER + "234567"),
+    ("lower", "^[a-z0-9]+$", _DIGITS + _LOWER),
+    ("upper", "^[A-Z0-9]+$", _DIGITS + _UPPER),
+    ("base62", "^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
+    ("base64", "", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64_url", "^[A-Za-z0-9_=-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
+)
+BASE64 = _UPPER + _LOWER + _DIGITS + "+/"
+#: Characters of tokens lie from "+" to "z": places 1 to SIDE - 1; place 0 is the start.
+FIRST, SIDE = ord("+") - 1, ord("z") - ord("+") + 2
+PIECE = 256
 
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(""" + VALUE + ")"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = r"[A-Za-z_]{12,}"
 KINDS = ("assign", "access", "hex", "markov")
+#: Code points of a block, in which spans are cut out.
+BLOCK = 4096
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -61,52 +80,114 @@ def _spans(documents: DataFrame) -> DataFrame:
     return placed.where((F.col("kind") != "assign") | (F.length("value") >= 12)).select("doc_id", "text_hash", "kind", (F.col("end") - F.col("width")).alias("begin"), "end", "value")
 
 
+def family(token: Column) -> Column:
+    """Place in ``FAMILIES`` of the narrowest alphabet that spells the token, base64 (of either kind) otherwise."""
+    last = [n for n, _, _ in FAMILIES].index("base64")
+    choice = None
+    for i, (_, pattern, _) in enumerate(FAMILIES):
+        if pattern:
+            choice = F.when(token.rlike(pattern), i) if choice is None else choice.when(token.rlike(pattern), i)
+    return choice.otherwise(last)
+
+
 def _steps(values: DataFrame, *keys: str) -> DataFrame:
-    """A row for each character of ``value`` with the one before it (empty at the start)."""
-    chars = F.split("value", "")
-    return values.select(*keys, F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), chars).alias("a"), chars.alias("b"))).alias("s")).select(*keys, "s.a", "s.b").where(F.col("b").isNotNull() & (F.col("b") != ""))
+    """``keys``, a, b: a row for each character of ``value`` (its place) and the one before it (0 at the start). Long values go in pieces, so that no array is long."""
+    each = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c")).alias("b"))
+    return _pieces(values, *keys).select(*keys, F.explode(each).alias("s")).select(*keys, "s.a", "s.b").where(f"a BETWEEN 0 AND {SIDE - 1} AND b BETWEEN 1 AND {SIDE - 1}")
+
+
+def _pieces(values: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, c: places of the characters of each piece of ``value``, with the next piece's first one; the first piece begins with 0."""
+    pattern = F.lit(rf"(?s)(.{{1,{PIECE}}})(?=(.?))")
+    pieces = F.arrays_zip(F.regexp_extract_all("value", pattern, 1).alias("piece"), F.regexp_extract_all("value", pattern, 2).alias("next"))
+    cut = values.select(*keys, F.posexplode(pieces).alias("__p", "__x"))
+    chars = F.transform(F.filter(F.split(F.concat("__x.piece", "__x.next"), ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
+    return cut.select(*keys, F.when(F.col("__p") == 0, F.concat(F.array(F.lit(0)), chars)).otherwise(chars).alias("c"))
+
+
+def identifiers(documents: DataFrame) -> DataFrame:
+    """``(value, held)``: ordinary identifiers from about ``SAMPLE_DOCUMENTS`` texts picked by a hash, each once; ``held`` ones are kept from training."""
+    rows = documents.where(F.col("text").isNotNull()).count()
+    text_hash = F.xxhash64("text")
+    picked = documents.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64(text_hash, F.lit("sample")), F.lit(max(1, rows // SAMPLE_DOCUMENTS))) == 0)
+    words = picked.groupBy(text_hash.alias("__h")).agg(F.min("text").alias("text")).select("__h", F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w).between(1, 40)).alias("w"))
+    # Three words at a time; the n-th three of a text are spelled in the n-th way.
+    threes = words.where(F.size("w") >= 3).select("__h", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 3) - 1)).alias("i"))
+    threes = threes.select("i", F.slice("w", (F.col("i") * 3 + 1).cast("int"), 3).alias("w"))
+    joined = lambda glue: F.array_join("w", glue)
+    title = F.array_join(F.transform("w", lambda w: F.initcap(w)), "")
+    camel = F.concat(F.lower(F.substring(title, 1, 1)), F.substring(title, 2, 200))
+    number = F.pmod(F.col("i") * 37, F.lit(1000)).cast("string")
+    ways = [F.lower(joined("_")), F.upper(joined("_")), F.lower(joined("-")), F.concat(F.lit("/"), joined("/")), camel, title, F.lower(joined("")), F.upper(joined("")), F.concat(F.lower(joined("_")), F.lit("_"), number), F.concat(camel, number), F.concat(joined("/"), F.lit("/"), number), joined("")]
+    spelled = F.element_at(F.array(*ways), (F.pmod(F.col("i"), F.lit(len(ways))) + 1).cast("int"))
+    return threes.select(spelled.alias("value"), (F.pmod(F.floor(F.col("i") / len(ways)), F.lit(2)) == 1).alias("held")).distinct()
+
+
+def digests(seeds: DataFrame) -> DataFrame:
+    """``(family, value)``: digests of ``seeds(value)``, written in each alphabet."""
+    text = F.translate(F.base64(F.unhex(F.sha2(F.col("value").cast("binary"), 256))), "=", "")
+    each = F.array(*[F.struct(F.lit(i).alias("family"), F.translate(text, BASE64, "".join(letters[k % len(letters)] for k in range(64))).alias("value")) for i, (_, _, letters) in enumerate(FAMILIES)])
+    return seeds.select(F.inline(each))
 
 
 def markov_model(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """``(a, b, llr)``: log ratio of the transition a -> b in random strings against identifiers, both ``(value)``.
+    """``(family, a, b, llr)``: log ratio of the transition a -> b in random strings of a family, ``random(family, value)``, against identifiers, ``ordinary(value)``.
 
-    Frequencies after a letter lean on the letters' own (``BACKOFF``), and these on equal ones (``SMOOTHING``); every transition over the characters of either sample and of tokens has a row, at most
-    ``ALPHABET`` squared. Without samples all ratios are 0.
+    Frequencies after a letter lean on the letters' own (``BACKOFF``), and these on equal ones over the alphabet (``SMOOTHING``); every
+    transition has a row, ``SIDE`` squared a family. Without samples all ratios of a family are 0.
     """
-    counts = _steps(random.select("value")).select("a", "b", F.lit(1).alias("r"), F.lit(0).alias("o")).union(_steps(ordinary.select("value")).select("a", "b", F.lit(0), F.lit(1)))
-    counted = counts.groupBy("a", "b").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
-    letters = token_alphabet(random.sparkSession)
-    grid = letters.withColumnRenamed("c", "a").union(random.sparkSession.createDataFrame([("",)], "a string")).join(F.broadcast(letters.withColumnRenamed("c", "b")))
-    full = grid.join(F.broadcast(counted), ["a", "b"], "left").na.fill(0, ["r", "o"])
-    of_a, of_b, whole = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy()
-
-    def log(n: str) -> Column:
-        own = (F.sum(n).over(of_b) + SMOOTHING) / (F.sum(n).over(whole) + SMOOTHING * ALPHABET)
-        return F.log((F.col(n) + BACKOFF * own) / (F.sum(n).over(of_a) + BACKOFF))
-
-    return full.select("a", "b", (log("r") - log("o")).alias("llr"))
-
-
-def token_alphabet(spark) -> DataFrame:
-    """The characters of tokens and values, one a row."""
-    signs = "".join(chr(c) for a, b in (("A", "Z"), ("a", "z"), ("0", "9")) for c in range(ord(a), ord(b) + 1)) + "+/_.=-"
-    return spark.range(1).select(F.explode(F.split(F.lit(signs), "")).alias("c")).where("c != ''")
+    spark = random.sparkSession
+    none = len(FAMILIES)
+    counted = _steps(random.select("family", "value"), "family").union(_steps(ordinary.select(F.lit(none).alias("family"), "value"), "family")).groupBy("family", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range((none + 1) * SIDE * SIDE).select((F.col("id") / (SIDE * SIDE)).cast("int").alias("family"), F.pmod((F.col("id") / SIDE).cast("int"), F.lit(SIDE)).alias("a"), F.pmod("id", F.lit(SIDE)).cast("int").alias("b"))
+    full = grid.where("b > 0").join(counted, ["family", "a", "b"], "left").na.fill(0, ["n"])
+    of_a, of_b, whole = Window.partitionBy("family", "a"), Window.partitionBy("family", "b"), Window.partitionBy("family")
+    own = (F.sum("n").over(of_b) + SMOOTHING) / (F.sum("n").over(whole) + SMOOTHING * (SIDE - 1))
+    logs = full.select("family", "a", "b", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
+    ordinary_logs = logs.where(F.col("family") == none).select("a", "b", F.col("p").alias("q"))
+    return logs.where(F.col("family") < none).join(F.broadcast(ordinary_logs), ["a", "b"]).select("family", "a", "b", (F.col("p") - F.col("q")).alias("llr"))
+
+
+def ratio(model: Column, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, llr: the summed ratio of each of ``tokens(keys…, value)`` under ``model``, the array of all families' ratios by family, a and b.
+
+    Long tokens go in pieces keyed by ``keys``, never by their text: linear in the token, with short arrays.
+    """
+    cut = _pieces(tokens.select(*keys, (family(F.col("value")) * (SIDE * SIDE)).alias("__f"), "value"), *keys, "__f")
+    steps = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: F.get(model, F.col("__f") + a * SIDE + b))
+    return cut.withColumn("__s", F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))).groupBy(*keys).agg(F.sum("__s").alias("llr"))
+
+
+def fit(base: DataFrame, documents: DataFrame) -> tuple[Column, float]:
+    """The models as one array literal (``len(FAMILIES)`` times ``SIDE`` squared numbers, whatever the input), and the cutoff by character."""
+    ordinary = store(identifiers(documents), "secret-identifiers")
+    seeds = ordinary.select(F.concat(F.lit("seed "), F.col("value")).alias("value"))
+    values = base.select(family(F.col("value")).alias("family"), "value").where(F.length("value") >= 12)
+    table = markov_model(digests(seeds).union(values), ordinary.where("NOT held")).select("family", "a", "b", "llr").collect()
+    numbers = ["0"] * (len(FAMILIES) * SIDE * SIDE)
+    for r in table:
+        numbers[(r["family"] * SIDE + r["a"]) * SIDE + r["b"]] = f"{r['llr']:.4f}"
+    model = F.split(F.lit(",".join(numbers)), ",").cast("array<double>")
+    held = ordinary.where(F.col("held") & (F.length("value") >= 20)).select(F.xxhash64("value").alias("id"), "value", F.length("value").alias("n"))
+    mean = ratio(model, held, ["id", "n"]).agg(F.percentile_approx(F.col("llr") / F.col("n"), 1 - FALSE_RATE, 100_000)).first()[0]
+    return model, max(0.0, mean if mean is not None else 0.0)
 
 
 def scan_spans(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, kind, begin, end, value, llr: all spans, base kinds (llr null) and ``markov``."""
-    spark = documents.sparkSession
     spans = store(_spans(documents), "secret-spans")
-    base, tokens = spans.where("kind != 'token'"), spans.where("kind = 'token'").alias("t")
-    rows = documents.select("doc_id").count()
-    pick = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(max(1, rows // SAMPLE_DOCUMENTS))) == 0
-    ordinary = documents.where(pick).select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(IDENTIFIER), 0)).alias("value"))
-    model = store(markov_model(base, ordinary), "secret-model")
-    over = base.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("begin").alias("__b"), F.col("end").alias("__e"))
-    free = tokens.join(over, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h")) & (F.col("begin") < F.col("__e")) & (F.col("__b") < F.col("end")), "left_anti")
-    scores = _steps(free.select("value").distinct(), "value").join(F.broadcast(model), ["a", "b"]).groupBy("value").agg(F.sum("llr").alias("llr"))
-    scored = free.join(scores, "value").where((F.col("llr") >= LEAST_SUM) & (F.col("llr") >= LEAST_MEAN * F.length("value")))
-    columns = ["doc_id", "text_hash", "kind", "begin", "end", "value", "llr"]
+    base = spans.where("kind != 'token'")
+    model, cutoff = fit(base, documents)
+    # A token is free if no base span that begins before its end reaches beyond its begin.
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("begin")
+    reach = F.max(F.when(F.col("kind") != "token", F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    later = F.min(F.when(F.col("kind") != "token", F.col("begin"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+    free = spans.withColumns({"__reach": reach, "__later": later}).where("kind = 'token' AND coalesce(__reach <= begin, true) AND coalesce(__later >= end, true)").drop("__reach", "__later")
+    keys = ["doc_id", "text_hash", "begin", "end"]
+    scores = ratio(model, free, keys).where((F.col("llr") >= LEAST_SUM) & (F.col("llr") >= F.lit(cutoff) * (F.col("end") - F.col("begin"))))
+    columns = [*keys[:2], "kind", *keys[2:], "value", "llr"]
+    scored = scores.select(*[F.col(k).alias(f"__{k}") for k in keys], "llr")
+    scored = free.join(scored, [free[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
     return base.withColumn("llr", F.lit(None).cast("double")).select(columns).union(scored.withColumn("kind", F.lit("markov")).select(columns))
 
 
@@ -136,17 +217,38 @@ def find_secrets(documents: DataFrame) -> DataFrame:
 
 
 def redact_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``documents`` with every span (overlapping ones together) replaced by ``mark``; other columns as they are."""
-    listed = _listed(scan_spans(documents)).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("spans").alias("__spans"))
-    joined = documents.withColumn("__key", F.xxhash64(F.col("text").cast("string"))).join(listed, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__h")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["begin"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["begin"] - acc["at"]).cast("int"))
-        return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(done)
-    return joined.select(*[clean.alias(c) if c == "text" else joined[c] for c in documents.columns])
+    """``documents`` with every span (overlapping or touching ones together) replaced by ``mark``; other columns as they are.
+
+    Null texts stay null; repeated rows are each redacted; an empty table gives no rows. Texts with spans are cut into blocks of ``BLOCK`` code points, so that a span
+    costs its block and not its text; all others are handed on.
+    """
+    spans = scan_spans(documents)
+    keys = ["__d", "__h"]
+    marks = spans.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "begin", "end")
+    # Spans that overlap are one: a span begins a new one if none before it reaches its begin.
+    by_begin = Window.partitionBy(*keys).orderBy("begin", "end")
+    reach = F.max("end").over(by_begin.rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("__new", F.coalesce(reach < F.col("begin"), F.lit(True)).cast("int")).withColumn("__n", F.sum("__new").over(by_begin))
+    marks = store(marks.groupBy(*keys, "__n").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("__n"), "secret-marks")
+    touched = marks.withColumn("__block", F.explode(F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))))
+    start = F.col("__block") * BLOCK
+    cut = F.struct(F.greatest(F.col("begin") - start, F.lit(0)).cast("int").alias("lo"), F.least(F.col("end") - start, F.lit(BLOCK)).cast("int").alias("hi"), (F.col("begin") >= start).alias("first"))
+    touched = touched.groupBy(*keys, F.col("__block").cast("int").alias("__block")).agg(F.sort_array(F.collect_list(cut)).alias("__cuts"))
+    keyed = documents.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    having = marks.select(*keys).distinct()
+    texts = keyed.select(F.col("doc_id").alias("__td"), F.col("__key").alias("__th"), F.col("text").cast("string").alias("text")).join(having, F.col("__td").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")))
+    texts = texts.groupBy(*keys).agg(F.min("text").alias("text"))
+    blocks = texts.select(*keys, F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{BLOCK}}}"), 0)).alias("__i", "part"))
+    named = touched.select(*[F.col(k).alias(f"{k}2") for k in keys], "__block", "__cuts")
+    joined = blocks.join(named, F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__h") == F.col("__h2")) & (F.col("__i") == F.col("__block")), "left")
+    part = F.col("part")
+
+    def step(acc: Column, c: Column) -> Column:
+        gap = F.substring(part, acc["at"] + 1, c["lo"] - acc["at"])
+        return F.struct(F.concat(acc["out"], gap, F.when(c["first"], F.lit(mark)).otherwise(F.lit(""))).alias("out"), c["hi"].alias("at"))
+
+    clean = F.aggregate("__cuts", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(part, acc["at"] + 1, F.lit(BLOCK))))
+    joined = joined.select(*keys, "__i", F.when(F.col("__cuts").isNull(), part).otherwise(clean).alias("part"))
+    whole = joined.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__i", "part"))), lambda x: x["part"]), "").alias("__clean"))
+    found = keyed.join(whole, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__h")), "left")
+    return found.select(*[F.coalesce("__clean", keyed["text"]).alias(c) if c == "text" else keyed[c] for c in documents.columns])
