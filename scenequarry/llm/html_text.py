@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+EXACT = frozenset("pre xmp textarea plaintext listing".split())
 HIDDEN = frozenset("script style title head template noscript iframe noembed noframes object audio video canvas datalist meta link base param".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr xmp menu dir".split())
+BLOCK = frozenset("plaintext listing address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+SPACED = frozenset("plaintext listing p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr xmp menu dir".split())
 #: An opening tag closes an open element on the left, looked for up to the elements on the right.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -29,7 +30,7 @@ CLOSES = {
     "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 #: Opening one of these ends an open paragraph.
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
+ENDS_P = frozenset("plaintext listing address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 P_SCOPE = frozenset("table td th caption button html object".split())
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 #: Elements of SVG and MathML that show nothing themselves, and those with HTML inside.
@@ -37,6 +38,8 @@ FOREIGN_HIDDEN = {"svg": frozenset("clippath defs desc filter lineargradient mar
 HTML_INSIDE = {"svg": frozenset("desc foreignobject title".split()), "math": frozenset("mi mn mo ms mtext".split())}
 #: Opening one of these ends an open SVG or MathML element.
 ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements whose attributes say how they show.
+KEPT = frozenset("select option optgroup ol li td th details".split())
 #: Elements nested deeper are put on this level; their text stays.
 MAX_DEPTH = 200
 
@@ -49,12 +52,12 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """``visible``: whether its own text shows; ``space``: svg, math or none; ``attributes`` are kept for lists of options only."""
+    """``visible``: whether its own text shows; ``space``: svg, math or none; ``attributes`` are kept for lists and cells only."""
 
-    __slots__ = ("tag", "children", "hidden", "start", "visible", "space", "attributes")
+    __slots__ = ("tag", "children", "hidden", "visible", "space", "attributes")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1, visible: bool = True, space: str = "", attributes: dict[str, str] | None = None):
-        self.tag, self.hidden, self.start, self.visible, self.space, self.attributes = tag, hidden, start, visible, space, attributes or {}
+    def __init__(self, tag: str, hidden: bool = False, visible: bool = True, space: str = "", attributes: dict[str, str] | None = None):
+        self.tag, self.hidden, self.visible, self.space, self.attributes = tag, hidden, visible, space, attributes or {}
         self.children: list[Node | str] = []
 
 
@@ -152,14 +155,19 @@ def build_tree(html: str) -> tuple[Node, str]:
         space = tag if tag in ("svg", "math") else space
         hidden = tag in (FOREIGN_HIDDEN[space] if space else HIDDEN) or "hidden" in attributes or style.get("display") == "none" or (shown == "collapse" and tag in ("tr", "thead", "tbody", "tfoot"))
         visible = shown in ("visible", "initial") or (stack[-1].visible and shown not in ("hidden", "collapse"))
-        first = attributes.get("start", "1")
-        node = Node(tag, hidden, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1, visible, space, attributes if tag in ("select", "option", "optgroup") else None)
+        # A dialog shows when open; of closed details only the first summary shows.
+        hidden = hidden or (not space and tag == "dialog" and "open" not in attributes)
+        node = Node(tag, hidden, visible, space, attributes if tag in KEPT else None)
         stack[-1].children.append(node)
         if space:
             # A slash at the end of a bare value belongs to the value.
             single = found[3].endswith("/") and not (named and named[-1][3] and found[3].endswith(named[-1][3]))
             if not single and len(stack) < MAX_DEPTH:
                 stack.append(node)
+        elif tag == "plaintext":
+            if not hidden and visible:
+                node.children.append(html[at:])
+            at = n
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             inner = html[at : end.start() if end else n]
@@ -223,38 +231,87 @@ def _width(text: str) -> int:
     return sum(2 if east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
+def _number(node: Node, name: str, least: int, most: int, default: int) -> int:
+    """An attribute that is a whole number, within bounds."""
+    found = re.match(r"[ \t\n\r\f]*([+-]?\d{1,9})", node.attributes.get(name, ""))
+    return max(least, min(most, int(found[1]))) if found else default
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    """Rows as lines: a cell's lines stand below each other, columns are as wide as their widest cell, two blanks apart."""
-    rows, captions, todo = [], [], list(reversed(node.children))
+    """Rows as lines, the table's cells on a grid of columns two blanks apart.
+
+    A cell's lines stand below each other from its first row on. A cell that spans rows keeps its columns in the rows below, to the end of its
+    row group at most; one that spans columns is as wide as they are together. A column is as wide as its widest cell, and wider if a spanning one asks for it.
+    """
+    groups: list[list[list[tuple[list[str], int, int]]]] = [[]]
+    captions, below, todo = [], [], [(c, 0) for c in reversed(node.children)]
     while todo:
-        x = todo.pop()
+        x, level = todo.pop()
         if isinstance(x, str):
             if x.strip():
                 captions += render_lines(_wrap([x]), depth + 1)
         elif x.hidden:
             continue
         elif x.tag == "tr":
-            cells = [render_lines(c, depth + 1) for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden]
-            loose = [c for c in x.children if not (isinstance(c, Node) and c.tag in ("td", "th")) and not (isinstance(c, str) and not c.strip())]
+            cells, loose = [], []
+            for c in x.children:
+                if isinstance(c, Node) and c.tag in ("td", "th"):
+                    if not c.hidden:
+                        cells.append((render_lines(c, depth + 1), _number(c, "colspan", 1, 1000, 1), _number(c, "rowspan", 0, 65534, 1)))
+                elif not isinstance(c, str) or c.strip():
+                    loose.append(c)
             if loose:
                 captions += render_lines(_wrap(loose), depth + 1)
-            if any(cells):
-                rows.append(cells)
+            if cells:
+                groups[-1].append(cells)
         elif x.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(x.children)
+            groups.append([])
+            todo += [(c, level + 1) for c in reversed(x.children)]
+        elif x.tag == "caption" and "bottom" in x.attributes.get("align", ""):
+            below += render_lines(_wrap([x]), depth + 1)
         else:
             captions += render_lines(_wrap([x]), depth + 1)
-    widths: list[int] = []
-    for cells in rows:
-        for i, lines in enumerate(cells):
-            widths += [0] * (i + 1 - len(widths))
-            widths[i] = max([widths[i], *map(_width, lines)])
+    # Each row's cells by column: (first column, columns, lines).
+    rows: list[list[tuple[int, int, list[str]]]] = []
+    for group in groups:
+        taken: dict[int, int] = {}  # column -> rows that a cell above still holds
+        for r, cells in enumerate(group):
+            placed, at = [], 0
+            held = {c for c, n in taken.items() if n > 0}
+            for lines, wide, high in cells:
+                while at in held:
+                    at += 1
+                high = len(group) - r if high == 0 else high
+                placed.append((at, wide, lines))
+                if high > 1:
+                    # A spanned column counts down once a row, this one included.
+                    taken |= dict.fromkeys(range(at, at + wide), high)
+                at += wide
+            rows.append(placed)
+            taken = {c: n - 1 for c, n in taken.items() if n > 1}
+    edges = sorted({e for placed in rows for at, wide, _ in placed for e in (at, at + wide)})
+    place = {e: i for i, e in enumerate(edges)}
+    widths = [0] * max(0, len(edges) - 1)
+    spans = [(place[at], place[at + wide], max(map(_width, lines), default=0)) for placed in rows for at, wide, lines in placed]
+    for first, last, need in sorted(spans, key=lambda s: s[1] - s[0]):
+        lack = need - sum(widths[first:last]) - 2 * (last - first - 1)
+        if lack > 0:
+            widths[last - 1] += lack
+    start = [0]
+    for w in widths:
+        start.append(start[-1] + w + 2)
     out = captions
-    for cells in rows:
-        for k in range(max(map(len, cells))):
-            parts = [lines[k] if k < len(lines) else "" for lines in cells]
-            out.append("  ".join(p + " " * (widths[i] - _width(p)) for i, p in enumerate(parts)).rstrip())
-    return out
+    for placed in rows:
+        if not any(lines for _, _, lines in placed):
+            continue
+        for k in range(max(len(lines) for _, _, lines in placed)):
+            line, used = [], 0
+            for at, _, lines in placed:
+                if k < len(lines) and lines[k]:
+                    line.append(" " * max(start[place[at]] - used, 2 if line else 0) + lines[k])
+                    used = max(start[place[at]], used + 2 if len(line) > 1 else 0) + _width(lines[k])
+            out.append("".join(line).rstrip())
+    return out + below
 
 
 def _words(node: Node) -> str:
@@ -301,7 +358,8 @@ def render_lines(node: Node, depth: int = 0) -> list[str]:
     """Visible text of a node, as lines."""
     out = _Lines()
     if depth > MAX_DEPTH:
-        return []
+        # Lists and tables nested that deep stand as plain lines.
+        return [s for s in [_words(node)] if s]
 
     def walk(x: Node | str, pre: bool) -> None:
         if isinstance(x, str):
@@ -325,11 +383,17 @@ def render_lines(node: Node, depth: int = 0) -> list[str]:
                 out.end()
                 _add(shown)
             return
+        if x.tag == "details" and not x.space and "open" not in x.attributes:
+            out.end()
+            for child in [c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1] or ["Details"]:
+                walk(child, pre)
+            out.end()
+            return
         block = x.tag in BLOCK if not x.space else x.tag == "text" and x.space == "svg"
         if block:
             (out.space if x.tag in SPACED else out.end)()
         for child in x.children:
-            walk(child, pre or x.tag in ("pre", "xmp", "textarea"))
+            walk(child, pre or x.tag in EXACT)
         if block:
             (out.space if x.tag in SPACED else out.end)()
 
@@ -339,19 +403,24 @@ def render_lines(node: Node, depth: int = 0) -> list[str]:
             out.end(keep=True)
 
     def _items(x: Node) -> list[str]:
-        lines, number = [], x.start
+        # Numbers count up from the start, or down from the number of items; an item's own value sets the count.
+        own = [c for c in x.children if isinstance(c, Node) and c.tag == "li" and not c.hidden]
+        step = -1 if x.tag == "ol" and "reversed" in x.attributes else 1
+        lines, number = [], _number(x, "start", -(10**9), 10**9, len(own) if step < 0 else 1)
         for child in x.children:
             if isinstance(child, str):
                 lines += [f"  {s}" for s in [_BLANK.sub(" ", child).strip()] if s]
             elif not child.hidden:
                 inner = [s for s in render_lines(child if child.tag == "li" else _wrap([child]), depth + 1) if s]
+                if child.tag == "li":
+                    number = _number(child, "value", -(10**9), 10**9, number) if x.tag == "ol" else number
                 mark = (f"{number}. " if x.tag == "ol" else "- ") if child.tag == "li" else "  "
-                number += child.tag == "li"
+                number += step * (child.tag == "li")
                 lines += [(mark if i == 0 else " " * len(mark)) + s for i, s in enumerate(inner)]
         return lines
 
     for child in node.children:
-        walk(child, node.tag in ("pre", "xmp", "textarea"))
+        walk(child, node.tag in EXACT)
     return out.result()
 
 
