@@ -5,97 +5,106 @@ right: each phrase is the longest match with the language's text. Few phrases me
 phrases, normalised by the logarithm of the language's text length and the text's own, estimate a cross entropy, and
 the least one wins.
 
-The automata are one table of transitions, so that thousands of stretches of text walk all languages at
-once, a character a step.
+Texts are read as UTF-8 bytes, lower-cased, with whatever isn't a letter or a mark as one blank: a few dozen symbols for any script. The
+automata are one table of transitions, so that all texts of a slice walk all languages at once, a byte a step;
+the few longest are walked to their ends one by one.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenequarry.llm.shared import SLICE_BYTES, learnable
+from scenequarry.llm.shared import learnable, store
 
-#: Bounds of the fit: characters of a language, languages (those with most labelled rows), rows looked at per
-#: language, and the longest text that is learnt from. Every language learnt from has whole texts only.
-TRAIN_CHARS, MAX_LANGUAGES, MAX_ROWS, MAX_TEXT = 40_000, 64, 400, 10_000
-#: Letters with a class of their own; rarer ones share classes by code point.
-LETTERS, SHARED = 90, 16
-#: Characters of a stretch. A longer text is parsed in stretches, each starting a phrase.
-STRETCH = 512
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the fit: bytes of a language, of all languages together, rows looked at per language, and the longest text that is learnt
+#: from where a language has shorter ones. Every language with a labelled text is learnt, from whole texts; one that has longer texts only, from
+#: the first bytes of its shortest.
+TRAIN_BYTES, ALL_BYTES, MAX_ROWS, MAX_TEXT = 40_000, 200_000, 400, 10_000
+#: Bytes of texts that are walked at once, and texts below which they are walked one by one.
+SLICE, FEW = 8 << 20, 48
+#: Languages that may be broadcast with their counts.
+FEW_LANGUAGES = 100_000
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def sample_texts(documents: DataFrame) -> dict[str, list[str]]:
-    """Whole texts by language, in order of a hash of the id, up to ``TRAIN_CHARS``: a bounded sample."""
-    rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learnable(F.col("doc_id"))).select("doc_id", F.col("lang").cast("string").alias("lang"), F.length("text").alias("n"))
-    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    usable = rows.where(F.col("lang").isin(known) & F.col("n").between(1, MAX_TEXT)).withColumn("h", F.xxhash64("doc_id"))
-    first = usable.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("i") <= MAX_ROWS)
-    taken = first.withColumn("sum", F.sum("n").over(Window.partitionBy("lang").orderBy("i"))).where((F.col("sum") <= TRAIN_CHARS) | (F.col("i") == 1))
-    ids = taken.select("doc_id", F.col("lang").alias("__lang"), "i").dropDuplicates(["doc_id", "__lang"])
-    texts = documents.where(F.length("text").between(1, MAX_TEXT)).select("doc_id", F.col("lang").cast("string").alias("__l"), "text").join(F.broadcast(ids), "doc_id").where(F.col("__l") == F.col("__lang"))
+    """Texts by language, in order of a hash of the id, up to the bounds. A threshold on the hash keeps most rows from the ranking."""
+    text = F.col("text").cast("string")
+    rows = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), F.octet_length(text).alias("n"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("n") > 0) & learnable(F.col("doc_id")))
+    per = store(rows.groupBy("lang").agg(F.count_if(F.col("n") <= MAX_TEXT).alias("usable"), F.min("n").alias("least")), "language-counts")
+    languages = per.count()
+    share = max(1, min(TRAIN_BYTES, ALL_BYTES // max(1, languages)))
+    hashed = F.xxhash64("doc_id", F.lit(6))
+    near = (F.col("n") <= MAX_TEXT) & (F.shiftrightunsigned(hashed, 33) * F.col("usable") < F.lit(4 * MAX_ROWS * 2**31))
+    picked = rows.join(F.broadcast(per) if languages <= FEW_LANGUAGES else per, "lang").where(F.when(F.col("usable") > 0, near).otherwise(F.col("n") == F.col("least")))
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id", F.xxhash64("text"))
+    first = picked.withColumn("i", F.row_number().over(order)).where(F.col("i") <= MAX_ROWS)
+    taken = first.withColumn("sum", F.sum("n").over(Window.partitionBy("lang").orderBy("i"))).where((F.col("sum") <= share) | (F.col("i") == 1))
     out: dict[str, list[str]] = {}
-    for r in sorted(texts.collect(), key=lambda r: (r["__lang"], r["i"], r["text"])):
-        out.setdefault(r["__lang"], []).append(r["text"])
+    for r in sorted(taken.select("lang", "i", F.substring("text", 1, share).alias("text")).collect(), key=lambda r: (r["lang"], r["i"])):
+        out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
 @dataclass(frozen=True)
 class Parser:
-    """Transitions of all automata: ``table[state + class]`` is (next state << 2 | phrases that end before or with this character)."""
+    """Transitions of all automata: ``table[state + class]`` is (next state << 2 | phrases that end before or with this symbol)."""
 
     languages: list[str]
     roots: np.ndarray
     log_length: np.ndarray
     table: np.ndarray
-    classes: np.ndarray  # by code point below len(classes); 1 is whatever isn't a letter
-    n_classes: int
+    classes: bytes  # of each byte: 0 for one that no language has, 1 for the blank
+
+    @staticmethod
+    def symbols(text: str) -> bytes:
+        """Letters and marks, lower-cased, as UTF-8; all between them as one blank."""
+        return _OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
     def codes(self, text: str) -> np.ndarray:
-        """Classes of a text's characters, lower-cased, runs of other characters as one."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        high = points >= len(self.classes)
-        out = self.classes[np.where(high, 0, points)]
-        if high.any():
-            out[high] = self.n_classes - SHARED + points[high] % SHARED
-        keep = np.ones(len(out), bool)
-        keep[1:] = (out[1:] != 1) | (out[:-1] != 1)
-        return out[keep]
+        """Classes of a text's symbols."""
+        return np.frombuffer(self.symbols(text).translate(self.classes), np.uint8)
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and the texts' lengths in classes."""
+        """Phrases by text and language, and the texts' lengths in symbols."""
         codes = [self.codes(t) for t in texts]
         lengths = np.array([len(c) for c in codes], np.int64)
-        pieces = -(-lengths // STRETCH)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        offset = np.concatenate([[0], np.cumsum(lengths)])
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = offset[owner] + nth * STRETCH
-        size = np.minimum(STRETCH, offset[owner + 1] - begin)
-        order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
-        joined = np.concatenate(codes) if codes else np.empty(0, np.int32)
-        state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        count = np.ones(state.shape, np.int32)
-        for step in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size, -step, "left"))
-            got = self.table[state[:, :live] + joined[begin[:live] + step]]
+        order = np.argsort(-lengths, kind="stable")
+        size, offset = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        joined = np.concatenate(codes) if codes else np.empty(0, np.uint8)
+        state = np.repeat(self.roots[:, None], len(texts), axis=1)
+        count = np.ones(state.shape, np.int64)
+        step, live = 0, int((size > 0).sum())
+        while live >= FEW:
+            got = self.table[state[:, :live] + joined[offset[:live] + step]]
             state[:, :live] = got >> 2
             count[:, :live] += got & 3
-        # At a root the last phrase is empty: the character before it was a phrase of its own.
+            step += 1
+            live = int(np.searchsorted(-size, -step, "left"))
+        table = memoryview(self.table)
+        for i in range(live):
+            rest = joined[offset[i] + step : offset[i] + size[i]].tobytes()
+            for k in range(len(self.languages)):
+                at, n = int(state[k, i]), int(count[k, i])
+                for c in rest:
+                    got = table[at + c]
+                    at = got >> 2
+                    n += got & 3
+                state[k, i], count[k, i] = at, n
+        # At a root the last phrase is empty: the symbol before it was a phrase of its own.
         count -= state == self.roots[:, None]
         phrases = np.zeros((len(texts), len(self.languages)))
-        for k in range(len(self.languages)):
-            phrases[:, k] = np.bincount(owner, count[k], len(texts))
+        phrases[order] = count.T
         return phrases, lengths
 
 
@@ -133,38 +142,33 @@ def fit(samples: dict[str, list[str]]) -> Parser | None:
     """Automata of bounded samples; None without any."""
     if not samples:
         return None
-    counts: Counter[str] = Counter()
-    for texts in samples.values():
-        counts.update(ch for t in texts for ch in t.lower() if ch.isalpha())
-    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-    n_classes = 2 + len(letters) + SHARED
-    classes = np.ones(0x3000, np.int32)
-    for point in range(0x3000):
-        if chr(point).isalpha():
-            classes[point] = n_classes - SHARED + point % SHARED
-    for i, c in enumerate(letters):
-        if ord(c) < len(classes):
-            classes[ord(c)] = 2 + i
-    blank = Parser([], np.empty(0), np.empty(0), np.empty(0), classes, n_classes)
+    texts = {lang: b"".join(Parser.symbols(t) + b" " for t in samples[lang]).replace(b"  ", b" ") for lang in sorted(samples)}
+    known = sorted(set(b"".join(texts.values())) - {0x20})
+    classes = bytearray(256)
+    classes[0x20] = 1
+    for i, byte in enumerate(known):
+        classes[byte] = 2 + i
+    n_classes = 2 + len(known)
     tables, roots, logs, base = [], [], [], 0
-    for lang in sorted(samples):
-        codes = np.concatenate([np.append(blank.codes(t), 1) for t in samples[lang]])
+    for text in texts.values():
+        codes = np.frombuffer(text.translate(bytes(classes)), np.uint8)
         nxt = _automaton(codes)
         root = np.full(n_classes, base, np.int64)
         for c, to in nxt[0].items():
             root[c] = base + to * n_classes
-        # A character without a transition ends the phrase and begins the next; one that the language hasn't is a phrase of its own.
+        # A symbol without a transition ends the phrase and begins the next; one that the language hasn't is a phrase of its own.
         table = np.tile(root << 2 | np.where(root == base, 2, 1), (len(nxt), 1))
-        table[0] = base << 2 | 1
+        table[0] = np.where(root == base, base << 2 | 1, root << 2)
         for state, edges in enumerate(nxt):
             for c, to in edges.items():
                 table[state, c] = (base + to * n_classes) << 2
-        tables.append(table.reshape(-1))
+        kind = np.int32 if (base + table.size) << 2 < 2**31 else np.int64
+        tables.append(table.reshape(-1).astype(kind))
         roots.append(base)
         logs.append(np.log2(len(codes) + 2))
         base += len(nxt) * n_classes
-    kind = np.int32 if base < 2**29 else np.int64
-    return Parser(sorted(samples), np.array(roots, np.int64), np.array(logs), np.concatenate(tables).astype(kind), classes, n_classes)
+    kind = np.int32 if base << 2 < 2**31 else np.int64
+    return Parser(list(texts), np.array(roots, np.int64), np.array(logs), np.concatenate([x.astype(kind, copy=False) for x in tables]), bytes(classes))
 
 
 def identify_languages(documents: DataFrame) -> DataFrame:
@@ -200,7 +204,7 @@ def identify_languages(documents: DataFrame) -> DataFrame:
             texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2 * SLICE_BYTES):
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE):
                     size += len(texts[end] or "")
                     end += 1
                 langs, scores = judge(texts[at:end])
