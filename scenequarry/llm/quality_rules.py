@@ -73,7 +73,7 @@ def rows_needed(risk: float, error: float) -> int:
 
 
 def propose(patterns: list[tuple[tuple[int, ...], int, int]], rules: Sequence[Rule], risk: float) -> list[tuple[int, int]]:
-    """Steps ``(rule, level)``: a row is rejected if it exceeds at least ``level`` of the rule's cutoffs.
+    """Steps ``(rule, level)``: a row is rejected if it exceeds the ``level`` strictest of the rule's cutoffs.
 
     ``patterns`` are ``(levels by rule, good rows, bad rows)``. Greedy: most further bad rows for each further good one (and one more). Ends
     when nothing is gained or twice ``risk`` of the good rows would go. Of equal steps the first rule's most lenient one.
@@ -83,7 +83,7 @@ def propose(patterns: list[tuple[tuple[int, ...], int, int]], rules: Sequence[Ru
     while True:
         best = None
         for r, rule in enumerate(rules):
-            for level in range(1, len(rule.cutoffs) + 1):
+            for level in range(len(rule.cutoffs), 0, -1):
                 g = sum(n for levels, n, _ in left if levels[r] >= level)
                 b = sum(n for levels, _, n in left if levels[r] >= level)
                 if b and gone + g <= 2 * risk * good and (best is None or b / (g + 1) > best[0]):
@@ -141,7 +141,7 @@ def certify(stats: DataFrame, labels: DataFrame, risk: float = 0.02, error: floa
     for stratum in [ALL, *[r["stratum"] for r in able]]:
         found = table.get(stratum, [0] * (len(steps) + 1))
         taken = certified_steps([sum(found[: k + 1]) for k in range(len(steps))], sum(found), risk, share)
-        chosen[stratum] = {rule.name: min((rule.cutoffs[level - 1] for r, level in steps[:taken] if r == i), default=None) for i, rule in enumerate(rules)}
+        chosen[stratum] = {rule.name: min((rule.cutoffs[-level] for r, level in steps[:taken] if r == i), default=None) for i, rule in enumerate(rules)}
     return chosen
 
 
