@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.shared import store
+from scenequarry.llm.shared import remove_stored, store
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,15 +17,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     both = store(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = store(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "cc-labels")
+    labels, last = store(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "cc-labels"), None
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("__m"))
-        low = labels.join(near, "id").select("id", F.least("component", "__m").alias("component"), F.col("component").alias("__old"))
-        roots = labels.select(F.col("id").alias("component"), F.col("component").alias("__root"))
-        jumped = low.join(roots, "component", "left").select("id", F.least("component", F.coalesce("__root", "component")).alias("component"), "__old")
-        jumped = store(jumped, "cc-labels")
-        changed = not jumped.where(F.col("component") != F.col("__old")).isEmpty()
-        labels = jumped.select("id", "component")
-        if not changed:
+        # The node that an id is labelled with takes the least label next to the id as well, so that rounds grow with the logarithm of a path.
+        offers = near.join(labels, "id").select("__m", F.explode(F.array("id", "component")).alias("id")).groupBy("id").agg(F.min("__m").alias("__m"))
+        low = labels.join(offers, "id", "left").select("id", F.least("component", F.coalesce("__m", "component")).alias("component"), F.col("component").alias("__old"))
+        roots = low.select(F.col("id").alias("component"), F.col("component").alias("__root"))
+        jumped = store(low.join(roots, "component", "left").select("id", F.least("component", F.coalesce("__root", "component")).alias("component"), "__old"), "cc-labels")
+        if last is not None:
+            remove_stored(jumped.sparkSession, last)
+        last, labels = jumped, jumped.select("id", "component")
+        if jumped.where(F.col("component") != F.col("__old")).isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

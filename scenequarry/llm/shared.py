@@ -6,50 +6,22 @@ time, so that memory follows the slice (or one long text), never the partition.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenequarry.operators.stored import remove_stored, stored
+
 SLICE_BYTES = 1 << 20
-#: Rows that Spark hands to Python at once: texts may be long, and a batch is held by the JVM and by Python.
-BATCH_ROWS = "256"
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-# ---------------------------------------------------------------- stored intermediates
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = tempfile.mkdtemp(prefix="scenequarry-")
-        atexit.register(shutil.rmtree, own, True)
-        context.setCheckpointDir(f"file://{own}")
-    return context.getCheckpointDir()
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and survives a lost executor."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to hand few rows at once to Python: memory follows the longest texts, not the default of 10,000 rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df
+#: Intermediates are written to the shared folder and read back: lineage ends there and survives a lost executor.
+store = stored
 
 
 def learnable(doc_id: Column) -> Column:
@@ -196,4 +168,4 @@ def map_slices(df: DataFrame, columns: list[str], text: str, work: Callable[[pa.
                 yield pa.RecordBatch.from_arrays([*keep.columns[: len(columns)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]], [*columns, *made])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return small_batches(source).mapInArrow(run, f"{head}, {schema}")
+    return source.mapInArrow(run, f"{head}, {schema}")
