@@ -3,7 +3,7 @@
 A bounded sample of labelled texts is indexed with all its terms: for each term, postings in order of the example, cut into
 blocks of ``BLOCK`` examples, and the largest weight of each block. Bounds on a query's blocks (query weights times
 block maxima) tell which to read first, and which can't hold any of the k nearest: those are never
-read, and the k nearest are exact. The neighbours vote with their cosines as weights, the classes weighted back to their
+read, and the k nearest are exact. Queries are answered ``TOGETHER``, so that a block is read once for all that need it. The neighbours vote with their cosines as weights, the classes weighted back to their
 shares among the labels; a logistic curve, fitted on the votes that each example gets from the others, turns the vote into a
 probability. The neighbours are the evidence.
 
@@ -27,7 +27,10 @@ from scenequarry.llm.shared import PLAIN_BREAKS, Slice, learnable, map_slices, m
 #: Bounds of the fit: examples of each class, and characters of all examples of a class.
 EXAMPLES, EXAMPLE_CHARS = 1_024, 8_000_000
 BEGINNINGS = (4, 5, 6, 7)
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, DENSE = 15, 64, 24
+TOGETHER = 256
+#: Slack for sums in single precision; what lies within it is summed again in double.
+_SLACK = 2e-5
 #: Weight of the prior among the votes, as a sum of cosines.
 PRIOR_WEIGHT = 0.02
 THRESHOLD = 0.3
@@ -76,7 +79,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, inverted: term -> (block, largest weight) entries -> postings of the entry."""
+    """Unit TF-IDF vectors of examples, inverted: term -> (block, largest weight) entries -> postings of the entry.
+
+    A term that more than one example in ``DENSE`` has keeps its postings as a row over all examples, gaps included, which is shorter and read at once.
+    """
 
     vocabulary: np.ndarray  # sorted term hashes
     weight: np.ndarray  # idf * rf by term
@@ -87,6 +93,9 @@ class BlockMaxIndex:
     postings: np.ndarray  # by entry, where its postings begin
     example: np.ndarray  # by posting
     value: np.ndarray  # by posting
+    row: np.ndarray  # by term, its row of the dense postings, or -1
+    dense: np.ndarray  # weights by row and example, whole blocks
+    dense_most: np.ndarray  # largest weight by row and block
     ids: np.ndarray  # by example
     toxic: np.ndarray  # by example
     vote: np.ndarray  # by example, its class's share among the labels over that among the examples
@@ -120,76 +129,108 @@ class BlockMaxIndex:
         place = np.empty(n, np.int64)
         place[rank] = np.arange(n)
         example = place[of]
-        order = np.lexsort((example, term))
-        term, example, value = term[order], example[order], value[order].astype(np.float32)
+        blocks = max(1, -(-n // BLOCK))
+        often = np.flatnonzero(share.sum(axis=0) * DENSE > n) if n else np.empty(0, np.int64)
+        row = np.full(len(vocabulary), -1, np.int32)
+        row[often] = np.arange(len(often))
+        value = value.astype(np.float32)
+        dense = np.zeros((len(often), blocks * BLOCK), np.float32)
+        there = row[term] >= 0
+        dense[row[term[there]], example[there]] = value[there]
+        order = np.lexsort((example[~there], term[~there]))
+        term, example, value = term[~there][order], example[~there][order], value[~there][order]
         fresh = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK)])) if len(term) else np.empty(0, np.int64)
         most = np.maximum.reduceat(value, fresh) if len(term) else value
         return BlockMaxIndex(
             vocabulary, weight, unknown, np.searchsorted(term[fresh], np.arange(len(vocabulary) + 1)), (example[fresh] // BLOCK).astype(np.int32), most, np.append(fresh, len(term)),
-            example.astype(np.int32), value, np.array([examples[i][0] for i in rank], np.int64), toxic[rank], vote[rank], prior if n else 0.0,
+            example.astype(np.int32), value, row, dense, dense.reshape(len(often), blocks, BLOCK).max(axis=2), np.array([examples[i][0] for i in rank], np.int64), toxic[rank], vote[rank], prior if n else 0.0,
         )
 
-    def vector(self, h: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms (places in the vocabulary) and their weights in the unit vector of a text's distinct terms; unknown ones count in its length."""
+    def vectors(self, doc: np.ndarray, h: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known terms (text, place in the vocabulary, weight in the text's unit vector) of ``n`` texts' distinct terms; unknown ones count in the length."""
         if not len(h) or not len(self.vocabulary):
-            return np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = self.vocabulary[place] == h
         w = (1 + np.log(times)) * np.where(known, self.weight[place], self.unknown)
-        return place[known], w[known] / np.sqrt((w**2).sum())
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine with a vector, by cosine down, then id (``but`` one); and the cosines.
-
-        The blocks of highest bound give a k-th cosine; the only other blocks read are those whose bound reaches it.
-        """
-        if not len(t):
-            return np.empty(0, np.int64), np.empty(0)
-        entry, of = _ranges(self.entries[t], self.entries[t + 1])
-        block, weight = self.block[entry], w[of]
-        bound = np.bincount(block, weight * self.most[entry], int(self.block.max()) + 1)
-        order = np.argsort(-bound, kind="stable")
-        first, rest = order[:2], order[2:]
-        docs, cos = self._read(entry, block, weight, first, k, but)
-        floor = cos[-1] - 1e-6 if len(cos) == k else 0.0
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= floor)]
-        if len(rest):
-            more, other = self._read(entry, block, weight, rest, k, but)
-            docs, cos = np.concatenate([docs, more]), np.concatenate([cos, other])
-            best = np.lexsort((self.ids[docs], -cos))[:k]
-            docs, cos = docs[best], cos[best]
-        return docs, cos
-
-    def _read(self, entry: np.ndarray, block: np.ndarray, weight: np.ndarray, blocks: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        chosen = np.zeros(int(self.block.max()) + 1, bool)
-        chosen[blocks] = True
-        inside = chosen[block]
-        at, of = _ranges(self.postings[entry[inside]], self.postings[entry[inside] + 1])
-        score = np.bincount(self.example[at], weight[inside][of] * self.value[at], len(self.ids)).round(9)
-        if but >= 0:
-            score[but] = 0
-        docs = np.flatnonzero(score > 0)
-        if len(docs) > k:
-            docs = docs[score[docs] >= np.partition(score[docs], -k)[-k]]
-        best = np.lexsort((self.ids[docs], -score[docs]))[:k]
-        return docs[best], score[docs][best]
+        length = np.sqrt(np.bincount(doc, w**2, n))
+        return doc[known], place[known], w[known] / length[doc[known]]
+
+    def nearest(self, doc: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, k: int = NEIGHBOURS, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` vectors the k examples of largest positive cosine, by cosine down, then id (without example ``but``); and the cosines."""
+        out = []
+        for first in range(0, n, TOGETHER):
+            a, b = np.searchsorted(doc, [first, first + TOGETHER])
+            out += self._nearest(doc[a:b] - first, t[a:b], w[a:b], min(TOGETHER, n - first), k, None if but is None else but[first : first + TOGETHER])
+        return out
+
+    def _nearest(self, doc: np.ndarray, t: np.ndarray, w: np.ndarray, n: int, k: int, but: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        blocks, width = self.dense_most.shape[1], self.dense.shape[1]
+        row = self.row[t]
+        often = row >= 0
+        wide = np.zeros((n, len(self.dense)), np.float32)
+        wide[doc[often], row[often]] = w[often]
+        entry, of = _ranges(self.entries[t[~often]], self.entries[t[~often] + 1])
+        weight, query = w[~often][of], doc[~often][of]
+        bound = np.bincount(query * blocks + self.block[entry], weight * self.most[entry], n * blocks).reshape(n, blocks) + wide @ self.dense_most
+        at, of = _ranges(self.postings[entry], self.postings[entry + 1])
+        rare = np.bincount(query[of] * width + self.example[at], weight[of] * self.value[at], n * width).reshape(n, width)
+        score = np.zeros((n, width), np.float32)
+        # The two blocks of highest bound first; their k-th cosine tells which others to read.
+        order = np.argsort(-bound, axis=1, kind="stable")
+        wanted = np.zeros((n, blocks), bool)
+        np.put_along_axis(wanted, order[:, :2], True, axis=1)
+        self._read(score, wide, rare, wanted)
+        self._leave_out(score, but)
+        floor = np.partition(score, -k, axis=1)[:, -k] if width >= k else np.zeros(n, np.float32)
+        self._read(score, wide, rare, ~wanted & (bound > 0) & (bound >= floor[:, None] - _SLACK))
+        self._leave_out(score, but)
+        floor = np.partition(score, -k, axis=1)[:, -k] if width >= k else np.zeros(n, np.float32)
+        out = []
+        begin = np.searchsorted(doc[often], np.arange(n + 1))
+        rows, values = row[often], w[often]
+        for i in range(n):
+            near = np.flatnonzero((score[i] >= floor[i] - _SLACK) & (score[i] > 0))
+            part = slice(begin[i], begin[i + 1])
+            cos = (rare[i, near] + values[part] @ self.dense[np.ix_(rows[part], near)].astype(float)).round(9)
+            best = np.lexsort((self.ids[near], -cos))[:k]
+            best = best[cos[best] > 0]
+            out.append((near[best], cos[best]))
+        return out
+
+    def _read(self, score: np.ndarray, wide: np.ndarray, rare: np.ndarray, wanted: np.ndarray) -> None:
+        """Fill the cosines of the wanted blocks of each query."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            who = np.flatnonzero(wanted[:, b])
+            part = slice(b * BLOCK, (b + 1) * BLOCK)
+            score[who, part] = wide[who] @ self.dense[:, part] + rare[who, part]
+
+    @staticmethod
+    def _leave_out(score: np.ndarray, but: np.ndarray | None) -> None:
+        if but is not None:
+            score[np.arange(len(score)), but] = 0
 
     def votes(self, docs: np.ndarray, cos: np.ndarray) -> float:
         """Share of toxic votes, by cosine and class, with the prior's."""
         w = cos * self.vote[docs]
         return float((w @ self.toxic[docs] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
-    def judge(self, h: np.ndarray, times: np.ndarray) -> tuple[float, list[int]]:
-        """Score and evidence (ids of neighbours) of a text's distinct terms."""
-        docs, cos = self.nearest(*self.vector(h, times))
-        share = self.votes(docs, cos)
+    def judge(self, doc: np.ndarray, h: np.ndarray, times: np.ndarray, n: int) -> tuple[list[float], list[list[int]]]:
+        """Scores and evidence (ids of neighbours) of ``n`` texts' distinct terms."""
+        if not len(self.ids):
+            return [0.0] * n, [[]] * n
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * share + b)))) if len(self.ids) else 0.0, self.ids[docs].tolist()
+        near = self.nearest(*self.vectors(doc, h, times, n), n)
+        return [float(1 / (1 + np.exp(-(a * self.votes(*x) + b)))) for x in near], [self.ids[docs].tolist() for docs, _ in near]
 
     def calibrated(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]]) -> BlockMaxIndex:
         """With the logistic curve of the toxic share over each example's vote by the others (classes weighted to their shares)."""
         at = {d: i for i, d in enumerate(self.ids.tolist())}
-        x = np.array([self.votes(*self.nearest(*self.vector(e[2], e[3]), but=at[e[0]])) for e in examples])
+        n = len(examples)
+        doc = np.repeat(np.arange(n), [len(e[2]) for e in examples]) if n else np.empty(0, np.int64)
+        every = [np.concatenate([e[i] for e in examples]) if n else np.empty(0) for i in (2, 3)]
+        near = self.nearest(*self.vectors(doc, *every, n), n, but=np.array([at[e[0]] for e in examples], np.int64)) if n else []
+        x = np.array([self.votes(*v) for v in near])
         y, w = np.array([e[1] for e in examples], float), self.vote[[at[e[0]] for e in examples]] if examples else np.empty(0)
         beta = np.array([0.0, np.log((self.prior + 1e-3) / (1 - self.prior + 1e-3))])
         design = np.stack([x, np.ones_like(x)], axis=1) if len(x) else np.zeros((0, 2))
@@ -250,13 +291,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
         model = shared.value
         for batch in batches:
             for i, j, s in slices(batch.column(2), True, PLAIN_BREAKS):
-                doc, h, times = terms(s)
-                cuts = np.searchsorted(doc, np.arange(s.n + 1))
-                scores, evidence = [], []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    score, ids = model.judge(h[a:b], times[a:b])
-                    scores.append(score)
-                    evidence.append(ids)
+                scores, evidence = model.judge(*terms(s), s.n)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "evidence"])
 
