@@ -200,9 +200,10 @@ class BlockMaxIndex:
 
     def _read(self, score: np.ndarray, wide: np.ndarray, rare: np.ndarray, wanted: np.ndarray) -> None:
         """Fill the cosines of the wanted blocks of each query."""
+        size = self.dense.shape[1] // self.dense_most.shape[1]
         for b in np.flatnonzero(wanted.any(axis=0)).tolist():
             who = np.flatnonzero(wanted[:, b])
-            part = slice(b * BLOCK, (b + 1) * BLOCK)
+            part = slice(b * size, (b + 1) * size)
             score[who, part] = wide[who] @ self.dense[:, part] + rare[who, part]
 
     @staticmethod

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -97,6 +98,44 @@ def test_quality_thresholds_are_certified(spark):
     assert same.where("not kept").isEmpty()
 
 
+def test_quality_steps_and_bounds():
+    rules = (quality_rules.Rule("a", "x", "y", (0.5, 0.2, 0.1)), quality_rules.Rule("b", "z", "y", (0.9,)))
+    # Levels by rule, good rows, bad rows: the strictest cutoff of the first rule would cost good rows.
+    patterns = [((0, 0), 900, 5), ((1, 0), 90, 10), ((2, 0), 1, 30), ((3, 0), 0, 20), ((0, 1), 0, 8)]
+    assert quality_rules.propose(patterns, rules, 0.02) == [(0, 2), (1, 1)]
+    for n, risk, error in ((200, 0.02, 0.05), (1000, 0.01, 0.01), (148, 0.02, 0.05)):
+        exact = lambda k, n=n, risk=risk: sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+        good = [0, 0, 1, 2, 5, 9, 20, 60]
+        want = next((k for k, g in enumerate(good) if exact(g) > error), len(good))
+        assert quality_rules.certified_steps(good, n, risk, error) == want
+    assert quality_rules.certified_steps([0], 0, 0.02, 0.05) == 0
+    need = quality_rules.rows_needed(0.02, 0.05)
+    assert quality_rules.certified_steps([0], need, 0.02, 0.05) == 1 and quality_rules.certified_steps([0], need - 1, 0.02, 0.05) == 0
+
+
+def test_quality_rules_against_brute_force(spark):
+    """Cutoffs and verdicts of the whole operator, worked out again from the texts."""
+    where = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    got = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs, labels).collect()}
+    stats = statistics.document_statistics(docs, keep=["lang"]).withColumn("stratum", F.col("lang"))
+    cuts = quality_rules.certify(stats, labels)
+    marks = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    passed = [r for r in stats.collect() if not (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)]
+    held = {r.doc_id for r in stats.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(quality_rules.PROPOSE)) != 0).select("doc_id").collect()}
+
+    def rejected(r, chosen):
+        return any(chosen[x.name] is not None and r[x.part] > r[x.whole] * chosen[x.name] for x in quality_rules.RULES)
+
+    for stratum, chosen in cuts.items():
+        good = [r for r in passed if marks.get(r.doc_id) == 1 and r.doc_id in held and stratum in ("", r.stratum)]
+        k, n = sum(rejected(r, chosen) for r in good), len(good)
+        assert all(c is None for c in chosen.values()) or sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) <= 0.05
+    assert {r.doc_id for r in passed if not rejected(r, cuts.get(r.stratum, cuts[""]))} == {i for i, r in got.items() if r.kept}
+    bad = [r for r in passed if marks.get(r.doc_id) == 0]
+    assert sum(not got[r.doc_id].kept for r in bad) >= len(bad) / 3
+
+
 def test_quality_rules_on_odd_rows(odd, empty, no_labels):
     got = quality_rules.apply_quality_rules(odd, no_labels).collect()
     assert len(got) == len(ODD) and all(r.kept == (not r.base_failed) for r in got)
@@ -212,6 +251,61 @@ def test_html_shows_all_visible_text(html, text):
     assert html_text.render(html)[1] == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<table><tr><td colspan=2>wide cell<td>x<tr><td>a<td>b<td>y</table>", "wide cell  x\na  b       y"), ("<table><tr><td colspan=9999999999>a<td>b</table>", "a  b"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><caption>t</caption><tr><td>a<td><td>c<tr><td>1<td>2<td>3</table>", "t\na     c\n1  2  3"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"), ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"), ("<dialog>no</dialog>x<dialog open>yes</dialog>", "x\nyes"), ("<details><summary>S</summary>no</details>z", "S\nz"), ("<details open><summary>S</summary>yes</details>z", "S\nyes\nz"),
+        ("a<plaintext><b>x</b>", "a\n\n<b>x</b>"), ("<p class=x'>first</p><p>It's second</p>", "first\n\nIt's second"), ("<p don't>one</p><p>It's two</p><p>three</p>", "one\n\nIt's two\n\nthree"),
+    ],
+)
+def test_html_tables_lists_and_closed_elements(html, text):
+    assert html_text.render(html)[1] == text
+
+
+class _Visible(HTMLParser):
+    """All text outside of elements that never show, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.off, self.parts = [], []
+
+    def handle_starttag(self, tag, attrs):
+        names = dict(attrs)
+        style = (names.get("style") or "").replace(" ", "").lower()
+        if tag not in html_text.VOID and (self.off or tag in html_text.HIDDEN - {"head"} or "hidden" in names or "display:none" in style or "visibility:hidden" in style):
+            self.off.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.off:
+            while self.off.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.off:
+            self.parts.append(data)
+
+
+def test_html_shows_the_words_of_all_pages(spark):
+    """Every visible word of every page, in any order (tables are laid out anew), and no other."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for r in pages.collect():
+        parser = _Visible()
+        parser.feed(r.html or "")
+        parser.close()
+        letters = lambda s: collections.Counter(c for c in s if c.isalpha())
+        assert letters(got[r.page_id]) == letters("".join(parser.parts)), r.page_id
+
+
+def test_html_of_very_long_pages_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(400_000)]
+    rows = [(1, "".join(f"<p><i title='x'>{w}</i></p>" for w in words), "t", "x"), (2, "<table>" + "<tr><td>a<td>b" * 20_000 + "</table>", "t", "x")]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string, title string, text string")).collect()}
+    assert WORD.findall(got[1]) == words and got[2].count("a  b") == 20_000
+
+
 def test_html_never_fails(spark, empty):
     rng = random.Random(3)
     parts = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</table>", "<li>", "<ul>", "</ul>", "<!--", "-->", "<b", ">", "text ", "&amp", "<script>", "</script>", "<div>" * 300, '<a href="', "\x00"]
@@ -232,6 +326,8 @@ def test_quality_classifier(spark, docs, labels, odd, empty, no_labels):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert all(r.score == 0.5 for r in quality_classifier.classify_quality(odd, no_labels).collect())
     assert quality_classifier.classify_quality(empty, labels).isEmpty()
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "solo" * 300_000)], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in quality_classifier.classify_quality(long, marks).collect())
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
 
 
@@ -274,12 +370,32 @@ def test_mixing(spark, monkeypatch):
 
 
 def test_mixing_levels(spark):
-    rows = spark.range(5000).select(F.lit("a").alias("source"), F.col("id").alias("doc_id"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("fraction"))
+    rows = spark.range(5000).select(F.lit("a").alias("source"), F.lit(True).alias("named"), F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.xxhash64("id").alias("unit"), (F.col("id") % 50 + 1).alias("size"), F.lit(0.3).alias("fraction"))
     got = mixing.pivotal_rounding(rows, 5000, chunk=40, fan_in=5).collect()
-    assert len(got) == 5000 and {r.fraction for r in got} == {0.0, 1.0}
+    assert sorted(r.doc_id for r in got) == list(range(5000)) and {r.fraction for r in got} == {0.0, 1.0}
     assert abs(sum(r["size"] * r.fraction for r in got) - 0.3 * sum(r["size"] for r in got)) <= 50
 
 
+def test_mixing_decides_rows_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 300)
+    rng = random.Random(3)
+    rows = [(7, "w " * rng.randrange(1, 80), "a", "x") for _ in range(500)] + [(i, "w " * rng.randrange(1, 80), "b", "x") for i in range(1000, 2000)]
+    rows += [(None, "w " * 10, "c", f"x{i % 3}") for i in range(2000)] + [(None, None, "c", "x"), (-1, "w w", "c", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got, again = (mixing.mix_sources(df).collect() for df in (docs, docs.repartition(5)))
+    assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
+    assert collections.Counter((r.doc_id, r.source, r["size"]) for r in got) == collections.Counter((d, s, len(WORD.findall(t or ""))) for d, t, s, _ in rows)
+    for source in "abc":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
+        assert all(r.taken <= 3 * r["size"] for r in mine)
+    copies = collections.Counter((r.doc_id, r.source, r.text) for r in mixing.take_copies(docs).collect())
+    sums = collections.Counter()
+    for r in got:
+        sums[r.doc_id, r.source, r["size"]] += r.copies if r["size"] else 0
+    assert sum(copies.values()) == sum(sums.values()) and sum(n for (d, s, _), n in copies.items() if s == "c" and d is None) == sums[None, "c", 10]
+
+
 def test_mixing_on_odd_rows(odd, empty):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 3 * r["size"] for r in got)
@@ -287,25 +403,44 @@ def test_mixing_on_odd_rows(odd, empty):
 
 
 def test_cross_parsing():
-    parser = language_id.fit({"x": ["abcabcab"], "y": ["zzzzzyx"]})
-    texts = ["abcab", "zzz", "qq", "cabz"]
-
-    def phrases(text, codes):
-        n, i = 0, 0
+    rng = random.Random(1)
+    letters = "abcdéñ中文字 .²"
+    samples = {k: ["".join(rng.choices(letters, k=300)) for _ in range(2)] for k in "xyz"}
+    parser = language_id.fit(samples)
+    # Shorter and much longer texts than what is walked together, unknown letters, and nothing.
+    texts = ["".join(rng.choices(letters + "qЖ", k=rng.choice([0, 1, 5, 40, 700, 5000]))) for _ in range(80)] + ["", "²½"]
+
+    def phrases(text, train):
+        n = i = 0
         while i < len(text):
             j = i
-            while j < len(text) and any((codes[k : k + j - i + 1] == text[i : j + 1]).all() for k in range(len(codes) - (j - i))):
+            while j < len(text) and text[i : j + 1] in train:
                 j += 1
             i = max(j, i + 1)
             n += 1
         return n
 
     got, lengths = parser.parse(texts)
-    for i, t in enumerate(texts):
-        for k, lang in enumerate(("abcabcab", "zzzzzyx")):
-            codes = np.append(parser.codes(lang), 1)
-            assert got[i, k] == phrases(parser.codes(t), codes), (t, lang)
-    assert lengths.tolist() == [5, 3, 2, 4]
+    for i, text in enumerate(texts):
+        symbols = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).encode()
+        assert lengths[i] == len(symbols)
+        for k, lang in enumerate(sorted(samples)):
+            train = re.sub(" +", " ", "".join(c if c.isalpha() else " " for s in samples[lang] for c in s.lower() + " ")).encode()
+            assert got[i, k] == phrases(symbols, train), (text[:40], lang)
+
+
+def test_all_languages_are_learnt(spark, monkeypatch):
+    """More languages than one would name, some with long texts only, in several scripts."""
+    rng = random.Random(12)
+    names = [f"l{i:02d}" for i in range(90)]
+    letters = {n: [chr(rng.choice([0x61, 0x430, 0x4E00, 0xAC00]) + rng.randrange(24)) for _ in range(8)] for n in names}
+    text = lambda n, k: " ".join("".join(rng.choices(letters[n], k=6)) for _ in range(k))
+    rows = [(i, text(n, 4000 if i % 9 == 0 else 60), n) for i, n in enumerate(names * 6)]
+    got = language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    held = [(r.lang_pred, rows[r.doc_id][2]) for r in got if r.held_out]
+    assert {r.lang_pred for r in got} <= set(names) and sum(a == b for a, b in held) >= 0.9 * len(held)
+    odd = spark.createDataFrame([(1, "² ½ 12", "x"), (2, "中", "x"), (3, None, "x")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify_languages(odd).collect()} == {1: True, 2: False, 3: True}
 
 
 def test_language_id(spark, odd, empty):
@@ -355,7 +490,12 @@ def test_decontamination(spark, odd, empty):
         texts.append((i, rng.choice(["", "! "]) + " - ".join(words).upper() if i % 2 else " ".join(words)))
     texts += [(900, None), (901, "..."), (902, "the")]
     table = spark.createDataFrame(bench, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), table).collect()}
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = decontamination.find_contamination(documents, table).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows}
+    # The same where the set is too large to broadcast.
+    both = [sorted(map(tuple, decontamination.window_hits(documents, table, most_rows=n).distinct().collect()), key=repr) for n in (0, 1000)]
+    assert both[0] == both[1] and both[0]
     split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(s))
     windows = collections.defaultdict(set)
     for item, text in bench:
@@ -383,26 +523,68 @@ def test_decontamination_judges_rows_not_ids(spark):
     docs = spark.createDataFrame(rows, "row int, doc_id long, text string")
     left = decontamination.remove_contaminated(docs, table)
     assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == [1, 2, 4]
+    every = collections.Counter((r.doc_id, r.n_words, r.n_hit) for r in decontamination.find_contamination(docs, table).collect())
+    assert every == collections.Counter([(None, 13, 12), (None, 1, 0), (None, 0, 0), (4, 13, 12), (4, 1, 0), (5, 13, 12), (6, 24, 24)])
     # As the SQL twin counts: an item without an id is one, with no name in the hash.
     got = {r.doc_id: r for r in decontamination.find_contamination(docs.where("row > 4"), table).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256) for i in (5, 6)] == [(12, 1, sha("")), (24, 2, sha("1"))]
 
 
-def test_toxicity_is_exact_search(spark):
-    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    index = toxicity.fit(big, marks)
-    flat = index.weights.reshape(len(index.vocabulary), -1)
-    rng = np.random.default_rng(8)
-    for _ in range(200):
-        t = np.sort(rng.choice(len(index.vocabulary), rng.integers(1, 9), replace=False))
-        w = rng.random(len(t))
-        w /= np.linalg.norm(w)
-        docs, cos = index.nearest(t, w)
-        every = (w @ flat[t]).round(9)
-        order = [d for d in np.lexsort((np.append(index.ids, [2**62] * (len(every) - len(index.ids))), -every)) if every[d] > 0][: toxicity.NEIGHBOURS]
-        assert docs.tolist() == [int(d) for d in order] and np.allclose(cos, every[order])
+PLAIN = re.compile(rb"(?:[0-9A-Za-z]|[\x80-\xff])+")
+
+
+def _terms(text):
+    """Words and their beginnings, with their counts."""
+    words = PLAIN.findall(low(text).encode())
+    return collections.Counter(words) + collections.Counter((b"^", w[:k]) for w in words for k in toxicity.BEGINNINGS if len(w) > k)
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    """Neighbours, cosines, votes and scores from the raw texts."""
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    where = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    texts, marks = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    index = toxicity.fit(docs, labels)
+    bags = {i: _terms(texts[i]) for i in marks if texts.get(i) is not None}
+    bags = {i: b for i, b in bags.items() if b}
+    assert sorted(index.ids.tolist()) == sorted(bags)  # every example that has a word
+    prior, n = sum(marks.values()) / len(marks), len(bags)
+    of = [max(1, sum(marks[i] == k for i in bags)) for k in (0, 1)]
+    having = [collections.Counter(t for i, b in bags.items() if marks[i] == k for t in b) for k in (0, 1)]
+
+    def weight(t):
+        a, b = having[0][t], having[1][t]
+        if not a + b:
+            return math.log(n) + 1
+        return (math.log(max(1, 1 / ((1 - prior) * a / of[0] + prior * b / of[1]))) + 1) * math.log2(2 + b / max(1, a * of[1] / of[0]))
+
+    def vector(bag):
+        w = {t: (1 + math.log(c)) * weight(t) for t, c in bag.items()}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / length for t, x in w.items()}
+
+    vectors = {i: vector(b) for i, b in bags.items()}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    a, b = index.curve
+    for i in sorted(texts)[::9]:
+        mine = vector(_terms(texts[i])) if texts[i] and _terms(texts[i]) else {}
+        cos = {j: sum(x * v[t] for t, x in mine.items() if t in v) for j, v in vectors.items()}
+        best = sorted((j for j in cos if cos[j] > 1e-9), key=lambda j: (-cos[j], j))[: toxicity.NEIGHBOURS]
+        w = {j: cos[j] * n * ((prior / of[1]) if marks[j] else (1 - prior) / of[0]) for j in best}
+        share = (sum(w[j] for j in best if marks[j]) + toxicity.PRIOR_WEIGHT * prior) / (sum(w.values()) + toxicity.PRIOR_WEIGHT)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(a * share + b))), abs=1e-4), i
+        assert [cos[j] for j in got[i].evidence] == pytest.approx([cos[j] for j in best], abs=1e-6)
+
+
+def test_toxicity_scores_are_calibrated(spark):
+    where = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    held = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").select("score", "toxic").collect()
+    assert abs(sum(r.score for r in held) - sum(r.toxic for r in held)) <= 0.15 * sum(r.toxic for r in held)
+    assert sum(r.toxic for r in held if r.score > 0.9) >= 0.9 * sum(r.score > 0.9 for r in held)
+    assert sum(r.toxic for r in held if r.score < 0.05) <= 0.05 * sum(r.score < 0.05 for r in held)
 
 
 def test_toxicity(spark, odd, empty, no_labels):
@@ -414,6 +596,8 @@ def test_toxicity(spark, odd, empty, no_labels):
     assert sum(r.predicted for r in held if not r.toxic) <= 0.06 * (len(held) - len(toxic))
     got = toxicity.score_toxicity(odd, marks).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+    long = spark.createDataFrame([(1, "word " * 300_000, 0), (2, "solo" * 200_000, 1)], "doc_id long, text string, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(long, marks).collect())
     assert all(r.score == 0 for r in toxicity.score_toxicity(odd, no_labels).collect()) and toxicity.score_toxicity(empty, marks).isEmpty()
 
 
@@ -452,13 +636,63 @@ def test_secrets(spark, odd, empty):
     assert same.columns == odd.columns and same.count() == len(ODD)
 
 
+def test_secret_models_against_brute_force(spark):
+    """Log-likelihood ratios from counted transitions, and the spans that they make."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rng = random.Random(10)
+    alphabets = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz0123456789", "hex": "0123456789ABCDEF"}
+    kinds = [("base62", 24), ("base62", 40), ("base62", 100), ("base32", 32), ("lower", 32), ("hex", 32)]
+    secret = [(10**6 + i, f"some words {''.join(rng.choices(alphabets[k], k=n))} and more", k) for i, (k, n) in enumerate(kinds * 20)]
+    plain = ["src/main/java/org/example/project/Handler", "thisIsAnOrdinaryIdentifierName", "SOME_ORDINARY_CONSTANT_NAME", "another-ordinary-page-title-here", "documents/reports/annual/summary"]
+    extra = [(2 * 10**6 + i, f"see {x} there", "plain") for i, x in enumerate(plain)]
+    table = docs.unionByName(spark.createDataFrame([r[:2] for r in secret + extra], docs.schema))
+    spans = {}
+    for r in secrets.scan_spans(table).collect():
+        spans.setdefault(r.doc_id, []).append(r)
+    hit = lambda rows: sum(any(s.kind == "markov" for s in spans.get(r[0], [])) for r in rows)
+    for kind in alphabets:
+        rows = [r for r in secret if r[2] == kind]
+        assert hit(rows) >= 0.9 * len(rows), kind
+    assert sum(any(s.kind == "markov" for s in v) for i, v in spans.items() if i < 10**6) <= 0.01 * docs.count()
+    # The ratio of each token, counted again from the same samples.
+    stored = secrets.store(secrets._spans(table), "test-spans")
+    base = stored.where("kind != 'token'")
+    ordinary = secrets.store(secrets.identifiers(table), "test-identifiers")
+    random_rows = secrets.digests(ordinary.select(F.concat(F.lit("seed "), "value").alias("value"))).union(base.select(secrets.family(F.col("value")), "value").where("length(value) >= 12")).collect()
+    counts = [collections.Counter() for _ in range(len(secrets.FAMILIES) + 1)]
+    for family, value in [(r[0], r[1]) for r in random_rows] + [(len(secrets.FAMILIES), r.value) for r in ordinary.where("NOT held").collect()]:
+        counts[family].update(zip(["", *value], value))
+
+    def log(k, a, b):
+        n = counts[k]
+        own = (sum(v for (_, y), v in n.items() if y == b) + secrets.SMOOTHING) / (sum(n.values()) + secrets.SMOOTHING * (secrets.SIDE - 1))
+        return math.log((n[a, b] + secrets.BACKOFF * own) / (sum(v for (x, _), v in n.items() if x == a) + secrets.BACKOFF))
+
+    patterns = [(i, re.compile(p)) for i, (_, p, _) in enumerate(secrets.FAMILIES) if p]
+    last = [name for name, _, _ in secrets.FAMILIES].index("base64")
+    for r in [s for v in spans.values() for s in v if s.kind == "markov"][:12]:
+        k = next((i for i, p in patterns if p.match(r.value)), last)
+        want = sum(log(k, a, b) - log(len(secrets.FAMILIES), a, b) for a, b in zip(["", *r.value], r.value))
+        assert r.llr == pytest.approx(want, abs=1e-3 * len(r.value))
+
+
+def test_long_tokens_and_redaction(spark):
+    rng = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    big, hexes = "".join(rng.choices(letters, k=1_000_000)), [f"{rng.getrandbits(64):016x}" for _ in range(3000)]
+    rows = [(1, f"é {big} z"), (2, " x ".join(hexes)), (3, "so on " * 900 + hexes[0] + hexes[1]), (None, hexes[2]), (None, "clean"), (4, None), (4, f"token={hexes[3]}{hexes[4]}!")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, value string")
+    clean = {(r.doc_id, r.text) for r in secrets.redact_secrets(docs).collect()}
+    assert clean == {(1, "é [SECRET] z"), (2, " x ".join(["[SECRET]"] * 3000)), (3, "so on " * 900 + "[SECRET]"), (None, "[SECRET]"), (None, "clean"), (4, None), (4, "[SECRET]!")}
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, DATA)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert out.columns == docs.columns and 0 < out.select("doc_id").distinct().count() < docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "decontamination", "secrets", "mixing"]
-    # Brute force of all but the mix: base rules, groups, windows.
+    # Brute force of the base rules, groups, windows and base spans; the mix by its targets.
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     kept = quality_rules.keep_good(docs, labels)
     base = {r.doc_id for r in docs.collect() if (s := _statistics(r.text))[0] >= 50 and 100 * s[4] <= 50 * s[0]}
@@ -466,3 +700,33 @@ def test_pipeline(spark, tmp_path):
     groups = _brute_components([(r.doc_id, r.text) for r in kept.collect()], 5, 80)
     single = near_duplicates.drop_near_duplicates(kept)
     assert {r.doc_id for r in single.collect()} == {i for i, g in groups.items() if g[2]}
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(s))
+    grams = {tuple(w[i : i + min(10, len(w))]) for r in bench.collect() for w in [split(r.text)] if w for i in range(len(w) - min(10, len(w)) + 1)}
+    left = corpus_pipeline.decontaminate(spark, single, DATA)
+    free = lambda w: not any(tuple(w[i : i + k]) in grams for k in {len(g) for g in grams} for i in range(len(w) - k + 1))
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in single.collect() if free(split(r.text))}
+    masked = corpus_pipeline.secrets(spark, left, DATA)
+    assert masked.columns == docs.columns and masked.count() == left.count() and not any(_spans(r.text) for r in masked.collect())
+    before = {r.doc_id: r.text for r in left.collect()}
+    assert all(r.text == before[r.doc_id] or "[SECRET]" in r.text for r in masked.collect()) and all("[SECRET]" in r.text for r in masked.collect() if _spans(before[r.doc_id]))
+    assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in masked.collect()}
+    sizes = collections.Counter()
+    for r in masked.collect():
+        sizes[r.source] += len(WORD.findall(r.text or ""))
+    taken = collections.Counter()
+    for r in out.collect():
+        taken[r.source] += len(WORD.findall(r.text or ""))
+    longest = max(len(WORD.findall(r.text or "")) for r in masked.collect())
+    assert all(abs(taken[s] - want) <= longest for s, want in _targets(sizes).items())
+
+
+def test_stages_on_odd_rows(spark, odd, empty, no_labels):
+    """Null ids, sources and texts, repeated rows, an empty table and extra columns, stage by stage."""
+    table = spark.createDataFrame([(1, "x")], "item_id long, text string")
+    stages = [lambda d: quality_rules.keep_good(d, no_labels), near_duplicates.drop_near_duplicates, lambda d: decontamination.remove_contaminated(d, table), secrets.redact_secrets, mixing.take_copies]
+    for stage in stages:
+        for docs in (odd, empty):
+            got = stage(docs)
+            assert got.columns == docs.columns and got.count() <= 3 * docs.count()
+    assert secrets.redact_secrets(odd).count() == len(ODD) and decontamination.remove_contaminated(odd, table).count() == len(ODD)
