@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -117,8 +117,14 @@ def new_work(items: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return items.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def content_sum(rows: DataFrame) -> Column:
+    """Aggregate that names a set of rows whatever their order: the sum of 60 bits of each row's md5; doubles count to a millionth."""
+    parts = [F.round(F.col(f.name) * 1e6).cast("long") if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in rows.schema.fields]
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.sum(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
 def lift_fingerprints(clouds: DataFrame, masks: DataFrame, thresholds: str) -> DataFrame:
     """Key of each scene's lift: its cloud's fingerprint, the thresholds, its mask count and a hash of the masks' content."""
-    content = F.sum(F.xxhash64(*[F.col(c) for c in masks.columns]).cast("decimal(38,0)"))
-    seen = masks.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_masks"), content.alias("__h"))
+    seen = masks.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_masks"), content_sum(masks).alias("__h"))
     return clouds.join(seen, "scene_id", "left").select("scene_id", F.sha2(F.concat_ws("|", "fingerprint", F.lit(thresholds), F.coalesce("n_masks", F.lit(0)).cast("string"), F.coalesce(F.col("__h").cast("string"), F.lit(""))), 256).alias("work_key"))

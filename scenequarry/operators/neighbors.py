@@ -42,10 +42,21 @@ def similar_neighbours(objects: DataFrame, radius: float = 0.6, least: float = 0
     return joined.where(label_similar(F.col("__la"), F.col("__lb"), least)).select("scene_id", "a", "b")
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``(scene_id, box_id, point_idx)`` of points inside ``boxes(scene_id, box_id, lo_x … hi_z)``, faces included."""
+def points_in_boxes(points: DataFrame, boxes: DataFrame, base: float = 0.5) -> DataFrame:
+    """``(scene_id, box_id, point_idx)`` of points inside ``boxes(scene_id, box_id, lo_x … hi_z)``, faces included.
+
+    A box lies on the grid whose cells (``base`` times a power of two) are no smaller than it, in at most eight of them; a point takes one cell of each
+    such grid. So points and boxes meet on cells, not on scenes.
+    """
+    edge = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in XYZ])
+    sized = boxes.where(" AND ".join(f"lo_{c} <= hi_{c}" for c in XYZ)).withColumn("__l", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge, F.lit(base)) / base))).cast("int"))
+    levels = sorted(r[0] for r in sized.select("__l").distinct().collect())
+    cell = F.lit(base) * F.pow(F.lit(2.0), F.col("__l"))
+    for c, k in zip(XYZ, CELL, strict=True):
+        sized = sized.withColumn(k, F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / cell), F.floor(F.col(f"hi_{c}") / cell))))
+    placed = points.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels or [0]]))).withColumns({k: F.floor(F.col(c) / cell) for k, c in zip(CELL, XYZ, strict=True)})
     inside = " AND ".join(f"{c} >= lo_{c} AND {c} <= hi_{c}" for c in XYZ)
-    return points.join(small(boxes), "scene_id").where(inside).select("scene_id", "box_id", "point_idx")
+    return placed.join(small(sized), ["scene_id", "__l", *CELL]).where(inside).select("scene_id", "box_id", "point_idx")
 
 
 def nearest_graph(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFrame:
@@ -57,18 +68,40 @@ def nearest_graph(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFr
 
 
 def pick_points(points: DataFrame, rays: DataFrame, radius: float = 0.05) -> DataFrame:
-    """First point along each ray of ``rays(scene_id, ray_id, ox, oy, oz, dx, dy, dz)`` (unit directions) within ``radius`` of it."""
+    """First point along each ray of ``rays(scene_id, ray_id, ox, oy, oz, dx, dy, dz)`` (unit directions) within ``radius`` of it.
+
+    A ray takes the grid's cells around it, as far as its scene's points reach; points meet rays on cells.
+    """
+    size = max(8 * radius, 1e-9)
+    bounds = stored(points.groupBy("scene_id").agg(*[f(c).alias(f"__{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]), "bounds")
+    # Steps of a cell from where the ray enters the bounds to where it leaves them; each step takes the 27 cells around.
+    enter, leave = [], []
+    for c in XYZ:
+        d = F.col(f"d{c}")
+        ends = [(F.col(f"__lo{c}") - radius - F.col(f"o{c}")) / d, (F.col(f"__hi{c}") + radius - F.col(f"o{c}")) / d]
+        along = F.abs(d) > 1e-12
+        enter.append(F.when(along, F.least(*ends)).otherwise(F.lit(float("-inf"))))
+        leave.append(F.when(along, F.greatest(*ends)).otherwise(F.lit(float("inf"))))
+    reach = rays.join(small(bounds), "scene_id").withColumns({"__t0": F.greatest(F.lit(0.0), *enter), "__t1": F.least(*leave)}).where("__t1 >= __t0")
+    steps = reach.withColumn("__i", F.explode(F.sequence(F.lit(0), F.ceil((F.col("__t1") - F.col("__t0")) / size).cast("int"))))
+    at = {c: F.col(f"o{c}") + (F.col("__t0") + F.col("__i") * size) * F.col(f"d{c}") for c in XYZ}
+    names = ["scene_id", "ray_id", *[f"{k}{c}" for k in "od" for c in XYZ]]
+    cells = _celled(steps.select(*names, *[v.alias(c) for c, v in at.items()]), size, True).select(*names, *CELL).distinct()
     rel = [F.col(c) - F.col(f"o{c}") for c in XYZ]
     t = sum((r * F.col(f"d{c}") for r, c in zip(rel, XYZ, strict=True)), F.lit(0.0))
     off = sum((r * r for r in rel), F.lit(0.0)) - F.col("__t") ** 2
-    hit = points.join(small(rays), "scene_id").withColumn("__t", t).where(F.col("__t") > 0).where(off <= radius**2)
+    hit = _celled(points, size, False).join(cells, ["scene_id", *CELL]).withColumn("__t", t).where(F.col("__t") > 0).where(off <= radius**2)
     best = F.min_by(F.struct("point_idx", *XYZ, F.col("__t").alias("t")), F.struct("__t", "point_idx"))
     return hit.groupBy("scene_id", "ray_id").agg(best.alias("p")).select("scene_id", "ray_id", "p.*")
 
 
 def sample_per_group(rows: DataFrame, keys: list[str], ident: str, most: int = 500, seed: int = 7) -> DataFrame:
-    """At most ``most`` rows of each group, the same ones on every run: the least hashes of seed and id."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), ident), ident))
+    """At most ``most`` rows of each group, the same ones on every run: the least hashes of seed and id.
+
+    Ranking keeps a group's first ``most`` rows of each task, so that no task sees a whole group.
+    """
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, ident))
     return rows.withColumn("__i", rank).where(F.col("__i") <= most).drop("__i")
 
 
@@ -78,15 +111,17 @@ def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30) -
     A core point has ``least`` points within ``radius``, itself included. Clusters are components of core points, numbered by
     their least core id; a border point joins the least component it touches.
     """
-    pairs = stored(near_pairs(points, points, radius))
-    core = stored(pairs.groupBy("scene_id", "a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene_id", "a"))
-    of_core = pairs.join(core, ["scene_id", "a"], "left_semi")
-    edges = of_core.join(core.withColumnRenamed("a", "b"), ["scene_id", "b"], "left_semi").where("a < b").select("scene_id", "a", "b")
-    label = connected_components(core.withColumnRenamed("a", "node"), edges)
+    pairs = near_pairs(points, points, radius)
+    core = stored(pairs.groupBy("scene_id", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene_id", "id"), "core-points")
+    core_points = stored(points.join(core, ["scene_id", "id"], "left_semi").select("scene_id", "id", *XYZ), "core-points")
+    # Pairs are not kept: those of core points are found again, which are fewer.
+    edges = near_pairs(core_points, core_points, radius).where("a < b").select("scene_id", "a", "b")
+    label = connected_components(core.withColumnRenamed("id", "node"), edges)
     number = label.select("scene_id", "component").distinct().withColumn("cluster", (F.dense_rank().over(Window.partitionBy("scene_id").orderBy("component")) - 1).cast("int"))
-    touched = of_core.join(label.withColumnRenamed("node", "a"), ["scene_id", "a"]).groupBy("scene_id", F.col("b").alias("id")).agg(F.min("component").alias("component"))
-    own = label.select("scene_id", F.col("node").alias("id"), F.col("component").alias("__own"))
-    best = touched.join(own, ["scene_id", "id"], "left").select("scene_id", "id", F.coalesce("__own", "component").alias("component")).join(number, ["scene_id", "component"])
+    own = label.select("scene_id", F.col("node").alias("id"), "component")
+    others = points.join(core, ["scene_id", "id"], "left_anti")
+    touched = near_pairs(core_points, others, radius).join(own.withColumnRenamed("id", "a"), ["scene_id", "a"]).groupBy("scene_id", F.col("b").alias("id")).agg(F.min("component").alias("component"))
+    best = own.unionByName(touched).join(number, ["scene_id", "component"])
     return points.select("scene_id", "id").join(best.select("scene_id", "id", "cluster"), ["scene_id", "id"], "left").na.fill(-1, ["cluster"])
 
 

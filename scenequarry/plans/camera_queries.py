@@ -84,15 +84,32 @@ def _(get):
     return s.select("scene_id", "frame_ord", "u", "v", "x", "y", "z", "f_dc_0", "opacity", "scale_0", "scale_2")
 
 
-@add("s9_splat_export", None, "rot_0 rot_1 rot_2 rot_3")
+_UNIT = "sqrt({0}0 * {0}0 + {0}1 * {0}1 + {0}2 * {0}2) + 1e-9"
+_ALONG = "(yy0 * a0 + yy1 * a1 + yy2 * a2)"
+_SPLAT = _SURFELS[: _SURFELS.rindex("SELECT scene_id, frame_ord")] .rstrip() + f""",
+e0 AS (SELECT *, xu AS xx0, yu AS xx1, zu AS xx2, xv AS yy0, yv AS yy1, zv AS yy2 FROM kp), e1 AS (SELECT *, xx0 / ({_UNIT.format('xx')}) AS a0, xx1 / ({_UNIT.format('xx')}) AS a1, xx2 / ({_UNIT.format('xx')}) AS a2 FROM e0),
+e2 AS (SELECT *, yy0 - {_ALONG} * a0 AS t0, yy1 - {_ALONG} * a1 AS t1, yy2 - {_ALONG} * a2 AS t2 FROM e1), e3 AS (SELECT *, t0 / ({_UNIT.format('t')}) AS b0, t1 / ({_UNIT.format('t')}) AS b1, t2 / ({_UNIT.format('t')}) AS b2 FROM e2),
+e4 AS (SELECT *, a1 * b2 - a2 * b1 AS c0, a2 * b0 - a0 * b2 AS c1, a0 * b1 - a1 * b0 AS c2 FROM e3), e5 AS (SELECT *, c0 / ({_UNIT.format('c')}) AS n0, c1 / ({_UNIT.format('c')}) AS n1, c2 / ({_UNIT.format('c')}) AS n2 FROM e4),
+q0 AS (SELECT *, CASE WHEN a0 + b1 + n2 > 0 THEN 0 WHEN a0 >= b1 AND a0 >= n2 THEN 1 WHEN b1 >= n2 THEN 2 ELSE 3 END AS k FROM e5), q1 AS (SELECT *, 2 * sqrt(greatest(CASE k WHEN 0 THEN a0 + b1 + n2 + 1 WHEN 1 THEN 1 + a0 - b1 - n2 WHEN 2 THEN 1 + b1 - a0 - n2 ELSE 1 + n2 - a0 - b1 END, 1e-12)) AS s FROM q0),
+q2 AS (SELECT *, (b2 - n1) / s AS wx, (n0 - a2) / s AS wy, (a1 - b0) / s AS wz, (b0 + a1) / s AS xy, (n0 + a2) / s AS xz, (n1 + b2) / s AS yz FROM q1),
+q3 AS (SELECT *, CASE k WHEN 0 THEN s / 4 WHEN 1 THEN wx WHEN 2 THEN wy ELSE wz END AS q0, CASE k WHEN 0 THEN wx WHEN 1 THEN s / 4 WHEN 2 THEN xy ELSE xz END AS q1, CASE k WHEN 0 THEN wy WHEN 1 THEN xy WHEN 2 THEN s / 4 ELSE yz END AS q2, CASE k WHEN 0 THEN wz WHEN 1 THEN xz WHEN 2 THEN yz ELSE s / 4 END AS q3 FROM q2),
+q4 AS (SELECT *, sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) + 1e-9 AS qn FROM q3)
+SELECT scene_id, x, y, z, 0.0 AS nx, 0.0 AS ny, 0.0 AS nz, (r - 0.5) / {g.SH_C0} AS f_dc_0, (g - 0.5) / {g.SH_C0} AS f_dc_1, (b - 0.5) / {g.SH_C0} AS f_dc_2, ln(least(greatest(conf, 0.1), 0.99) / (1 - least(greatest(conf, 0.1), 0.99))) AS opacity,
+ln(greatest(depth * 4 / focal, 1e-6)) AS scale_0, ln(greatest(depth * 4 / focal, 1e-6)) AS scale_1, ln(greatest(greatest(depth * 4 / focal, 1e-6) * 0.3, 1e-6)) AS scale_2, q0 / qn AS rot_0, q1 / qn AS rot_1, q2 / qn AS rot_2, q3 / qn AS rot_3 FROM q4"""
+
+
+@add("s9_splat_export", _SPLAT, "x y z nx ny nz f_dc_0 f_dc_1 f_dc_2 opacity scale_0 scale_1 scale_2 rot_0 rot_1 rot_2 rot_3", 5)
 def _(get):
     return cloud.splat_export_columns(camera.surfels(get("pixels"), get("pixel_cameras")))
 
 
-@add("s10_points_export", f"SELECT scene_id, x, y, z, CAST(trunc(least(greatest(least(greatest((x / 5 - 0.5) / {g.SH_C0} * {g.SH_C0} + 0.5, 0), 1) * 255 , 0), 255)) AS INT) AS red, conf AS confidence FROM points WHERE CAST(x * 1000 AS BIGINT) % 7 <> 3", "x y z confidence")
+_DYES = (("red", "x", 5), ("green", "y", 3), ("blue", "z", 6))
+
+
+@add("s10_points_export", "SELECT scene_id, x, y, z, " + ", ".join(f"CAST(trunc(least(greatest(least(greatest(({c} / {n} - 0.5) / {g.SH_C0} * {g.SH_C0} + 0.5, 0), 1) * 255, 0), 255)) AS INT) AS {name}" for name, c, n in _DYES) + ", conf AS confidence FROM points", "x y z confidence")
 def _(get):
-    dyed = get("points").where("CAST(round(x * 1000) AS BIGINT) % 7 != 3").withColumns({f"f_dc_{i}": g.rgb_to_dc(F.col("x") / 5) for i in range(3)})
-    return cloud.points_export_columns(dyed).drop("green", "blue")
+    dyed = get("points").withColumns({f"f_dc_{i}": g.rgb_to_dc(F.col(c) / n) for i, (_, c, n) in enumerate(_DYES)})
+    return cloud.points_export_columns(dyed)
 
 
 @add("g12_smooth_depth", "WITH c AS (SELECT scene_id, frame_ord, u, v, coalesce(depth, 0) AS d FROM pixels), o AS (SELECT a.du, b.dv, a.du * a.du + b.dv * b.dv AS r FROM (SELECT unnest(range(-2, 3)) AS du) a, (SELECT unnest(range(-2, 3)) AS dv) b WHERE a.du * a.du + b.dv * b.dv <= 4), j AS (SELECT c.scene_id, c.frame_ord, c.u, c.v, q.d AS qd, exp(-r / 5000.0 - (q.d - c.d) * (q.d - c.d) / (2 * 0.05 * 0.05)) AS w FROM c, o, c q WHERE q.scene_id = c.scene_id AND q.frame_ord = c.frame_ord AND q.u = c.u - du AND q.v = c.v - dv) SELECT scene_id, frame_ord, u, v, sum(w * qd) / sum(w) AS depth FROM j GROUP BY ALL", "depth")

@@ -101,26 +101,34 @@ def _(get):
     return cloud.colorize(get("points").select("scene_id", "point_idx", "x", "y", "z")).select("scene_id", "point_idx", "t", "r", "g", "b")
 
 
-@add("j7_points_in_boxes", "WITH bx AS (SELECT CASE ordinal % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS scene_id, id AS box_id, lo_x, lo_y, lo_z, hi_x, hi_y, hi_z FROM annotations WHERE ordinal < 60 AND scene_id = '0') SELECT scene_id, box_id, count(*) AS n, CAST(sum(point_idx % 1000003) AS BIGINT) AS id_sum FROM points JOIN bx USING (scene_id) WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z GROUP BY scene_id, box_id")
+_BOXES = "bx AS (SELECT 's' || scene_id AS scene_id, id AS box_id, lo_x, lo_y, lo_z, hi_x, hi_y, hi_z FROM annotations), ib AS (SELECT scene_id, box_id, id AS point_idx FROM points_k p JOIN bx USING (scene_id) WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z)"
+_SAMPLE = "sm AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, box_id ORDER BY md5('7:' || point_idx), point_idx) AS k FROM ib) WHERE k <= 500)"
+
+
+@add("j7_points_in_boxes", f"WITH {_BOXES} SELECT scene_id, box_id, count(*) AS n, CAST(sum(point_idx % 1000003) AS BIGINT) AS id_sum FROM ib GROUP BY scene_id, box_id")
 def _(get):
-    inside = neighbors.points_in_boxes(get("points"), _boxes(get))
+    inside = neighbors.points_in_boxes(_points_k(get), _boxes(get))
     return inside.groupBy("scene_id", "box_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
 
 
+def _points_k(get):
+    return get("points_k").withColumnRenamed("id", "point_idx")
+
+
 def _boxes(get):
-    scene = F.when(F.col("ordinal") % 3 == 0, "A").when(F.col("ordinal") % 3 == 1, "N").otherwise("R")
-    return get("annotations").where("ordinal < 60 AND scene_id = '0'").select(scene.alias("scene_id"), F.col("id").alias("box_id"), *[f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"])
+    """Boxes of all annotations."""
+    return get("annotations").select(F.concat(F.lit("s"), "scene_id").alias("scene_id"), F.col("id").alias("box_id"), *[f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"])
 
 
-@add("w16_object_samples")
+@add("w16_object_samples", f"WITH {_BOXES}, {_SAMPLE.replace('500', '20')} SELECT scene_id, box_id, count(*) AS n, CAST(sum(point_idx % 1000003) AS BIGINT) AS id_sum FROM sm GROUP BY scene_id, box_id")
 def _(get):
-    inside = neighbors.points_in_boxes(get("points"), _boxes(get))
-    return neighbors.sample_per_group(inside, ["scene_id", "box_id"], "point_idx", 500).groupBy("scene_id", "box_id").agg(F.count(F.lit(1)).alias("n"))
+    inside = neighbors.points_in_boxes(_points_k(get), _boxes(get))
+    return neighbors.sample_per_group(inside, ["scene_id", "box_id"], "point_idx", 20).groupBy("scene_id", "box_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
 
 
-@add("o5_wireframe_seeds", "WITH v AS (SELECT scene_id, min(point_idx) AS point_idx FROM points GROUP BY scene_id, floor(x / 0.05), floor(y / 0.05), floor(z / 0.05)), bx AS (SELECT CASE ordinal % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS scene_id, lo_x, lo_y, lo_z, hi_x, hi_y, hi_z FROM annotations WHERE ordinal < 60 AND scene_id = '0'), i AS (SELECT scene_id, point_idx FROM points JOIN bx USING (scene_id) WHERE x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y AND z BETWEEN lo_z AND hi_z) SELECT scene_id, count(*) AS n FROM (SELECT scene_id FROM v UNION ALL SELECT scene_id FROM i) GROUP BY scene_id")
+@add("o5_wireframe_seeds", f"WITH v AS (SELECT scene_id, min(id) AS point_idx FROM points_k GROUP BY scene_id, floor(x / 0.05), floor(y / 0.05), floor(z / 0.05)), {_BOXES} SELECT scene_id, count(*) AS n FROM (SELECT scene_id FROM v UNION ALL SELECT scene_id FROM ib) GROUP BY scene_id")
 def _(get):
-    points = get("points")
+    points = _points_k(get)
     seeds = cloud.first_per_voxel(points).select("scene_id").unionAll(neighbors.points_in_boxes(points, _boxes(get)).select("scene_id"))
     return seeds.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -133,32 +141,38 @@ def _(get):
     return neighbors.nearest_graph(get("points_k"))
 
 
-@add("g10_wireframe")
+@add("g10_wireframe", f"WITH {_BOXES}, {_SAMPLE}, ch AS (SELECT scene_id, min(id) AS id FROM points_k WHERE x >= -51.2 AND x < 51.2 AND y >= -51.2 AND y < 51.2 AND z >= -51.2 AND z < 51.2 GROUP BY scene_id, floor(x / 0.05), floor(y / 0.05), floor(z / 0.05) UNION SELECT scene_id, point_idx FROM sm), pc AS (SELECT p.* FROM points_k p SEMI JOIN ch ON p.scene_id = ch.scene_id AND p.id = ch.id), {_KNN.removeprefix('WITH ').replace('points_k', 'pc')}")
 def _(get):
-    few = get("points_k").withColumnRenamed("id", "point_idx")
-    boxes = get("annotations").where("ordinal < 5").select(F.concat(F.lit("s"), "scene_id").alias("scene_id"), F.col("id").alias("box_id"), *[f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"])
-    return neighbors.wireframe(few, boxes)
+    return neighbors.wireframe(_points_k(get), _boxes(get))
 
 
-@add("j9_pick_points", "WITH ry AS (SELECT 's' || scene_id AS scene_id, ordinal AS ray_id, x AS ox, y AS oy, -1.0 AS oz, 0.0 AS dx, 0.0 AS dy, 1.0 AS dz FROM annotations WHERE ordinal < 50), h AS (SELECT scene_id, ray_id, id AS point_idx, p.x, p.y, p.z, (p.z - oz) AS t FROM points_k p JOIN ry USING (scene_id) WHERE (p.z - oz) > 0 AND (p.x - ox) * (p.x - ox) + (p.y - oy) * (p.y - oy) + (p.z - oz) * (p.z - oz) - (p.z - oz) * (p.z - oz) <= 0.05 * 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, ray_id ORDER BY t, point_idx) AS k FROM h) SELECT * EXCLUDE (k) FROM r WHERE k = 1", "x y z t")
+@add("j9_pick_points", "WITH ry AS (SELECT 's' || scene_id AS scene_id, ordinal AS ray_id, x AS ox, y AS oy, -1.0 AS oz, 0.0 AS dx, 0.0 AS dy, 1.0 AS dz FROM annotations), h AS (SELECT scene_id, ray_id, id AS point_idx, p.x, p.y, p.z, (p.z - oz) AS t FROM points_k p JOIN ry USING (scene_id) WHERE (p.z - oz) > 0 AND (p.x - ox) * (p.x - ox) + (p.y - oy) * (p.y - oy) + (p.z - oz) * (p.z - oz) - (p.z - oz) * (p.z - oz) <= 0.05 * 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, ray_id ORDER BY t, point_idx) AS k FROM h) SELECT * EXCLUDE (k) FROM r WHERE k = 1", "x y z t")
 def _(get):
-    rays = get("annotations").where("ordinal < 50").select(F.concat(F.lit("s"), "scene_id").alias("scene_id"), F.col("ordinal").alias("ray_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(-1.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"))
-    return neighbors.pick_points(get("points_k").withColumnRenamed("id", "point_idx"), rays)
+    rays = get("annotations").select(F.concat(F.lit("s"), "scene_id").alias("scene_id"), F.col("ordinal").alias("ray_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(-1.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"))
+    return neighbors.pick_points(_points_k(get), rays)
 
 
-@add("g2_density_clusters")
+_DENSITY = """WITH RECURSIVE d AS (SELECT p.scene_id, p.id AS a, q.id AS b FROM points_k p JOIN points_k q ON p.scene_id = q.scene_id AND abs(p.x - q.x) <= 0.25 AND abs(p.z - q.z) <= 0.25 WHERE (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 0.25 * 0.25),
+co AS (SELECT scene_id, a FROM d GROUP BY scene_id, a HAVING count(*) >= 4), dc AS (SELECT d.* FROM d SEMI JOIN co ON d.scene_id = co.scene_id AND d.a = co.a), ed AS (SELECT dc.* FROM dc SEMI JOIN co ON dc.scene_id = co.scene_id AND dc.b = co.a WHERE dc.a <> dc.b),
+cc(scene_id, node, c) USING KEY (scene_id, node) AS (SELECT scene_id, a, a FROM co UNION SELECT ed.scene_id, ed.b, min(cc.c) FROM cc JOIN ed ON cc.scene_id = ed.scene_id AND cc.node = ed.a JOIN recurring.cc o ON o.scene_id = ed.scene_id AND o.node = ed.b AND o.c > cc.c GROUP BY ed.scene_id, ed.b),
+lb AS (SELECT scene_id, node AS id, c FROM cc UNION ALL SELECT dc.scene_id, dc.b, min(cc.c) FROM dc JOIN cc ON dc.scene_id = cc.scene_id AND dc.a = cc.node ANTI JOIN co ON dc.scene_id = co.scene_id AND dc.b = co.a GROUP BY dc.scene_id, dc.b),
+nr AS (SELECT scene_id, c, row_number() OVER (PARTITION BY scene_id ORDER BY c) - 1 AS cluster FROM (SELECT DISTINCT scene_id, c FROM cc)),
+gc AS (SELECT p.scene_id, p.id, CAST(coalesce(nr.cluster, -1) AS INT) AS cluster FROM points_k p LEFT JOIN lb ON p.scene_id = lb.scene_id AND p.id = lb.id LEFT JOIN nr ON nr.scene_id = lb.scene_id AND nr.c = lb.c)"""
+
+
+@add("g2_density_clusters", _DENSITY + " SELECT * FROM gc")
 def _(get):
     return neighbors.density_clusters(get("points_k"), 0.25, 4)
 
 
-@add("a33_noise_share")
+@add("a33_noise_share", _DENSITY + " SELECT scene_id, avg(CASE WHEN cluster = -1 THEN 1.0 ELSE 0.0 END) AS noise FROM gc GROUP BY scene_id", "noise")
 def _(get):
     from scenequarry.operators.merge import noise_share
 
     return noise_share(neighbors.density_clusters(get("points_k"), 0.25, 4))
 
 
-@add("w21_top_clusters")
+@add("w21_top_clusters", _DENSITY + " SELECT scene_id, cluster, count(*) AS n FROM gc WHERE cluster BETWEEN 0 AND 11 GROUP BY scene_id, cluster")
 def _(get):
     from scenequarry.operators.merge import top_clusters
 
@@ -225,17 +239,25 @@ def _(get):
     return room.close_gaps(room.occupied_mask(room.blurred(room.occupancy(points, grid), grid), grid), grid)
 
 
-@add("g4_filled_mask")
+_FILLED = "WITH RECURSIVE " + _CLOSED.removeprefix("WITH ") + """, ev AS (SELECT scene_id, gw, gd, cx, unnest(range(0, gd)) AS cz FROM (SELECT scene_id, gw, gd, unnest(range(0, gw)) AS cx FROM gr)),
+em AS (SELECT ev.* FROM ev ANTI JOIN cl ON ev.scene_id = cl.scene_id AND ev.cx = cl.cx AND ev.cz = cl.cz),
+fl AS (SELECT scene_id, cx, cz FROM em WHERE cx = 0 OR cz = 0 OR cx = gw - 1 OR cz = gd - 1 UNION SELECT em.scene_id, em.cx, em.cz FROM (SELECT scene_id, cx + dx AS cx, cz + dz AS cz FROM fl, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dx, dz)) s JOIN em ON s.scene_id = em.scene_id AND s.cx = em.cx AND s.cz = em.cz),
+rm AS (SELECT scene_id, cx, cz FROM cl UNION ALL SELECT em.scene_id, em.cx, em.cz FROM em ANTI JOIN fl ON em.scene_id = fl.scene_id AND em.cx = fl.cx AND em.cz = fl.cz),
+yh AS (SELECT p.scene_id, CAST(floor((y - y_min) / greatest(y_max - y_min, 1e-3) * 200) AS BIGINT) AS bin, count(*) AS c FROM points p JOIN b USING (scene_id) GROUP BY ALL), yr AS (SELECT scene_id, bin, sum(c) OVER (PARTITION BY scene_id ORDER BY bin) AS cum FROM yh WHERE bin BETWEEN 0 AND 199),
+ht AS (SELECT scene_id, min(y_min) + coalesce(min(bin) FILTER (cum >= n * 0.05), 0) / 200 * greatest(min(y_max) - min(y_min), 1e-3) AS floor_y, min(y_min) + (coalesce(min(bin) FILTER (cum >= n * 0.95), 199) + 1) / 200 * greatest(min(y_max) - min(y_min), 1e-3) AS ceiling_y FROM yr JOIN b USING (scene_id) GROUP BY scene_id)"""
+
+
+@add("g4_filled_mask", _FILLED + " SELECT * FROM rm")
 def _(get):
     points = get("points")
     return room.room_mask(points, stored(room.grids(points)))
 
 
-@add("a25_g9_room_bounds", None, "min_x max_x min_z max_z floor_y ceiling_y")
+@add("a25_g9_room_bounds", _FILLED + ", en AS (SELECT scene_id, min(cx) AS a, max(cx) AS bb, min(cz) AS c, max(cz) AS d FROM rm GROUP BY scene_id) SELECT b.scene_id, coalesce(x_min + a * 0.05, x_min) AS min_x, coalesce(x_min + (bb + 1) * 0.05, x_max) AS max_x, coalesce(z_min + c * 0.05, z_min) AS min_z, coalesce(z_min + (d + 1) * 0.05, z_max) AS max_z, floor_y, ceiling_y FROM b LEFT JOIN en USING (scene_id) JOIN ht USING (scene_id)", "min_x max_x min_z max_z floor_y ceiling_y")
 def _(get):
     return room.room_footprint(get("points"))[0]
 
 
-@add("g5_room_outline", None, "ax az bx bz floor_y ceiling_y")
+@add("g5_room_outline", _FILLED + ", sd AS (SELECT rm.*, dx, dz FROM rm, (VALUES (0, -1), (0, 1), (-1, 0), (1, 0)) o(dx, dz)), op AS (SELECT sd.* FROM sd ANTI JOIN rm ON sd.scene_id = rm.scene_id AND sd.cx + dx = rm.cx AND sd.cz + dz = rm.cz), pl AS (SELECT op.*, x_min + cx * 0.05 AS x0, z_min + cz * 0.05 AS z0 FROM op JOIN b USING (scene_id)) SELECT scene_id, cx, cz, CAST(dx AS INT) AS side_x, CAST(dz AS INT) AS side_z, CASE WHEN dx = 1 THEN x0 + 0.05 ELSE x0 END AS ax, CASE WHEN dz = 1 THEN z0 + 0.05 ELSE z0 END AS az, CASE WHEN dx = -1 THEN x0 ELSE x0 + 0.05 END AS bx, CASE WHEN dz = -1 THEN z0 ELSE z0 + 0.05 END AS bz, floor_y, ceiling_y FROM pl JOIN ht USING (scene_id)", "ax az bx bz floor_y ceiling_y")
 def _(get):
     return room.room_footprint(get("points"))[1]

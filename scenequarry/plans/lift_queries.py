@@ -127,10 +127,12 @@ def _(get):
     return kept.groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
 
 
-@add("a15_sprawling_tracks", f"WITH {_PT}, s AS (SELECT scene_id, track, count(*) AS n, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) AS d FROM pt WHERE x < 1.5 + track * 0.3 AND z < 2 GROUP BY ALL) SELECT scene_id, track, n FROM s WHERE n < 16 OR d <= 3.4")
+@add("a15_sprawling_tracks", "WITH s AS (SELECT scene_id, kx * 100 + ky * 10 + kz AS track, count(*) AS n, sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) AS d FROM (SELECT *, CAST(floor(x / 0.7) AS INT) AS kx, CAST(floor(y / 0.9) AS INT) AS ky, CAST(floor(z / 1.1) AS INT) AS kz FROM points) GROUP BY ALL) SELECT scene_id, track, n FROM s WHERE n < 16 OR d <= 1.4")
 def _(get):
-    small = _tracked(get).where("x < 1.5 + track * 0.3 AND z < 2")
-    return lift.drop_sprawling(small, 3.4).groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
+    # Blocks of the cloud, some of them long, are the tracks.
+    key = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    small = get("points").withColumn("track", key("x", 0.7) * 100 + key("y", 0.9) * 10 + key("z", 1.1))
+    return lift.drop_sprawling(small, 1.4).groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _weiszfeld(steps: int) -> str:
@@ -147,13 +149,22 @@ def _(get):
     return lift.geometric_median(_tracked(get).withColumn("w", sigmoid(F.col("opacity"))), ["scene_id", "track"], iterations=3)
 
 
-@add("a13_depth_mode_filter")
+_MODE = """, an AS (SELECT scene_id, track, frame_ord FROM (SELECT *, mask_ord % 5 AS track, row_number() OVER (PARTITION BY scene_id, mask_ord % 5 ORDER BY CASE WHEN source = 'sam' THEN 0 ELSE 1 END, area DESC, mask_ord) AS k FROM masks) WHERE k = 1),
+pd AS (SELECT pt.*, e20 * x + e21 * y + e22 * z + e23 AS d FROM pt LEFT JOIN an USING (scene_id, track) LEFT JOIN cameras USING (scene_id, frame_ord)),
+rg AS (SELECT scene_id, track, count(*) AS n, count(*) FILTER (d > 1e-6) AS f, min(d) FILTER (d > 1e-6) AS lo, max(d) FILTER (d > 1e-6) AS hi FROM pd GROUP BY ALL),
+rb AS (SELECT scene_id, track, n, greatest(20, least(60, floor(f / 8))) AS bins, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM rg),
+bd AS (SELECT pd.*, n, lo, (hi - lo) / bins AS w, CASE WHEN d > 1e-6 THEN least(floor((d - lo) / ((hi - lo) / bins)), bins - 1) END AS bin FROM pd JOIN rb USING (scene_id, track)),
+md AS (SELECT scene_id, track, arg_max(lo + (bin + 0.5) * w, c * 1000 - bin) AS mode FROM (SELECT scene_id, track, bin, count(*) AS c, min(lo) AS lo, min(w) AS w FROM bd WHERE bin IS NOT NULL GROUP BY scene_id, track, bin) GROUP BY ALL),
+nr AS (SELECT bd.*, coalesce(d > 1e-6 AND abs(d - mode) < eps, false) AS near FROM bd LEFT JOIN md USING (scene_id, track) JOIN ep USING (scene_id)), ni AS (SELECT scene_id, track, count(*) FILTER (near) AS n_in FROM nr GROUP BY ALL)"""
+
+
+@add("a13_depth_mode_filter", f"WITH {_PT}, {_EPS}{_MODE} SELECT scene_id, CAST(track AS INT) AS track, count(*) AS n, CAST(sum(point_idx % 1000003) AS BIGINT) AS id_sum FROM nr JOIN ni USING (scene_id, track) WHERE near OR NOT (n >= 16 AND n_in >= 20 AND n_in < n) GROUP BY ALL")
 def _(get):
     masks, cams, points = get("masks"), get("cameras"), get("points")
     tracks = masks.select("scene_id", "mask_ord", (F.col("mask_ord") % 5).cast("int").alias("track"))
     anchors = lift.track_anchors(masks, tracks)
     kept = lift.depth_mode_filter(_tracked(get).select("scene_id", "track", "point_idx", "x", "y", "z"), anchors, cams, cloud.depth_tolerance(cloud.scene_bounds(points)))
-    return kept.groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
+    return kept.groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
 
 
 @add("a10_track_points", f"WITH {_KEPT}, {_TRACKS.replace('rk AS', 'rkk AS').replace('JOIN rk ON m.scene_id = rk.scene_id', 'JOIN rkk ON m.scene_id = rkk.scene_id')}, u AS (SELECT DISTINCT mm.scene_id, track, point_idx FROM mm JOIN tr ON mm.scene_id = tr.scene_id AND mm.mask_ord = tr.mask_ord) SELECT scene_id, CAST(track AS INT) AS track, count(*) AS n FROM u GROUP BY ALL HAVING count(*) >= 40")
@@ -163,9 +174,13 @@ def _(get):
     return lift.track_points(kept, _tracks(get)[1]).groupBy("scene_id", "track").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("j4_containing_masks")
+_CENTROIDS = "SELECT CASE ordinal % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS scene_id, id AS point_idx, x, y, z FROM annotations"
+
+
+@add("j4_containing_masks", f"WITH ct AS ({_CENTROIDS}), {_PROJ.replace('FROM points p', 'FROM ct p')}, hm AS (SELECT pj.scene_id, point_idx AS cluster_id, m.mask_ord, m.frame_ord, area, row_number() OVER (PARTITION BY pj.scene_id, point_idx ORDER BY area DESC, mask_ord) AS k FROM pj JOIN masks m ON pj.scene_id = m.scene_id AND pj.frame_ord = m.frame_ord WHERE u >= m.\"left\" AND u < m.\"left\" + wide AND v >= m.\"top\" AND v < m.\"top\" + high) SELECT scene_id, cluster_id, mask_ord, frame_ord, area FROM hm WHERE k = 1")
 def _(get):
-    centroids = get("points").where("point_idx % 97 = 0").select("scene_id", F.col("point_idx").alias("cluster_id"), "x", "y", "z")
+    scene = F.when(F.col("ordinal") % 3 == 0, "A").when(F.col("ordinal") % 3 == 1, "N").otherwise("R")
+    centroids = get("annotations").select(scene.alias("scene_id"), F.col("id").alias("cluster_id"), "x", "y", "z")
     return lift.containing_mask(centroids, get("cameras"), get("masks"))
 
 
@@ -185,7 +200,14 @@ def _(get):
     return merged.select("scene_id", "ordinal", "id", "n_merged", "phrase", F.array_join("sources", ",").alias("sources"), "x", "y", "z")
 
 
-@add("w15_suppress_masks")
+_SUPPRESS = """WITH RECURSIVE rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_ord ORDER BY confidence DESC, mask_ord) AS k FROM masks),
+pr AS (SELECT a.scene_id, a.frame_ord, a.mask_ord AS a, b.mask_ord AS b, a.area AS sa, b.area AS sb, greatest(0, least(a."left" + a.wide, b."left" + b.wide) - greatest(a."left", b."left")) * greatest(0, least(a."top" + a.high, b."top" + b.high) - greatest(a."top", b."top")) AS inter FROM rk a JOIN rk b ON a.scene_id = b.scene_id AND a.frame_ord = b.frame_ord AND a.k < b.k),
+nb AS (SELECT scene_id, frame_ord, b, list(a) AS worse FROM pr WHERE inter > 0 AND inter / (sa + sb - inter) >= 0.3 GROUP BY ALL),
+st(scene_id, frame_ord, k, kept) AS (SELECT scene_id, frame_ord, k, [mask_ord] FROM rk WHERE k = 1 UNION ALL SELECT rk.scene_id, rk.frame_ord, rk.k, CASE WHEN list_has_any(st.kept, coalesce(nb.worse, [])) THEN st.kept ELSE list_append(st.kept, rk.mask_ord) END FROM st JOIN rk ON st.scene_id = rk.scene_id AND st.frame_ord = rk.frame_ord AND rk.k = st.k + 1 LEFT JOIN nb ON nb.scene_id = rk.scene_id AND nb.frame_ord = rk.frame_ord AND nb.b = rk.mask_ord)
+SELECT scene_id, unnest(kept) AS mask_ord FROM (SELECT scene_id, frame_ord, arg_max(kept, k) AS kept FROM st GROUP BY ALL)"""
+
+
+@add("w15_suppress_masks", _SUPPRESS)
 def _(get):
     return lift.suppress_masks(get("masks"), 0.3).select("scene_id", "mask_ord")
 
@@ -196,9 +218,21 @@ def _(get):
     return lift.mask_funnel(get("masks").select("scene_id", "frame_ord", outcome.alias("outcome")))
 
 
-@add("t7_lift_fingerprints")
+def _micro(c: str) -> str:
+    return f"coalesce(CAST(CAST(round({c} * 1e6) AS BIGINT) AS VARCHAR), '')"
+
+
+def _content(columns: list[str]) -> str:
+    return "CAST(sum(CAST('0x' || substr(md5(" + " || '|' || ".join(columns) + "), 1, 15) AS BIGINT)) AS VARCHAR)"
+
+
+_MASK_COLUMNS = ["scene_id", "mask_ord", "frame_ord", "frame_name", '"left"', '"top"', "wide", "high", "area", _micro("confidence"), "source", "phrase"]
+
+
+@add("t7_lift_fingerprints", f"WITH cl AS (SELECT scene_id, {_content(['scene_id', 'point_idx', _micro('x'), _micro('y'), _micro('z')])} AS fingerprint FROM points GROUP BY scene_id), sn AS (SELECT scene_id, count(*) AS n_masks, {_content(_MASK_COLUMNS)} AS h FROM masks GROUP BY scene_id) SELECT cl.scene_id, sha256(fingerprint || '|' || '0.05|1|0.3|0.45|40|30' || '|' || coalesce(n_masks, 0) || '|' || coalesce(h, '')) AS work_key FROM cl LEFT JOIN sn USING (scene_id)")
 def _(get):
-    clouds = get("points").groupBy("scene_id").agg(F.sum(F.xxhash64("point_idx", "x", "y", "z").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    cloud_rows = get("points").select("scene_id", "point_idx", "x", "y", "z")
+    clouds = cloud_rows.groupBy("scene_id").agg(merge.content_sum(cloud_rows).alias("fingerprint"))
     return merge.lift_fingerprints(clouds, get("masks"), "0.05|1|0.3|0.45|40|30")
 
 

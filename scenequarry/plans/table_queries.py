@@ -9,10 +9,11 @@ from scenequarry.plans.registry import REGISTRY
 add = REGISTRY.add
 
 
-@add("o6_set_operations", "WITH a AS (SELECT DISTINCT scene_id, label FROM annotations), s0 AS (SELECT label FROM a WHERE scene_id = '0'), s1 AS (SELECT label FROM a WHERE scene_id = '1') SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM s0 INTERSECT SELECT * FROM s1) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM s0 UNION SELECT * FROM s1) UNION ALL SELECT 'only_first', count(*) FROM (SELECT * FROM s0 EXCEPT SELECT * FROM s1)")
+@add("o6_set_operations", "WITH a AS (SELECT DISTINCT CAST(scene_id AS BIGINT) % 2 AS side, label FROM annotations), s0 AS (SELECT label FROM a WHERE side = 0), s1 AS (SELECT label FROM a WHERE side = 1) SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM s0 INTERSECT SELECT * FROM s1) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM s0 UNION SELECT * FROM s1) UNION ALL SELECT 'only_first', count(*) FROM (SELECT * FROM s0 EXCEPT SELECT * FROM s1)")
 def _(get):
-    labels = get("annotations").select("scene_id", "label").distinct()
-    one, two = (labels.where(F.col("scene_id") == s).select("label") for s in ("0", "1"))
+    # Labels of scenes with even and with odd numbers: together all scenes.
+    labels = get("annotations").select((F.col("scene_id").cast("long") % 2).alias("side"), "label").distinct()
+    one, two = (labels.where(F.col("side") == s).select("label") for s in (0, 1))
     count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(one.intersect(two), "both").union(count(one.union(two).distinct(), "either")).union(count(one.subtract(two), "only_first"))
 

@@ -169,7 +169,7 @@ def _(get):
     return get("uploads").select("upload_id", lb.content_hash(F.col("text")).alias("sha"), F.length("text").cast("long").alias("n"))
 
 
-@add("f14_quick_fingerprints")
+@add("f14_quick_fingerprints", "SELECT upload_id, n || ':' || md5(unhex(substr(h, 1, 8192) || substr(h, greatest(2 * n - 8191, 1), 8192))) AS fingerprint FROM (SELECT upload_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM uploads)")
 def _(get):
     return get("uploads").select("upload_id", lb.quick_fingerprint(F.col("text")).alias("fingerprint"))
 
