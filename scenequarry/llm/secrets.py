@@ -20,6 +20,7 @@ from scenequarry.llm.shared import store
 
 #: Bound of the fit, about: documents that identifiers are taken from. Counting and scoring cover all texts.
 SAMPLE_DOCUMENTS = 500
+SEEDS = 12
 #: Part of ordinary identifiers that may lie above the cutoff. A span's ratio, in nats, is at least the cutoff for each character on average, and this in sum.
 FALSE_RATE, LEAST_SUM = 0.001, 10.0
 SMOOTHING = 0.5
@@ -123,6 +124,11 @@ def identifiers(documents: DataFrame) -> DataFrame:
     return threes.select(spelled.alias("value"), (F.pmod(F.floor(F.col("i") / len(ways)), F.lit(2)) == 1).alias("held")).distinct()
 
 
+def digest_seeds(ordinary: DataFrame) -> DataFrame:
+    """What digests are made of: one in ``SEEDS`` identifiers, some thousands, which give each transition of the widest alphabet dozens of times."""
+    return ordinary.where(F.pmod(F.xxhash64("value"), F.lit(SEEDS)) == 0).select(F.concat(F.lit("seed "), F.col("value")).alias("value"))
+
+
 def digests(seeds: DataFrame) -> DataFrame:
     """``(family, value)``: digests of ``seeds(value)``, written in each alphabet."""
     text = F.translate(F.base64(F.unhex(F.sha2(F.col("value").cast("binary"), 256))), "=", "")
@@ -161,7 +167,7 @@ def ratio(model: Column, tokens: DataFrame, keys: list[str]) -> DataFrame:
 def fit(base: DataFrame, documents: DataFrame) -> tuple[Column, float]:
     """The models as one array literal (``len(FAMILIES)`` times ``SIDE`` squared numbers, whatever the input), and the cutoff by character."""
     ordinary = store(identifiers(documents), "secret-identifiers")
-    seeds = ordinary.select(F.concat(F.lit("seed "), F.col("value")).alias("value"))
+    seeds = digest_seeds(ordinary)
     values = base.select(family(F.col("value")).alias("family"), "value").where(F.length("value") >= 12)
     table = markov_model(digests(seeds).union(values), ordinary.where("NOT held")).select("family", "a", "b", "llr").collect()
     numbers = ["0"] * (len(FAMILIES) * SIDE * SIDE)

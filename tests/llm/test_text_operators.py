@@ -658,7 +658,7 @@ def test_secret_models_against_brute_force(spark):
     stored = secrets.store(secrets._spans(table), "test-spans")
     base = stored.where("kind != 'token'")
     ordinary = secrets.store(secrets.identifiers(table), "test-identifiers")
-    random_rows = secrets.digests(ordinary.select(F.concat(F.lit("seed "), "value").alias("value"))).union(base.select(secrets.family(F.col("value")), "value").where("length(value) >= 12")).collect()
+    random_rows = secrets.digests(secrets.digest_seeds(ordinary)).union(base.select(secrets.family(F.col("value")), "value").where("length(value) >= 12")).collect()
     counts = [collections.Counter() for _ in range(len(secrets.FAMILIES) + 1)]
     for family, value in [(r[0], r[1]) for r in random_rows] + [(len(secrets.FAMILIES), r.value) for r in ordinary.where("NOT held").collect()]:
         counts[family].update(zip(["", *value], value))
