@@ -39,6 +39,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file systems know the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove_stored(spark: SparkSession, df: DataFrame | None = None) -> None:
     """Delete a stored table that nothing will read again (a finished round's), or all that this application stored."""
     root = f"{shared_folder(spark)}/scenequarry-{spark.sparkContext.applicationId}"

@@ -9,7 +9,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.plans.views import view, with_views
+from scenequarry.plans.views import stream_view, view, with_views
 
 #: Coordinates of the derived cloud have at most seven places, so that rounding to seven never meets a tie.
 PLACES = 7
@@ -23,12 +23,12 @@ class Registry:
     sql: dict[str, str] = field(default_factory=dict)
 
     def add(self, name: str, sql: str | None = None, doubles: str = "", places: int = PLACES):
-        """Register the decorated ``function(get)``; ``get(view)`` gives a derived or a given table."""
+        """Register the decorated ``function(get)``; ``get(view)`` gives a derived table, with ``stream=True`` as a stream."""
         names = doubles.split()
 
         def keep(function: Callable) -> Callable:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                out = function(lambda table: view(spark, sf_dir, table))
+                out = function(lambda table, stream=False: (stream_view if stream else view)(spark, sf_dir, table))
                 # Adding 0.0 makes a negative zero positive.
                 return out.withColumns({c: F.round(F.col(c), places) + F.lit(0.0) for c in names})
 
@@ -42,7 +42,7 @@ class Registry:
 
 
 REGISTRY = Registry()
-_MODULES = ("cloud_queries", "camera_queries", "object_queries", "trace_queries", "lift_queries", "table_queries")
+_MODULES = ("cloud_queries", "camera_queries", "object_queries", "trace_queries", "lift_queries", "table_queries", "stream_queries")
 
 
 def _loaded() -> Registry:

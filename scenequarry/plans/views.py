@@ -81,6 +81,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in SPREAD and len(df.inputFiles()) < cores else df
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over one table, as a stream of that table's files."""
+    table = re.search(r"\{(\w+)\}", VIEWS[name])[1]
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    source = f"stream_of_{table}"
+    spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir).createOrReplaceTempView(source)
+    return spark.sql(VIEWS[name].replace(f"{{{table}}}", source))
+
+
 def with_views(sql: str) -> str:
     """DuckDB text: ``sql`` with the views that it names in front."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]

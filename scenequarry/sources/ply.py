@@ -5,14 +5,15 @@
 
 from __future__ import annotations
 
-import glob as globbing
 import os
 import re
+from fnmatch import fnmatch
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -53,6 +54,23 @@ def parse_header(head: bytes) -> Header:
     return Header(count, tuple(fields), found.end())
 
 
+def _located(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a URI (local paths, hdfs, s3, …): files are opened on the shared storage itself, at any offset."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
+def _listed(pattern: str) -> tuple[pafs.FileSystem, list[str]]:
+    """Files that a glob names."""
+    system, path = _located(pattern)
+    fixed = re.split(r"[*?\[]", path, maxsplit=1)[0]
+    if fixed == path:
+        return system, [path]
+    found = system.get_file_info(pafs.FileSelector(fixed.rsplit("/", 1)[0] or "/", allow_not_found=True, recursive=True))
+    names = [f.path for f in found if f.type == pafs.FileType.File]
+    # As a shell's glob: a star does not cross folders.
+    return system, sorted(n for n in names if n.count("/") == path.count("/") and all(map(fnmatch, n.split("/"), path.split("/"))))
+
+
 class Rows(InputPartition):
     def __init__(self, path: str, start: int, count: int):
         self.path, self.start, self.count = path, start, count
@@ -66,8 +84,9 @@ class PlyReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         out = []
-        for path in sorted(globbing.glob(self.pattern)):
-            with open(path, "rb") as f:
+        system, paths = _listed(self.pattern)
+        for path in paths:
+            with system.open_input_file(path) as f:
                 count = parse_header(f.read(HEADER_LIMIT)).count
             out += [Rows(path, i, min(self.rows, count - i)) for i in range(0, count, self.rows)]
         return out or [Rows("", 0, 0)]
@@ -75,7 +94,8 @@ class PlyReader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         if not partition.count:
             return
-        with open(partition.path, "rb") as f:
+        system, _ = _located(self.pattern)
+        with system.open_input_file(partition.path) as f:
             head = parse_header(f.read(HEADER_LIMIT))
             kind = np.dtype([(n, t) for n, t in head.fields])
             step, here = 65_536, partition.start

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from scenequarry.operators.stored import path_exists, remove_stored, shared_folder, stored
 from scenequarry.sources.documents import write_trace_snapshot
 from scenequarry.streaming.folds import STAGES, stage_throughput
 
@@ -92,12 +95,43 @@ def stream_points(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("x", "y", "z") for n, f in (("min", F.min), ("max", F.max))])
 
 
-def snapshot_stream(spans: DataFrame, path: str, checkpoint: str, every: str = "30 seconds", on_batch: Callable[[DataFrame], None] | None = None):
-    """Write scenes' spans as snapshots, at most once in ``every``; each batch replaces the snapshots of its scenes."""
+def merge_snapshot(batch: DataFrame, path: str) -> None:
+    """Add spans to the snapshots of their scenes: what a snapshot has stays, a span that comes again replaces its last version. Repeating a batch changes nothing."""
+    spark = batch.sparkSession
+    fresh = batch.withColumn("__new", F.lit(1))
+    if path_exists(spark, path):
+        touched = batch.select("scene_id").distinct()
+        kept = spark.read.parquet(path).drop("snapshot_at").join(touched, "scene_id", "left_semi").withColumn("__new", F.lit(0))
+        fresh = kept.unionByName(fresh, allowMissingColumns=True)
+    columns = [c for c in fresh.columns if c != "__new"]
+    last = fresh.groupBy("scene_id", "span_id").agg(F.max_by(F.struct(*[F.col(c) for c in columns]), "__new").alias("s")).select("s.*")
+    # The rows come from the table that they replace: they are stored first.
+    done = stored(last, "snapshot")
+    write_trace_snapshot(done, path)
+    remove_stored(spark, done)
+
+
+def snapshot_stream(spans: DataFrame, path: str, checkpoint: str, every: str | None = "30 seconds", on_batch: Callable[[DataFrame], None] | None = None):
+    """Keep each scene's spans as a snapshot, written at most once in ``every`` (None: what is there, then an end); each batch is merged into the snapshots of its scenes."""
 
     def write(batch: DataFrame, _: int) -> None:
-        write_trace_snapshot(batch, path)
+        merge_snapshot(batch, path)
         if on_batch:
             on_batch(batch)
 
-    return spans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return spans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Run a stream over what is there and return what it put out, with its batch number as ``batch``."""
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/scenequarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/number={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    return spark.read.schema(schema).parquet(f"{root}/out/*") if path_exists(spark, f"{root}/out") else spark.createDataFrame([], schema)

@@ -163,3 +163,44 @@ def test_write_scene_replaces_one(spark, tmp_path):
     write_scene(spark.createDataFrame([("a", 1), ("b", 1)], "scene_id string, v int"), where)
     write_scene(spark.createDataFrame([("b", 2)], "scene_id string, v int"), where)
     assert {(r.scene_id, r.v) for r in spark.read.parquet(where).collect()} == {("a", 1), ("b", 2)}
+
+
+def test_deep_span_forest(spark):
+    """No level is lost, however deep; a guard raises."""
+    spans = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "span_id long, parent_span_id long")
+    got = {r.span_id: r.depth for r in graph.span_forest(spans).collect()}
+    assert got == {i: i for i in range(40)}
+    with pytest.raises(RuntimeError):
+        graph.span_forest(spans, max_depth=20)
+
+
+def test_geometric_medians_of_large_groups(spark):
+    """The pass over a group and the steps over all give the same."""
+    rng = np.random.default_rng(4)
+    rows = [(k, *map(float, p), float(w)) for k in range(3) for p, w in zip(rng.normal(k, 1, (200, 3)), rng.random(200))]
+    points = spark.createDataFrame(rows, "k int, x double, y double, z double, w double")
+    one, many = ({r.k: (r.x, r.y, r.z) for r in lift.geometric_median(points, ["k"], most=n).collect()} for n in (10**6, 10))
+    assert all(np.allclose(one[k], many[k], atol=1e-6) for k in range(3))
+
+
+def test_boxes_and_rays_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    points = [("s", i, *map(float, rng.uniform(-3, 3, 3))) for i in range(800)]
+    boxes = [("s", i, *map(float, lo), *map(float, lo + size)) for i, (lo, size) in enumerate(zip(rng.uniform(-3, 2, (40, 3)), rng.uniform(0, [0.3, 1, 5], (40, 3))))]
+    p = spark.createDataFrame(points, "scene_id string, point_idx long, x double, y double, z double")
+    b = spark.createDataFrame(boxes, "scene_id string, box_id long, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double")
+    want = {(j, i) for _, i, *at in points for _, j, *ends in boxes if all(ends[k] <= at[k] <= ends[k + 3] for k in range(3))}
+    assert {(r.box_id, r.point_idx) for r in neighbors.points_in_boxes(p, b).collect()} == want and want
+    rays = []
+    for i in range(60):
+        o, d = rng.uniform(-4, 4, 3), rng.normal(0, 1, 3)
+        d = np.array([0.0, 0.0, 1.0]) if i % 7 == 0 else d / np.linalg.norm(d)
+        rays.append(("s", i, *map(float, o), *map(float, d)))
+    r = spark.createDataFrame(rays, "scene_id string, ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    best = {}
+    for _, i, *ray in rays:
+        o, d = np.array(ray[:3]), np.array(ray[3:])
+        hits = [(t, j) for _, j, *at in points for rel in [np.array(at) - o] for t in [rel @ d] if t > 0 and rel @ rel - t * t <= 0.3**2]
+        if hits:
+            best[i] = min(hits)[1]
+    assert {x.ray_id: x.point_idx for x in neighbors.pick_points(p, r, 0.3).collect()} == best and best

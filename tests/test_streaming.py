@@ -51,3 +51,20 @@ def test_spans_once(spark, tmp_path):
     stream = _stream(spark, spans.unionByName(spans.where("span_id % 10 = 0")), tmp_path, "span_id")
     rows = _run(live.ingest_spans(stream, "60 days"), "append", tmp_path)
     assert sorted(r.span_id for r in rows) == sorted(r.span_id for r in spans.collect())
+
+
+def test_snapshots_keep_earlier_spans(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    batch = lambda rows: spark.createDataFrame(rows, "scene_id string, span_id long, span_name string")
+    live.merge_snapshot(batch([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")]), path)
+    for _ in range(2):  # a batch that comes again changes nothing
+        live.merge_snapshot(batch([("a", 4, "w"), ("a", 2, "y2")]), path)
+    got = {(r.scene_id, r.span_id, r.span_name) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", 1, "x"), ("a", 2, "y2"), ("a", 4, "w"), ("b", 3, "z")}
+
+
+def test_manifests_over_batches(spark, tmp_path):
+    events = view(spark, DATA, "stage_events")
+    rows = _run(live.stream_manifests(_stream(spark, events, tmp_path, "seq")), "update", tmp_path)
+    got = {r.scene_id: tuple(r) for r in rows}
+    assert got == {r.scene_id: tuple(r) for r in folds.fold_manifests(events).collect()}
