@@ -184,7 +184,31 @@ def _(get):
     return lift.containing_mask(centroids, get("cameras"), get("masks"))
 
 
-@add("g11_lift_masks", None, "x y z lo_x lo_y lo_z hi_x hi_y hi_z")
+def _lift_trim(i: int, source: str) -> str:
+    """A round of trimming: points within two scaled deviations, of tracks that keep enough of them."""
+    return f""", lm{i} AS (SELECT scene_id, track, median(x) AS mx, median(y) AS my, median(z) AS mz, count(*) AS tn FROM {source} GROUP BY ALL),
+ld{i} AS (SELECT s.scene_id, s.track, point_idx, x, y, z, opacity, tn, sqrt(power(x - mx, 2) + power(y - my, 2) + power(z - mz, 2)) AS r FROM {source} s JOIN lm{i} USING (scene_id, track)), la{i} AS (SELECT scene_id, track, median(r) AS mad FROM ld{i} GROUP BY ALL),
+ln{i} AS (SELECT ld{i}.*, mad <= 1e-6 OR r < 2 * 1.4826 * mad AS near FROM ld{i} JOIN la{i} USING (scene_id, track)), lc{i} AS (SELECT scene_id, track, count(*) FILTER (near) AS n_in FROM ln{i} GROUP BY ALL),
+lt{i} AS (SELECT scene_id, track, point_idx, x, y, z, opacity FROM ln{i} JOIN lc{i} USING (scene_id, track) WHERE near OR NOT (tn >= 16 AND n_in >= 20 AND n_in < tn))"""
+
+
+_LIFT = f"""WITH RECURSIVE {_KEPT.removeprefix('WITH ')}, sh AS (SELECT p.scene_id, p.mask_ord AS a, q.mask_ord AS b, count(*) AS shared FROM mm p JOIN mm q ON p.scene_id = q.scene_id AND p.point_idx = q.point_idx AND p.mask_ord < q.mask_ord GROUP BY ALL),
+jc AS (SELECT sh.scene_id, a, b FROM sh JOIN mk x ON sh.scene_id = x.scene_id AND a = x.mask_ord JOIN mk y ON sh.scene_id = y.scene_id AND b = y.mask_ord WHERE shared / (x.n_points + y.n_points - shared) >= 0.30), ed AS (SELECT scene_id, a, b FROM jc UNION ALL SELECT scene_id, b, a FROM jc),
+cc(scene_id, node, c) USING KEY (scene_id, node) AS (SELECT scene_id, mask_ord, mask_ord FROM mk UNION SELECT ed.scene_id, ed.b, min(cc.c) FROM cc JOIN ed ON cc.scene_id = ed.scene_id AND cc.node = ed.a JOIN recurring.cc o ON o.scene_id = ed.scene_id AND o.node = ed.b AND o.c > cc.c GROUP BY ed.scene_id, ed.b),
+ba AS (SELECT cc.scene_id, c, max(area) AS area FROM cc JOIN masks m ON cc.scene_id = m.scene_id AND cc.node = m.mask_ord GROUP BY ALL), rt AS (SELECT scene_id, c, row_number() OVER (PARTITION BY scene_id ORDER BY area DESC, c) AS track FROM ba),
+tm AS (SELECT m.*, track FROM cc JOIN rt USING (scene_id, c) JOIN masks m ON m.scene_id = cc.scene_id AND m.mask_ord = cc.node WHERE track <= 30), tu AS (SELECT DISTINCT mm.scene_id, track, point_idx FROM mm JOIN tm ON mm.scene_id = tm.scene_id AND mm.mask_ord = tm.mask_ord),
+te AS (SELECT scene_id, track FROM tu GROUP BY ALL HAVING count(*) >= 40), pt AS (SELECT tu.scene_id, tu.track, tu.point_idx, x, y, z, opacity FROM tu SEMI JOIN te ON tu.scene_id = te.scene_id AND tu.track = te.track JOIN points p ON p.scene_id = tu.scene_id AND p.point_idx = tu.point_idx),
+al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, track ORDER BY CASE WHEN source = 'sam' THEN 0 ELSE 1 END, area DESC, mask_ord) AS k FROM tm) WHERE k = 1){_MODE.replace("an AS (SELECT scene_id, track, frame_ord FROM (SELECT *, mask_ord % 5 AS track, row_number() OVER (PARTITION BY scene_id, mask_ord % 5 ORDER BY CASE WHEN source = 'sam' THEN 0 ELSE 1 END, area DESC, mask_ord) AS k FROM masks) WHERE k = 1)", "an AS (SELECT scene_id, track, frame_ord FROM al)")},
+lt0 AS (SELECT scene_id, track, point_idx, x, y, z, opacity FROM nr JOIN ni USING (scene_id, track) WHERE near OR NOT (n >= 16 AND n_in >= 20 AND n_in < n)){_lift_trim(1, 'lt0')}{_lift_trim(2, 'lt1')},
+sp AS (SELECT scene_id, track FROM lt2 GROUP BY ALL HAVING count(*) < 16 OR sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2) + power(max(z) - min(z), 2)) <= 2.5), pw AS (SELECT lt2.*, 1 / (1 + exp(-opacity)) AS w FROM lt2 SEMI JOIN sp ON lt2.scene_id = sp.scene_id AND lt2.track = sp.track),
+{_weiszfeld(12)},
+bx AS (SELECT scene_id, track, count(*) AS n_points, {', '.join(f"CASE WHEN count(*) < 8 THEN {end}({c}) ELSE quantile_cont({c}, {p}) END AS {name}_{c}" for name, end, p in (("lo", "min", 0.05), ("hi", "max", 0.95)) for c in "xyz")} FROM pw GROUP BY scene_id, track),
+fr AS (SELECT scene_id, track, array_to_string(list_slice(list_sort(list(DISTINCT frame_name) FILTER (area >= 64)), 1, 6), ',') AS frame_ids, coalesce(arg_max(phrase, confidence * 1000000 - mask_ord) FILTER (source = 'vlm'), '') AS phrase, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM tm GROUP BY ALL)
+SELECT bx.scene_id, 'obj_' || lpad(CAST(bx.track AS VARCHAR), 3, '0') AS id, n_points, al.area AS anchor_area, al.frame_name AS anchor_frame, mx AS x, my AS y, mz AS z, lo_x, lo_y, lo_z, hi_x, hi_y, hi_z, sources, coalesce(frame_ids, '') AS frame_ids, fr.phrase
+FROM bx JOIN w12 USING (scene_id, track) JOIN al ON al.scene_id = bx.scene_id AND al.track = bx.track JOIN fr ON fr.scene_id = bx.scene_id AND fr.track = bx.track"""
+
+
+@add("g11_lift_masks", _LIFT, "x y z lo_x lo_y lo_z hi_x hi_y hi_z", 5)
 def _(get):
     found = lift.lift_masks(get("points"), get("cameras"), get("masks"))
     return found.select("scene_id", "id", "n_points", "anchor_area", "anchor_frame", "x", "y", "z", "lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z", F.array_join("sources", ",").alias("sources"), F.array_join("frame_ids", ",").alias("frame_ids"), "phrase")
