@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Words that don't tell objects apart.
 STOPWORDS = ("a", "an", "the", "and", "or", "with", "of", "on", "in", "to", "for", "is", "at", "by", "from", "this", "that")
@@ -85,6 +86,12 @@ def first_number(json: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(F.coalesce(*[attribute(json, k) for k in keys]).try_cast("double"), F.lit(0.0))
 
 
+def first_numbers(json: Column, keys: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """``first_number`` for several names at once: the text is parsed a single time."""
+    parsed = F.from_json(json, StructType([StructField(k, StringType()) for k in dict.fromkeys(x for v in keys.values() for x in v)]))
+    return {name: F.coalesce(F.coalesce(*[parsed.getField(k) for k in v]).try_cast("double"), F.lit(0.0)) for name, v in keys.items()}
+
+
 def span_duration(seconds: Column, milliseconds: Column) -> Column:
     return F.coalesce(seconds, milliseconds / 1000)
 

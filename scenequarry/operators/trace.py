@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenequarry.functions.labels import COST_KEYS, IN_KEYS, OUT_KEYS, attribute, first_number, span_family
+from scenequarry.functions.labels import COST_KEYS, IN_KEYS, OUT_KEYS, attribute, first_numbers, span_family
 from scenequarry.operators.camera import small
 
 TERMINAL_TOP, TERMINAL_STAGE = ("ready", "failed"), ("complete", "failed")
@@ -28,16 +28,18 @@ def spans_of_scene(spans: DataFrame, scene_id: str | Column) -> DataFrame:
     return spans.join(touching, "trace_id", "left_semi").orderBy("start_timestamp", "span_id")
 
 
-def scene_spans(spans: DataFrame) -> DataFrame:
-    """``(scene_id, span…)`` for all scenes at once: a span counts for every scene that its trace touches."""
+def scene_spans(spans: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``(scene_id, span…)`` for all scenes at once: a span counts for every scene that its trace touches.
+
+    ``rows`` are the spans to hand on (all by default): what is read from their attributes is read before they multiply.
+    """
     touching = spans.select(attribute(F.col("attributes"), "scene_id").alias("scene_id"), "trace_id").where(F.col("scene_id").isNotNull()).distinct()
-    return touching.join(spans, "trace_id")
+    return touching.join(spans if rows is None else rows, "trace_id")
 
 
 def span_usage(spans: DataFrame) -> DataFrame:
     """Spans with usd, tokens_in and tokens_out from their attributes, without those that have none."""
-    a = F.col("attributes")
-    used = spans.withColumns({"usd": first_number(a, COST_KEYS), "tokens_in": first_number(a, IN_KEYS), "tokens_out": first_number(a, OUT_KEYS)})
+    used = spans.withColumns(first_numbers(F.col("attributes"), {"usd": COST_KEYS, "tokens_in": IN_KEYS, "tokens_out": OUT_KEYS}))
     return used.where("usd != 0 OR tokens_in != 0 OR tokens_out != 0")
 
 

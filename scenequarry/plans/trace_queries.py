@@ -68,14 +68,20 @@ def _(get):
 _COST = f"{_TOUCH}, {_USE}, us2 AS (SELECT tt.scene_id, span_name, usd, tokens_in, tokens_out FROM tt JOIN us USING (trace_id) WHERE usd <> 0 OR tokens_in <> 0)"
 
 
+def _usage(get):
+    """Spans that cost something, for every scene that their trace touches."""
+    spans = _spans(get)
+    return trace.scene_spans(spans, trace.span_usage(spans).drop("attributes"))
+
+
 @add("a26_cost_by_span", f"WITH {_COST} SELECT scene_id, span_name, grouping(span_name) = 1 AS is_total, count(*) AS call_count, round(sum(usd), 6) AS usd, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out FROM us2 GROUP BY GROUPING SETS ((scene_id, span_name), (scene_id))", "usd tokens_in tokens_out", 6)
 def _(get):
-    return trace.cost_by_span(trace.span_usage(trace.scene_spans(_spans(get))))
+    return trace.cost_by_span(_usage(get))
 
 
 @add("a27_chat_cost", f"WITH {_COST}, ch AS (SELECT 's' || CAST(conv_id % 20 AS STRING) AS scene_id, 'agent.chat' AS span_name, count(*) AS call_count, sum(length(text) / 1e6) AS usd, CAST(sum(length(text)) AS DOUBLE) AS tokens_in, 0.0 AS tokens_out FROM conversations GROUP BY 1), al AS (SELECT scene_id, span_name, count(*) AS call_count, round(sum(usd), 6) AS usd, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out FROM us2 GROUP BY ALL UNION ALL SELECT * FROM ch) SELECT scene_id, span_name, CAST(sum(call_count) AS BIGINT) AS call_count, round(sum(usd), 6) AS usd, sum(tokens_in) AS tokens_in, sum(tokens_out) AS tokens_out, grouping(span_name) = 1 AS is_total FROM al GROUP BY GROUPING SETS ((scene_id, span_name), (scene_id))", "usd tokens_in tokens_out", 6)
 def _(get):
-    by_span = trace.cost_by_span(trace.span_usage(trace.scene_spans(_spans(get))))
+    by_span = trace.cost_by_span(_usage(get))
     number = F.regexp_extract("scene_id", r"\d+", 0).cast("int") % 20
     chat = get("model_calls").groupBy(F.concat(F.lit("s"), number.cast("string")).alias("scene_id")).agg(F.count(F.lit(1)).alias("call_count"), F.sum(F.col("tokens_in") / 1e6).alias("usd"), F.sum("tokens_in").cast("double").alias("tokens_in"), F.lit(0.0).alias("tokens_out"))
     return trace.fold_chat_usage(by_span, chat)

@@ -68,8 +68,8 @@ VIEWS = {
 }
 
 
-#: Views whose rows multiply in the operators: points by cameras, neighbours or boxes.
-SPREAD = frozenset({"points", "points_k"})
+#: Views whose rows multiply in the operators (points by cameras, neighbours or boxes) or are dear to read (attributes of spans).
+SPREAD = frozenset({"points", "points_k", "pixels", "spans"})
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -204,3 +204,26 @@ def test_boxes_and_rays_against_brute_force(spark):
         if hits:
             best[i] = min(hits)[1]
     assert {x.ray_id: x.point_idx for x in neighbors.pick_points(p, r, 0.3).collect()} == best and best
+
+
+def test_merged_clusters(spark):
+    """Near clusters with similar phrases become one, with the geometry of their points; others stay as they are."""
+    rng = np.random.default_rng(6)
+    centres = [(0.0, 0.0, 0.0), (0.3, 0.0, 0.0), (0.5, 0.0, 0.0), (9.0, 0.0, 0.0)]
+    phrases, areas = ["red office chair", "office chair", "green lamp", "red office chair"], [10, 30, 20, 5]
+    rows = [("s", i, f"c{i}", *c, *(x - 1 for x in c), *(x + 1 for x in c), areas[i], phrases[i], ["sam" if i % 2 else "vlm"], [f"f{i}"]) for i, c in enumerate(centres)]
+    schema = "scene_id string, ordinal long, id string, x double, y double, z double, lo_x double, lo_y double, lo_z double, hi_x double, hi_y double, hi_z double, anchor_area long, phrase string, sources array<string>, frame_ids array<string>"
+    points = [("s", 100 * i + j, *map(float, np.array(c) + rng.normal(0, 0.1, 3))) for i, c in enumerate(centres) for j in range(50)]
+    cloud_ = spark.createDataFrame(points, "scene_id string, point_idx long, x double, y double, z double")
+    members = spark.createDataFrame([("s", i // 100, i) for _, i, *_ in points], "scene_id string, ordinal long, point_idx long")
+    got = {r.ordinal: r for r in merge.merge_clusters(spark.createDataFrame(rows, schema), members, cloud_).collect()}
+    assert set(got) == {0, 2, 3}
+    one = got[0]
+    assert (one.id, one.n_merged, one.anchor_area, one.phrase, one.sources, one.frame_ids) == ("c1", 2, 30, "office chair", ["sam", "vlm"], ["f0", "f1"])
+    at = np.array([p[2:] for p in points if p[1] < 200])
+    mid = at.mean(axis=0)
+    for _ in range(12):
+        w = 1 / np.maximum(np.linalg.norm(at - mid, axis=1), 1e-7)
+        mid = (w[:, None] * at).sum(axis=0) / w.sum()
+    assert np.allclose((one.x, one.y, one.z), mid, atol=1e-6) and np.allclose((one.lo_x, one.hi_x), np.percentile(at[:, 0], [5, 95]))
+    assert (got[3].x, got[3].lo_x, got[3].hi_x, got[3].n_merged) == (9.0, 8.0, 10.0, 1) and got[2].phrase == "green lamp"
