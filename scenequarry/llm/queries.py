@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scenequarry.llm.decontamination import find_contamination
 from scenequarry.llm.html_text import extract_text
