@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scenequarry.llm.decontamination import find_contamination
 from scenequarry.llm.html_text import extract_text
+from scenequarry.llm.importance_resampling import resample_towards
 from scenequarry.llm.language_id import identify_languages
 from scenequarry.llm.mixing import mix_sources
 from scenequarry.llm.near_duplicates import near_duplicates
@@ -66,10 +67,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_resample_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample_towards(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_quality_rules, op2_near_duplicates, op3_html_text, op4_quality_classifier, op5_mix_sources,
-        op6_language_id, op7_url_filters, op8_decontaminate, op9_toxicity, op10_secrets,
+        op6_language_id, op7_url_filters, op8_decontaminate, op9_toxicity, op10_secrets, op11_resample_target,
     )
     return {f.__name__: f for f in chosen}
 
