@@ -12,11 +12,13 @@ from scenequarry.llm.importance_resampling import resample_towards
 from scenequarry.llm.language_id import identify_languages
 from scenequarry.llm.mixing import mix_sources
 from scenequarry.llm.near_duplicates import near_duplicates
+from scenequarry.llm.personal_data import find_personal_data
 from scenequarry.llm.quality_classifier import classify_quality
 from scenequarry.llm.quality_rules import apply_quality_rules
 from scenequarry.llm.secrets import find_secrets
 from scenequarry.llm.toxicity import score_toxicity
 from scenequarry.llm.url_filters import filter_urls
+from scenequarry.llm.whitening import whiten
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -71,10 +73,18 @@ def op11_resample_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_towards(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     chosen = (
         op1_quality_rules, op2_near_duplicates, op3_html_text, op4_quality_classifier, op5_mix_sources,
-        op6_language_id, op7_url_filters, op8_decontaminate, op9_toxicity, op10_secrets, op11_resample_target,
+        op6_language_id, op7_url_filters, op8_decontaminate, op9_toxicity, op10_secrets, op11_resample_target, op12_whiten_embeddings, op13_personal_data,
     )
     return {f.__name__: f for f in chosen}
 
