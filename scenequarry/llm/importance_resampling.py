@@ -22,7 +22,7 @@ from scenequarry.llm.shared import PLAIN_BREAKS, Slice, map_slices, remove_store
 
 BUCKETS, LONGEST_RUN = 10_000, 3
 #: Bits of a digit; rows of a block, within which a pass counts.
-DIGIT_BITS, BLOCK = 11, 1 << 18
+DIGIT_BITS, BLOCK = 11, 1 << 16
 #: Bytes of a word whose checksum is read from tables; longer words are rare and go through zlib.
 TABLED = 47
 
