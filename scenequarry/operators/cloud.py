@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scenequarry.functions.geometry import clip, dc_to_rgb, norm, sigmoid, turbo
+from scenequarry.operators.order import group_quantiles, group_ranks
 
 XYZ = ("x", "y", "z")
 MIN_POINTS = 1000
@@ -30,10 +30,12 @@ def depth_tolerance(bounds: DataFrame, least: float = 0.10, part: float = 0.02)
 
 
 def robust_extent(points: DataFrame, low: float = 0.025, high: float = 0.975, approximate: bool = False) -> DataFrame:
-    """Diagonal between percentiles by scene. ``approximate`` bounds the memory of very large scenes."""
-    q = (lambda c: F.percentile_approx(c, [low, high], 10_000)) if approximate else (lambda c: F.percentile(c, [low, high]))
-    at = points.groupBy("scene_id").agg(*[q(c).alias(c) for c in XYZ])
-    return at.select("scene_id", norm(*[F.get(c, F.lit(1)) - F.get(c, F.lit(0)) for c in XYZ]).alias("extent"))
+    """Diagonal between percentiles by scene: exact, whatever a scene's size; ``approximate`` takes one pass instead of a few."""
+    if approximate:
+        at = points.groupBy("scene_id").agg(*[F.percentile_approx(c, [low, high], 10_000).alias(c) for c in XYZ])
+        return at.select("scene_id", norm(*[F.get(c, F.lit(1)) - F.get(c, F.lit(0)) for c in XYZ]).alias("extent"))
+    at = group_quantiles(points, ["scene_id"], {c: (low, high) for c in XYZ})
+    return at.select("scene_id", norm(*[F.col(f"{c}_q1") - F.col(f"{c}_q0") for c in XYZ]).alias("extent"))
 
 
 def voxel_sizes(points: DataFrame, fraction: float = 0.005, approximate: bool = False) -> DataFrame:
@@ -62,11 +64,9 @@ def first_per_voxel(points: DataFrame, size: float = 0.05, half_range: float = 5
 
 
 def strided_sample(points: DataFrame, most: int = 8000) -> DataFrame:
-    """Every n-th point by ordinal so that about ``most`` stay in a scene. Ordinals are made dense first."""
-    sizes = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("__n"))
+    """Every n-th point by ordinal so that about ``most`` stay in a scene. Ordinals are made dense first; a scene spreads over many tasks."""
     stride = F.greatest(F.lit(1), F.ceil(F.col("__n") / most))
-    place = F.row_number().over(Window.partitionBy("scene_id").orderBy("point_idx")) - 1
-    return points.withColumn("__i", place).join(sizes, "scene_id").where(F.col("__i") % stride == 0).drop("__i", "__n")
+    return group_ranks(points, ["scene_id"], [("point_idx", False)], "__i", "__n").where(F.col("__i") % stride == 0).drop("__i", "__n")
 
 
 def reject_small(points: DataFrame, least: int = MIN_POINTS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenequarry.functions.geometry import half_even, norm
+from scenequarry.operators.order import group_ranks
 
 
 def path_lengths(cameras: DataFrame, use_center: bool = False) -> DataFrame:
@@ -35,22 +36,17 @@ def keyframes(cameras: DataFrame, n: int = 12, use_center: bool = False) -> Data
 
 
 def select_frames(frames: DataFrame, most: int = 48, least: int = 8, drop_share: float = 0.2) -> DataFrame:
-    """Of ``frames(scene_id, frame_ord, sharpness)``: a stride, then without the blurriest, then evenly spaced to ``most``."""
-    scene = Window.partitionBy("scene_id")
-    ordered = scene.orderBy("frame_ord")
-    count = F.count(F.lit(1)).over(scene)
+    """Of ``frames(scene_id, frame_ord, sharpness)``: a stride, then without the blurriest, then evenly spaced to ``most``. No scene is one task's work."""
+    ranked = lambda rows, *order: group_ranks(rows, ["scene_id"], order, "__i", "__n")
     # Stride: every n // (2 most)-th of more than 2 most frames.
-    strided = frames.withColumn("__n", count).withColumn("__i", F.row_number().over(ordered) - 1)
     stride = F.when(F.col("__n") > 2 * most, F.greatest(F.lit(1), F.floor(F.col("__n") / (2 * most)))).otherwise(1)
-    strided = strided.where(F.col("__i") % stride == 0)
+    strided = ranked(frames, ("frame_ord", False)).where(F.col("__i") % stride == 0).select(frames.columns)
     # Sharpest: of equally sharp frames the later ones stay.
-    ranked = strided.withColumn("__n", count).withColumn("__i", F.row_number().over(scene.orderBy(F.desc("sharpness"), F.desc("frame_ord"))))
     keep = F.when(F.col("__n") > least, F.greatest(F.lit(float(least)), half_even(F.col("__n") * (1 - drop_share)))).otherwise(F.col("__n"))
-    sharp = ranked.where(F.col("__i") <= keep)
+    sharp = ranked(strided, ("sharpness", True), ("frame_ord", True)).where(F.col("__i") < keep).select(frames.columns)
     # Spacing: positions round(i (n - 1) / (most - 1)).
-    spaced = sharp.withColumn("__n", count).withColumn("__i", F.row_number().over(ordered) - 1)
     place = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: half_even(i * (F.col("__n") - 1) / max(1, most - 1)).cast("int"))
-    return spaced.where((F.col("__n") <= most) | F.array_contains(place, F.col("__i"))).select(frames.columns)
+    return ranked(sharp, ("frame_ord", False)).where((F.col("__n") <= most) | F.array_contains(place, F.col("__i").cast("int"))).select(frames.columns)
 
 
 def sample_timeline(rows: DataFrame, key: str, time: str, per_second: float, most: int | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from scenequarry.functions.geometry import norm, sigmoid
 from scenequarry.operators.camera import FRAME, PIXEL, project, small, spread_foreground, zbuffer
 from scenequarry.operators.cloud import XYZ, depth_tolerance, filter_opacity, scene_bounds
 from scenequarry.operators.graph import connected_components
+from scenequarry.operators.order import group_quantiles
 from scenequarry.operators.stored import stored
 
 TRACK = ["scene_id", "track"]
@@ -167,10 +168,10 @@ def trim_outliers(points: DataFrame, rounds: int = 2, least_track: int = 40) ->
     """Points within two scaled median deviations of each track's median, up to ``rounds`` times; a round that finds none ends it."""
     columns = points.columns
     for _ in range(rounds):
-        center = points.groupBy(*TRACK).agg(*[F.median(c).alias(f"__m{c}") for c in XYZ], F.count(F.lit(1)).alias("__n"))
-        far = points.join(center, TRACK).withColumn("__r", norm(*[F.col(c) - F.col(f"__m{c}") for c in XYZ]))
-        mad = far.groupBy(*TRACK).agg(F.median("__r").alias("__mad"))
-        near = far.join(mad, TRACK).withColumn("__in", (F.col("__mad") <= 1e-6) | (F.col("__r") < 2 * 1.4826 * F.col("__mad")))
+        center = stored(group_quantiles(points, TRACK, {c: (0.5,) for c in XYZ}).select(*TRACK, F.col("n").alias("__n"), *[F.col(f"{c}_q0").alias(f"__m{c}") for c in XYZ]))
+        far = points.join(small(center), TRACK).withColumn("__r", norm(*[F.col(c) - F.col(f"__m{c}") for c in XYZ]))
+        mad = stored(group_quantiles(far, TRACK, {"__r": (0.5,)}).select(*TRACK, F.col("__r_q0").alias("__mad")))
+        near = far.join(small(mad), TRACK).withColumn("__in", (F.col("__mad") <= 1e-6) | (F.col("__r") < 2 * 1.4826 * F.col("__mad")))
         points = stored(_trimmed(near, near.groupBy(*TRACK).agg(F.count_if("__in").alias("__n_in")), columns, least_track))
     return points
 
@@ -231,9 +232,9 @@ def _settled_steps(points: DataFrame, keys: list[str], iterations: int, eps: flo
 
 def percentile_box(points: DataFrame, keys: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Box between two percentiles of each axis; between the ends for groups of fewer than 8."""
-    few = F.count(F.lit(1)) < 8
-    ends = [F.when(few, end(c)).otherwise(F.percentile(c, p)).alias(f"{name}_{c}") for name, end, p in (("lo", F.min, low), ("hi", F.max, high)) for c in XYZ]
-    return points.groupBy(*keys).agg(*ends)
+    at = group_quantiles(points, keys, {c: (low, high) for c in XYZ})
+    few = F.col("n") < 8
+    return at.select(*keys, *[F.when(few, F.col(f"{c}_{end}")).otherwise(F.col(f"{c}_q{i}")).alias(f"{name}_{c}") for i, (name, end) in enumerate((("lo", "min"), ("hi", "max"))) for c in XYZ])
 
 
 def track_provenance(masks: DataFrame, tracks: DataFrame) -> DataFrame:
