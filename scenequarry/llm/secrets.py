@@ -1,18 +1,20 @@
 """Secret scans with built-in functions only.
 
-Fixed patterns give the base spans. Beyond them, long tokens are compared under character Markov models of random strings and one
-of ordinary identifiers: a token whose log-likelihood ratio is clearly on the side of random strings is one more span.
+Fixed patterns give the base spans. Beyond them, long tokens are compared under character Markov models of random strings and of
+ordinary tokens: one whose log-likelihood ratio is clearly on the side of random strings is one more span.
 
 Random strings are modelled for each ``FAMILIES`` alphabet; a token is held against the narrowest that spells it. Their labelled samples
-are the values of base spans and digests, which are random by construction, written in the alphabet. Ordinary
-identifiers are words of a bounded sample of documents, three at a time, spelled as programs and paths spell them. Half of the
-identifiers train the model; the ratio that all but ``FALSE_RATE`` of the other half stay below is the cutoff. A model is a small array
-(``SIDE`` squared numbers a family), so that a token is scored in one pass over its characters.
+are the values of base spans and digests, which are random by construction, written in the alphabet. Ordinary tokens have a model for each
+of ``ORDINARY``, and a token is held against the one that explains it best: ``prose`` are words of a bounded sample of documents, three at a time, spelled as
+programs and paths spell them; ``names`` have the shapes of paths, constants, part numbers, dates and counters with any letters; ``typography`` are
+rule lines, runs, alphabets and strings over a few letters; ``uuid`` groups of lower-case hexadecimal digits, ``camel`` words told apart by capitals. Half of these samples train the models; the ratio that
+all but ``FALSE_RATE`` of the other half stay below is the cutoff. A model is a small array (``SIDE`` squared numbers), so that a token is scored in one pass
+over its characters. Tokens have at least 20 characters and no dots: shorter secrets, or parts of fewer between dots, are for the fixed patterns alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +40,10 @@ FAMILIES = (
     ("base64_url", "^[A-Za-z0-9_=-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 BASE64 = _UPPER + _LOWER + _DIGITS + "+/"
+#: Kinds of ordinary tokens, each with a model of its own; samples of shapes and of groups that are generated.
+ORDINARY = ("prose", "names", "typography", "uuid", "camel")
+SHAPES = 3_000
+SEPARATORS = "+/_=-"
 #: Characters of tokens lie from "+" to "z": places 1 to SIDE - 1; place 0 is the start.
 FIRST, SIDE = ord("+") - 1, ord("z") - ord("+") + 2
 PIECE = 256
@@ -124,6 +130,38 @@ def identifiers(documents: DataFrame) -> DataFrame:
     return threes.select(spelled.alias("value"), (F.pmod(F.floor(F.col("i") / len(ways)), F.lit(2)) == 1).alias("held")).distinct()
 
 
+def _letters(seed: Column, alphabet: str) -> Column:
+    """86 letters of an alphabet that follow from a seed."""
+    text = lambda part: F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit(part), seed.cast("string")).cast("binary"), 256))), "=", "")
+    return F.translate(F.concat(text("one "), text("two ")), BASE64, "".join(alphabet[k % len(alphabet)] for k in range(64)))
+
+
+def shaped_tokens(spark: SparkSession, count: int = SHAPES) -> DataFrame:
+    """``(component, value, held)``: generated samples of all kinds but ``prose``, the same on every run."""
+    low, up, digit = (_letters(F.col("id"), a) for a in (_LOWER, _UPPER, _DIGITS))
+    size = lambda j, least, most: (F.pmod(F.xxhash64("id", F.lit(j)), F.lit(most - least + 1)) + least).cast("int")
+    pieces = lambda pool, least, most, n=7: [F.substring(pool, F.lit(1 + 9 * j), size(j, least, most)) for j in range(n)]
+    words, capitals, numbers, tags = pieces(low, 2, 8), pieces(up, 2, 8), pieces(digit, 1, 6), pieces(up, 1, 5)
+    title = [F.initcap(w) for w in pieces(low, 3, 9)]
+    dated = [F.substring(digit, 1 + 9 * j, n) for j, n in enumerate((4, 2, 2, 2, 2, 2, 6))]
+    mixed = [F.concat(F.substring(up, 1 + 9 * j, 1), F.substring(digit, 1 + 9 * j, 1 + j % 2), F.substring(up, 5 + 9 * j, j % 3)) for j in range(3)]
+    alternate = [x for pair in zip(tags, numbers, strict=True) for x in pair]
+    ways = [
+        F.concat_ws("/", *words), F.concat_ws("_", *words), F.concat_ws("-", *words), F.concat_ws("_", *capitals), F.concat_ws("-", *alternate),
+        F.concat(F.concat_ws("-", *dated[:3]), F.lit("_"), F.concat_ws("-", *dated[3:])), F.concat_ws("-", *numbers), low, up, digit, F.concat_ws("-", *mixed, *tags[3:5], *numbers[5:]), F.concat_ws("/", *words, title[0]),
+        F.concat_ws("_", *[x for pair in zip(words, numbers, strict=True) for x in pair][:8]), F.concat(F.concat_ws("/", *[F.concat_ws("-", a, b) for a, b in zip(words, numbers, strict=True)])),
+    ]
+    names = spark.range(count).select(F.lit(1).alias("component"), F.element_at(F.array(*ways), (F.pmod("id", F.lit(len(ways))) + 1).cast("int")).alias("value"))
+    humps = [F.concat(*title), F.concat(words[0], *title[1:]), F.concat(*title[:4], numbers[0])]
+    camel = spark.range(count // 2).select(F.lit(4).alias("component"), F.element_at(F.array(*humps), (F.pmod("id", F.lit(len(humps))) + 1).cast("int")).alias("value"))
+    same = [c * 40 for c in SEPARATORS + _DIGITS + _UPPER + _LOWER] + [(a + b) * 20 for a in SEPARATORS for b in SEPARATORS] + [a * 3 for a in (_LOWER, _UPPER, _DIGITS, _LOWER[::-1], _UPPER[::-1], _DIGITS[::-1], "1234567890")]
+    lines = spark.range(1).select(F.lit(2).alias("component"), F.explode(F.array(*[F.lit(x) for x in same])).alias("value"))
+    few = spark.range(60).select(F.lit(2).alias("component"), F.element_at(F.array(_letters(F.col("id"), "ACGT"), _letters(F.col("id"), "01"), _letters(F.col("id"), "ACGU")), (F.pmod("id", F.lit(3)) + 1).cast("int")).alias("value"))
+    grouped = lambda x: F.concat_ws("-", *[F.substring(x, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    uuids = spark.range(count // 4).select(F.lit(3).alias("component"), grouped(_letters(F.col("id"), _DIGITS + "abcdef")).alias("value"))
+    return names.union(lines).union(few).union(uuids).union(camel).withColumn("held", (F.col("component") != 2) & (F.pmod(F.xxhash64("value"), F.lit(2)) == 1))
+
+
 def digest_seeds(ordinary: DataFrame) -> DataFrame:
     """What digests are made of: one in ``SEEDS`` identifiers, some thousands, which give each transition of the widest alphabet dozens of times."""
     return ordinary.where(F.pmod(F.xxhash64("value"), F.lit(SEEDS)) == 0).select(F.concat(F.lit("seed "), F.col("value")).alias("value"))
@@ -136,65 +174,88 @@ def digests(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.inline(each))
 
 
-def markov_model(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """``(family, a, b, llr)``: log ratio of the transition a -> b in random strings of a family, ``random(family, value)``, against identifiers, ``ordinary(value)``.
+def markov_models(random: DataFrame, ordinary: DataFrame) -> DataFrame:
+    """``(model, a, b, p)``: log frequency of the transition a -> b in random strings of each family, ``random(family, value)``, then in ordinary tokens of each kind, ``ordinary(component, value)``.
 
     Frequencies after a letter lean on the letters' own (``BACKOFF``), and these on equal ones over the alphabet (``SMOOTHING``); every
-    transition has a row, ``SIDE`` squared a family. Without samples all ratios of a family are 0.
+    transition has a row, ``SIDE`` squared a model.
     """
     spark = random.sparkSession
-    none = len(FAMILIES)
-    counted = _steps(random.select("family", "value"), "family").union(_steps(ordinary.select(F.lit(none).alias("family"), "value"), "family")).groupBy("family", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range((none + 1) * SIDE * SIDE).select((F.col("id") / (SIDE * SIDE)).cast("int").alias("family"), F.pmod((F.col("id") / SIDE).cast("int"), F.lit(SIDE)).alias("a"), F.pmod("id", F.lit(SIDE)).cast("int").alias("b"))
-    full = grid.where("b > 0").join(counted, ["family", "a", "b"], "left").na.fill(0, ["n"])
-    of_a, of_b, whole = Window.partitionBy("family", "a"), Window.partitionBy("family", "b"), Window.partitionBy("family")
+    first, models = len(FAMILIES), len(FAMILIES) + len(ORDINARY)
+    samples = random.select(F.col("family").alias("model"), "value").union(ordinary.select((F.col("component") + first).alias("model"), "value"))
+    counted = _steps(samples, "model").groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(models * SIDE * SIDE).select((F.col("id") / (SIDE * SIDE)).cast("int").alias("model"), F.pmod((F.col("id") / SIDE).cast("int"), F.lit(SIDE)).alias("a"), F.pmod("id", F.lit(SIDE)).cast("int").alias("b"))
+    full = grid.where("b > 0").join(counted, ["model", "a", "b"], "left").na.fill(0, ["n"])
+    of_a, of_b, whole = Window.partitionBy("model", "a"), Window.partitionBy("model", "b"), Window.partitionBy("model")
     own = (F.sum("n").over(of_b) + SMOOTHING) / (F.sum("n").over(whole) + SMOOTHING * (SIDE - 1))
-    logs = full.select("family", "a", "b", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
-    ordinary_logs = logs.where(F.col("family") == none).select("a", "b", F.col("p").alias("q"))
-    return logs.where(F.col("family") < none).join(F.broadcast(ordinary_logs), ["a", "b"]).select("family", "a", "b", (F.col("p") - F.col("q")).alias("llr"))
+    return full.select("model", "a", "b", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
 
 
-def ratio(model: Column, tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, llr: the summed ratio of each of ``tokens(keys…, value)`` under ``model``, the array of all families' ratios by family, a and b.
+def ratio(models: Column, tokens: DataFrame, keys: list[str], kinds: tuple[str, ...] = ORDINARY) -> DataFrame:
+    """``keys``, llr: log-likelihood of each of ``tokens(keys…, value)`` as a random string, less that as the ordinary token (of ``kinds``) it is likeliest to be.
 
-    Long tokens go in pieces keyed by ``keys``, never by their text: linear in the token, with short arrays.
+    ``models`` is the array of all models' logs by model, a and b. Long tokens go in pieces keyed by ``keys``, never by their text: linear in the
+    token, with short arrays.
     """
-    cut = _pieces(tokens.select(*keys, (family(F.col("value")) * (SIDE * SIDE)).alias("__f"), "value"), *keys, "__f")
-    steps = F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: F.get(model, F.col("__f") + a * SIDE + b))
-    return cut.withColumn("__s", F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))).groupBy(*keys).agg(F.sum("__s").alias("llr"))
+    cut = _pieces(tokens.select(*keys, family(F.col("value")).alias("__f"), "value"), *keys, "__f")
+    steps = cut.withColumn("__s", F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: a * SIDE + b))
+    total = lambda model: F.aggregate("__s", F.lit(0.0), lambda acc, at: acc + F.coalesce(F.get(models, model * (SIDE * SIDE) + at), F.lit(0.0)))
+    ordinary = [F.sum(total(F.lit(len(FAMILIES) + ORDINARY.index(k)))) for k in kinds]
+    return steps.groupBy(*keys).agg((F.sum(total(F.col("__f"))) - (F.greatest(*ordinary) if len(ordinary) > 1 else ordinary[0])).alias("llr"))
+
+
+def ordinary_samples(documents: DataFrame) -> DataFrame:
+    """``(component, value, held)`` of all ordinary tokens that the models learn from or are held against."""
+    prose = identifiers(documents).select(F.lit(0).alias("component"), "value", "held")
+    return prose.union(shaped_tokens(documents.sparkSession))
 
 
 def fit(base: DataFrame, documents: DataFrame) -> tuple[Column, float]:
-    """The models as one array literal (``len(FAMILIES)`` times ``SIDE`` squared numbers, whatever the input), and the cutoff by character."""
-    ordinary = store(identifiers(documents), "secret-identifiers")
-    seeds = digest_seeds(ordinary)
+    """The models as one array literal (``SIDE`` squared numbers for each family and kind, whatever the input), and the cutoff by character."""
+    ordinary = store(ordinary_samples(documents), "secret-identifiers")
     values = base.select(family(F.col("value")).alias("family"), "value").where(F.length("value") >= 12)
-    table = markov_model(digests(seeds).union(values), ordinary.where("NOT held")).select("family", "a", "b", "llr").collect()
-    numbers = ["0"] * (len(FAMILIES) * SIDE * SIDE)
+    random = digests(digest_seeds(ordinary.where("component = 0"))).union(digests(documents.sparkSession.range(SEEDS).select(F.concat(F.lit("digest "), F.col("id").cast("string")).alias("value")))).union(values)
+    table = markov_models(random, ordinary.where("NOT held")).collect()
+    numbers = ["0"] * ((len(FAMILIES) + len(ORDINARY)) * SIDE * SIDE)
     for r in table:
-        numbers[(r["family"] * SIDE + r["a"]) * SIDE + r["b"]] = f"{r['llr']:.4f}"
-    model = F.split(F.lit(",".join(numbers)), ",").cast("array<double>")
+        numbers[(r["model"] * SIDE + r["a"]) * SIDE + r["b"]] = f"{r['p']:.4f}"
+    models = F.split(F.lit(",".join(numbers)), ",").cast("array<double>")
     held = ordinary.where(F.col("held") & (F.length("value") >= 20)).select(F.xxhash64("value").alias("id"), "value", F.length("value").alias("n"))
-    mean = ratio(model, held, ["id", "n"]).agg(F.percentile_approx(F.col("llr") / F.col("n"), 1 - FALSE_RATE, 100_000)).first()[0]
-    return model, max(0.0, mean if mean is not None else 0.0)
+    mean = ratio(models, held, ["id", "n"]).agg(F.percentile_approx(F.col("llr") / F.col("n"), 1 - FALSE_RATE, 100_000)).first()[0]
+    return models, max(0.0, mean if mean is not None else 0.0)
 
 
 def scan_spans(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, kind, begin, end, value, llr: all spans, base kinds (llr null) and ``markov``."""
+    return _scan(documents)[0]
+
+
+def _scan(documents: DataFrame) -> tuple[DataFrame, Column]:
+    """All spans, and the models that judged them."""
     spans = store(_spans(documents), "secret-spans")
     base = spans.where("kind != 'token'")
-    model, cutoff = fit(base, documents)
+    models, cutoff = fit(base, documents)
     # A token is free if no base span that begins before its end reaches beyond its begin.
     order = Window.partitionBy("doc_id", "text_hash").orderBy("begin")
     reach = F.max(F.when(F.col("kind") != "token", F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
     later = F.min(F.when(F.col("kind") != "token", F.col("begin"))).over(order.rangeBetween(0, Window.unboundedFollowing))
     free = spans.withColumns({"__reach": reach, "__later": later}).where("kind = 'token' AND coalesce(__reach <= begin, true) AND coalesce(__later >= end, true)").drop("__reach", "__later")
     keys = ["doc_id", "text_hash", "begin", "end"]
-    scores = ratio(model, free, keys).where((F.col("llr") >= LEAST_SUM) & (F.col("llr") >= F.lit(cutoff) * (F.col("end") - F.col("begin"))))
+    scores = ratio(models, free, keys).where((F.col("llr") >= LEAST_SUM) & (F.col("llr") >= F.lit(cutoff) * (F.col("end") - F.col("begin"))))
     columns = [*keys[:2], "kind", *keys[2:], "value", "llr"]
     scored = scores.select(*[F.col(k).alias(f"__{k}") for k in keys], "llr")
     scored = free.join(scored, [free[k].eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return base.withColumn("llr", F.lit(None).cast("double")).select(columns).union(scored.withColumn("kind", F.lit("markov")).select(columns))
+    return base.withColumn("llr", F.lit(None).cast("double")).select(columns).union(scored.withColumn("kind", F.lit("markov")).select(columns)), models
+
+
+def _without_runs(spans: DataFrame, models: Column) -> DataFrame:
+    """Spans without those of kind ``hex`` that are typography, likelier a run, a count or the like than random digits."""
+    keys = ["doc_id", "text_hash", "begin", "end"]
+    runs = ratio(models, spans.where("kind = 'hex'").select(*keys, F.upper("value").alias("value")), keys, ("typography",)).where("llr < 0").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.col("kind") == "hex"
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return spans.join(runs, same, "left_anti")
 
 
 def _listed(spans: DataFrame) -> DataFrame:
@@ -226,9 +287,9 @@ def redact_secrets(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every span (overlapping or touching ones together) replaced by ``mark``; other columns as they are.
 
     Null texts stay null; repeated rows are each redacted; an empty table gives no rows. Texts with spans are cut into blocks of ``BLOCK`` code points, so that a span
-    costs its block and not its text; all others are handed on.
+    costs its block and not its text; all others are handed on. Runs of one digit, counts and the like stay, though they are base spans of kind ``hex``.
     """
-    spans = scan_spans(documents)
+    spans = _without_runs(*_scan(documents))
     keys = ["__d", "__h"]
     marks = spans.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "begin", "end")
     # Spans that overlap are one: a span begins a new one if none before it reaches its begin.

@@ -657,10 +657,11 @@ def test_secret_models_against_brute_force(spark):
     # The ratio of each token, counted again from the same samples.
     stored = secrets.store(secrets._spans(table), "test-spans")
     base = stored.where("kind != 'token'")
-    ordinary = secrets.store(secrets.identifiers(table), "test-identifiers")
-    random_rows = secrets.digests(secrets.digest_seeds(ordinary)).union(base.select(secrets.family(F.col("value")), "value").where("length(value) >= 12")).collect()
-    counts = [collections.Counter() for _ in range(len(secrets.FAMILIES) + 1)]
-    for family, value in [(r[0], r[1]) for r in random_rows] + [(len(secrets.FAMILIES), r.value) for r in ordinary.where("NOT held").collect()]:
+    ordinary = secrets.store(secrets.ordinary_samples(table), "test-identifiers")
+    fixed = spark.range(secrets.SEEDS).select(F.concat(F.lit("digest "), F.col("id").cast("string")).alias("value"))
+    random_rows = secrets.digests(secrets.digest_seeds(ordinary.where("component = 0"))).union(secrets.digests(fixed)).union(base.select(secrets.family(F.col("value")), "value").where("length(value) >= 12")).collect()
+    counts = [collections.Counter() for _ in range(len(secrets.FAMILIES) + len(secrets.ORDINARY))]
+    for family, value in [(r[0], r[1]) for r in random_rows] + [(len(secrets.FAMILIES) + r.component, r.value) for r in ordinary.where("NOT held").collect()]:
         counts[family].update(zip(["", *value], value))
 
     def log(k, a, b):
@@ -672,10 +673,30 @@ def test_secret_models_against_brute_force(spark):
     last = [name for name, _, _ in secrets.FAMILIES].index("base64")
     for r in [s for v in spans.values() for s in v if s.kind == "markov"][:12]:
         k = next((i for i, p in patterns if p.match(r.value)), last)
-        want = sum(log(k, a, b) - log(len(secrets.FAMILIES), a, b) for a, b in zip(["", *r.value], r.value))
+        total = lambda m, value=r.value: sum(log(m, a, b) for a, b in zip(["", *value], value))
+        want = total(k) - max(total(len(secrets.FAMILIES) + i) for i in range(len(secrets.ORDINARY)))
         assert r.llr == pytest.approx(want, abs=1e-3 * len(r.value))
 
 
+def test_ordinary_typography_is_no_secret(spark):
+    """Rule lines, runs, alphabets, dates, part numbers, paths and names stay; what is planted beside them goes."""
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rng = random.Random(21)
+    plain = [c * n for c in "-=_+/aZ01" for n in (20, 33, 80)] + ["=-" * 15, "-=-=" * 8, "+---------+---------+----------+", "1234567890" * 3, low, up, up + low, "".join(rng.choices("ACGT", k=60)), "".join(rng.choices("ACGT", k=600))]
+    plain += [
+        "2024-03-15_17-42-08-000001", "2024-01-01T00-00-00Z-backup-full", "978-3-16-148410-0-2024-01-01", "ISBN-13-978-0-306-40615-7", "E2E-ISO-27001-2013-A-12-4", "MKTG-Q3-2024-EMEA-DACH-07", "INV-2024-000123-REV-B-FINAL", "RFC-2119-SECTION-4-PARAGRAPH-2",
+        "com/org/example/project/module/Main", "usr/local/lib/python3/site-packages/numpy/core", "node_modules/react-dom/cjs/react-dom-production", "https//www/example/com/products/12345/details", "550e8400-e29b-41d4-a716-446655440000", "v2-beta-release-candidate-20240315",
+        "AbstractSingletonProxyFactoryBean", "getUserAccountInformationById", "order_id_20240315_batch_0007", "internationalization_configuration", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT",
+    ]
+    secret = "".join(rng.choices(up + low + "0123456789", k=40))
+    rows = [(i, f"Title\n{x}\nsome words | {x} | more") for i, x in enumerate(plain)] + [(10_000, f"{plain[0]} {secret} {plain[1]}")]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(table.unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))).where("doc_id < 100000").collect()}
+    assert {i: t for i, t in clean.items() if i < 10_000} == dict(rows[:-1])
+    assert clean[10_000] == f"{plain[0]} [SECRET] {plain[1]}"
+
+
 def test_long_tokens_and_redaction(spark):
     rng = random.Random(13)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
