@@ -175,10 +175,10 @@ def digests(seeds: DataFrame) -> DataFrame:
 
 
 def markov_models(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """``(model, a, b, p)``: log frequency of the transition a -> b in random strings of each family, ``random(family, value)``, then in ordinary tokens of each kind, ``ordinary(component, value)``.
+    """``(a, b, p)``: log frequencies of the transition a -> b, by model: in random strings of each family, ``random(family, value)``, then in ordinary tokens of each kind, ``ordinary(component, value)``.
 
     Frequencies after a letter lean on the letters' own (``BACKOFF``), and these on equal ones over the alphabet (``SMOOTHING``); every
-    transition has a row, ``SIDE`` squared a model.
+    transition has a row, at most ``SIDE`` squared, whatever the input.
     """
     spark = random.sparkSession
     first, models = len(FAMILIES), len(FAMILIES) + len(ORDINARY)
@@ -188,20 +188,19 @@ def markov_models(random: DataFrame, ordinary: DataFrame) -> DataFrame:
     full = grid.where("b > 0").join(counted, ["model", "a", "b"], "left").na.fill(0, ["n"])
     of_a, of_b, whole = Window.partitionBy("model", "a"), Window.partitionBy("model", "b"), Window.partitionBy("model")
     own = (F.sum("n").over(of_b) + SMOOTHING) / (F.sum("n").over(whole) + SMOOTHING * (SIDE - 1))
-    return full.select("model", "a", "b", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
+    logs = full.select("model", "a", "b", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
+    return logs.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("model", "p"))), lambda x: x["p"]).alias("p"))
 
 
-def ratio(models: Column, tokens: DataFrame, keys: list[str], kinds: tuple[str, ...] = ORDINARY) -> DataFrame:
+def ratio(models: DataFrame, tokens: DataFrame, keys: list[str], kinds: tuple[str, ...] = ORDINARY) -> DataFrame:
     """``keys``, llr: log-likelihood of each of ``tokens(keys…, value)`` as a random string, less that as the ordinary token (of ``kinds``) it is likeliest to be.
 
-    ``models`` is the array of all models' logs by model, a and b. Long tokens go in pieces keyed by ``keys``, never by their text: linear in the
-    token, with short arrays.
+    A token's transitions meet those of ``models``, a table of bounded size that is broadcast. Long tokens go in pieces keyed by ``keys``, never by their
+    text: linear in the token, with short arrays.
     """
-    cut = _pieces(tokens.select(*keys, family(F.col("value")).alias("__f"), "value"), *keys, "__f")
-    steps = cut.withColumn("__s", F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: a * SIDE + b))
-    total = lambda model: F.aggregate("__s", F.lit(0.0), lambda acc, at: acc + F.coalesce(F.get(models, model * (SIDE * SIDE) + at), F.lit(0.0)))
-    ordinary = [F.sum(total(F.lit(len(FAMILIES) + ORDINARY.index(k)))) for k in kinds]
-    return steps.groupBy(*keys).agg((F.sum(total(F.col("__f"))) - (F.greatest(*ordinary) if len(ordinary) > 1 else ordinary[0])).alias("llr"))
+    steps = _steps(tokens.select(*keys, family(F.col("value")).alias("__f"), "value"), *keys, "__f").join(F.broadcast(models), ["a", "b"])
+    ordinary = [F.sum(F.get("p", F.lit(len(FAMILIES) + ORDINARY.index(k)))) for k in kinds]
+    return steps.groupBy(*keys).agg((F.sum(F.get("p", F.col("__f"))) - (F.greatest(*ordinary) if len(ordinary) > 1 else ordinary[0])).alias("llr"))
 
 
 def ordinary_samples(documents: DataFrame) -> DataFrame:
@@ -210,16 +209,13 @@ def ordinary_samples(documents: DataFrame) -> DataFrame:
     return prose.union(shaped_tokens(documents.sparkSession))
 
 
-def fit(base: DataFrame, documents: DataFrame) -> tuple[Column, float]:
-    """The models as one array literal (``SIDE`` squared numbers for each family and kind, whatever the input), and the cutoff by character."""
+def fit(base: DataFrame, documents: DataFrame) -> tuple[DataFrame, float]:
+    """The models, a stored table of ``SIDE`` squared rows, and the cutoff by character."""
     ordinary = store(ordinary_samples(documents), "secret-identifiers")
     values = base.select(family(F.col("value")).alias("family"), "value").where(F.length("value") >= 12)
-    random = digests(digest_seeds(ordinary.where("component = 0"))).union(digests(documents.sparkSession.range(SEEDS).select(F.concat(F.lit("digest "), F.col("id").cast("string")).alias("value")))).union(values)
-    table = markov_models(random, ordinary.where("NOT held")).collect()
-    numbers = ["0"] * ((len(FAMILIES) + len(ORDINARY)) * SIDE * SIDE)
-    for r in table:
-        numbers[(r["model"] * SIDE + r["a"]) * SIDE + r["b"]] = f"{r['p']:.4f}"
-    models = F.split(F.lit(",".join(numbers)), ",").cast("array<double>")
+    fixed = documents.sparkSession.range(SEEDS).select(F.concat(F.lit("digest "), F.col("id").cast("string")).alias("value"))
+    random = digests(digest_seeds(ordinary.where("component = 0"))).union(digests(fixed)).union(values)
+    models = store(markov_models(random, ordinary.where("NOT held")), "secret-models")
     held = ordinary.where(F.col("held") & (F.length("value") >= 20)).select(F.xxhash64("value").alias("id"), "value", F.length("value").alias("n"))
     mean = ratio(models, held, ["id", "n"]).agg(F.percentile_approx(F.col("llr") / F.col("n"), 1 - FALSE_RATE, 100_000)).first()[0]
     return models, max(0.0, mean if mean is not None else 0.0)
@@ -230,7 +226,7 @@ def scan_spans(documents: DataFrame) -> DataFrame:
     return _scan(documents)[0]
 
 
-def _scan(documents: DataFrame) -> tuple[DataFrame, Column]:
+def _scan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All spans, and the models that judged them."""
     spans = store(_spans(documents), "secret-spans")
     base = spans.where("kind != 'token'")
@@ -248,7 +244,7 @@ def _scan(documents: DataFrame) -> tuple[DataFrame, Column]:
     return base.withColumn("llr", F.lit(None).cast("double")).select(columns).union(scored.withColumn("kind", F.lit("markov")).select(columns)), models
 
 
-def _without_runs(spans: DataFrame, models: Column) -> DataFrame:
+def _without_runs(spans: DataFrame, models: DataFrame) -> DataFrame:
     """Spans without those of kind ``hex`` that are typography, likelier a run, a count or the like than random digits."""
     keys = ["doc_id", "text_hash", "begin", "end"]
     runs = ratio(models, spans.where("kind = 'hex'").select(*keys, F.upper("value").alias("value")), keys, ("typography",)).where("llr < 0").select(*[F.col(k).alias(f"__{k}") for k in keys])
