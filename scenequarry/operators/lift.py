@@ -17,7 +17,7 @@ from scenequarry.operators.camera import FRAME, PIXEL, project, small, spread_fo
 from scenequarry.operators.cloud import XYZ, depth_tolerance, filter_opacity, scene_bounds
 from scenequarry.operators.graph import connected_components
 from scenequarry.operators.order import group_quantiles
-from scenequarry.operators.stored import stored
+from scenequarry.operators.stored import remove_stored, stored
 
 TRACK = ["scene_id", "track"]
 EVIDENCE_AREA, EVIDENCE_FRAMES = 64, 6
@@ -288,30 +288,65 @@ def lift_masks(points: DataFrame, cameras: DataFrame, masks: DataFrame, mask_pix
     )
 
 
-def suppress_masks(masks: DataFrame, least: float = 0.85) -> DataFrame:
-    """Masks of each frame without those that overlap a better kept one with an IoU of ``least`` or more (rectangles).
+def mask_runs(mask_pixels: DataFrame) -> DataFrame:
+    """Rasters as runs: ``(scene_id, frame_ord, mask_ord, v, first, last)`` for each stretch of pixels in a row of a mask; repeated pixels count once."""
+    pixels = mask_pixels.select(*FRAME, "mask_ord", "u", "v").distinct()
+    row = Window.partitionBy(*FRAME, "mask_ord", "v").orderBy("u")
+    stretch = pixels.withColumn("__s", F.col("u") - F.row_number().over(row))
+    return stretch.groupBy(*FRAME, "mask_ord", "v", "__s").agg(F.min("u").alias("first"), F.max("u").alias("last")).drop("__s")
 
-    By confidence down, then ordinal. Pairs come from a join on the frame; only the greedy order over them runs in Python, and
-    a frame holds tens of masks.
+
+def pixel_overlaps(mask_pixels: DataFrame) -> DataFrame:
+    """``(scene_id, frame_ord, a, b, shared, area_a, area_b)`` of masks a < b of a frame that share pixels: their runs meet row by row."""
+    runs = stored(mask_runs(mask_pixels), "mask-runs")
+    area = runs.groupBy(*FRAME, "mask_ord").agg(F.sum(F.col("last") - F.col("first") + 1).alias("area"))
+    left = runs.select(*FRAME, "v", F.col("mask_ord").alias("a"), F.col("first").alias("fa"), F.col("last").alias("la"))
+    right = runs.select(*FRAME, "v", F.col("mask_ord").alias("b"), F.col("first").alias("fb"), F.col("last").alias("lb"))
+    met = left.join(right, [*FRAME, "v"]).where("a < b AND fa <= lb AND fb <= la")
+    shared = met.groupBy(*FRAME, "a", "b").agg(F.sum(F.least("la", "lb") - F.greatest("fa", "fb") + 1).alias("shared"))
+    return shared.join(area.withColumnsRenamed({"mask_ord": "a", "area": "area_a"}), [*FRAME, "a"]).join(area.withColumnsRenamed({"mask_ord": "b", "area": "area_b"}), [*FRAME, "b"])
+
+
+def rectangle_overlaps(masks: DataFrame) -> DataFrame:
+    """The same for masks that are rectangles."""
+    side = lambda s: masks.select(*FRAME, F.col("mask_ord").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("left", "top", "wide", "high")])
+    along = lambda at, size: F.greatest(F.least(*[F.col(f"{at}_{s}") + F.col(f"{size}_{s}") for s in "ab"]) - F.greatest(*[f"{at}_{s}" for s in "ab"]), F.lit(0))
+    met = side("a").join(side("b"), FRAME).where("a < b").withColumn("shared", along("left", "wide") * along("top", "high")).where("shared > 0")
+    return met.select(*FRAME, "a", "b", "shared", *[(F.col(f"wide_{s}") * F.col(f"high_{s}")).alias(f"area_{s}") for s in "ab"])
+
+
+def suppress_masks(masks: DataFrame, least: float = 0.85, mask_pixels: DataFrame | None = None) -> DataFrame:
+    """Masks of each frame without those that overlap a better kept one with an IoU of ``least`` or more, by pixels where given, else by rectangles.
+
+    By confidence down, then ordinal.
+    """
+    order = masks.select("scene_id", "mask_ord", "confidence")
+    met = pixel_overlaps(mask_pixels) if mask_pixels is not None else rectangle_overlaps(masks)
+    close = met.where(F.col("shared") / (F.col("area_a") + F.col("area_b") - F.col("shared")) >= least).select("scene_id", "a", "b")
+    for s in "ab":
+        close = close.join(order.withColumnsRenamed({"mask_ord": s, "confidence": f"c{s}"}), ["scene_id", s])
+    ahead = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")))
+    better, worse = F.when(ahead, F.col("a")).otherwise(F.col("b")), F.when(ahead, F.col("b")).otherwise(F.col("a"))
+    return masks.join(suppressed(close.select("scene_id", better.alias("better"), worse.alias("worse"))), ["scene_id", "mask_ord"], "left_anti")
+
+
+def suppressed(pairs: DataFrame) -> DataFrame:
+    """``(scene_id, mask_ord)`` that a greedy walk from best to worst drops, of ``pairs(scene_id, better, worse)`` that can't both stay.
+
+    In a round all masks without an undecided better one stay, and those that they exclude go; so each round decides the first of every chain, in all
+    frames at once, and what is left is the walk's own rest. Rounds are at most the longest chain of a frame's masks.
     """
-    side = lambda s: masks.select(*FRAME, F.col("mask_ord").alias(s), F.col("confidence").alias(f"c{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("left", "top", "wide", "high")])
-    wide = F.least(F.col("lefta") + F.col("widea"), F.col("leftb") + F.col("wideb")) - F.greatest("lefta", "leftb")
-    high = F.least(F.col("topa") + F.col("higha"), F.col("topb") + F.col("highb")) - F.greatest("topa", "topb")
-    inter = F.greatest(wide, F.lit(0)) * F.greatest(high, F.lit(0))
-    iou = inter / (F.col("widea") * F.col("higha") + F.col("wideb") * F.col("highb") - inter)
-    # In order of confidence, a comes before b.
-    before = (F.col("ca") > F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")))
-    pairs = side("a").join(side("b"), FRAME).where((F.col("a") != F.col("b")) & before).where((inter > 0) & (iou >= least)).select(*FRAME, "a", "b", "ca")
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for a, b in frame.sort_values(["ca", "a"], ascending=[False, True])[["a", "b"]].itertuples(index=False):
-            if a not in gone:
-                gone.add(b)
-        return pd.DataFrame({"scene_id": frame.scene_id.iloc[0], "mask_ord": sorted(gone)})
-
-    dropped = pairs.groupBy(*FRAME).applyInPandas(greedy, f"scene_id {masks.schema['scene_id'].dataType.simpleString()}, mask_ord long")
-    return masks.join(dropped, ["scene_id", "mask_ord"], "left_anti")
+    open_, gone = stored(pairs.distinct(), "mask-pairs"), None
+    while not open_.isEmpty():
+        blocked = open_.select("scene_id", F.col("worse").alias("better")).distinct()
+        dropped = open_.join(blocked, ["scene_id", "better"], "left_anti").select("scene_id", F.col("worse").alias("mask_ord")).distinct()
+        dropped = stored(dropped, "masks-dropped")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        # A dropped mask neither waits nor excludes. Masks that stay had all their worse ones dropped.
+        left = open_.join(dropped.withColumnRenamed("mask_ord", "better"), ["scene_id", "better"], "left_anti").join(dropped.withColumnRenamed("mask_ord", "worse"), ["scene_id", "worse"], "left_anti")
+        last, open_ = open_, stored(left.select("scene_id", "better", "worse"), "mask-pairs")
+        remove_stored(open_.sparkSession, last)
+    return gone if gone is not None else open_.select("scene_id", F.col("better").alias("mask_ord"))
 
 
 def mask_funnel(boxes: DataFrame) -> DataFrame:

@@ -236,6 +236,34 @@ def _(get):
     return lift.suppress_masks(get("masks"), 0.3).select("scene_id", "mask_ord")
 
 
+#: Rasters with holes, two frames a scene, so that many masks of one frame overlap.
+_RASTERS = """pm AS (SELECT scene_id, mask_ord, frame_ord % 2 AS frame_ord, confidence, "left", "top", wide, high FROM masks),
+px AS (SELECT scene_id, mask_ord, frame_ord, "left" + a AS u, "top" + b AS v FROM pm, (SELECT unnest(range(0, 40)) AS a), (SELECT unnest(range(0, 40)) AS b) WHERE a < wide AND b < high AND (a * b + mask_ord) % 5 <> 0 AND (a + b) % 11 <> 0)"""
+_PIXEL_PAIRS = """ar AS (SELECT scene_id, frame_ord, mask_ord, count(*) AS n FROM px GROUP BY ALL), sh AS (SELECT p.scene_id, p.frame_ord, p.mask_ord AS a, q.mask_ord AS b, count(*) AS inter FROM px p JOIN px q ON p.scene_id = q.scene_id AND p.frame_ord = q.frame_ord AND p.u = q.u AND p.v = q.v AND p.mask_ord < q.mask_ord GROUP BY ALL)"""
+
+
+def _rasters(get):
+    masks = get("masks").withColumn("frame_ord", F.col("frame_ord") % 2)
+    cells = masks.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
+    pixels = cells.where("(a * b + mask_ord) % 5 != 0 AND (a + b) % 11 != 0")
+    return masks, pixels.select("scene_id", "mask_ord", "frame_ord", (F.col("left") + F.col("a")).alias("u"), (F.col("top") + F.col("b")).alias("v"))
+
+
+@add("w15_pixel_overlaps", f"WITH {_RASTERS}, {_PIXEL_PAIRS} SELECT sh.scene_id, sh.frame_ord, a, b, inter AS shared, x.n AS area_a, y.n AS area_b FROM sh JOIN ar x ON x.scene_id = sh.scene_id AND x.mask_ord = a JOIN ar y ON y.scene_id = sh.scene_id AND y.mask_ord = b")
+def _(get):
+    return lift.pixel_overlaps(_rasters(get)[1])
+
+
+@add("w15_suppress_pixel_masks", f"""WITH RECURSIVE {_RASTERS}, {_PIXEL_PAIRS}, rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_ord ORDER BY confidence DESC, mask_ord) AS k FROM pm),
+ou AS (SELECT sh.scene_id, sh.frame_ord, a, b FROM sh JOIN ar x ON x.scene_id = sh.scene_id AND x.mask_ord = a JOIN ar y ON y.scene_id = sh.scene_id AND y.mask_ord = b WHERE inter / (x.n + y.n - inter) >= 0.2),
+bo AS (SELECT * FROM ou UNION ALL SELECT scene_id, frame_ord, b, a FROM ou), nb AS (SELECT bo.scene_id, bo.frame_ord, bo.b, list(bo.a) AS worse FROM bo GROUP BY ALL),
+st(scene_id, frame_ord, k, kept) AS (SELECT scene_id, frame_ord, k, [mask_ord] FROM rk WHERE k = 1 UNION ALL SELECT rk.scene_id, rk.frame_ord, rk.k, CASE WHEN list_has_any(st.kept, coalesce(nb.worse, [])) THEN st.kept ELSE list_append(st.kept, rk.mask_ord) END FROM st JOIN rk ON st.scene_id = rk.scene_id AND st.frame_ord = rk.frame_ord AND rk.k = st.k + 1 LEFT JOIN nb ON nb.scene_id = rk.scene_id AND nb.frame_ord = rk.frame_ord AND nb.b = rk.mask_ord)
+SELECT scene_id, unnest(kept) AS mask_ord FROM (SELECT scene_id, frame_ord, arg_max(kept, k) AS kept FROM st GROUP BY ALL)""")
+def _(get):
+    masks, pixels = _rasters(get)
+    return lift.suppress_masks(masks, 0.2, pixels).select("scene_id", "mask_ord")
+
+
 @add("a36_mask_funnel", "WITH b AS (SELECT scene_id, frame_ord, CASE mask_ord % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM masks) SELECT scene_id, frame_ord, count(*) AS boxes, count(*) FILTER (outcome = 'kept') AS kept, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'duplicate') AS duplicate FROM b GROUP BY GROUPING SETS ((scene_id, frame_ord), (scene_id))")
 def _(get):
     outcome = F.when(F.col("mask_ord") % 4 == 0, "rejected").when(F.col("mask_ord") % 4 == 1, "duplicate").otherwise("kept")
