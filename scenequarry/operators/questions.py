@@ -5,22 +5,72 @@ Annotations hold ``scene_id, ordinal, id, label, x, y, z, lo_x … hi_z, confide
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenequarry.functions.geometry import norm
-from scenequarry.functions.labels import match_tier
+from scenequarry.operators.stored import stored
+
+
+#: Letters of the pieces by which needles and labels meet.
+GRAM = 3
+_ASKED = ["scene_id", "__n"]
+
+
+def _grams(text: Column, least: int = 1) -> Column:
+    """Distinct pieces of ``least`` to ``GRAM`` letters."""
+
+    def pieces(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))
+        return F.when(F.length(text) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[pieces(k) for k in range(least, GRAM + 1)]))
+
+
+def _rarest(strings: DataFrame, column: str, counts: DataFrame) -> DataFrame:
+    """``strings`` with the piece, of ``GRAM`` letters or all of a shorter string, that fewest labels of the scene have."""
+    pieces = F.when(F.length(column) < GRAM, F.array(column)).otherwise(_grams(F.col(column), GRAM))
+    each = strings.select("scene_id", column, F.explode(pieces).alias("__g")).join(counts, ["scene_id", "__g"], "left")
+    return each.groupBy("scene_id", column).agg(F.min_by("__g", F.struct(F.coalesce("__c", F.lit(0)), "__g")).alias("__g"))
+
+
+def inside_pairs(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(scene_id, __n, __t)`` where a needle of ``asked(scene_id, __n)`` is inside a label of ``labels(scene_id, __t)``, or holds it; distinct rows each.
+
+    What is inside another string has all of its pieces, so the rarest of them finds it: needles and labels meet on scene and piece. An empty label is
+    inside every needle.
+    """
+    of_labels = stored(labels.where("__t != ''").select("scene_id", "__t", F.explode(_grams(F.col("__t"))).alias("__g")), "label-pieces")
+    counts = of_labels.groupBy("scene_id", "__g").agg(F.count(F.lit(1)).alias("__c"))
+    inside = _rarest(asked, "__n", counts).join(of_labels, ["scene_id", "__g"]).where(F.contains("__t", "__n"))
+    of_needles = asked.select("scene_id", "__n", F.explode(_grams(F.col("__n"))).alias("__g"))
+    around = of_needles.join(_rarest(labels.where("__t != ''"), "__t", counts), ["scene_id", "__g"]).where(F.contains("__n", "__t"))
+    empty = asked.join(labels.where("__t = ''"), "scene_id")
+    columns = [*_ASKED, "__t"]
+    return inside.select(columns).union(around.select(columns)).union(empty.select(columns)).distinct()
 
 
 def resolve_objects(requests: DataFrame, annotations: DataFrame, needle: str = "needle") -> DataFrame:
     """Each of ``requests(request_id, scene_id, needle)`` with the best annotation as ``hit`` (null: none).
 
-    By id, then label, then either inside the other; the first in order of each. One aggregate, no ranking window.
+    By id, then label, then either inside the other; the first in order of each. Each distinct question of a scene is answered once: by an equi-join on the
+    id, what is left by one on the label, and only the rest by pieces of the labels. Nothing is paired by scene alone.
     """
     row = F.struct(*[F.col(c) for c in annotations.columns])
-    paired = requests.select("request_id", "scene_id", F.col(needle).alias("__n")).join(annotations, "scene_id").withColumn("__tier", match_tier(F.col("__n"), F.col("id"), F.col("label"))).where(F.col("__tier").isNotNull())
-    best = paired.groupBy("request_id").agg(F.min_by(row, F.struct("__tier", "ordinal")).alias("hit"))
-    return requests.join(best, "request_id", "left")
+    named = annotations.select("scene_id", row.alias("hit"), F.lower("id").alias("__i"), F.lower("label").alias("__t"))
+    first = lambda key: named.where(F.col(key).isNotNull()).groupBy("scene_id", F.col(key).alias("__n")).agg(F.min_by("hit", F.col("hit.ordinal")).alias("hit"))
+    asked = requests.select("request_id", "scene_id", F.lower(F.trim(F.col(needle))).alias("__n"))
+    open_ = stored(asked.where("__n != ''").select(*_ASKED).distinct(), "questions")
+    by_id = open_.join(first("__i"), _ASKED)
+    open_ = open_.join(first("__i").select(*_ASKED), _ASKED, "left_anti")
+    labels = stored(first("__t"), "labels")
+    by_label = open_.join(labels, _ASKED)
+    open_ = stored(open_.join(labels.select(*_ASKED), _ASKED, "left_anti"), "questions")
+    labels = labels.withColumnRenamed("__n", "__t")
+    pairs = inside_pairs(open_, labels.select("scene_id", "__t")).join(labels, ["scene_id", "__t"])
+    by_part = pairs.groupBy(*_ASKED).agg(F.min_by("hit", F.col("hit.ordinal")).alias("hit"))
+    answers = by_id.unionByName(by_label).unionByName(by_part)
+    return requests.withColumn("__n", F.lower(F.trim(F.col(needle)))).join(answers, _ASKED, "left").select(*[F.col(f"`{c}`") for c in requests.columns], "hit")
 
 
 def known_labels(annotations: DataFrame) -> DataFrame:
