@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scenequarry.functions import labels as lb
 from scenequarry.operators import graph, questions, trace
+from scenequarry.operators.stored import stored
 from scenequarry.plans.registry import REGISTRY
 from scenequarry.streaming import folds
 
@@ -44,7 +45,7 @@ _FOREST = "WITH RECURSIVE f AS (SELECT span_id, span_name, span_id AS root_id, 0
 
 @add("g6_span_forest", f"{_FOREST} SELECT span_id, root_id, depth, path FROM f")
 def _(get):
-    return graph.span_forest(get("spans").select("span_id", "parent_span_id")).select("span_id", "root_id", "depth", "path")
+    return graph.span_forest(get("spans").select("span_id", "parent_span_id"), paths=True).select("span_id", "root_id", "depth", "path")
 
 
 @add("g7_stage_subtrees", f"{_FOREST}, m AS (SELECT f.span_id, g.span_id AS root, row_number() OVER (PARTITION BY f.span_id ORDER BY g.depth) AS k FROM f JOIN f g ON f.root_id = g.root_id AND (f.path = g.path OR starts_with(f.path, g.path || '/')) WHERE starts_with(g.span_name, 'segmentation.')) SELECT span_id, CAST(root AS STRING) AS matched_root FROM m WHERE k = 1")
@@ -58,11 +59,10 @@ def _(get):
 def _(get):
     from pyspark.sql.window import Window
 
-    forest = graph.preorder(graph.span_forest(get("spans").select("span_id", "parent_span_id")))
+    forest = stored(graph.preorder(graph.span_forest(get("spans").select("span_id", "parent_span_id"))).select("span_id", "root_id", F.col("place").alias("__i")))
     # Places within a root, then the roots' sizes before it: no window over all rows.
-    inside = forest.withColumn("__i", F.row_number().over(Window.partitionBy("root_id").orderBy("order_key")))
     sizes = forest.groupBy("root_id").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("root_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(sizes, "root_id").select("span_id", (F.col("__i") + F.col("__before")).alias("place"))
+    return forest.join(sizes, "root_id").select("span_id", (F.col("__i") + F.col("__before")).alias("place"))
 
 
 _COST = f"{_TOUCH}, {_USE}, us2 AS (SELECT tt.scene_id, span_name, usd, tokens_in, tokens_out FROM tt JOIN us USING (trace_id) WHERE usd <> 0 OR tokens_in <> 0)"
