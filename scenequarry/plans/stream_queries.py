@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scenequarry.operators.stored import shared_folder
 from scenequarry.plans.registry import REGISTRY
+from scenequarry.sources.versions import read_scene
 from scenequarry.streaming import live
 
 add = REGISTRY.add
@@ -35,4 +36,4 @@ def _(get):
     spark = spans.sparkSession
     root = f"{shared_folder(spark)}/scenequarry-{spark.sparkContext.applicationId}/snapshots-{uuid.uuid4().hex}"
     live.snapshot_stream(spans, f"{root}/out", f"{root}/checkpoint", every=None).awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("scene_id", "span_id", "span_name", "duration_ms")
+    return read_scene(spark, f"{root}/out").select("scene_id", "span_id", "span_name", "duration_ms")

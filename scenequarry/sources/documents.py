@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenequarry.functions.labels import strip_extension, valid_scene_id
+from scenequarry.sources.versions import read_scene, write_scene
 
 STAGE = "struct<status:string,duration_s:double>"
 MANIFEST = f"scene_id string, created_at timestamp, status string, stages struct<capture:{STAGE},poses:{STAGE},splat:{STAGE},segmentation:{STAGE}>, artifacts map<string,string>, stats struct<frame_count:int,object_count:int,splat_size_mb:double>, errors array<string>, _corrupt_record string"
@@ -108,17 +109,12 @@ def evidence_manifest(annotations: DataFrame, mask_files: DataFrame, frame_files
     return frame_files.select("scene_id", "frame_name").distinct().withColumn("stem", stem).join(wanted, ["scene_id", "stem"], "left_semi").drop("stem")
 
 
-def write_scene(df: DataFrame, path: str) -> None:
-    """Replace the scenes in ``df``, and no others, of a table partitioned by scene."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").parquet(path)
-
-
 def write_surfels(surfels: DataFrame, path: str) -> None:
     write_scene(surfels.repartition("scene_id", "frame_ord"), path)
 
 
 def read_surfels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_scene(spark, path)
 
 
 def write_trace_snapshot(spans: DataFrame, path: str) -> None:

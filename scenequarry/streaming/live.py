@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scenequarry.operators.stored import path_exists, remove_stored, shared_folder, stored
 from scenequarry.sources.documents import write_trace_snapshot
+from scenequarry.sources.versions import has_scenes, read_scene
 from scenequarry.streaming.folds import STAGES, stage_throughput
 
 MANIFEST = "scene_id string, status string, capture string, poses string, splat string, segmentation string, errors string"
@@ -99,9 +100,9 @@ def merge_snapshot(batch: DataFrame, path: str) -> None:
     """Add spans to the snapshots of their scenes: what a snapshot has stays, a span that comes again replaces its last version. Repeating a batch changes nothing."""
     spark = batch.sparkSession
     fresh = batch.withColumn("__new", F.lit(1))
-    if path_exists(spark, path):
+    if has_scenes(spark, path):
         touched = batch.select("scene_id").distinct()
-        kept = spark.read.parquet(path).drop("snapshot_at").join(touched, "scene_id", "left_semi").withColumn("__new", F.lit(0))
+        kept = read_scene(spark, path).drop("snapshot_at").join(touched, "scene_id", "left_semi").withColumn("__new", F.lit(0))
         fresh = kept.unionByName(fresh, allowMissingColumns=True)
     columns = [c for c in fresh.columns if c != "__new"]
     last = fresh.groupBy("scene_id", "span_id").agg(F.max_by(F.struct(*[F.col(c) for c in columns]), "__new").alias("s")).select("s.*")

@@ -157,12 +157,12 @@ def test_documents(spark, tmp_path):
 
 
 def test_write_scene_replaces_one(spark, tmp_path):
-    from scenequarry.sources.documents import write_scene
+    from scenequarry.sources.versions import read_scene, write_scene
 
     where = str(tmp_path / "t")
     write_scene(spark.createDataFrame([("a", 1), ("b", 1)], "scene_id string, v int"), where)
     write_scene(spark.createDataFrame([("b", 2)], "scene_id string, v int"), where)
-    assert {(r.scene_id, r.v) for r in spark.read.parquet(where).collect()} == {("a", 1), ("b", 2)}
+    assert {(r.scene_id, r.v) for r in read_scene(spark, where).collect()} == {("a", 1), ("b", 2)}
 
 
 def test_deep_span_forest(spark):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scenequarry.plans.views import view
+from scenequarry.sources.versions import read_scene
 from scenequarry.streaming import folds, live
 
 DATA = "/root/testdata/sf0.001"
@@ -59,7 +60,7 @@ def test_snapshots_keep_earlier_spans(spark, tmp_path):
     live.merge_snapshot(batch([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")]), path)
     for _ in range(2):  # a batch that comes again changes nothing
         live.merge_snapshot(batch([("a", 4, "w"), ("a", 2, "y2")]), path)
-    got = {(r.scene_id, r.span_id, r.span_name) for r in spark.read.parquet(path).collect()}
+    got = {(r.scene_id, r.span_id, r.span_name) for r in read_scene(spark, path).collect()}
     assert got == {("a", 1, "x"), ("a", 2, "y2"), ("a", 4, "w"), ("b", 3, "z")}
 
 
