@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenequarry.functions.geometry import conf_to_logit, half_even, matrix_to_quaternion, norm, rgb_to_dc, surfel_basis, surfel_scales
+from scenequarry.operators.stored import stored
 
 NEAR = 1e-6
 #: Rows and bytes (as JSON, which is longer than Spark's rows) of a table that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 FRAME = ["scene_id", "frame_ord"]
 PIXEL = ["scene_id", "frame_ord", "u", "v"]
+#: Cells along a scene's longest side by which points meet cameras.
+CELLS, CELL = 16, ["__cx", "__cy", "__cz"]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -32,12 +35,49 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if size[0] <= rows and size[1] <= BROADCAST_BYTES else df
 
 
-def project(points: DataFrame, cameras: DataFrame) -> DataFrame:
+def point_cells(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """Points with their cell of ``grid(scene_id, edge)``."""
+    return points.join(small(grid), "scene_id").withColumns({k: F.floor(F.col(c) / F.col("edge")) for k, c in zip(CELL, ("x", "y", "z"), strict=True)}).drop("edge")
+
+
+def visible_cells(points: DataFrame, cameras: DataFrame, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """A grid of about ``cells`` cells along each scene's longest side, and the frames of each cell of it: ``(scene_id, cell, frames)``.
+
+    Cells, by the box that their points really fill, meet the cameras of their scene instead of the points themselves. A camera doesn't see a cell
+    whose eight corners lie beyond one plane of its frustum: nothing inside can be on the frame. The planes stand a pixel outside of the frame, so that
+    rounding loses no point.
+    """
+    ends = points.groupBy("scene_id").agg(F.greatest(*[F.max(c) - F.min(c) for c in ("x", "y", "z")]).alias("__e"))
+    # A power of two: cells of a scene are the same whatever else is read with it.
+    edge = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("__e") / cells, F.lit(1e-6)))))
+    grid = stored(ends.select("scene_id", edge.alias("edge")), "grid")
+    sides = [f(c).alias(f"__{n}{c}") for c in ("x", "y", "z") for n, f in (("lo", F.min), ("hi", F.max))]
+    boxes = point_cells(points, grid).groupBy("scene_id", *CELL).agg(*sides)
+    axis = [[F.col(f"e{r}{c}") for c in range(4)] for r in range(3)]
+
+    def highest(weights: list[Column]) -> Column:
+        """Greatest value over a cell of a sum of camera coordinates, each with a weight."""
+        turned = [sum((w * axis[r][c] for r, w in enumerate(weights)), F.lit(0.0)) for c in range(4)]
+        return sum((F.greatest(t * F.col(f"__lo{c}"), t * F.col(f"__hi{c}")) for t, c in zip(turned, ("x", "y", "z"), strict=False)), turned[3])
+
+    zero = F.lit(0.0)
+    planes = [highest([F.col("fx"), zero, F.col("cx") + 1.5]), highest([-F.col("fx"), zero, F.col("width") - F.col("cx") + 0.5]), highest([zero, F.col("fy"), F.col("cy") + 1.5]), highest([zero, -F.col("fy"), F.col("height") - F.col("cy") + 0.5])]
+    inside = highest([zero, zero, F.lit(1.0)]) > NEAR
+    for plane in planes:
+        inside = inside & (plane >= 0)
+    seen = boxes.join(small(cameras), "scene_id").where(inside).groupBy("scene_id", *CELL).agg(F.collect_list("frame_ord").alias("frames"))
+    return grid, stored(seen, "visible-cells")
+
+
+def project(points: DataFrame, cameras: DataFrame, culled: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Pixels that points fall on: scene_id, frame_ord, point_idx, u, v, depth; only those inside a frame and in front of it.
 
-    An equi-join on the scene; rows outside the frame are dropped in the same stage, before any shuffle.
+    Points meet the cameras that see their cell (``culled``, as ``visible_cells`` gives it), not all of their scene; rows outside the frame are dropped in the same stage,
+    before any shuffle.
     """
-    joined = points.join(small(cameras), "scene_id")
+    grid, seen = culled or visible_cells(points, cameras)
+    near = point_cells(points.select("scene_id", "point_idx", "x", "y", "z"), grid).join(small(seen), ["scene_id", *CELL]).drop(*CELL)
+    joined = near.withColumn("frame_ord", F.explode("frames")).join(small(cameras), FRAME)
     cam = [F.col(f"e{r}0") * F.col("x") + F.col(f"e{r}1") * F.col("y") + F.col(f"e{r}2") * F.col("z") + F.col(f"e{r}3") for r in range(3)]
     placed = joined.select("scene_id", "frame_ord", "point_idx", "fx", "fy", "cx", "cy", "width", "height", cam[0].alias("__x"), cam[1].alias("__y"), cam[2].alias("depth")).where(F.col("depth") > NEAR)
     u = half_even(F.col("fx") * F.col("__x") / F.col("depth") + F.col("cx"))

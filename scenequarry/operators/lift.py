@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenequarry.functions.geometry import norm, sigmoid
-from scenequarry.operators.camera import FRAME, PIXEL, project, small, spread_foreground, zbuffer
+from scenequarry.operators.camera import FRAME, PIXEL, project, small, spread_foreground, visible_cells, zbuffer
 from scenequarry.operators.cloud import XYZ, depth_tolerance, filter_opacity, scene_bounds
 from scenequarry.operators.graph import connected_components
 from scenequarry.operators.order import group_quantiles
@@ -261,13 +261,13 @@ def source_funnel(objects: DataFrame) -> DataFrame:
 def lift_masks(points: DataFrame, cameras: DataFrame, masks: DataFrame, mask_pixels: DataFrame | None = None, opacity_min: float = 0.05, jaccard_min: float = 0.30, background: float = 0.45, least_track: int = 40, most: int = 30, min_votes: int = 1) -> DataFrame:
     """Objects of each scene from its cloud, cameras and masks.
 
-    Only frames with masks are projected. The projection is computed twice, which is cheaper than to store it; the membership is stored.
+    Only frames with masks are projected, and only to the cells that they see. The projection is computed twice, which is cheaper than to store it; the membership is stored.
     Ids keep the rank by anchor area, so tracks that are dropped later leave gaps.
     """
     kept = filter_opacity(points, opacity_min)
     tolerance = stored(depth_tolerance(scene_bounds(kept)).select("scene_id", "epsilon"))
     used = cameras.join(masks.select(*FRAME).distinct(), FRAME, "left_semi")
-    projected = project(kept, used)
+    projected = project(kept, used, visible_cells(kept, used))
     seen = visible(projected, spread_foreground(zbuffer(projected), used, hit_only=True), tolerance)
     raw = pixel_membership(seen, mask_pixels) if mask_pixels is not None else rectangle_membership(seen, masks)
     members = stored(drop_background(raw, kept, background, min_votes).select("scene_id", "mask_ord", "point_idx"))
