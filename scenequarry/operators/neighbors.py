@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,8 @@ from scenequarry.operators.graph import connected_components
 from scenequarry.operators.stored import stored
 
 CELL = [f"__c{c}" for c in XYZ]
+#: Points for each neighbour wanted above which a cell is split, and how often at most; pairs of two cells' points that are compared at once.
+FULL, LEVELS, FEW_PAIRS = 2, 30, 4_096
 
 
 def _celled(points: DataFrame, size: float, spread: bool) -> DataFrame:
@@ -59,11 +61,79 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, base: float = 0.5) -> D
     return placed.join(small(sized), ["scene_id", "__l", *CELL]).where(inside).select("scene_id", "box_id", "point_idx")
 
 
+def _levelled(points: DataFrame, radius: float, level: Column) -> DataFrame:
+    """Points with their cell of a level of the grid: edges are ``radius`` halved so often."""
+    edge = F.lit(float(radius)) * F.pow(F.lit(2.0), -F.col("level"))
+    return points.withColumn("level", level).withColumns({n: F.floor(F.col(c) / edge) for n, c in zip(CELL, XYZ, strict=True)})
+
+
+def _candidates(points: DataFrame, radius: float, probes: DataFrame) -> DataFrame:
+    """Points as candidates ``b``, once on each level that probes are on."""
+    used = sorted(r[0] for r in probes.select("level").distinct().collect()) or [0]
+    return _levelled(points, radius, F.explode(F.array(*[F.lit(x) for x in used]))).select("scene_id", "level", *CELL, F.col("id").alias("b"), *[F.col(c).alias(f"__r{c}") for c in XYZ])
+
+
+def _search_levels(points: DataFrame, k: int, radius: float) -> DataFrame:
+    """``points(scene_id, id, x, y, z)`` with the ``level`` of the grid to search them on and how far, ``reach``.
+
+    Cells of edge ``radius`` are split in eight where they are full, round by round, down to the smallest around each point that holds more than ``k`` points. The ``k``-th
+    nearest within that cell bounds how far the nearest can be, and the search goes to the level whose cells just exceed that.
+    """
+    open_, done, level = points, None, 0
+    while True:
+        cells = _levelled(open_, radius, F.lit(level))
+        counts = cells.groupBy("scene_id", *CELL).agg(F.count(F.lit(1)).alias("__n"))
+        # A point whose cell is too thin keeps what the level before has told.
+        kept = F.col("fine") if level else F.lit(None).cast("int")
+        keyed = stored(cells.join(counts, ["scene_id", *CELL]).drop(*CELL, "level").withColumn("fine", F.when(F.col("__n") > k, F.lit(level)).otherwise(kept)), "split-cells")
+        settled = keyed.where(F.col("__n") <= FULL * k)
+        done = settled if done is None else done.unionByName(settled)
+        open_ = keyed.where(F.col("__n") > FULL * k).drop("__n")
+        level += 1
+        if level > LEVELS or open_.isEmpty():
+            break
+    found = done.drop("__n") if level <= LEVELS else done.drop("__n").unionByName(open_)
+    probes = _levelled(found.where("fine IS NOT NULL"), radius, F.col("fine"))
+    within = probes.withColumnRenamed("id", "a").join(_candidates(points, radius, probes), ["scene_id", "level", *CELL]).where("a != b").withColumn("d2", _d2())
+    rank = F.row_number().over(Window.partitionBy("scene_id", "a").orderBy("d2"))
+    # A little more than the distance itself, which is rounded.
+    bound = within.withColumn("__k", rank).where(F.col("__k") == k).select("scene_id", F.col("a").alias("id"), F.least(F.lit(float(radius)), F.sqrt("d2") * (1 + 1e-9)).alias("reach"))
+    reach = F.coalesce("reach", F.lit(float(radius)))
+    level_of = F.when(reach > 0, F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(F.log2(F.lit(float(radius)) / reach) - 1e-9)))).otherwise(F.lit(LEVELS))
+    return found.drop("fine").join(bound, ["scene_id", "id"], "left").select("scene_id", "id", *XYZ, reach.alias("reach"), level_of.cast("int").alias("level"))
+
+
+def _d2() -> Column:
+    return sum(((F.col(c) - F.col(f"__r{c}")) ** 2 for c in XYZ), F.lit(0.0))
+
+
+def nearest_pairs(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFrame:
+    """``(scene_id, a, b, d2)``: the ``k`` nearest of each of ``points(scene_id, id, x, y, z)`` within ``radius``; of equals the lower id.
+
+    Of points at one place only the ``k + 1`` lowest ids can be among the nearest of any, and more than ``k`` of them are each other's nearest. All others are
+    searched for on cells as small as they stand close (``_search_levels``), so that a dense cell is never paired with itself as a whole.
+    """
+    place = Window.partitionBy("scene_id", *XYZ).orderBy("id")
+    first = stored(points.select("scene_id", "id", *XYZ).withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= k + 1), "places")
+    crowds = first.where(F.col("__r") == k + 1).select("scene_id", *XYZ)
+    together = points.select("scene_id", F.col("id").alias("a"), *XYZ).join(first.join(crowds, ["scene_id", *XYZ], "left_semi").select("scene_id", F.col("id").alias("b"), *XYZ), ["scene_id", *XYZ]).where("a != b")
+    together = together.select("scene_id", "a", "b", F.lit(0.0).alias("d2"))
+    searched = first.join(crowds, ["scene_id", *XYZ], "left_anti")
+    # Levels are those of all candidates; only points that stand alone or with few are searched for.
+    levels = stored(_search_levels(first.drop("__r"), k, radius), "levels")
+    probes = levels.join(searched.select("scene_id", "id"), ["scene_id", "id"], "left_semi")
+    around = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip(CELL, (x, y, z), strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    one = _levelled(probes, radius, F.col("level")).withColumn("__o", F.explode(around)).withColumns({n: F.col(n) + F.col(f"__o.{n}") for n in CELL})
+    one = one.select("scene_id", "level", *CELL, F.col("id").alias("a"), *XYZ, "reach")
+    met = one.join(_candidates(first, radius, probes), ["scene_id", "level", *CELL]).where("a != b").withColumn("d2", _d2()).where((F.col("d2") <= radius**2) & (F.col("d2") <= F.col("reach") * F.col("reach")))
+    # A task keeps its k nearest of each point before they are shuffled.
+    rank = F.row_number().over(Window.partitionBy("scene_id", "a").orderBy("d2", "b"))
+    return met.select("scene_id", "a", "b", "d2").unionByName(together).withColumn("__k", rank).where(F.col("__k") <= k).drop("__k")
+
+
 def nearest_graph(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFrame:
     """Undirected edges a < b from each of ``points(scene_id, id, x, y, z)`` to its ``k`` nearest within ``radius``; of equals the lower id."""
-    pairs = near_pairs(points, points, radius).where("a != b")
-    rank = F.row_number().over(Window.partitionBy("scene_id", "a").orderBy("d2", "b"))
-    near = pairs.withColumn("__k", rank).where(F.col("__k") <= k)
+    near = nearest_pairs(points, k, radius)
     return near.select("scene_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -109,22 +179,83 @@ def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30) -
     """Density clusters of ``points(scene_id, id, x, y, z)``: ``(scene_id, id, cluster)``, -1 for noise.
 
     A core point has ``least`` points within ``radius``, itself included. Clusters are components of core points, numbered by
-    their least core id; a border point joins the least component it touches.
+    their least core id; a border point joins the least component it touches. Points are kept by cells so tight that all of a cell are near each other: those of
+    a cell with ``least`` are core without a pair, cells are linked as wholes, and only points of thin cells, fewer than ``least`` a cell, are paired with others.
     """
-    pairs = near_pairs(points, points, radius)
-    core = stored(pairs.groupBy("scene_id", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene_id", "id"), "core-points")
-    core_points = stored(points.join(core, ["scene_id", "id"], "left_semi").select("scene_id", "id", *XYZ), "core-points")
-    # Pairs are not kept: those of core points are found again, which are fewer.
-    edges = near_pairs(core_points, core_points, radius).where("a < b").select("scene_id", "a", "b")
-    label = connected_components(core.withColumnRenamed("id", "node"), edges)
-    number = label.select("scene_id", "component").distinct().withColumn("cluster", (F.dense_rank().over(Window.partitionBy("scene_id").orderBy("component")) - 1).cast("int"))
-    own = label.select("scene_id", F.col("node").alias("id"), "component")
+    points = points.select("scene_id", "id", *XYZ)
+    own = _tight_cells(points, radius)
+    full = stored(own.groupBy("scene_id", *CELL).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select("scene_id", *CELL), "full-cells")
+    crowded = own.join(full, ["scene_id", *CELL], "left_semi").select("scene_id", "id")
+    thin = own.join(full, ["scene_id", *CELL], "left_anti").drop(*CELL)
+    counted = near_pairs(thin, points, radius).groupBy("scene_id", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene_id", "id")
+    core = stored(crowded.unionByName(counted), "core-points")
+    core_points = stored(points.join(core, ["scene_id", "id"], "left_semi"), "core-points")
+    cells = stored(_tight_cells(core_points, radius).groupBy("scene_id", *CELL).agg(F.min("id").alias("node")), "core-cells")
+    joined = connected_components(cells.select("scene_id", "node"), linked_cells(core_points, radius))
+    label = _tight_cells(core_points, radius).join(cells, ["scene_id", *CELL]).join(joined, ["scene_id", "node"])
+    number = joined.select("scene_id", "component").distinct().withColumn("cluster", (F.dense_rank().over(Window.partitionBy("scene_id").orderBy("component")) - 1).cast("int"))
+    own = stored(label.select("scene_id", "id", "component"), "core-labels")
     others = points.join(core, ["scene_id", "id"], "left_anti")
-    touched = near_pairs(core_points, others, radius).join(own.withColumnRenamed("id", "a"), ["scene_id", "a"]).groupBy("scene_id", F.col("b").alias("id")).agg(F.min("component").alias("component"))
+    touched = near_pairs(others, core_points, radius).join(own.withColumnRenamed("id", "b"), ["scene_id", "b"]).groupBy("scene_id", F.col("a").alias("id")).agg(F.min("component").alias("component"))
     best = own.unionByName(touched).join(number, ["scene_id", "component"])
     return points.select("scene_id", "id").join(best.select("scene_id", "id", "cluster"), ["scene_id", "id"], "left").na.fill(-1, ["cluster"])
 
 
+def _tight_cells(points: DataFrame, radius: float, parts: int = 1) -> DataFrame:
+    """Points with their cell of an edge that keeps any two points of a cell within ``radius``, divided in ``parts`` along each side."""
+    edge = radius / 3**0.5 * (1 - 1e-9) / parts
+    return points.withColumns({n: F.floor(F.col(c) / edge) for n, c in zip(CELL, XYZ, strict=True)})
+
+
+def linked_cells(points: DataFrame, radius: float) -> DataFrame:
+    """``(scene_id, a, b)``: pairs of tight cells, by the least id of their points, of which two points are within ``radius``.
+
+    Boxes around the points decide most pairs: as a whole within the radius, or as a whole beyond it. Pairs that neither holds for are compared point by
+    point if they are few, else both cells are split and their parts are judged alike, until one pair of parts is within or none is left.
+    """
+    limit, slack = radius**2, 1e-12
+    ends = [f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    root = _tight_cells(points, radius)
+    cells = stored(root.groupBy("scene_id", *CELL).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"), *ends), "cells")
+    owned = stored(root.join(cells.select("scene_id", *CELL, "node"), ["scene_id", *CELL]).select("scene_id", "id", *XYZ, "node"), "cell-points")
+    boxes = ["n", *[f"{e}{c}" for c in XYZ for e in ("lo", "hi")]]
+    least = sum((F.greatest(F.lit(0.0), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.col(f"b_lo{c}") - F.col(f"a_hi{c}")) ** 2 for c in XYZ), F.lit(0.0))
+    most = sum((F.greatest(F.col(f"a_hi{c}") - F.col(f"b_lo{c}"), F.col(f"b_hi{c}") - F.col(f"a_lo{c}")) ** 2 for c in XYZ), F.lit(0.0))
+    side = lambda df, s, keys: df.select("scene_id", *keys, F.col("node").alias(s), *[F.col(x).alias(f"{s}_{x}") for x in boxes])
+    half = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)]
+    offsets = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip(CELL, o, strict=True)]) for o in half]))
+    moved = side(cells, "a", CELL).withColumn("__o", offsets).withColumns({n: F.col(n) + F.col(f"__o.{n}") for n in CELL}).drop("__o")
+    met = moved.join(side(cells, "b", CELL), ["scene_id", *CELL]).drop(*CELL)
+    found, parts = None, 1
+    while True:
+        judged = stored(met.withColumns({"__near": most <= limit * (1 - slack), "__far": least > limit * (1 + slack)}).where("NOT __far"), "cell-pairs")
+        linked = judged.where("__near").select("scene_id", "a", "b").distinct()
+        rest = judged.where("NOT __near").join(linked, ["scene_id", "a", "b"], "left_anti")
+        few = rest.where(F.col("a_n") * F.col("b_n") <= FEW_PAIRS)
+        keys = [f"__{s}{n}" for s in "ab" for n in CELL] if parts > 1 else []
+        part = _tight_cells(owned, radius, parts) if parts > 1 else owned
+        at = lambda s, part=part: part.select("scene_id", F.col("node").alias(s), *[F.col(c).alias(f"{s}{c}") for c in XYZ], *([F.col(n).alias(f"__{s}{n}") for n in CELL] if parts > 1 else []))
+        d2 = sum(((F.col(f"a{c}") - F.col(f"b{c}")) ** 2 for c in XYZ), F.lit(0.0))
+        for s in "ab":
+            few = few.join(at(s), ["scene_id", s, *[k for k in keys if k.startswith(f"__{s}")]])
+        new = stored(linked.unionByName(few.where(d2 <= limit).select("scene_id", "a", "b").distinct()).distinct(), "linked-cells")
+        found = new if found is None else found.unionByName(new)
+        open_ = stored(rest.where(F.col("a_n") * F.col("b_n") > FEW_PAIRS).join(new, ["scene_id", "a", "b"], "left_anti").select("scene_id", "a", "b", *keys).distinct(), "open-cells")
+        if open_.isEmpty():
+            return found.select("scene_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # Parts of the open cells: half the edge, each with the part that it is in so far.
+        nodes = open_.select("scene_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+        finer = _tight_cells(owned.join(nodes, ["scene_id", "node"], "left_semi"), radius, 2 * parts)
+        coarse = {f"__p{n}": F.floor(F.col(n) / 2) for n in CELL} if parts > 1 else {}
+        pieces = stored(finer.withColumns(coarse).groupBy("scene_id", "node", *CELL, *coarse).agg(F.count(F.lit(1)).alias("n"), *ends), "cell-parts")
+        met = open_
+        for s in "ab":
+            mine = pieces.select("scene_id", F.col("node").alias(s), *[F.col(f"__p{n}").alias(f"__{s}{n}") for n in (CELL if coarse else [])], *[F.col(n).alias(f"__n{s}{n}") for n in CELL], *[F.col(x).alias(f"{s}_{x}") for x in boxes])
+            met = met.join(mine, ["scene_id", s, *[k for k in keys if k.startswith(f"__{s}")]])
+        met = met.drop(*keys).withColumnsRenamed({f"__n{s}{n}": f"__{s}{n}" for s in "ab" for n in CELL})
+        parts *= 2
+
+
 def wireframe(points: DataFrame, boxes: DataFrame, voxel: float = 0.05, per_object: int = 500, k: int = 5, radius: float = 0.30) -> DataFrame:
     """Edges of the neighbour graph over one point a voxel and up to ``per_object`` points of each box."""
     base = first_per_voxel(points, voxel).select("scene_id", "point_idx")
