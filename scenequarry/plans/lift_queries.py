@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from scenequarry.operators import camera, cloud, lift, merge
-from scenequarry.operators.stored import stored
+from scenequarry.operators import camera, cloud, incremental, lift, merge
+from scenequarry.operators.stored import shared_folder, stored
 from scenequarry.plans.camera_queries import _PROJ
+from scenequarry.plans.object_queries import _pairs
 from scenequarry.plans.registry import REGISTRY
 
 add = REGISTRY.add
@@ -210,18 +213,34 @@ FROM bx JOIN w12 USING (scene_id, track) JOIN al ON al.scene_id = bx.scene_id AN
 
 @add("g11_lift_masks", _LIFT, "x y z lo_x lo_y lo_z hi_x hi_y hi_z", 5)
 def _(get):
-    found = lift.lift_masks(get("points"), get("cameras"), get("masks"))
+    return _objects(lift.lift_masks(get("points"), get("cameras"), get("masks")))
+
+
+def _objects(found):
     return found.select("scene_id", "id", "n_points", "anchor_area", "anchor_frame", "x", "y", "z", "lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z", F.array_join("sources", ",").alias("sources"), F.array_join("frame_ids", ",").alias("frame_ids"), "phrase")
 
 
-@add("a18_merge_clusters", None, "x y z")
+_BOX = ", ".join(f"CASE WHEN count(*) < 8 THEN {end}({c}) ELSE quantile_cont({c}, {p}) END AS {name}_{c}" for name, end, p in (("lo", "min", 0.05), ("hi", "max", 0.95)) for c in "xyz")
+_CORNERS = [f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"]
+_CLUSTERS = f"""WITH RECURSIVE e AS ({_pairs(0.4)}), bw AS (SELECT * FROM e UNION SELECT scene_id, b, a FROM e), wk AS (SELECT scene_id, ordinal AS node, ordinal AS c FROM annotations UNION SELECT wk.scene_id, x.b, wk.c FROM wk JOIN bw x ON wk.scene_id = x.scene_id AND wk.node = x.a),
+gr AS (SELECT a.*, component, count(*) OVER (PARTITION BY a.scene_id, component) AS n FROM annotations a JOIN (SELECT scene_id, node AS ordinal, min(c) AS component FROM wk GROUP BY scene_id, node) cc ON a.scene_id = cc.scene_id AND a.ordinal = cc.ordinal),
+pw AS (SELECT DISTINCT gr.scene_id, component AS track, k.id AS point_idx, k.x, k.y, k.z, 1.0 AS w FROM gr JOIN points_k k ON k.scene_id = 's' || gr.scene_id AND k.id % 200 = gr.ordinal WHERE n > 1),
+{_weiszfeld(12)}, bx AS (SELECT scene_id, track, {_BOX} FROM pw GROUP BY scene_id, track),
+kp AS (SELECT scene_id, component, count(*) AS n_merged, arg_max(id, size * 1000000 - ordinal) AS id, max(size) AS anchor_area, arg_max(label, (size * 1000 + length(label)) * 1000000 - ordinal) AS phrase,
+ array_to_string(list_sort(list_distinct(list(CASE WHEN ordinal % 2 = 0 THEN 'sam' ELSE 'vlm' END))), ',') AS sources, array_to_string(list_slice(list_sort(list_distinct(list(brand))), 1, 6), ',') AS frame_ids,
+ {', '.join(f'arg_min({c}, ordinal) AS f{c}' for c in ['x', 'y', 'z', *_CORNERS])} FROM gr GROUP BY scene_id, component)
+SELECT kp.scene_id, component AS ordinal, id, n_merged, anchor_area, phrase, sources, frame_ids, {', '.join(f'coalesce(m{c}, f{c}) AS {c}' for c in 'xyz')}, {', '.join(f'coalesce({c}, f{c}) AS {c}' for c in _CORNERS)}
+FROM kp LEFT JOIN w12 ON w12.scene_id = kp.scene_id AND w12.track = component LEFT JOIN bx ON bx.scene_id = kp.scene_id AND bx.track = component"""
+
+
+@add("a18_merge_clusters", _CLUSTERS, " ".join(["x", "y", "z", *_CORNERS]), 5)
 def _(get):
     a = get("annotations")
-    clusters = a.select("scene_id", "ordinal", "id", "x", "y", "z", "lo_x", "lo_y", "lo_z", "hi_x", "hi_y", "hi_z", F.col("size").alias("anchor_area"), F.col("label").alias("phrase"), F.array(F.when(F.col("ordinal") % 2 == 0, "sam").otherwise("vlm")).alias("sources"), F.array("brand").alias("frame_ids"))
+    clusters = a.select("scene_id", "ordinal", "id", "x", "y", "z", *_CORNERS, F.col("size").alias("anchor_area"), F.col("label").alias("phrase"), F.array(F.when(F.col("ordinal") % 2 == 0, "sam").otherwise("vlm")).alias("sources"), F.array("brand").alias("frame_ids"))
     near = get("points_k").withColumn("scene_id", F.substring("scene_id", 2, 20)).withColumnRenamed("id", "point_idx")
     members = near.select("scene_id", (F.col("point_idx") % 200).alias("ordinal"), "point_idx")
     merged = merge.merge_clusters(clusters, members, near)
-    return merged.select("scene_id", "ordinal", "id", "n_merged", "phrase", F.array_join("sources", ",").alias("sources"), "x", "y", "z")
+    return merged.select("scene_id", "ordinal", "id", "n_merged", "anchor_area", "phrase", F.array_join("sources", ",").alias("sources"), F.array_join("frame_ids", ",").alias("frame_ids"), "x", "y", "z", *_CORNERS)
 
 
 _SUPPRESS = """WITH RECURSIVE rk AS (SELECT *, row_number() OVER (PARTITION BY scene_id, frame_ord ORDER BY confidence DESC, mask_ord) AS k FROM masks),
@@ -288,6 +307,17 @@ def _(get):
     return merge.lift_fingerprints(clouds, get("masks"), "0.05|1|0.3|0.45|40|30")
 
 
+@add("t7_incremental_lift", _LIFT, "x y z lo_x lo_y lo_z hi_x hi_y hi_z", 5)
+def _(get):
+    # A first run without some masks of one scene; the second lifts that scene anew and keeps the others.
+    points, cams, masks = get("points"), get("cameras"), get("masks")
+    path = f"{shared_folder(points.sparkSession)}/scenequarry-{points.sparkSession.sparkContext.applicationId}/lifts-{uuid.uuid4().hex}"
+    incremental.lift_changed(points, cams, masks.where("scene_id != 'A' OR mask_ord % 4 != 0"), path)
+    found, lifted = incremental.lift_changed(points, cams, masks, path)
+    assert [r["scene_id"] for r in lifted.collect()] in ([], ["A"])
+    return _objects(found)
+
+
 @add("s15_evidence_manifest", "SELECT scene_id, frame_name, min(mask_ord) AS first_mask, CAST(count(*) AS BIGINT) AS n FROM masks WHERE area >= 64 GROUP BY scene_id, frame_name")
 def _(get):
     from scenequarry.sources.documents import evidence_manifest

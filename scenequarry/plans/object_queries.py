@@ -111,10 +111,10 @@ cc AS (SELECT scene_id, node AS ordinal, min(c) AS component FROM w GROUP BY sce
 @add("a19_merge_annotations", f"""{_CC}, j AS (SELECT a.*, component, count(*) OVER (PARTITION BY a.scene_id, component) AS n, row_number() OVER (PARTITION BY a.scene_id, component ORDER BY confidence DESC, a.ordinal) AS k FROM annotations a JOIN cc ON a.scene_id = cc.scene_id AND a.ordinal = cc.ordinal)
 SELECT scene_id, component AS ordinal, count(*) AS n_merged, max(id) FILTER (k = 1) AS id, max(label) FILTER (k = 1) AS label, max(confidence) AS confidence, min(lo_x) AS lo_x, min(lo_y) AS lo_y, min(lo_z) AS lo_z, max(hi_x) AS hi_x, max(hi_y) AS hi_y, max(hi_z) AS hi_z,
  CASE WHEN count(*) = 1 THEN min(x) ELSE (min(lo_x) + max(hi_x)) * 0.5 END AS x, CASE WHEN count(*) = 1 THEN min(y) ELSE (min(lo_y) + max(hi_y)) * 0.5 END AS y, CASE WHEN count(*) = 1 THEN min(z) ELSE (min(lo_z) + max(hi_z)) * 0.5 END AS z,
- array_to_string(list_sort(list_distinct(list(type))), ',') AS provenance, max(CASE WHEN n = 1 AND ordinal % 3 = 0 THEN 'duplicate_of:x,' || brand ELSE brand END) FILTER (k = 1) AS alternatives FROM j GROUP BY scene_id, component""", "confidence lo_x lo_y lo_z hi_x hi_y hi_z x y z")
+ array_to_string(list_sort(list_distinct(list(type))), ',') AS provenance, array_to_string(list_slice(list_sort(list_distinct(flatten(list(list_transform(range(0, size % 8 + 1), lambda i: 'f' || CAST((ordinal * 3 + i * 5) % 40 AS VARCHAR)))))), 1, 6), ',') AS frame_ids, max(CASE WHEN n = 1 AND ordinal % 3 = 0 THEN 'duplicate_of:x,' || brand ELSE brand END) FILTER (k = 1) AS alternatives FROM j GROUP BY scene_id, component""", "confidence lo_x lo_y lo_z hi_x hi_y hi_z x y z")
 def _(get):
     merged = merge.merge_annotations(_full(get))
-    return merged.drop("frame_ids").withColumn("provenance", F.array_join("provenance", ",")).withColumn("alternatives", F.array_join("alternatives", ","))
+    return merged.withColumn("frame_ids", F.array_join("frame_ids", ",")).withColumn("provenance", F.array_join("provenance", ",")).withColumn("alternatives", F.array_join("alternatives", ","))
 
 
 def _labels(get):
@@ -192,13 +192,13 @@ def _(get):
     return get("masks").select("mask_ord", *[c.alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
 
 
-@add("p14_p16_boxes", 'SELECT mask_ord, CAST(round_even("left" / 100.0 * 337, 0) AS INT) AS rx, CAST(round_even("top" / 100.0 * 211, 0) AS INT) AS ry, CAST(greatest(least(round_even(wide / 100.0 * 337, 0), 337 - round_even("left" / 100.0 * 337, 0)), 1) AS INT) AS rw, "left" + wide / 2.0 AS cx, "top" + high / 2.0 AS cy, CAST(round_even("left" / 4.0, 0) AS INT) AS kx, CAST(round_even(wide / 4.0, 0) AS INT) AS kw FROM masks', "cx cy")
+@add("p14_p16_boxes", 'SELECT mask_ord, CAST(round_even("left" / 100.0 * 337, 0) AS INT) AS rx, CAST(round_even("top" / 100.0 * 211, 0) AS INT) AS ry, CAST(greatest(least(round_even(wide / 100.0 * 337, 0), 337 - round_even("left" / 100.0 * 337, 0)), 1) AS INT) AS rw, "left" + wide / 2.0 AS cx, "top" + high / 2.0 AS cy, CAST(round_even("left" / 4.0, 0) AS INT) AS kx, CAST(round_even(wide / 4.0, 0) AS INT) AS kw, CAST(greatest(least(round_even(high / 100.0 * 211, 0), 211 - round_even("top" / 100.0 * 211, 0)), 1) AS INT) AS rh, CAST(round_even("top" / 4.0, 0) AS INT) AS ky, CAST(round_even(high / 4.0, 0) AS INT) AS kh FROM masks', "cx cy")
 def _(get):
     f = {c: F.col(c) for c in ("left", "top", "wide", "high")}
     rect = g.proposal_rectangle(f["left"] / 100, f["top"] / 100, f["wide"] / 100, f["high"] / 100, F.lit(337), F.lit(211))
     center = g.box_center(*f.values())
     corner = g.corners_to_box(f["left"] / 4, f["top"] / 4, (f["left"] + f["wide"]) / 4, (f["top"] + f["high"]) / 4)
-    return get("masks").select("mask_ord", rect[0].alias("rx"), rect[1].alias("ry"), rect[2].alias("rw"), center[0].alias("cx"), center[1].alias("cy"), corner[0].alias("kx"), corner[2].alias("kw"))
+    return get("masks").select("mask_ord", rect[0].alias("rx"), rect[1].alias("ry"), rect[2].alias("rw"), center[0].alias("cx"), center[1].alias("cy"), corner[0].alias("kx"), corner[2].alias("kw"), rect[3].alias("rh"), corner[1].alias("ky"), corner[3].alias("kh"))
 
 
 @add("p17_scaled_sizes", "WITH s AS (SELECT p_partkey, p_size * 97 + 100 AS w, p_partkey % 50 * 61 + 90 AS h FROM part) SELECT p_partkey AS id, CAST(CASE WHEN greatest(w, h) <= 1920 THEN w WHEN w >= h THEN 1920 ELSE round_even(w * 1920 / h / 2, 0) * 2 END AS INT) AS width, CAST(CASE WHEN greatest(w, h) <= 1920 THEN h WHEN w >= h THEN round_even(h * 1920 / w / 2, 0) * 2 ELSE 1920 END AS INT) AS height FROM s")

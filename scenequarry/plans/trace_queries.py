@@ -180,11 +180,11 @@ def _(get):
     return get("uploads").select("upload_id", lb.quick_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-@add("q6_a30_o1_scene_catalogue", "SELECT scene_id, CASE WHEN round(sum(duration_s), 1) <> 0 THEN round(sum(duration_s), 1) END AS total_s FROM (SELECT scene_id, stage, arg_max(duration_s, seq) AS duration_s FROM stage_events GROUP BY scene_id, stage) GROUP BY scene_id", "total_s", 1)
+@add("q6_a30_o1_scene_catalogue", "SELECT scene_id, epoch_us(min(t)) AS created_us, CASE WHEN round(sum(duration_s), 1) <> 0 THEN round(sum(duration_s), 1) END AS total_s FROM (SELECT scene_id, stage, arg_max(duration_s, seq) AS duration_s, min(ts) AS t FROM stage_events GROUP BY scene_id, stage) GROUP BY scene_id", "total_s", 1)
 def _(get):
     last = get("stage_events").groupBy("scene_id", "stage").agg(F.max_by("duration_s", "seq").alias("d"), F.min("ts").alias("t"))
     manifests = last.groupBy("scene_id").agg(F.min("t").alias("created_at"), F.transform(F.sort_array(F.collect_list(F.struct("stage", "d"))), lambda x: x["d"]).alias("durations"))
-    return questions.scene_catalogue(manifests).drop("created_at")
+    return questions.scene_catalogue(manifests).withColumn("created_us", F.unix_micros("created_at")).drop("created_at")
 
 
 @add("q7_trace_summary", f"WITH {_COST}, n AS (SELECT tt.scene_id, count(*) AS span_count, count(DISTINCT trace_id) AS traces FROM tt JOIN spans USING (trace_id) GROUP BY tt.scene_id), c AS (SELECT scene_id, count(*) AS call_count, round(sum(usd), 6) AS usd FROM us2 GROUP BY scene_id) SELECT n.scene_id, span_count, traces, coalesce(call_count, 0) AS call_count, coalesce(usd, 0.0) AS usd FROM n LEFT JOIN c ON n.scene_id = c.scene_id", "usd", 6)
