@@ -42,7 +42,7 @@ class Registry:
 
 
 REGISTRY = Registry()
-_MODULES = ("cloud_queries", "camera_queries", "object_queries", "trace_queries", "lift_queries", "table_queries", "stream_queries")
+_MODULES = ("cloud_queries", "camera_queries", "object_queries", "trace_queries", "lift_queries", "table_queries", "stream_queries", "source_queries")
 
 
 def _loaded() -> Registry:

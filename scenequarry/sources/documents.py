@@ -1,6 +1,6 @@
 """Scene documents: manifests, annotations, cameras, captures, and checks over a corpus of them.
 
-A scene is a folder; its id is the name of the folder that a file lies in. Schemas are declared, never inferred.
+A scene is a folder; its id is the name of the folder that a file lies in, ``scene_id=…`` or the id alone. Schemas are declared, never inferred.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ STAGES = ("capture", "poses", "splat", "segmentation")
 
 
 def _scene_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.regexp_extract(path, r"(?:scene_id=)?([^/]+)/[^/]+$", 1)
 
 
 def _texts(spark: SparkSession, glob: str) -> DataFrame:
@@ -66,7 +66,9 @@ def read_cameras(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_captures(spark: SparkSession, glob: str) -> DataFrame:
     """Flat capture files, a ``key: value`` a line; the resolution as a list in brackets or a dash a line."""
-    value = lambda key: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{key}:[ \t]*['\"]?([^'\"\n#]*)", 1)), F.lit(""))
+    # A quoted value ends at its quote; in a plain one, a comment begins at a # after a blank.
+    shape = r"""(?:"([^"\n]*)"|'([^'\n]*)'|((?:[^\n#]|(?<=\S)#)*))"""
+    value = lambda key: F.nullif(F.trim(F.concat(*[F.regexp_extract("value", rf"(?m)^{key}:[ \t]*{shape}", i) for i in (1, 2, 3)])), F.lit(""))
     number = lambda key, kind: value(key).try_cast(kind).alias(key)
     block = F.regexp_extract("value", r"(?m)^resolution:[ \t]*(\[[^\]]*\]|(?:\n[ \t]*-[ \t]*\d+)+)", 1)
     sides = F.transform(F.regexp_extract_all(block, F.lit(r"\d+"), 0), lambda x: x.cast("int"))

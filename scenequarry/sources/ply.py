@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from fnmatch import fnmatch
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: PLY's names of types, little-endian.
@@ -99,7 +100,7 @@ class PlyReader(DataSourceReader):
             head = parse_header(f.read(HEADER_LIMIT))
             kind = np.dtype([(n, t) for n, t in head.fields])
             step, here = 65_536, partition.start
-            scene = os.path.basename(os.path.dirname(partition.path))
+            scene = os.path.basename(os.path.dirname(partition.path)).removeprefix("scene_id=")
             while here < partition.start + partition.count:
                 n = min(step, partition.start + partition.count - here)
                 f.seek(head.offset + here * kind.itemsize)
@@ -110,8 +111,68 @@ class PlyReader(DataSourceReader):
                 here += n
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class PlyWriter(DataSourceArrowWriter):
+    """A file for each scene and task, or several of up to ``rowsPerFile`` rows: ``path/scene_id=…/part-….ply``, all numbers as doubles.
+
+    Files are written beside their place and named when the job has succeeded; a task that is run again writes files of its own.
+    """
+
+    def __init__(self, schema: StructType, options: dict):
+        self.names = [n for n in schema.fieldNames() if n != "scene_id"]
+        self.path, self.rows = options["path"].rstrip("/"), int(options.get("rowsPerFile", ROWS_PER_TASK))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, root = _located(self.path)
+        held: dict[str, list[np.ndarray]] = {}
+        done: list[tuple[str, str]] = []
+
+        def flush(scene: str) -> None:
+            rows = np.concatenate(held.pop(scene))
+            head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(rows)}\n" + "".join(f"property double {n}\n" for n in self.names) + "end_header\n"
+            name = f"part-{uuid.uuid4().hex}.ply"
+            system.create_dir(f"{root}/scene_id={scene}", recursive=True)
+            system.create_dir(f"{root}/_unfinished", recursive=True)
+            with system.open_output_stream(f"{root}/_unfinished/{name}") as f:
+                f.write(head.encode("ascii"))
+                f.write(rows.astype("<f8").tobytes())
+            done.append((f"{root}/_unfinished/{name}", f"{root}/scene_id={scene}/{name}"))
+
+        for batch in iterator:
+            scenes = batch.column("scene_id").to_numpy(zero_copy_only=False).astype(str)
+            table = np.stack([batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in self.names], axis=1)
+            for scene in np.unique(scenes):
+                held.setdefault(scene, []).append(table[scenes == scene])
+                if sum(map(len, held[scene])) >= self.rows:
+                    flush(scene)
+            while sum(len(x) for rows in held.values() for x in rows) >= 2 * self.rows:
+                flush(max(held, key=lambda k: sum(map(len, held[k]))))
+        for scene in list(held):
+            flush(scene)
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, root = _located(self.path)
+        for message in messages:
+            for start, end in message.files if message else ():
+                system.move(start, end)
+        self._clean(system, root)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clean(*_located(self.path))
+
+    @staticmethod
+    def _clean(system: pafs.FileSystem, root: str) -> None:
+        if system.get_file_info(f"{root}/_unfinished").type == pafs.FileType.Directory:
+            system.delete_dir(f"{root}/_unfinished")
+
+
 class PlyDataSource(DataSource):
-    """Points of all files that a glob names; scene_id is the folder, point_idx the ordinal in the file. Missing columns are null."""
+    """Points of all files that a glob names; scene_id is the folder (``scene_id=…`` or the id alone), point_idx the ordinal in the file. Missing columns are null."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,6 +184,15 @@ class PlyDataSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PlyReader(schema, self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return PlyWriter(schema, self.options)
+
+
+def write_ply(points: DataFrame, path: str, rows_per_file: int = ROWS_PER_TASK) -> None:
+    """Add ``points(scene_id, x, y, z, …)``, numbers beside the scene, to the clouds under ``path``; tasks write their own files."""
+    points.sparkSession.dataSource.register(PlyDataSource)
+    points.write.format("ply").mode("append").option("path", path).option("rowsPerFile", rows_per_file).save()
+
 
 def read_ply(spark: SparkSession, path_glob: str, columns: str | None = None) -> DataFrame:
     """Clouds as a DataFrame; ``columns`` is a schema of what to decode (17-column splats have more than the default)."""
