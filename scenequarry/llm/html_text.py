@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 EXACT = frozenset("pre xmp textarea plaintext listing".split())
-HIDDEN = frozenset("script style title head template noscript iframe noembed noframes object audio video canvas datalist meta link base param".split())
+HIDDEN = frozenset("script style title head template noscript iframe noembed noframes audio video canvas datalist progress meter rp meta link base param".split())
 BLOCK = frozenset("plaintext listing address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("plaintext listing p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr xmp menu dir".split())
 #: An opening tag closes an open element on the left, looked for up to the elements on the right.
@@ -128,7 +128,7 @@ def build_tree(html: str) -> tuple[Node, str]:
             elif tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
             else:
-                close({tag}, {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") else set())
+                close({tag}, {"td", "th", "table", *(("ul", "ol", "menu", "dir") if tag == "li" else ())} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") else set())
             continue
         if tag in ("html", "head", "body") and tag != "head" and tag == "html":
             continue
@@ -156,7 +156,8 @@ def build_tree(html: str) -> tuple[Node, str]:
         hidden = tag in (FOREIGN_HIDDEN[space] if space else HIDDEN) or "hidden" in attributes or style.get("display") == "none" or (shown == "collapse" and tag in ("tr", "thead", "tbody", "tfoot"))
         visible = shown in ("visible", "initial") or (stack[-1].visible and shown not in ("hidden", "collapse"))
         # A dialog shows when open; of closed details only the first summary shows.
-        hidden = hidden or (not space and tag == "dialog" and "open" not in attributes)
+        # An object shows its fallback only where it names nothing to show.
+        hidden = hidden or (not space and ((tag == "dialog" and "open" not in attributes) or (tag == "object" and bool(attributes.get("data")))))
         node = Node(tag, hidden, visible, space, attributes if tag in KEPT else None)
         stack[-1].children.append(node)
         if space:
@@ -274,21 +275,21 @@ def _table(node: Node, depth: int) -> list[str]:
     # Each row's cells by column: (first column, columns, lines).
     rows: list[list[tuple[int, int, list[str]]]] = []
     for group in groups:
-        taken: dict[int, int] = {}  # column -> rows that a cell above still holds
+        # Columns that cells above still hold, as rising stretches: first, end, and the row from which they are free.
+        taken: list[tuple[int, int, int]] = []
         for r, cells in enumerate(group):
-            placed, at = [], 0
-            held = {c for c, n in taken.items() if n > 0}
+            placed, new, at, i = [], [], 0, 0
             for lines, wide, high in cells:
-                while at in held:
-                    at += 1
-                high = len(group) - r if high == 0 else high
+                while i < len(taken) and taken[i][0] <= at:
+                    at, i = max(at, taken[i][1]), i + 1
                 placed.append((at, wide, lines))
-                if high > 1:
-                    # A spanned column counts down once a row, this one included.
-                    taken |= dict.fromkeys(range(at, at + wide), high)
+                # No cell reaches beyond its group.
+                free = len(group) if high == 0 else min(r + high, len(group))
+                if free > r + 1:
+                    new.append((at, at + wide, free))
                 at += wide
             rows.append(placed)
-            taken = {c: n - 1 for c, n in taken.items() if n > 1}
+            taken = _stretches([x for x in taken if x[2] > r + 1], new)
     edges = sorted({e for placed in rows for at, wide, _ in placed for e in (at, at + wide)})
     place = {e: i for i, e in enumerate(edges)}
     widths = [0] * max(0, len(edges) - 1)
@@ -314,6 +315,26 @@ def _table(node: Node, depth: int) -> list[str]:
     return out + below
 
 
+def _stretches(old: list[tuple[int, int, int]], new: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Held columns in order and without overlaps; where old and new stretches meet, the later release holds. Neighbours with one release are one."""
+    if not new:
+        return old
+    out: list[tuple[int, int, int]] = []
+    edges = sorted({e for a, b, _ in old + new for e in (a, b)})
+    both, i, j = (sorted(old), sorted(new)), 0, 0
+    for a, b in zip(edges, edges[1:]):
+        while i < len(both[0]) and both[0][i][1] <= a:
+            i += 1
+        while j < len(both[1]) and both[1][j][1] <= a:
+            j += 1
+        free = max((x[k][2] for x, k in ((both[0], i), (both[1], j)) if k < len(x) and x[k][0] <= a), default=0)
+        if free and out and out[-1][1] == a and out[-1][2] == free:
+            out[-1] = (out[-1][0], b, free)
+        elif free:
+            out.append((a, b, free))
+    return out
+
+
 def _words(node: Node) -> str:
     """All text below a node, on one line."""
     parts, todo = [], [node]
