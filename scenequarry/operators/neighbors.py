@@ -180,7 +180,8 @@ def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30) -
 
     A core point has ``least`` points within ``radius``, itself included. Clusters are components of core points, numbered by
     their least core id; a border point joins the least component it touches. Points are kept by cells so tight that all of a cell are near each other: those of
-    a cell with ``least`` are core without a pair, cells are linked as wholes, and only points of thin cells, fewer than ``least`` a cell, are paired with others.
+    a cell with ``least`` are core without a pair, cells are linked as wholes, and only points of thin cells, fewer than ``least`` a cell, are paired with others. Rows that
+    share an id are one point in several places.
     """
     points = points.select("scene_id", "id", *XYZ)
     own = _tight_cells(points, radius)
@@ -188,13 +189,17 @@ def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30) -
     crowded = own.join(full, ["scene_id", *CELL], "left_semi").select("scene_id", "id")
     thin = own.join(full, ["scene_id", *CELL], "left_anti").drop(*CELL)
     counted = near_pairs(thin, points, radius).groupBy("scene_id", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene_id", "id")
-    core = stored(crowded.unionByName(counted), "core-points")
+    core = stored(crowded.unionByName(counted).distinct(), "core-points")
     core_points = stored(points.join(core, ["scene_id", "id"], "left_semi"), "core-points")
     cells = stored(_tight_cells(core_points, radius).groupBy("scene_id", *CELL).agg(F.min("id").alias("node")), "core-cells")
-    joined = connected_components(cells.select("scene_id", "node"), linked_cells(core_points, radius))
-    label = _tight_cells(core_points, radius).join(cells, ["scene_id", *CELL]).join(joined, ["scene_id", "node"])
+    placed = stored(_tight_cells(core_points, radius).join(cells, ["scene_id", *CELL]).select("scene_id", "id", "node"), "core-nodes")
+    # An id that stands in several places holds their cells together.
+    again = placed.groupBy("scene_id", "id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("scene_id", "id", "a")
+    several = placed.join(again, ["scene_id", "id"]).where("a < node").select("scene_id", "a", F.col("node").alias("b"))
+    joined = connected_components(cells.select("scene_id", "node"), linked_cells(core_points, radius).unionByName(several))
+    label = placed.join(joined, ["scene_id", "node"])
     number = joined.select("scene_id", "component").distinct().withColumn("cluster", (F.dense_rank().over(Window.partitionBy("scene_id").orderBy("component")) - 1).cast("int"))
-    own = stored(label.select("scene_id", "id", "component"), "core-labels")
+    own = stored(label.groupBy("scene_id", "id").agg(F.min("component").alias("component")), "core-labels")
     others = points.join(core, ["scene_id", "id"], "left_anti")
     touched = near_pairs(others, core_points, radius).join(own.withColumnRenamed("id", "b"), ["scene_id", "b"]).groupBy("scene_id", F.col("a").alias("id")).agg(F.min("component").alias("component"))
     best = own.unionByName(touched).join(number, ["scene_id", "component"])
