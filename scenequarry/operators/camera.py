@@ -73,17 +73,18 @@ def project(points: DataFrame, cameras: DataFrame, culled: tuple[DataFrame, Data
     """Pixels that points fall on: scene_id, frame_ord, point_idx, u, v, depth; only those inside a frame and in front of it.
 
     Points meet the cameras that see their cell (``culled``, as ``visible_cells`` gives it), not all of their scene; rows outside the frame are dropped in the same stage,
-    before any shuffle.
+    before any shuffle. Of places (``lift.places``), ``n`` is kept.
     """
     grid, seen = culled or visible_cells(points, cameras)
-    near = point_cells(points.select("scene_id", "point_idx", "x", "y", "z"), grid).join(small(seen), ["scene_id", *CELL]).drop(*CELL)
+    kept = [c for c in ("n",) if c in points.columns]
+    near = point_cells(points.select("scene_id", "point_idx", "x", "y", "z", *kept), grid).join(small(seen), ["scene_id", *CELL]).drop(*CELL)
     joined = near.withColumn("frame_ord", F.explode("frames")).join(small(cameras), FRAME)
     cam = [F.col(f"e{r}0") * F.col("x") + F.col(f"e{r}1") * F.col("y") + F.col(f"e{r}2") * F.col("z") + F.col(f"e{r}3") for r in range(3)]
-    placed = joined.select("scene_id", "frame_ord", "point_idx", "fx", "fy", "cx", "cy", "width", "height", cam[0].alias("__x"), cam[1].alias("__y"), cam[2].alias("depth")).where(F.col("depth") > NEAR)
+    placed = joined.select("scene_id", "frame_ord", "point_idx", *kept, "fx", "fy", "cx", "cy", "width", "height", cam[0].alias("__x"), cam[1].alias("__y"), cam[2].alias("depth")).where(F.col("depth") > NEAR)
     u = half_even(F.col("fx") * F.col("__x") / F.col("depth") + F.col("cx"))
     v = half_even(F.col("fy") * F.col("__y") / F.col("depth") + F.col("cy"))
     inside = placed.withColumn("u", u).withColumn("v", v).where("u >= 0 AND u < width AND v >= 0 AND v < height")
-    return inside.select("scene_id", "frame_ord", "point_idx", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "depth")
+    return inside.select("scene_id", "frame_ord", "point_idx", F.col("u").cast("int").alias("u"), F.col("v").cast("int").alias("v"), "depth", *kept)
 
 
 def zbuffer(projected: DataFrame) -> DataFrame:
