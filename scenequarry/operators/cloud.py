@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenequarry.functions.geometry import clip, dc_to_rgb, norm, sigmoid, turbo
+from scenequarry.operators.camera import small
 from scenequarry.operators.order import group_quantiles, group_ranks
+from scenequarry.operators.stored import stored
 
 XYZ = ("x", "y", "z")
 MIN_POINTS = 1000
@@ -54,7 +56,8 @@ def thin_voxels(points: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(c) for c in points.columns])
     best = F.max_by(row, F.struct("conf", -F.col("point_idx")))
-    return points.join(sizes.select("scene_id", "voxel"), "scene_id").groupBy("scene_id", *voxel_keys(F.col("voxel"))).agg(best.alias("p")).select("p.*")
+    # Broadcast: a shuffle by scene would make each scene one task.
+    return points.join(small(stored(sizes.select("scene_id", "voxel"), "voxels")), "scene_id").groupBy("scene_id", *voxel_keys(F.col("voxel"))).agg(best.alias("p")).select("p.*")
 
 
 def first_per_voxel(points: DataFrame, size: float = 0.05, half_range: float = 51.2) -> DataFrame:
@@ -107,7 +110,7 @@ def colorize(points: DataFrame, mode: str = "depth", eye: tuple[float, float, fl
     """Colour-map value and colour of each point: distance from ``eye`` over the scene's diagonal, or its confidence."""
     if mode == "depth":
         bounds = scene_bounds(points).select("scene_id", F.greatest(F.col("diagonal"), F.lit(1e-3)).alias("__d"))
-        valued = points.join(bounds, "scene_id").withColumn("t", norm(*[F.col(c) - e for c, e in zip(XYZ, eye, strict=True)]) / F.col("__d")).drop("__d")
+        valued = points.join(small(stored(bounds, "bounds")), "scene_id").withColumn("t", norm(*[F.col(c) - e for c, e in zip(XYZ, eye, strict=True)]) / F.col("__d")).drop("__d")
     else:
         valued = points.withColumn("t", F.col("conf"))
     return valued.withColumns({k: v for k, v in turbo(F.col("t")).items()})
