@@ -10,27 +10,40 @@ from scenequarry.functions.labels import label_similar
 from scenequarry.operators.camera import small
 from scenequarry.operators.cloud import XYZ, first_per_voxel
 from scenequarry.operators.graph import connected_components
-from scenequarry.operators.stored import stored
+from scenequarry.operators.stored import remove_stored, stored
 
 CELL = [f"__c{c}" for c in XYZ]
 #: Points for each neighbour wanted above which a cell is split, and how often at most; pairs of two cells' points that are compared at once.
 FULL, LEVELS, FEW_PAIRS = 2, 30, 4_096
+#: Edge of the cells of a search in radii, and of the blocks in which tight cells meet in cells: larger ones copy fewer rows to cells around and compare more.
+GRAIN, BLOCK = 3, 6
 
 
-def _celled(points: DataFrame, size: float, spread: bool) -> DataFrame:
-    """Points with their cell, or with each of the 27 cells around."""
-    cells = points.withColumns({k: F.floor(F.col(c) / size) for k, c in zip(CELL, XYZ, strict=True)})
-    if not spread:
-        return cells
-    around = F.array(*[F.struct(*[F.lit(d).alias(k) for k, d in zip(CELL, (a, b, c), strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    moved = cells.withColumn("__o", F.explode(around))
-    return moved.withColumns({k: F.col(k) + F.col(f"__o.{k}") for k in CELL}).drop("__o")
+def _celled(points: DataFrame, size: float | Column) -> DataFrame:
+    """Points with their cell."""
+    return points.withColumns({k: F.floor(F.col(c) / size) for k, c in zip(CELL, XYZ, strict=True)})
+
+
+def _cells_between(rows: DataFrame, ends: dict[str, tuple[Column, Column]], size: float | Column) -> DataFrame:
+    """Rows once for each cell that meets their box of ``ends``, which is taken a little larger, so that rounding loses no cell."""
+    for c, k in zip(XYZ, CELL, strict=True):
+        low, high = ends[c]
+        # No larger than a cell: where doubles stand further apart than that, what is near is equal.
+        slack = F.least(F.greatest(F.abs(low), F.abs(high)) * 1e-15 + (high - low) * 1e-9, F.lit(size))
+        rows = rows.withColumn(k, F.explode(F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size))))
+    return rows
+
+
+def _celled_around(points: DataFrame, size: float | Column, reach: float | Column) -> DataFrame:
+    """Points with each cell that is within ``reach`` of them along every axis."""
+    return _cells_between(points, {c: (F.col(c) - reach, F.col(c) + reach) for c in XYZ}, size)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, strict: bool = False) -> DataFrame:
     """``(scene_id, a, b, d2)`` of ids with squared distance up to ``radius`` squared (``strict``: below it); ids are ``id``."""
-    one = _celled(left.select("scene_id", F.col("id").alias("a"), *XYZ), radius, True)
-    two = _celled(right.select("scene_id", F.col("id").alias("b"), *XYZ), radius, False).withColumnsRenamed({c: f"__r{c}" for c in XYZ})
+    size = GRAIN * radius
+    one = _celled_around(left.select("scene_id", F.col("id").alias("a"), *XYZ), size, radius)
+    two = _celled(right.select("scene_id", F.col("id").alias("b"), *XYZ), size).withColumnsRenamed({c: f"__r{c}" for c in XYZ})
     d2 = sum(((F.col(c) - F.col(f"__r{c}")) ** 2 for c in XYZ), F.lit(0.0))
     pairs = one.join(two, ["scene_id", *CELL]).select("scene_id", "a", "b", d2.alias("d2"))
     return pairs.where(F.col("d2") < radius**2 if strict else F.col("d2") <= radius**2)
@@ -74,18 +87,19 @@ def _candidates(points: DataFrame, radius: float, probes: DataFrame) -> DataFram
 
 
 def _search_levels(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """``points(scene_id, id, x, y, z)`` with the ``level`` of the grid to search them on and how far, ``reach``.
+    """Stored ``points(scene_id, id, x, y, z)`` with the ``level`` of the grid to search them on and how far, ``reach``.
 
     Cells of edge ``radius`` are split in eight where they are full, round by round, down to the smallest around each point that holds more than ``k`` points. The ``k``-th
     nearest within that cell bounds how far the nearest can be, and the search goes to the level whose cells just exceed that.
     """
-    open_, done, level = points, None, 0
+    open_, done, level, rounds = points, None, 0, []
     while True:
         cells = _levelled(open_, radius, F.lit(level))
         counts = cells.groupBy("scene_id", *CELL).agg(F.count(F.lit(1)).alias("__n"))
         # A point whose cell is too thin keeps what the level before has told.
         kept = F.col("fine") if level else F.lit(None).cast("int")
         keyed = stored(cells.join(counts, ["scene_id", *CELL]).drop(*CELL, "level").withColumn("fine", F.when(F.col("__n") > k, F.lit(level)).otherwise(kept)), "split-cells")
+        rounds.append(keyed)
         settled = keyed.where(F.col("__n") <= FULL * k)
         done = settled if done is None else done.unionByName(settled)
         open_ = keyed.where(F.col("__n") > FULL * k).drop("__n")
@@ -100,7 +114,10 @@ def _search_levels(points: DataFrame, k: int, radius: float) -> DataFrame:
     bound = within.withColumn("__k", rank).where(F.col("__k") == k).select("scene_id", F.col("a").alias("id"), F.least(F.lit(float(radius)), F.sqrt("d2") * (1 + 1e-9)).alias("reach"))
     reach = F.coalesce("reach", F.lit(float(radius)))
     level_of = F.when(reach > 0, F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(F.log2(F.lit(float(radius)) / reach) - 1e-9)))).otherwise(F.lit(LEVELS))
-    return found.drop("fine").join(bound, ["scene_id", "id"], "left").select("scene_id", "id", *XYZ, reach.alias("reach"), level_of.cast("int").alias("level"))
+    levels = stored(found.drop("fine").join(bound, ["scene_id", "id"], "left").select("scene_id", "id", *XYZ, reach.alias("reach"), level_of.cast("int").alias("level")), "levels")
+    for last in rounds:
+        remove_stored(levels.sparkSession, last)
+    return levels
 
 
 def _d2() -> Column:
@@ -120,11 +137,11 @@ def nearest_pairs(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFr
     together = together.select("scene_id", "a", "b", F.lit(0.0).alias("d2"))
     searched = first.join(crowds, ["scene_id", *XYZ], "left_anti")
     # Levels are those of all candidates; only points that stand alone or with few are searched for.
-    levels = stored(_search_levels(first.drop("__r"), k, radius), "levels")
-    probes = levels.join(searched.select("scene_id", "id"), ["scene_id", "id"], "left_semi")
-    around = F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip(CELL, (x, y, z), strict=True)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    one = _levelled(probes, radius, F.col("level")).withColumn("__o", F.explode(around)).withColumns({n: F.col(n) + F.col(f"__o.{n}") for n in CELL})
-    one = one.select("scene_id", "level", *CELL, F.col("id").alias("a"), *XYZ, "reach")
+    levels = _search_levels(first.drop("__r"), k, radius)
+    # Cells of twice the edge, of which a point is copied to those that its reach touches only.
+    probes = levels.join(searched.select("scene_id", "id"), ["scene_id", "id"], "left_semi").withColumn("level", F.col("level") - 1)
+    edge = F.lit(float(radius)) * F.pow(F.lit(2.0), -F.col("level"))
+    one = _celled_around(probes, edge, F.col("reach")).select("scene_id", "level", *CELL, F.col("id").alias("a"), *XYZ, "reach")
     met = one.join(_candidates(first, radius, probes), ["scene_id", "level", *CELL]).where("a != b").withColumn("d2", _d2()).where((F.col("d2") <= radius**2) & (F.col("d2") <= F.col("reach") * F.col("reach")))
     # A task keeps its k nearest of each point before they are shuffled.
     rank = F.row_number().over(Window.partitionBy("scene_id", "a").orderBy("d2", "b"))
@@ -144,7 +161,7 @@ def pick_points(points: DataFrame, rays: DataFrame, radius: float = 0.05) -> Dat
     """
     size = max(8 * radius, 1e-9)
     bounds = stored(points.groupBy("scene_id").agg(*[f(c).alias(f"__{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]), "bounds")
-    # Steps of a cell from where the ray enters the bounds to where it leaves them; each step takes the 27 cells around.
+    # Pieces as long as a cell from where the ray enters the bounds to where it leaves them; each takes the cells that its box, widened by the radius, meets.
     enter, leave = [], []
     for c in XYZ:
         d = F.col(f"d{c}")
@@ -153,14 +170,16 @@ def pick_points(points: DataFrame, rays: DataFrame, radius: float = 0.05) -> Dat
         enter.append(F.when(along, F.least(*ends)).otherwise(F.lit(float("-inf"))))
         leave.append(F.when(along, F.greatest(*ends)).otherwise(F.lit(float("inf"))))
     reach = rays.join(small(bounds), "scene_id").withColumns({"__t0": F.greatest(F.lit(0.0), *enter), "__t1": F.least(*leave)}).where("__t1 >= __t0")
-    steps = reach.withColumn("__i", F.explode(F.sequence(F.lit(0), F.ceil((F.col("__t1") - F.col("__t0")) / size).cast("int"))))
-    at = {c: F.col(f"o{c}") + (F.col("__t0") + F.col("__i") * size) * F.col(f"d{c}") for c in XYZ}
-    names = ["scene_id", "ray_id", *[f"{k}{c}" for k in "od" for c in XYZ]]
-    cells = _celled(steps.select(*names, *[v.alias(c) for c, v in at.items()]), size, True).select(*names, *CELL).distinct()
+    pieces = F.greatest(F.lit(1), F.ceil((F.col("__t1") - F.col("__t0")) / size).cast("int"))
+    steps = reach.withColumn("__i", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    at = lambda c, i: F.col(f"o{c}") + (F.col("__t0") + (F.col("__i") + i) * size) * F.col(f"d{c}")
+    ends = {c: (F.least(at(c, 0), at(c, 1)) - radius, F.greatest(at(c, 0), at(c, 1)) + radius) for c in XYZ}
+    # Pieces next to each other share cells; a point that is met twice is still the first or not.
+    cells = _cells_between(steps, ends, size).select("scene_id", "ray_id", *[f"{k}{c}" for k in "od" for c in XYZ], *CELL)
     rel = [F.col(c) - F.col(f"o{c}") for c in XYZ]
     t = sum((r * F.col(f"d{c}") for r, c in zip(rel, XYZ, strict=True)), F.lit(0.0))
     off = sum((r * r for r in rel), F.lit(0.0)) - F.col("__t") ** 2
-    hit = _celled(points, size, False).join(cells, ["scene_id", *CELL]).withColumn("__t", t).where(F.col("__t") > 0).where(off <= radius**2)
+    hit = _celled(points, size).join(cells, ["scene_id", *CELL]).withColumn("__t", t).where(F.col("__t") > 0).where(off <= radius**2)
     best = F.min_by(F.struct("point_idx", *XYZ, F.col("__t").alias("t")), F.struct("__t", "point_idx"))
     return hit.groupBy("scene_id", "ray_id").agg(best.alias("p")).select("scene_id", "ray_id", "p.*")
 
@@ -183,7 +202,7 @@ def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30) -
     a cell with ``least`` are core without a pair, cells are linked as wholes, and only points of thin cells, fewer than ``least`` a cell, are paired with others. Rows that
     share an id are one point in several places.
     """
-    points = points.select("scene_id", "id", *XYZ)
+    points = stored(points.select("scene_id", "id", *XYZ), "clustered")
     own = _tight_cells(points, radius)
     full = stored(own.groupBy("scene_id", *CELL).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).select("scene_id", *CELL), "full-cells")
     crowded = own.join(full, ["scene_id", *CELL], "left_semi").select("scene_id", "id")
@@ -227,10 +246,16 @@ def linked_cells(points: DataFrame, radius: float) -> DataFrame:
     least = sum((F.greatest(F.lit(0.0), F.col(f"a_lo{c}") - F.col(f"b_hi{c}"), F.col(f"b_lo{c}") - F.col(f"a_hi{c}")) ** 2 for c in XYZ), F.lit(0.0))
     most = sum((F.greatest(F.col(f"a_hi{c}") - F.col(f"b_lo{c}"), F.col(f"b_hi{c}") - F.col(f"a_lo{c}")) ** 2 for c in XYZ), F.lit(0.0))
     side = lambda df, s, keys: df.select("scene_id", *keys, F.col("node").alias(s), *[F.col(x).alias(f"{s}_{x}") for x in boxes])
-    half = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)]
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for n, d in zip(CELL, o, strict=True)]) for o in half]))
-    moved = side(cells, "a", CELL).withColumn("__o", offsets).withColumns({n: F.col(n) + F.col(f"__o.{n}") for n in CELL}).drop("__o")
-    met = moved.join(side(cells, "b", CELL), ["scene_id", *CELL]).drop(*CELL)
+    # Two cells at most apart along each axis, each pair once; a cell is copied to the blocks that those around it are in, not to each of them.
+    block = [f"__b{c}" for c in XYZ]
+    moved = side(cells, "a", CELL)
+    for k, n in zip(block, CELL, strict=True):
+        moved = moved.withColumn(k, F.explode(F.sequence(F.floor((F.col(n) - 2) / BLOCK), F.floor((F.col(n) + 2) / BLOCK)))).withColumnRenamed(n, f"__a{n}")
+    others = side(cells, "b", CELL).withColumns({k: F.floor(F.col(n) / BLOCK) for k, n in zip(block, CELL, strict=True)})
+    apart = [F.col(n) - F.col(f"__a{n}") for n in CELL]
+    after = (apart[0] > 0) | ((apart[0] == 0) & ((apart[1] > 0) | ((apart[1] == 0) & (apart[2] > 0))))
+    near = after & (F.abs(apart[0]) <= 2) & (F.abs(apart[1]) <= 2) & (F.abs(apart[2]) <= 2)
+    met = moved.join(others, ["scene_id", *block]).where(near).drop(*CELL, *[f"__a{n}" for n in CELL], *block)
     found, parts = None, 1
     while True:
         judged = stored(met.withColumns({"__near": most <= limit * (1 - slack), "__far": least > limit * (1 + slack)}).where("NOT __far"), "cell-pairs")
