@@ -61,8 +61,9 @@ def resolve_objects(requests: DataFrame, annotations: DataFrame, needle: str = "
     first = lambda key: named.where(F.col(key).isNotNull()).groupBy("scene_id", F.col(key).alias("__n")).agg(F.min_by("hit", F.col("hit.ordinal")).alias("hit"))
     asked = requests.select("request_id", "scene_id", F.lower(F.trim(F.col(needle))).alias("__n"))
     open_ = stored(asked.where("__n != ''").select(*_ASKED).distinct(), "questions")
-    by_id = open_.join(first("__i"), _ASKED)
-    open_ = open_.join(first("__i").select(*_ASKED), _ASKED, "left_anti")
+    ids = stored(first("__i"), "ids")
+    by_id = open_.join(ids, _ASKED)
+    open_ = open_.join(ids.select(*_ASKED), _ASKED, "left_anti")
     labels = stored(first("__t"), "labels")
     by_label = open_.join(labels, _ASKED)
     open_ = stored(open_.join(labels.select(*_ASKED), _ASKED, "left_anti"), "questions")
