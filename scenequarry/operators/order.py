@@ -31,14 +31,15 @@ def group_quantiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, S
     has null quantiles. ``rows`` are read once a round.
     """
     keys, axes = list(keys), list(wanted)
-    sizes = rows.groupBy(*keys).count().agg(F.count(F.lit(1)), F.coalesce(F.max("count"), F.lit(0))).first()
+    # One pass for sizes and ends; the groups' sizes are read from what it stored.
+    ends = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f.alias(f"{c}_{k}") for c in axes for k, f in (("min", F.min(c).cast("double")), ("max", F.max(c).cast("double")), ("n", F.count(c)))]), "quantile-ends")
+    sizes = ends.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     if sizes[1] <= keep:
         at_once = [F.percentile(c, q).alias(f"{c}_q{i}") for c in axes for i, q in enumerate(wanted[c])]
         return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f(c).cast("double").alias(f"{c}_{k}") for c in axes for k, f in (("min", F.min), ("max", F.max))], *at_once)
     # A group has no more intervals than ranks: a bound on all that is broadcast.
     few = sizes[0] * sum(2 * len(q) for q in wanted.values()) <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda df: df)
-    ends = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f.alias(f"{c}_{k}") for c in axes for k, f in (("min", F.min(c).cast("double")), ("max", F.max(c).cast("double")), ("n", F.count(c)))]), "quantile-ends")
     place = lambda c, q: (F.col(f"{c}_n") - 1) * F.lit(float(q))
     ranks = lambda c: F.array_distinct(F.array(*[f(place(c, q)).cast("long") for q in wanted[c] for f in (F.floor, F.ceil)]))
     # An interval: values from lo to hi, ``size`` of them, after ``before`` lower ones of the group.
