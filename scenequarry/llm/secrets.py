@@ -3,12 +3,12 @@
 Fixed patterns give the base spans. Beyond them, long tokens are compared under character Markov models of random strings and of
 ordinary tokens: one whose log-likelihood ratio is clearly on the side of random strings is one more span.
 
-Random strings are modelled for each ``FAMILIES`` alphabet; a token is held against the narrowest that spells it. Their labelled samples
-are the values of base spans and digests, which are random by construction, written in the alphabet. Ordinary tokens have a model for each
-of ``ORDINARY``, and a token is held against the one that explains it best: ``prose`` are words of a bounded sample of documents, three at a time, spelled as
+Random strings are modelled for each ``FAMILIES`` alphabet; a token is held against the narrowest that spells it. They learn
+from the values of all base spans and from digests, which are made up and random by construction, written in the alphabet. Ordinary tokens have a model for each
+of ``ORDINARY``, and a token is held against the one that explains it best: ``prose`` are the words of all texts, three at a time, spelled as
 programs and paths spell them; ``names`` have the shapes of paths, constants, part numbers, dates and counters with any letters; ``typography`` are
-rule lines, runs, alphabets and strings over a few letters; ``uuid`` groups of lower-case hexadecimal digits, ``camel`` words told apart by capitals. Half of these samples train the models; the ratio that
-all but ``FALSE_RATE`` of the other half stay below is the cutoff. A model is a small array (``SIDE`` squared numbers), so that a token is scored in one pass
+rule lines, runs, alphabets and strings over a few letters; ``uuid`` groups of lower-case hexadecimal digits, ``camel`` words told apart by capitals. Half of these, by a hash of the token, train the models; the ratio that
+all but ``FALSE_RATE`` of the other half stay below, an exact quantile, is the cutoff. A model is a small array (``SIDE`` squared numbers), so that a token is scored in one pass
 over its characters. Tokens have at least 20 characters and no dots: shorter secrets, or parts of fewer between dots, are for the fixed patterns alone.
 """
 
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenequarry.llm.shared import store
+from scenequarry.operators.order import group_quantiles
 
-#: Bound of the fit, about: documents that identifiers are taken from. Counting and scoring cover all texts.
-SAMPLE_DOCUMENTS = 500
-SEEDS = 12
+#: Digests that are made up for each alphabet, which give each transition of the widest one dozens of times; a few more for small alphabets.
+DIGESTS, SEEDS = 5_000, 12
 #: Part of ordinary identifiers that may lie above the cutoff. A span's ratio, in nats, is at least the cutoff for each character on average, and this in sum.
 FALSE_RATE, LEAST_SUM = 0.001, 10.0
 SMOOTHING = 0.5
@@ -44,8 +44,9 @@ BASE64 = _UPPER + _LOWER + _DIGITS + "+/"
 ORDINARY = ("prose", "names", "typography", "uuid", "camel")
 SHAPES = 3_000
 SEPARATORS = "+/_=-"
-#: Characters of tokens lie from "+" to "z": places 1 to SIDE - 1; place 0 is the start.
+#: Characters of tokens lie from "+" to "z": places 1 to SIDE - 1; place 0, of the character before "+", is the start.
 FIRST, SIDE = ord("+") - 1, ord("z") - ord("+") + 2
+START = chr(FIRST)
 PIECE = 256
 
 VALUE = r"[A-Za-z0-9+/_.=-]+"
@@ -98,36 +99,39 @@ def family(token: Column) -> Column:
 
 
 def _steps(values: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, a, b: a row for each character of ``value`` (its place) and the one before it (0 at the start). Long values go in pieces, so that no array is long."""
-    each = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", 2, F.size("c")).alias("b"))
-    return _pieces(values, *keys).select(*keys, F.explode(each).alias("s")).select(*keys, "s.a", "s.b").where(f"a BETWEEN 0 AND {SIDE - 1} AND b BETWEEN 1 AND {SIDE - 1}")
+    """``keys``, pair: a row for each character of ``value``, after the one before it (``START`` at the start)."""
+    pieces = _pieces(values, *keys).where(F.length("__x") > 1)
+    return pieces.select(*keys, "__x", F.explode_outer(F.sequence(F.lit(1), F.length("__x") - 1)).alias("__i")).select(*keys, F.substring("__x", F.col("__i"), F.lit(2)).alias("pair"))
 
 
 def _pieces(values: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, c: places of the characters of each piece of ``value``, with the next piece's first one; the first piece begins with 0."""
-    pattern = F.lit(rf"(?s)(.{{1,{PIECE}}})(?=(.?))")
-    pieces = F.arrays_zip(F.regexp_extract_all("value", pattern, 1).alias("piece"), F.regexp_extract_all("value", pattern, 2).alias("next"))
-    cut = values.select(*keys, F.posexplode(pieces).alias("__p", "__x"))
-    chars = F.transform(F.filter(F.split(F.concat("__x.piece", "__x.next"), ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
-    return cut.select(*keys, F.when(F.col("__p") == 0, F.concat(F.array(F.lit(0)), chars)).otherwise(chars).alias("c"))
+    """``keys``, __x: the value after ``START``. Long values go in pieces, each with the next one's first character, so that a place is found in few steps."""
+    text = F.concat(F.lit(START), F.col("value"))
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
+    lapped = F.zip_with(cut, F.slice(cut, 2, F.greatest(F.size(cut), F.lit(1))), lambda x, y: F.concat(x, F.coalesce(F.substring(y, 1, 1), F.lit(""))))
+    return values.select(*keys, F.explode_outer(F.when(F.length("value") < PIECE, F.array(text)).otherwise(lapped)).alias("__x"))
 
 
 def identifiers(documents: DataFrame) -> DataFrame:
-    """``(value, held)``: ordinary identifiers from about ``SAMPLE_DOCUMENTS`` texts picked by a hash, each once; ``held`` ones are kept from training."""
-    rows = documents.where(F.col("text").isNotNull()).count()
-    text_hash = F.xxhash64("text")
-    picked = documents.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64(text_hash, F.lit("sample")), F.lit(max(1, rows // SAMPLE_DOCUMENTS))) == 0)
-    words = picked.groupBy(text_hash.alias("__h")).agg(F.min("text").alias("text")).select("__h", F.filter(F.split("text", "[^A-Za-z]+"), lambda w: F.length(w).between(1, 40)).alias("w"))
-    # Three words at a time; the n-th three of a text are spelled in the n-th way.
-    threes = words.where(F.size("w") >= 3).select("__h", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 3) - 1)).alias("i"))
-    threes = threes.select("i", F.slice("w", (F.col("i") * 3 + 1).cast("int"), 3).alias("w"))
-    joined = lambda glue: F.array_join("w", glue)
-    title = F.array_join(F.transform("w", lambda w: F.initcap(w)), "")
-    camel = F.concat(F.lower(F.substring(title, 1, 1)), F.substring(title, 2, 200))
-    number = F.pmod(F.col("i") * 37, F.lit(1000)).cast("string")
-    ways = [F.lower(joined("_")), F.upper(joined("_")), F.lower(joined("-")), F.concat(F.lit("/"), joined("/")), camel, title, F.lower(joined("")), F.upper(joined("")), F.concat(F.lower(joined("_")), F.lit("_"), number), F.concat(camel, number), F.concat(joined("/"), F.lit("/"), number), joined("")]
-    spelled = F.element_at(F.array(*ways), (F.pmod(F.col("i"), F.lit(len(ways))) + 1).cast("int"))
-    return threes.select(spelled.alias("value"), (F.pmod(F.floor(F.col("i") / len(ways)), F.lit(2)) == 1).alias("held")).distinct()
+    """``(value, held)``: ordinary identifiers from the words of all texts, each once; ``held`` ones, half of them by a hash, are kept from training."""
+    words = documents.select(F.filter(F.split(F.col("text").cast("string"), "[^A-Za-z]+"), lambda w: F.length(w).between(1, 40)).alias("w"))
+
+    def spelled(w: Column, i: Column) -> Column:
+        joined = lambda glue: F.array_join(w, glue)
+        title = F.replace(F.initcap(joined(" ")), F.lit(" "), F.lit(""))
+        camel = F.concat(F.lower(F.substring(title, 1, 1)), F.substring(title, 2, 200))
+        number = F.pmod(i * 37, F.lit(1000)).cast("string")
+        ways = [F.lower(joined("_")), F.upper(joined("_")), F.lower(joined("-")), F.concat(F.lit("/"), joined("/")), camel, title, F.lower(joined("")), F.upper(joined("")), F.concat(F.lower(joined("_")), F.lit("_"), number), F.concat(camel, number), F.concat(joined("/"), F.lit("/"), number), joined("")]
+        way = F.pmod(i, F.lit(len(ways)))
+        found = F.when(way == 0, ways[0])
+        for k, spelling in enumerate(ways[1:], 1):
+            found = found.when(way == k, spelling)
+        return found
+
+    # Three words at a time; the n-th three of a text are spelled in the n-th way. Spelled before the rows are dealt out, so that no filter spells them again.
+    threes = F.transform(F.sequence(F.lit(0), (F.size("w") / 3).cast("int")), lambda i: F.slice("w", i * 3 + 1, 3))
+    values = words.select(F.explode_outer(F.transform(threes, lambda w, i: F.when(F.size(w) == 3, spelled(w, i)))).alias("value")).where("value IS NOT NULL")
+    return values.distinct().withColumn("held", F.pmod(F.xxhash64("value", F.lit("held")), F.lit(2)) == 1)
 
 
 def _letters(seed: Column, alphabet: str) -> Column:
@@ -163,8 +167,8 @@ def shaped_tokens(spark: SparkSession, count: int = SHAPES) -> DataFrame:
 
 
 def digest_seeds(ordinary: DataFrame) -> DataFrame:
-    """What digests are made of: one in ``SEEDS`` identifiers, some thousands, which give each transition of the widest alphabet dozens of times."""
-    return ordinary.where(F.pmod(F.xxhash64("value"), F.lit(SEEDS)) == 0).select(F.concat(F.lit("seed "), F.col("value")).alias("value"))
+    """What digests are made of, ``DIGESTS`` numbers, whatever the tokens: they are random strings on any input, and ``ordinary`` only lends its session."""
+    return ordinary.sparkSession.range(DIGESTS).select(F.concat(F.lit("seed "), F.col("id").cast("string")).alias("value"))
 
 
 def digests(seeds: DataFrame) -> DataFrame:
@@ -175,7 +179,7 @@ def digests(seeds: DataFrame) -> DataFrame:
 
 
 def markov_models(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """``(a, b, p)``: log frequencies of the transition a -> b, by model: in random strings of each family, ``random(family, value)``, then in ordinary tokens of each kind, ``ordinary(component, value)``.
+    """``(pair, p)``: log frequencies of the transition from a character to the next, by model: in random strings of each family, ``random(family, value)``, then in ordinary tokens of each kind, ``ordinary(component, value)``.
 
     Frequencies after a letter lean on the letters' own (``BACKOFF``), and these on equal ones over the alphabet (``SMOOTHING``); every
     transition has a row, at most ``SIDE`` squared, whatever the input.
@@ -183,13 +187,14 @@ def markov_models(random: DataFrame, ordinary: DataFrame) -> DataFrame:
     spark = random.sparkSession
     first, models = len(FAMILIES), len(FAMILIES) + len(ORDINARY)
     samples = random.select(F.col("family").alias("model"), "value").union(ordinary.select((F.col("component") + first).alias("model"), "value"))
-    counted = _steps(samples, "model").groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counted = _steps(samples, "model").groupBy("model", "pair").agg(F.count(F.lit(1)).alias("n"))
     grid = spark.range(models * SIDE * SIDE).select((F.col("id") / (SIDE * SIDE)).cast("int").alias("model"), F.pmod((F.col("id") / SIDE).cast("int"), F.lit(SIDE)).alias("a"), F.pmod("id", F.lit(SIDE)).cast("int").alias("b"))
-    full = grid.where("b > 0").join(counted, ["model", "a", "b"], "left").na.fill(0, ["n"])
+    grid = grid.where("b > 0").withColumn("pair", F.concat(F.char(F.col("a") + FIRST), F.char(F.col("b") + FIRST)))
+    full = grid.join(counted, ["model", "pair"], "left").na.fill(0, ["n"])
     of_a, of_b, whole = Window.partitionBy("model", "a"), Window.partitionBy("model", "b"), Window.partitionBy("model")
     own = (F.sum("n").over(of_b) + SMOOTHING) / (F.sum("n").over(whole) + SMOOTHING * (SIDE - 1))
-    logs = full.select("model", "a", "b", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
-    return logs.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("model", "p"))), lambda x: x["p"]).alias("p"))
+    logs = full.select("model", "pair", F.log((F.col("n") + BACKOFF * own) / (F.sum("n").over(of_a) + BACKOFF)).alias("p"))
+    return logs.groupBy("pair").agg(F.transform(F.sort_array(F.collect_list(F.struct("model", "p"))), lambda x: x["p"]).alias("p"))
 
 
 def ratio(models: DataFrame, tokens: DataFrame, keys: list[str], kinds: tuple[str, ...] = ORDINARY) -> DataFrame:
@@ -198,27 +203,37 @@ def ratio(models: DataFrame, tokens: DataFrame, keys: list[str], kinds: tuple[st
     A token's transitions meet those of ``models``, a table of bounded size that is broadcast. Long tokens go in pieces keyed by ``keys``, never by their
     text: linear in the token, with short arrays.
     """
-    steps = _steps(tokens.select(*keys, family(F.col("value")).alias("__f"), "value"), *keys, "__f").join(F.broadcast(models), ["a", "b"])
+    steps = _steps(tokens.select(*keys, family(F.col("value")).alias("__f"), "value"), *keys, "__f").join(F.broadcast(models), ["pair"])
     ordinary = [F.sum(F.get("p", F.lit(len(FAMILIES) + ORDINARY.index(k)))) for k in kinds]
     return steps.groupBy(*keys).agg((F.sum(F.get("p", F.col("__f"))) - (F.greatest(*ordinary) if len(ordinary) > 1 else ordinary[0])).alias("llr"))
 
 
 def ordinary_samples(documents: DataFrame) -> DataFrame:
-    """``(component, value, held)`` of all ordinary tokens that the models learn from or are held against."""
+    """``(component, value, held)`` of all ordinary tokens, from all texts and made up, that the models learn from or are held against."""
     prose = identifiers(documents).select(F.lit(0).alias("component"), "value", "held")
-    return prose.union(shaped_tokens(documents.sparkSession))
+    # Stored, so that no filter makes them up again.
+    return prose.union(store(shaped_tokens(documents.sparkSession), "secret-shapes"))
 
 
 def fit(base: DataFrame, documents: DataFrame) -> tuple[DataFrame, float]:
-    """The models, a stored table of ``SIDE`` squared rows, and the cutoff by character."""
-    ordinary = store(ordinary_samples(documents), "secret-identifiers")
+    """The models, a stored table of ``SIDE`` squared rows, and the cutoff by character, both from all texts.
+
+    Identifiers are not stored: the training half and the long ones of the other half are each made where they are needed.
+    """
+    ordinary = ordinary_samples(documents)
     values = base.select(family(F.col("value")).alias("family"), "value").where(F.length("value") >= 12)
     fixed = documents.sparkSession.range(SEEDS).select(F.concat(F.lit("digest "), F.col("id").cast("string")).alias("value"))
-    random = digests(digest_seeds(ordinary.where("component = 0"))).union(digests(fixed)).union(values)
+    random = digests(digest_seeds(ordinary)).union(digests(fixed)).union(values)
     models = store(markov_models(random, ordinary.where("NOT held")), "secret-models")
-    held = ordinary.where(F.col("held") & (F.length("value") >= 20)).select(F.xxhash64("value").alias("id"), "value", F.length("value").alias("n"))
-    mean = ratio(models, held, ["id", "n"]).agg(F.percentile_approx(F.col("llr") / F.col("n"), 1 - FALSE_RATE, 100_000)).first()[0]
-    return models, max(0.0, mean if mean is not None else 0.0)
+    return models, cutoff(models, ordinary)
+
+
+def cutoff(models: DataFrame, ordinary: DataFrame) -> float:
+    """The ratio by character that all but ``FALSE_RATE`` of the held tokens of ``ordinary(component, value, held)`` with 20 characters or more stay below; 0 at least."""
+    held = ordinary.where(F.col("held") & (F.length("value") >= 20)).select("component", F.col("value").alias("token"), "value")
+    means = store(ratio(models, held, ["component", "token"]).select(F.lit(0).alias("all"), (F.col("llr") / F.length("token")).alias("mean")), "secret-held")
+    found = group_quantiles(means, ["all"], {"mean": [1 - FALSE_RATE]}).first()
+    return max(0.0, found["mean_q0"]) if found else 0.0
 
 
 def scan_spans(documents: DataFrame) -> DataFrame:
@@ -230,14 +245,14 @@ def _scan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All spans, and the models that judged them."""
     spans = store(_spans(documents), "secret-spans")
     base = spans.where("kind != 'token'")
-    models, cutoff = fit(base, documents)
+    models, least = fit(base, documents)
     # A token is free if no base span that begins before its end reaches beyond its begin.
     order = Window.partitionBy("doc_id", "text_hash").orderBy("begin")
     reach = F.max(F.when(F.col("kind") != "token", F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
     later = F.min(F.when(F.col("kind") != "token", F.col("begin"))).over(order.rangeBetween(0, Window.unboundedFollowing))
     free = spans.withColumns({"__reach": reach, "__later": later}).where("kind = 'token' AND coalesce(__reach <= begin, true) AND coalesce(__later >= end, true)").drop("__reach", "__later")
     keys = ["doc_id", "text_hash", "begin", "end"]
-    scores = ratio(models, free, keys).where((F.col("llr") >= LEAST_SUM) & (F.col("llr") >= F.lit(cutoff) * (F.col("end") - F.col("begin"))))
+    scores = ratio(models, free, keys).where((F.col("llr") >= LEAST_SUM) & (F.col("llr") >= F.lit(least) * (F.col("end") - F.col("begin"))))
     columns = [*keys[:2], "kind", *keys[2:], "value", "llr"]
     scored = scores.select(*[F.col(k).alias(f"__{k}") for k in keys], "llr")
     scored = free.join(scored, [free[k].eqNullSafe(F.col(f"__{k}")) for k in keys])

@@ -678,6 +678,24 @@ def test_secret_models_against_brute_force(spark):
         assert r.llr == pytest.approx(want, abs=1e-3 * len(r.value))
 
 
+def test_secret_models_learn_from_all_texts(spark):
+    """Identifiers of every text, each once; the cutoff is an exact quantile of the held ones; steps of long values."""
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = [f"{word(3 * i)} {word(3 * i + 1)} {word(3 * i + 2)}" for i in range(3000)]
+    table = spark.createDataFrame([*enumerate(texts + texts[:200]), (9000, None), (9001, "two words")], "doc_id long, text string")
+    got = secrets.identifiers(table).collect()
+    assert sorted(r.value for r in got) == sorted(t.replace(" ", "_") for t in texts)
+    assert 0.4 * len(got) <= sum(r.held for r in got) <= 0.6 * len(got)
+    ordinary = secrets.store(secrets.ordinary_samples(table), "test-identifiers")
+    models = secrets.store(secrets.markov_models(secrets.digests(secrets.digest_seeds(table)), ordinary.where("NOT held")), "test-models")
+    rows = spark.range(2000).select(F.lit(0).alias("component"), F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, 30).alias("value"), F.lit(True).alias("held"))
+    means = [r.llr / 30 for r in secrets.ratio(models, rows.select(F.col("value").alias("key"), "value"), ["key"]).collect()]
+    assert len(means) == 2000 and secrets.cutoff(models, rows) == pytest.approx(max(0, np.quantile(means, 1 - secrets.FALSE_RATE)), abs=1e-9)
+    values = ["", "a", "ab", *["".join(random.Random(n).choices("abcXYZ019_-/", k=n)) for n in (254, 255, 256, 257, 511, 512, 513, 2000)]]
+    steps = collections.Counter((r.id, r.pair) for r in secrets._steps(spark.createDataFrame([*enumerate(values)], "id int, value string"), "id").collect())
+    assert steps == collections.Counter((i, a + b) for i, v in enumerate(values) for a, b in zip(secrets.START + v, v))
+
+
 def test_ordinary_typography_is_no_secret(spark):
     """Rule lines, runs, alphabets, dates, part numbers, paths and names stay; what is planted beside them goes."""
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
