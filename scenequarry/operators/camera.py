@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenequarry.functions.geometry import conf_to_logit, half_even, matrix_to_quaternion, norm, rgb_to_dc, surfel_basis, surfel_scales
-from scenequarry.operators.stored import stored
+from scenequarry.operators.stored import stored, tidied
 
 NEAR = 1e-6
 #: Rows and bytes (as JSON, which is longer than Spark's rows) of a table that may be broadcast.
@@ -31,7 +31,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Costs a job over ``df``: what is dear to compute is stored first.
     """
-    size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    with tidied(df.sparkSession):
+        size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
     return F.broadcast(df) if size[0] <= rows and size[1] <= BROADCAST_BYTES else df
 
 

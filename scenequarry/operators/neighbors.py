@@ -10,6 +10,7 @@ from scenequarry.functions.labels import label_similar
 from scenequarry.operators.camera import small
 from scenequarry.operators.cloud import XYZ, first_per_voxel
 from scenequarry.operators.graph import connected_components
+from scenequarry.operators.scenes import KEEP, by_scene, clusters_in_scene, nearest_in_scene
 from scenequarry.operators.stored import remove_stored, stored
 
 CELL = [f"__c{c}" for c in XYZ]
@@ -148,10 +149,18 @@ def nearest_pairs(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFr
     return met.select("scene_id", "a", "b", "d2").unionByName(together).withColumn("__k", rank).where(F.col("__k") <= k).drop("__k")
 
 
-def nearest_graph(points: DataFrame, k: int = 5, radius: float = 0.30) -> DataFrame:
-    """Undirected edges a < b from each of ``points(scene_id, id, x, y, z)`` to its ``k`` nearest within ``radius``; of equals the lower id."""
-    near = nearest_pairs(points, k, radius)
-    return near.select("scene_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def nearest_graph(points: DataFrame, k: int = 5, radius: float = 0.30, keep: int = KEEP) -> DataFrame:
+    """Undirected edges a < b from each of ``points(scene_id, id, x, y, z)`` to its ``k`` nearest within ``radius``; of equals the lower id.
+
+    Scenes of up to ``keep`` points that are not too dense are each one task's work, others are searched by ``nearest_pairs``.
+    """
+    kind = points.schema["id"].dataType.simpleString()
+
+    def searched(rest: DataFrame) -> DataFrame:
+        near = stored(nearest_pairs(stored(rest, "searched"), k, radius).select("scene_id", "a", "b"), "near")
+        return near.select("scene_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    return by_scene(points, lambda frame: nearest_in_scene(frame, k, radius), f"a {kind}, b {kind}", searched, keep)
 
 
 def pick_points(points: DataFrame, rays: DataFrame, radius: float = 0.05) -> DataFrame:
@@ -194,11 +203,21 @@ def sample_per_group(rows: DataFrame, keys: list[str], ident: str, most: int = 5
     return rows.withColumn("__i", rank).where(F.col("__i") <= most).drop("__i")
 
 
-def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30) -> DataFrame:
+def density_clusters(points: DataFrame, radius: float = 0.15, least: int = 30, keep: int = KEEP) -> DataFrame:
     """Density clusters of ``points(scene_id, id, x, y, z)``: ``(scene_id, id, cluster)``, -1 for noise.
 
     A core point has ``least`` points within ``radius``, itself included. Clusters are components of core points, numbered by
-    their least core id; a border point joins the least component it touches. Points are kept by cells so tight that all of a cell are near each other: those of
+    their least core id; a border point joins the least component it touches. Scenes of up to ``keep`` points that are not too dense are each one task's
+    work, others go by cells (``clusters_by_cells``). Rows that share an id are one point in several places.
+    """
+    kind = points.schema["id"].dataType.simpleString()
+    return by_scene(points, lambda frame: clusters_in_scene(frame, radius, least), f"id {kind}, cluster int", lambda rest: clusters_by_cells(rest, radius, least), keep)
+
+
+def clusters_by_cells(points: DataFrame, radius: float, least: int) -> DataFrame:
+    """The clusters of ``density_clusters``, for scenes of any size and density.
+
+    Points are kept by cells so tight that all of a cell are near each other: those of
     a cell with ``least`` are core without a pair, cells are linked as wholes, and only points of thin cells, fewer than ``least`` a cell, are paired with others. Rows that
     share an id are one point in several places.
     """

@@ -138,7 +138,7 @@ _KNN = "WITH d AS (SELECT p.scene_id, p.id AS a, q.id AS b, (p.x - q.x) * (p.x -
 
 @add("j8_nearest_graph", _KNN)
 def _(get):
-    return neighbors.nearest_graph(get("points_k"))
+    return neighbors.nearest_graph(get("points_k", spread=False))
 
 
 @add("g10_wireframe", f"WITH {_BOXES}, {_SAMPLE}, ch AS (SELECT scene_id, min(id) AS id FROM points_k WHERE x >= -51.2 AND x < 51.2 AND y >= -51.2 AND y < 51.2 AND z >= -51.2 AND z < 51.2 GROUP BY scene_id, floor(x / 0.05), floor(y / 0.05), floor(z / 0.05) UNION SELECT scene_id, point_idx FROM sm), pc AS (SELECT p.* FROM points_k p SEMI JOIN ch ON p.scene_id = ch.scene_id AND p.id = ch.id), {_KNN.removeprefix('WITH ').replace('points_k', 'pc')}")
@@ -162,21 +162,21 @@ gc AS (SELECT p.scene_id, p.id, CAST(coalesce(nr.cluster, -1) AS INT) AS cluster
 
 @add("g2_density_clusters", _DENSITY + " SELECT * FROM gc")
 def _(get):
-    return neighbors.density_clusters(get("points_k"), 0.25, 4)
+    return neighbors.density_clusters(get("points_k", spread=False), 0.25, 4)
 
 
 @add("a33_noise_share", _DENSITY + " SELECT scene_id, avg(CASE WHEN cluster = -1 THEN 1.0 ELSE 0.0 END) AS noise FROM gc GROUP BY scene_id", "noise")
 def _(get):
     from scenequarry.operators.merge import noise_share
 
-    return noise_share(neighbors.density_clusters(get("points_k"), 0.25, 4))
+    return noise_share(neighbors.density_clusters(get("points_k", spread=False), 0.25, 4))
 
 
 @add("w21_top_clusters", _DENSITY + " SELECT scene_id, cluster, count(*) AS n FROM gc WHERE cluster BETWEEN 0 AND 11 GROUP BY scene_id, cluster")
 def _(get):
     from scenequarry.operators.merge import top_clusters
 
-    found = top_clusters(neighbors.density_clusters(get("points_k"), 0.25, 4), 12)
+    found = top_clusters(neighbors.density_clusters(get("points_k", spread=False), 0.25, 4), 12)
     return found.groupBy("scene_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
