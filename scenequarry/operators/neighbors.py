@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scenequarry.functions.labels import label_similar
-from scenequarry.operators.camera import small
+from scenequarry.operators.camera import BROADCAST_ROWS, small
 from scenequarry.operators.cloud import XYZ, first_per_voxel
 from scenequarry.operators.graph import connected_components
-from scenequarry.operators.scenes import KEEP, by_scene, clusters_in_scene, nearest_in_scene
+from scenequarry.operators.scenes import KEEP, by_scene, clusters_in_scene, nearest_in_scene, wireframe_in_scene
 from scenequarry.operators.stored import remove_stored, stored
 
 CELL = [f"__c{c}" for c in XYZ]
@@ -18,6 +18,8 @@ CELL = [f"__c{c}" for c in XYZ]
 FULL, LEVELS, FEW_PAIRS = 2, 30, 4_096
 #: Edge of the cells of a search in radii, and of the blocks in which tight cells meet in cells: larger ones copy fewer rows to cells around and compare more.
 GRAIN, BLOCK = 3, 6
+#: How far the voxels of a wireframe span each way.
+HALF_RANGE = 51.2
 
 
 def _celled(points: DataFrame, size: float | Column) -> DataFrame:
@@ -67,6 +69,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, base: float = 0.5) -> D
     edge = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in XYZ])
     sized = boxes.where(" AND ".join(f"lo_{c} <= hi_{c}" for c in XYZ)).withColumn("__l", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(edge, F.lit(base)) / base))).cast("int"))
     levels = sorted(r[0] for r in sized.select("__l").distinct().collect())
+    # Points of scenes without boxes aren't dealt to cells, where the scenes that have some are few enough to be sent to all tasks.
+    scenes = stored(sized.select("scene_id").distinct(), "boxed-scenes")
+    if scenes.count() <= BROADCAST_ROWS:
+        points = points.join(small(scenes), "scene_id", "left_semi")
     cell = F.lit(base) * F.pow(F.lit(2.0), F.col("__l"))
     for c, k in zip(XYZ, CELL, strict=True):
         sized = sized.withColumn(k, F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / cell), F.floor(F.col(f"hi_{c}") / cell))))
@@ -305,10 +311,14 @@ def linked_cells(points: DataFrame, radius: float) -> DataFrame:
         parts *= 2
 
 
-def wireframe(points: DataFrame, boxes: DataFrame, voxel: float = 0.05, per_object: int = 500, k: int = 5, radius: float = 0.30) -> DataFrame:
-    """Edges of the neighbour graph over one point a voxel and up to ``per_object`` points of each box."""
-    base = first_per_voxel(points, voxel).select("scene_id", "point_idx")
-    inside = sample_per_group(points_in_boxes(points, boxes), ["scene_id", "box_id"], "point_idx", per_object).select("scene_id", "point_idx")
-    ids = base.union(inside).distinct()
-    chosen = stored(points.join(ids, ["scene_id", "point_idx"], "left_semi").select("scene_id", F.col("point_idx").alias("id"), *XYZ))
-    return nearest_graph(chosen, k, radius)
+def wireframe(points: DataFrame, boxes: DataFrame, voxel: float = 0.05, per_object: int = 500, k: int = 5, radius: float = 0.30, keep: int = KEEP) -> DataFrame:
+    """Edges of the neighbour graph over one point a voxel and up to ``per_object`` points of each box; scenes of up to ``keep`` points are each one task's work."""
+    sampled = sample_per_group(points_in_boxes(points, boxes), ["scene_id", "box_id"], "point_idx", per_object)
+    inside = stored(sampled.select("scene_id", F.col("point_idx").alias("id")).distinct(), "box-samples")
+    kind = points.schema["point_idx"].dataType.simpleString()
+
+    def searched(rest: DataFrame) -> DataFrame:
+        base = first_per_voxel(rest.withColumnRenamed("id", "point_idx"), voxel, HALF_RANGE).select("scene_id", F.col("point_idx").alias("id"))
+        return nearest_graph(stored(rest.join(base.union(inside).distinct(), ["scene_id", "id"], "left_semi")), k, radius, keep)
+
+    return by_scene(points.withColumnRenamed("point_idx", "id"), lambda frame, marked: wireframe_in_scene(frame, marked, voxel, HALF_RANGE, k, radius), f"a {kind}, b {kind}", searched, keep, inside)

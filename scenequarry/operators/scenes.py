@@ -20,21 +20,25 @@ from scenequarry.operators.stored import remove_stored, stored
 KEEP, PAIRS = 65_536, 1 << 22
 
 
-def by_scene(points: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, rest: Callable[[DataFrame], DataFrame], keep: int = KEEP) -> DataFrame:
+def by_scene(points: DataFrame, work: Callable[..., pd.DataFrame | None], schema: str, rest: Callable[[DataFrame], DataFrame], keep: int = KEEP, marks: DataFrame | None = None) -> DataFrame:
     """Rows ``(scene_id, schema)`` of ``work`` for each scene of ``points(scene_id, id, x, y, z)``, and of ``rest`` for scenes of more than ``keep`` points and those that ``work`` answers None for.
 
-    ``work`` gets a scene's points by rising id, ids unique and places finite.
+    ``work`` gets a scene's points by rising id, ids unique and places finite, and with ``marks(scene_id, id)`` the ids that are marked, each once.
     """
     points = points.select("scene_id", "id", *XYZ)
     sizes = stored(points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("__n")), "scene-sizes")
     large = sizes.where(F.col("__n") > keep).select("scene_id")
     few = points if large.isEmpty() else points.join(small(large), "scene_id", "left_anti")
     names = [part.split()[0] for part in schema.split(", ")]
+    if marks is not None:
+        few = few.withColumn("marked", F.lit(False)).unionByName(marks.select("scene_id", "id", F.lit(True).alias("marked")), allowMissingColumns=True)
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        scene, found = frame.scene_id.iloc[0], None
+        scene, found, marked = frame.scene_id.iloc[0], None, []
+        if "marked" in frame:
+            marked, frame = [frame.id[frame.marked]], frame[~frame.marked]
         if frame.id.is_unique and np.isfinite(frame[list(XYZ)].to_numpy(float)).all():
-            found = work(frame.sort_values("id", ignore_index=True))
+            found = work(frame.sort_values("id", ignore_index=True), *marked)
         # A scene that is left open is a row without values.
         found = pd.DataFrame({n: pd.Series([None], dtype=object) for n in names}) if found is None else found.assign(settled=True)
         return found.assign(scene_id=scene, settled=found.get("settled", False))[["scene_id", *names, "settled"]]
@@ -55,6 +59,8 @@ def near_in_scene(at: np.ndarray, radius: float, pairs: int = PAIRS) -> tuple[np
 
     Rows are sorted by cells of a little more than the radius; a row meets the nine stretches of three cells around its own.
     """
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     # Beyond that, rounding could move a row by more than what cells are too large.
     if not radius > 0 or np.abs(at).max() > 1e12 * radius:
         return None
@@ -92,6 +98,15 @@ def nearest_in_scene(frame: pd.DataFrame, k: int, radius: float) -> pd.DataFrame
     return pd.DataFrame({"a": ids[edges // len(frame)], "b": ids[edges % len(frame)]})
 
 
+def wireframe_in_scene(frame: pd.DataFrame, marked: pd.Series, voxel: float, half_range: float, k: int, radius: float) -> pd.DataFrame | None:
+    """Edges over the first point of each voxel (``cloud.first_per_voxel``) and the marked ones."""
+    at = frame[list(XYZ)].to_numpy(float)
+    inside = np.flatnonzero(((at >= -half_range) & (at < half_range)).all(axis=1))
+    chosen = frame.id.isin(marked).to_numpy()
+    chosen[inside[~pd.DataFrame(np.floor(at[inside] / voxel).astype(np.int64)).duplicated().to_numpy()]] = True
+    return nearest_in_scene(frame[chosen].reset_index(drop=True), k, radius)
+
+
 def clusters_in_scene(frame: pd.DataFrame, radius: float, least: int) -> pd.DataFrame | None:
     """Density clusters of a scene, numbered by their least core id, -1 for noise."""
     if (met := near_in_scene(frame[list(XYZ)].to_numpy(float), radius)) is None:

@@ -111,8 +111,8 @@ def _(get):
     return inside.groupBy("scene_id", "box_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("point_idx") % 1000003).alias("id_sum"))
 
 
-def _points_k(get):
-    return get("points_k").withColumnRenamed("id", "point_idx")
+def _points_k(get, spread=True):
+    return get("points_k", spread=spread).withColumnRenamed("id", "point_idx")
 
 
 def _boxes(get):
@@ -143,7 +143,7 @@ def _(get):
 
 @add("g10_wireframe", f"WITH {_BOXES}, {_SAMPLE}, ch AS (SELECT scene_id, min(id) AS id FROM points_k WHERE x >= -51.2 AND x < 51.2 AND y >= -51.2 AND y < 51.2 AND z >= -51.2 AND z < 51.2 GROUP BY scene_id, floor(x / 0.05), floor(y / 0.05), floor(z / 0.05) UNION SELECT scene_id, point_idx FROM sm), pc AS (SELECT p.* FROM points_k p SEMI JOIN ch ON p.scene_id = ch.scene_id AND p.id = ch.id), {_KNN.removeprefix('WITH ').replace('points_k', 'pc')}")
 def _(get):
-    return neighbors.wireframe(_points_k(get), _boxes(get))
+    return neighbors.wireframe(_points_k(get, spread=False), _boxes(get))
 
 
 @add("j9_pick_points", "WITH ry AS (SELECT 's' || scene_id AS scene_id, ordinal AS ray_id, x AS ox, y AS oy, -1.0 AS oz, 0.0 AS dx, 0.0 AS dy, 1.0 AS dz FROM annotations), h AS (SELECT scene_id, ray_id, id AS point_idx, p.x, p.y, p.z, (p.z - oz) AS t FROM points_k p JOIN ry USING (scene_id) WHERE (p.z - oz) > 0 AND (p.x - ox) * (p.x - ox) + (p.y - oy) * (p.y - oy) + (p.z - oz) * (p.z - oz) - (p.z - oz) * (p.z - oz) <= 0.05 * 0.05), r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, ray_id ORDER BY t, point_idx) AS k FROM h) SELECT * EXCLUDE (k) FROM r WHERE k = 1", "x y z t")
