@@ -93,8 +93,14 @@ def zbuffer(projected: DataFrame) -> DataFrame:
     return projected.groupBy(*PIXEL).agg(F.min("depth").alias("zmin"))
 
 
-def spread_foreground(buffer: DataFrame, cameras: DataFrame, radius: int = 3, hit_only: bool = False) -> DataFrame:
-    """Least depth in the (2 radius + 1)-square around each pixel of the frame; ``hit_only`` gives the buffer's own pixels only.
+def few_pixels(cameras: DataFrame) -> bool:
+    """Whether images of all frames of ``cameras`` may be broadcast."""
+    pixels = cameras.agg(F.coalesce(F.sum(F.col("width").cast("long") * F.col("height")), F.lit(0))).first()[0]
+    return 8 * pixels <= BROADCAST_BYTES
+
+
+def spread_foreground(buffer: DataFrame, cameras: DataFrame, radius: int = 3, hit_only: bool = False, images: bool = False) -> DataFrame:
+    """Least depth in the (2 radius + 1)-square around each pixel of the frame; ``hit_only`` gives the buffer's own pixels only; ``images`` gives a row a frame, ``height`` and ``image``, where a pixel is at ``u * height + v``.
 
     One shuffle by frame: a frame is a dense image, bounded by its camera's pixels, and the square's minimum is taken
     along one axis after the other.
@@ -111,6 +117,8 @@ def spread_foreground(buffer: DataFrame, cameras: DataFrame, radius: int = 3, hi
                 low, high = (slice(None, -d), slice(d, None)) if axis == 0 else ((slice(None), slice(None, -d)), (slice(None), slice(d, None)))
                 np.minimum(image[low], source[high], out=image[low])
                 np.minimum(image[high], source[low], out=image[high])
+        if images:
+            return pd.DataFrame([[*frame[FRAME].iloc[0], image.shape[1], image.ravel()]], columns=[*FRAME, "height", "image"])
         if not hit_only:
             u, v = np.nonzero(np.isfinite(image))
         out = pd.DataFrame({"u": u.astype(np.int32), "v": v.astype(np.int32), "zmin": image[u, v]})
@@ -119,7 +127,7 @@ def spread_foreground(buffer: DataFrame, cameras: DataFrame, radius: int = 3, hi
         return out
 
     kinds = ", ".join(f"{c} {buffer.schema[c].dataType.simpleString()}" for c in FRAME)
-    return sized.groupBy(*FRAME).applyInPandas(spread, f"{kinds}, u int, v int, zmin double")
+    return sized.groupBy(*FRAME).applyInPandas(spread, f"{kinds}, height int, image array<double>" if images else f"{kinds}, u int, v int, zmin double")
 
 
 def rigid_inverse(cameras: DataFrame) -> DataFrame:
