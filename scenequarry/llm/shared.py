@@ -6,6 +6,7 @@ time, so that memory follows the slice (or one long text), never the partition.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Intermediates are written to the shared folder and read back: lineage ends there and survives a lost executor.
-store = stored
+store = functools.partial(stored, tidy=False)
 
 
 def learnable(doc_id: Column) -> Column:
